@@ -101,7 +101,7 @@ def extract_blocks(pages: DataFrame, within: str = "article", tags: tuple[str, .
 
 def parse_total(text: Column) -> Column:
     """N of ``Showing a – b of N``; 0 when absent (EXT-5)."""
-    return F.coalesce(F.try_cast(F.nullif(F.regexp_extract(text, TOTAL_PATTERN, 1), F.lit("")), "int"), F.lit(0))
+    return F.coalesce(F.nullif(F.regexp_extract(text, TOTAL_PATTERN, 1), F.lit("")).try_cast("int"), F.lit(0))
 
 
 def host(url: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import conversation as cnv
 from quarry.plans.registry import Tables, query
+from quarry.sources.files import encode_payload
 
 # --- shared inputs -------------------------------------------------------------------------
 MSGS = """msgs AS (SELECT conv_id AS session_id, turn AS pos,
@@ -56,7 +57,7 @@ def uploads(t: Tables) -> DataFrame:
     return latest.select(
         F.col("user_id").alias("session_id"),
         F.struct(F.lit("image").alias("type"), F.col("name").alias("name"),
-                 F.lit("image/png").alias("format"), F.base64(F.col("name")).alias("base64")).alias("file"))
+                 F.lit("image/png").alias("format"), encode_payload(F.col("name")).alias("base64")).alias("file"))
 
 
 def requests(t: Tables) -> DataFrame:
@@ -66,11 +67,11 @@ def requests(t: Tables) -> DataFrame:
     return e.select(
         F.col("event_id").alias("request_id"), F.col("user_id").cast("string").alias("session_id"), "ts",
         F.col("props").alias("question"),
-        F.when(img, F.base64(et)).alias("image_base64"),
+        F.when(img, encode_payload(et)).alias("image_base64"),
         F.when(img, F.lit("image/png")).alias("image_type"),
-        F.when(et.isin("purchase", "error"), F.base64(F.concat(et, F.lit(":"), F.col("props")))).alias("csv_base64"),
+        F.when(et.isin("purchase", "error"), encode_payload(F.concat(et, F.lit(":"), F.col("props")))).alias("csv_base64"),
         F.when(et == "purchase", F.concat(et, F.lit(".csv"))).alias("csv_filename"),
-        F.when(et == "view", F.base64(F.col("props"))).alias("pdf_base64"),
+        F.when(et == "view", encode_payload(F.col("props"))).alias("pdf_base64"),
         F.when(et == "view", F.concat(et, F.lit(".pdf"))).alias("pdf_filename"))
 
 

@@ -75,8 +75,9 @@ def append_jsonl(df: DataFrame, path: str) -> str:
 
 
 def encode_payload(c: Column) -> Column:
-    """Bytes or text -> base64 text (SRC-5)."""
-    return F.base64(c)
+    """Bytes or text -> one-line base64 text (SRC-5). Spark's ``base64`` may wrap lines every 76
+    characters (``spark.sql.chunkBase64String.enabled``); the payload format has no breaks."""
+    return F.replace(F.base64(c), F.lit("\r\n"), F.lit(""))
 
 
 def decode_payload(c: Column) -> Column:
