@@ -65,67 +65,143 @@ def modes(df: DataFrame, cols: list[str]) -> DataFrame:
     return top_values(value_frequencies(df, cols), 1).select("column", F.col("value").alias("mode"))
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    accuracy: int = SKETCH_ACCURACY) -> DataFrame:
-    """Exact linear-interpolation quantiles (pandas / ``quantile_cont``) of numeric columns.
-
-    Returns ``(column, p, q)``. Two bounded passes instead of one task holding a column:
-      1. a quantile sketch brackets every target rank: values between the sketch's answers at
-         ``p - 3/accuracy`` and ``p + 3/accuracy`` hold the exact order statistics;
-      2. exact count of values below each bracket, and the bracket's own values with counts,
-         ranked by a window partitioned by (column, p) -- about ``6n/accuracy`` rows each.
-    """
-    long = long_values(df, cols, "double")
-    eps = 3.0 / accuracy
-    lo_ps = [max(0.0, p - eps) for p in probs]
-    hi_ps = [min(1.0, p + eps) for p in probs]
-    sketch = long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("value", lo_ps, accuracy).alias("lo"),
-        F.percentile_approx("value", hi_ps, accuracy).alias("hi"),
-        F.min("value").alias("vmin"), F.max("value").alias("vmax"))
-    # one row per (column, p): bracket [lo, hi] and the 0-based ranks needed
-    targets = F.array(*[F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p"))
-                        for i, p in enumerate(probs)])
-    br = (sketch.withColumn("t", F.explode(targets)).select("*", "t.pi", "t.p")
-          .select("column", "p", "n",
-                  F.when(F.col("p") - eps <= 0, F.col("vmin"))
-                  .otherwise(F.element_at("lo", F.col("pi") + 1)).alias("lo"),
-                  F.when(F.col("p") + eps >= 1, F.col("vmax"))
-                  .otherwise(F.element_at("hi", F.col("pi") + 1)).alias("hi"),
-                  (F.col("p") * (F.col("n") - 1)).alias("h")))
-    # number of values strictly below each bracket, plus the bracket's values with counts
-    joined = long.join(F.broadcast(br), "column")
-    below = joined.groupBy("column", "p").agg(
-        F.sum(F.when(F.col("value") < F.col("lo"), 1).otherwise(0)).alias("below"))
-    inside = (joined.filter((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
-              .groupBy("column", "p", "value").agg(F.count(F.lit(1)).alias("cnt")))
-    w = Window.partitionBy("column", "p").orderBy("value")
-    ranked = (inside.join(below, ["column", "p"])
-              .withColumn("end", F.col("below") + F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-              .withColumn("start", F.col("end") - F.col("cnt"))
-              .join(br.select("column", "p", "h"), ["column", "p"]))
-    # value at rank floor(h) and at floor(h)+1 (rank r holds value v iff start <= r < end)
-    fl = F.floor("h")
-    picked = ranked.groupBy("column", "p", "h").agg(
-        F.min(F.when((F.col("start") <= fl) & (fl < F.col("end")), F.col("value"))).alias("a"),
-        F.min(F.when((F.col("start") <= fl + 1) & (fl + 1 < F.col("end")), F.col("value"))).alias("b"))
-    frac = F.col("h") - F.floor("h")
-    q = F.when(F.col("b").isNull() | (frac == 0), F.col("a")) \
-        .otherwise(F.col("a") + frac * (F.col("b") - F.col("a")))
-    return picked.select("column", "p", q.alias("q"))
+# Below this many non-null values in total, one exact ``percentile`` aggregate is used (its
+# value->count map per column is then bounded by this size); above it, the bounded passes.
+SMALL_EXACT_VALUES = 1_000_000
 
 
 def quantile_map(df: DataFrame, cols: list[str], probs: list[float], method: str = "exact") -> dict:
-    """Collect ``{(column, p): q}`` (``len(cols) * len(probs)`` numbers) for plan decisions."""
+    """Exact linear-interpolation quantiles (pandas / ``quantile_cont``) as ``{(column, p): q}``
+    (``len(cols) * len(probs)`` numbers, null for an all-null column).
+
+    Small inputs: one ``percentile`` aggregate. Large inputs: no task ever holds a column --
+      1. one sketch pass brackets every target rank between the sketch's answers at
+         ``p -/+ 3/accuracy`` (plus exact counts, min and max);
+      2. one pass counts the values below each bracket;
+      3. one pass ranks only the values inside the brackets (about ``6n/accuracy`` rows per
+         bracket, a window per (column, p)) and picks the two order statistics around the target.
+    ``method="approx"`` returns the sketch answers only."""
     if not cols:
         return {}
+    probs = [float(p) for p in probs]
+    x = {c: F.col(c).cast("double") for c in cols}
     if method == "approx":
-        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, SKETCH_ACCURACY).alias(c)
-                       for c in cols]).first()
-        return {(c, p): (row[c][i] if row[c] is not None else None)
-                for c in cols for i, p in enumerate(probs)}
-    return {(r["column"], r["p"]): r["q"] for r in exact_quantiles(df, cols, probs).collect()}
+        row = df.agg(*[F.percentile_approx(x[c], probs, SKETCH_ACCURACY).alias(c) for c in cols]).first()
+        return {(c, p): (row[c][i] if row[c] is not None else None) for c in cols for i, p in enumerate(probs)}
+    eps = 3.0 / SKETCH_ACCURACY
+    lo_ps = [max(0.0, p - eps) for p in probs]
+    hi_ps = [min(1.0, p + eps) for p in probs]
+    counts = df.agg(*[F.count(x[c]).alias(c) for c in cols]).first()
+    if sum(counts[c] for c in cols) <= SMALL_EXACT_VALUES:
+        row = df.agg(*[F.percentile(x[c], probs).alias(c) for c in cols]).first()
+        return {(c, p): (row[c][i] if row[c] is not None else None) for c in cols for i, p in enumerate(probs)}
+    # pass 1: sketch brackets
+    sk = df.agg(*[F.struct(F.min(x[c]).alias("mn"), F.max(x[c]).alias("mx"),
+                           F.percentile_approx(x[c], lo_ps + hi_ps, SKETCH_ACCURACY).alias("q")).alias(c)
+                  for c in cols]).first()
+    br = {}
+    for c in cols:
+        n = counts[c]
+        if not n:
+            continue
+        for i, p in enumerate(probs):
+            lo = sk[c]["mn"] if p - eps <= 0 else sk[c]["q"][i]
+            hi = sk[c]["mx"] if p + eps >= 1 else sk[c]["q"][len(probs) + i]
+            br[(c, p)] = (lo, hi, p * (n - 1))
+    keys = list(br)
+    # pass 2: values strictly below each bracket
+    below_row = df.agg(*[F.count_if(x[c] < F.lit(br[(c, p)][0])).alias(f"b{j}") for j, (c, p) in enumerate(keys)]).first()
+    # pass 3: rank the bracket values
+    tagged = F.array(*[F.when((x[c] >= F.lit(br[(c, p)][0])) & (x[c] <= F.lit(br[(c, p)][1])),
+                              F.struct(F.lit(j).alias("k"), x[c].alias("value"))) for j, (c, p) in enumerate(keys)])
+    inside = df.select(F.explode(F.filter(tagged, lambda t: t.isNotNull())).alias("t")) \
+        .groupBy("t.k", "t.value").agg(F.count(F.lit(1)).alias("cnt"))
+    offs = F.element_at(F.array(*[F.lit(int(below_row[f"b{j}"])) for j in range(len(keys))]), F.col("k") + 1)
+    hs = F.element_at(F.array(*[F.lit(float(br[kk][2])) for kk in keys]), F.col("k") + 1)
+    w = Window.partitionBy("k").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.withColumn("end", offs + F.sum("cnt").over(w)).withColumn("start", F.col("end") - F.col("cnt"))
+    fl = F.floor(hs)
+    picked = ranked.filter(((F.col("start") <= fl) & (fl < F.col("end"))) |
+                           ((F.col("start") <= fl + 1) & (fl + 1 < F.col("end")))) \
+        .select("k", "value", "start", "end").collect()  # at most two rows per (column, p)
+    out = {(c, p): None for c in cols for p in probs}
+    for j, kk in enumerate(keys):
+        h = br[kk][2]
+        f = int(h // 1)
+        rows = [r for r in picked if r["k"] == j]
+        a = next((r["value"] for r in rows if r["start"] <= f < r["end"]), None)
+        b2 = next((r["value"] for r in rows if r["start"] <= f + 1 < r["end"]), None)
+        frac = h - f
+        out[kk] = a if (b2 is None or frac == 0) else a + frac * (b2 - a)
+    return out
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    """``(column, p, q)`` from ``quantile_map`` (a small frame of ``len(cols) * len(probs)`` rows)."""
+    m = quantile_map(df, cols, probs)
+    return df.sparkSession.createDataFrame([(c, float(p), m[(c, float(p))]) for c in cols for p in probs],
+                                           "column string, p double, q double")
+
+
+def moments(df: DataFrame, cols: list[str]) -> dict:
+    """Per column: count, mean, min, max (one aggregate, collected: four numbers per column)."""
+    row = df.agg(*[F.struct(F.count(c).alias("n"), F.avg(F.col(c).cast("double")).alias("mean"),
+                            F.min(F.col(c).cast("double")).alias("mn"),
+                            F.max(F.col(c).cast("double")).alias("mx")).alias(c) for c in cols]).first()
+    return {c: row[c].asDict() for c in cols}
+
+
+def corr_pairs(df: DataFrame, cols: list[str]) -> dict:
+    """Pearson correlation of every pair (a <= b) over pairwise-complete rows, ``{(a, b): r}``;
+    null when either side is constant over those rows or fewer than 2 rows remain.
+
+    Two passes (means; then sums of products of mean-centred values), every aggregate a plain
+    ``sum`` -- numerically the two-pass formula, and cheap to code-generate."""
+    if not cols:
+        return {}
+    m = moments(df, cols)
+    nrows = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    nullable = {c for c in cols if m[c]["n"] < nrows}
+    d = {c: F.col(c).cast("double") - F.lit(m[c]["mean"] if m[c]["mean"] is not None else 0.0) for c in cols}
+    exprs, plan = [], {}
+    for i, a in enumerate(cols):
+        for b in cols[i:]:
+            key = f"p{len(plan)}"
+            if a not in nullable and b not in nullable:
+                exprs.append(F.sum(d[a] * d[b]).alias(key))
+                plan[(a, b)] = ("full", key)
+            else:
+                both = F.col(a).isNotNull() & F.col(b).isNotNull()
+                da, db = F.when(both, d[a]), F.when(both, d[b])
+                exprs.append(F.struct(F.count_if(both).alias("n"), F.sum(da).alias("sa"), F.sum(db).alias("sb"),
+                                      F.sum(da * da).alias("saa"), F.sum(db * db).alias("sbb"),
+                                      F.sum(da * db).alias("sab"),
+                                      (F.min(da) < F.max(da)).alias("va"), (F.min(db) < F.max(db)).alias("vb")).alias(key))
+                plan[(a, b)] = ("pair", key)
+    row = df.agg(*exprs).first()
+    out = {}
+    for (a, b), (kind, key) in plan.items():
+        if kind == "full":
+            n = nrows
+            sab = row[key]
+            saa = row[plan[(a, a)][1]] if plan[(a, a)][0] == "full" else None
+            sbb = row[plan[(b, b)][1]] if plan[(b, b)][0] == "full" else None
+            varied = m[a]["mn"] is not None and m[a]["mn"] < m[a]["mx"] and m[b]["mn"] < m[b]["mx"]
+            if n < 2 or not varied or not saa or not sbb:
+                out[(a, b)] = None
+            else:
+                out[(a, b)] = sab / ((saa * sbb) ** 0.5)
+        else:
+            s = row[key]
+            n = s["n"]
+            if n < 2 or not s["va"] or not s["vb"]:
+                out[(a, b)] = None
+                continue
+            cab = s["sab"] - s["sa"] * s["sb"] / n
+            caa = s["saa"] - s["sa"] * s["sa"] / n
+            cbb = s["sbb"] - s["sb"] * s["sb"] / n
+            out[(a, b)] = cab / ((caa * cbb) ** 0.5) if caa > 0 and cbb > 0 else None
+    return out
 
 
 def sample_skew(c: Column, n: Column, vmin: Column, vmax: Column) -> Column:

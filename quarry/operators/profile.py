@@ -70,20 +70,21 @@ def missing_total(df: DataFrame) -> Column:
 
 
 def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """count, mean, sample std, min, quartiles (exact, linear) and max per numeric column (PRF-4)."""
+    """count, mean, sample std, min, quartiles (exact, linear) and max per numeric column (PRF-4).
+    One moments aggregate plus the bounded quantile passes; the result has one row per column."""
     cols = cols if cols is not None else numeric_cols(df)
     d = S.nan_to_null(df, cols)
-    agg = d.agg(*[F.struct(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
+    row = d.agg(*[F.struct(F.count(c).alias("count"), F.avg(F.col(c).cast("double")).alias("mean"),
+                           F.stddev_samp(F.col(c).cast("double")).alias("std"),
                            F.min(F.col(c).cast("double")).alias("min"),
-                           F.max(F.col(c).cast("double")).alias("max")).alias(c) for c in cols])
-    base = agg.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("s")) for c in cols])).alias("x")) \
-        .select("x.column", "x.s.*")
-    q = S.exact_quantiles(d, cols, [0.25, 0.5, 0.75]).groupBy("column").pivot("p", [0.25, 0.5, 0.75]).agg(F.first("q"))
-    q = q.toDF("column", "q25", "q50", "q75")
-    out = base.join(q, "column", "left")
-    return out.select("column", F.col("count").cast("bigint").alias("count"),
-                      *[_r(F.col(c)).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
+                           F.max(F.col(c).cast("double")).alias("max")).alias(c) for c in cols]).first()
+    q = S.quantile_map(d, cols, [0.25, 0.5, 0.75])
+    data = [(c, row[c]["count"], row[c]["mean"], row[c]["std"], row[c]["min"], q[(c, 0.25)], q[(c, 0.5)],
+             q[(c, 0.75)], row[c]["max"]) for c in cols]
+    out = df.sparkSession.createDataFrame(
+        data, "column string, count bigint, mean double, std double, min double, q25 double, q50 double, "
+              "q75 double, max double")
+    return out.select("column", "count", *[_r(F.col(c)).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
 
 
 def skew_kurtosis(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -103,15 +104,11 @@ def skew_kurtosis(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pearson matrix in long form ``(a, b, r)``: all ordered pairs, pairwise complete rows, null
-    for a constant column (PRF-7, VIZ-2). One aggregate over a < b, mirrored."""
+    for a constant column (PRF-7, VIZ-2). Two passes of plain sums (``corr_pairs``), mirrored."""
     cols = cols if cols is not None else numeric_cols(df)
-    d = S.nan_to_null(df, cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    exprs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                      S.pair_corr(F.col(a), F.col(b)).alias("r")) for a, b in pairs]
-    half = d.agg(F.array(*exprs).alias("m")).select(F.explode("m").alias("x")).select("x.*")
-    mirrored = half.filter(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"), "r")
-    return half.unionByName(mirrored).select("a", "b", _r(F.col("r")).alias("r"))
+    r = S.corr_pairs(S.nan_to_null(df, cols), cols)
+    data = [(a, b, r[(a, b)] if (a, b) in r else r[(b, a)]) for a in cols for b in cols]
+    return df.sparkSession.createDataFrame(data, "a string, b string, r double").select("a", "b", _r(F.col("r")).alias("r"))
 
 
 def nunique(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
