@@ -129,13 +129,51 @@ def _cos(a: Column, b: Column) -> Column:
     return F.coalesce(s, F.lit(0.0))
 
 
+def _mmr_group(k: int, lam: float):
+    """MMR of one query's candidates (at most ``fetch_k`` rows) with numpy."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank", kind="stable")
+        e = np.stack(pdf["e"].to_numpy()).astype(np.float64)
+        q = np.asarray(pdf["qv"].iloc[0], dtype=np.float64)
+
+        def cos(a, b):
+            na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s = (a @ b.T) / np.outer(na, nb)
+            s[~np.isfinite(s)] = 0.0
+            return s
+
+        qs = cos(q[None, :], e)[0]
+        sim = cos(e, e)
+        chosen = [int(np.argmax(qs))]
+        while len(chosen) < min(k, len(e)):
+            red = sim[:, chosen].max(axis=1)
+            score = lam * qs - (1 - lam) * red
+            score[chosen] = -np.inf
+            chosen.append(int(np.argmax(score)))  # first maximum wins ties
+        return pd.DataFrame({"qid": pdf["qid"].iloc[0], "mmr_rank": np.arange(1, len(chosen) + 1, dtype=np.int32),
+                             "vid": pdf["vid"].to_numpy()[chosen].astype(np.int64)})
+
+    return run
+
+
 def mmr(cands: DataFrame, queries: DataFrame, k: int = MMR_K, lambda_mult: float = MMR_LAMBDA,
         qid: str = "qid", qvec: str = "qvec", vid: str = "vid", vec: str = "embedding",
-        rank: str = "rank") -> DataFrame:
+        rank: str = "rank", engine: str = "numpy") -> DataFrame:
     """Maximal marginal relevance (RET-2) over each query's candidates (already bounded to
     ``fetch_k`` by the kNN step): first the candidate most cosine-similar to the query, then
     repeatedly the argmax of ``lambda * cos(q, i) - (1 - lambda) * max cos(i, chosen)``; the
-    earlier candidate wins ties. Returns ``(qid, mmr_rank, vid)``."""
+    earlier candidate wins ties. Returns ``(qid, mmr_rank, vid)``.
+
+    ``engine="numpy"``: one ``applyInPandas`` group per query (at most ``fetch_k`` rows, so a
+    group is bounded by construction); ``engine="native"``: array expressions only."""
+    if engine == "numpy":
+        c = cands.select(F.col(qid).cast("bigint").alias("qid"), F.col(rank).alias("rank"),
+                         F.col(vid).cast("bigint").alias("vid"), F.col(vec).alias("e"))
+        j = c.join(queries.select(F.col(qid).cast("bigint").alias("qid"), F.col(qvec).alias("qv")), "qid")
+        return j.groupBy("qid").applyInPandas(_mmr_group(k, float(lambda_mult)),
+                                              "qid bigint, mmr_rank int, vid bigint")
     grouped = cands.groupBy(F.col(qid).alias("qid")).agg(
         F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(vid).alias("v"),
                                              F.col(vec).alias("e")))).alias("cs"))

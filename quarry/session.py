@@ -62,5 +62,17 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
+def spread_cached(df: DataFrame) -> tuple[DataFrame, bool]:
+    """For multi-pass statistics: a small input (fewer partitions than cores, so at most
+    cores x ``maxPartitionBytes`` of files) is spread over the cores and cached once, so each pass
+    reads memory in parallel. Large inputs are returned unchanged (never cached). Returns the
+    frame and whether it was cached (the caller unpersists)."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= target:
+        return df, False
+    from pyspark import StorageLevel
+    return df.repartition(target).persist(StorageLevel.MEMORY_AND_DISK), True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
