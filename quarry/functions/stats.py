@@ -70,7 +70,8 @@ def modes(df: DataFrame, cols: list[str]) -> DataFrame:
 SMALL_EXACT_VALUES = 1_000_000
 
 
-def quantile_map(df: DataFrame, cols: list[str], probs: list[float], method: str = "exact") -> dict:
+def quantile_map(df: DataFrame, cols: list[str], probs: list[float], method: str = "exact",
+                 counts: dict | None = None) -> dict:
     """Exact linear-interpolation quantiles (pandas / ``quantile_cont``) as ``{(column, p): q}``
     (``len(cols) * len(probs)`` numbers, null for an all-null column).
 
@@ -91,7 +92,8 @@ def quantile_map(df: DataFrame, cols: list[str], probs: list[float], method: str
     eps = 3.0 / SKETCH_ACCURACY
     lo_ps = [max(0.0, p - eps) for p in probs]
     hi_ps = [min(1.0, p + eps) for p in probs]
-    counts = df.agg(*[F.count(x[c]).alias(c) for c in cols]).first()
+    if counts is None or any(c not in counts for c in cols):  # non-null counts, unless known
+        counts = df.agg(*[F.count(x[c]).alias(c) for c in cols]).first().asDict()
     if sum(counts[c] for c in cols) <= SMALL_EXACT_VALUES:
         row = df.agg(*[F.percentile(x[c], probs).alias(c) for c in cols]).first()
         return {(c, p): (row[c][i] if row[c] is not None else None) for c in cols for i, p in enumerate(probs)}

@@ -123,6 +123,7 @@ class CleanPlan:
     labels: dict = field(default_factory=dict)
     final_shape: tuple[int, int] = (0, 0)
     log: list[str] = field(default_factory=list)
+    source: DataFrame | None = None
 
     # -- row-wise stages -------------------------------------------------------------------
     def rows_stage(self, df: DataFrame) -> DataFrame:
@@ -139,7 +140,10 @@ class CleanPlan:
         types = _fields(df)
         exprs = {}
         for c, v in self.fills.items():
-            exprs[c] = F.coalesce(F.col(c), F.lit(v).cast(types[c]))
+            if is_number(types[c]):  # a numeric column with gaps is a float column (median fill)
+                exprs[c] = F.coalesce(F.col(c).cast("double"), F.lit(float(v)))
+            else:
+                exprs[c] = F.coalesce(F.col(c), F.lit(v).cast(types[c]))
         return df.withColumns(exprs) if exprs else df
 
     def clip_stage(self, df: DataFrame) -> DataFrame:
@@ -167,30 +171,51 @@ class CleanResult:
     df: DataFrame
     log: DataFrame
     plan: CleanPlan
+    frames: list = field(default_factory=list)
 
+    def release(self) -> None:
+        """Unpersist the frames kept for the cleaning passes."""
+        for f in self.frames:
+            f.unpersist()
 
-def fit_clean(df: DataFrame, order_by: list[str] | None = None, persist: bool = True) -> CleanPlan:
+
+def _stage_copy(df: DataFrame, small: bool) -> DataFrame:
+    """Keep the de-duplicated frame for the passes that follow: cached when the input is small,
+    else written to the shared checkpoint folder (cuts lineage, survives executor loss)."""
+    if small:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    from quarry.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def fit_clean(df: DataFrame, order_by: list[str] | None = None, persist: bool = True,
+              _frames: list | None = None) -> CleanPlan:
     """Make every cleaning decision with a handful of small aggregates (B1..B5)."""
-    spark = df.sparkSession
+    from quarry.session import spread_cached
     plan = CleanPlan()
-    src = S.nan_to_null(df)
-    n0 = src.count()
+    src, small = spread_cached(S.nan_to_null(df))
+    frames = _frames if _frames is not None else []
+    if small:
+        frames.append(src)
+    text_all = [c for c, t in _fields(src).items() if is_text(t)]
+
+    # B0 + B1: row count and whole-column date parse counts in one pass; first-10 sample test
+    row0 = src.agg(F.count(F.lit(1)).alias("__n"),
+                   *[F.count(parse_date(F.col(c))).alias(c) for c in text_all]).first()
+    n0 = row0["__n"]
     plan.initial_shape = (n0, len(df.columns))
     plan.log.append(LOG_INITIAL.format(plan.initial_shape))
-
-    # B1: date candidates, then whole-column parse share
-    cand = [r["column"] for r in detect_dates(src, order_by).collect() if r["candidate"]]
-    if cand:
-        plan.date_cols = [r["column"] for r in date_parse_counts(src, cand).collect() if r["converted"]]
-        plan.date_cols = [c for c in cand if c in plan.date_cols]
+    cand = [r["column"] for r in detect_dates(src, order_by).collect() if r["candidate"]] if text_all else []
+    plan.date_cols = [c for c in cand if row0[c] > 0 and row0[c] > n0 * DATE_PARSE_SHARE]
     if plan.date_cols:
         plan.log.append(LOG_DATES.format(plan.date_cols))
-    plan.string_cols = [c for c, t in _fields(src).items() if is_text(t) and c not in plan.date_cols]
+    plan.string_cols = [c for c in text_all if c not in plan.date_cols]
     plan.log.append(LOG_STRINGS.format(plan.string_cols))
     plan.log.append(LOG_STANDARD)
 
     # B2: pruning on the normalised frame
-    staged = plan.rows_stage(df)
+    staged = plan.rows_stage(src)
     plan.drop_cols = [r["column"] for r in prune_decisions(staged).collect() if r["dropped"]]
     if plan.drop_cols:
         plan.log.append(LOG_DROPPED.format(plan.drop_cols))
@@ -199,7 +224,8 @@ def fit_clean(df: DataFrame, order_by: list[str] | None = None, persist: bool =
     # B3: duplicates, missing values, fill values (on the de-duplicated frame)
     deduped = plan.dedup_stage(staged)
     if persist:
-        deduped = deduped.persist(StorageLevel.MEMORY_AND_DISK)
+        deduped = _stage_copy(deduped, small)
+        frames.append(deduped)
     types = _fields(deduped)
     row = deduped.agg(F.count(F.lit(1)).alias("__n"),
                       *[F.count_if(F.col(c).isNull()).alias(c) for c in deduped.columns]).first()
@@ -211,7 +237,7 @@ def fit_clean(df: DataFrame, order_by: list[str] | None = None, persist: bool =
     plan.missing_before = int(sum(gaps.values()))
     if plan.missing_before > 0:
         num = [c for c in gaps if is_number(types[c])]
-        med = S.quantile_map(deduped, num, [0.5])
+        med = S.quantile_map(deduped, num, [0.5], counts={c: n1 - gaps[c] for c in num})
         for c in num:
             if med.get((c, 0.5)) is not None:
                 plan.fills[c] = med[(c, 0.5)]
@@ -225,13 +251,12 @@ def fit_clean(df: DataFrame, order_by: list[str] | None = None, persist: bool =
                 plan.fills[c] = modes[c]
         plan.log.append(LOG_MISSING.format(plan.missing_before))
 
-    # B4: outlier fences on the filled numeric columns
+    # B4: outlier fences on the filled numeric columns (a constant column has IQR 0: skipped)
     filled = plan.fill_stage(deduped)
     num_cols = [c for c in filled.columns if is_number(types[c])]
     if num_cols:
-        varied = {r["column"] for r in column_presence(filled.select(num_cols)).collect() if r["varied"]}
-        num_cols = [c for c in num_cols if c in varied]
-        q = S.quantile_map(filled, num_cols, [0.25, 0.75])
+        filled_n = {c: n1 - (gaps.get(c, 0) if c not in plan.fills else 0) for c in num_cols}
+        q = S.quantile_map(filled, num_cols, [0.25, 0.75], counts=filled_n)
         for c in num_cols:
             q1, q3 = q.get((c, 0.25)), q.get((c, 0.75))
             if q1 is not None and q3 - q1 > 0:
@@ -257,13 +282,16 @@ def fit_clean(df: DataFrame, order_by: list[str] | None = None, persist: bool =
             plan.log.append(LOG_ENCODED.format(enc))
     plan.final_shape = (n1, len(deduped.columns))
     plan.log.append(LOG_FINAL.format(plan.final_shape))
+    plan.source = src
     return plan
 
 
 def deep_clean(df: DataFrame, order_by: list[str] | None = None) -> CleanResult:
-    """Whole cleaning procedure (CLN-11): decisions, cleaned frame and log."""
-    plan = fit_clean(df, order_by)
-    return CleanResult(plan.apply(df), plan.log_frame(df.sparkSession), plan)
+    """Whole cleaning procedure (CLN-11): decisions, cleaned frame and log. A small input stays
+    cached (spread over the cores) for the cleaned frame; ``release()`` frees it."""
+    frames: list = []
+    plan = fit_clean(df, order_by, _frames=frames)
+    return CleanResult(plan.apply(plan.source), plan.log_frame(df.sparkSession), plan, frames)
 
 
 def quality_comparison(before: DataFrame, after: DataFrame) -> DataFrame:
