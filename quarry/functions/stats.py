@@ -65,9 +65,10 @@ def modes(df: DataFrame, cols: list[str]) -> DataFrame:
     return top_values(value_frequencies(df, cols), 1).select("column", F.col("value").alias("mode"))
 
 
-# Below this many non-null values in total, one exact ``percentile`` aggregate is used (its
-# value->count map per column is then bounded by this size); above it, the bounded passes.
-SMALL_EXACT_VALUES = 1_000_000
+# Columns whose (HLL-estimated) distinct count is at most this use one exact ``percentile``
+# aggregate: its value->count map per column is bounded by the distinct count, not the rows.
+# Columns above it take the bounded sketch-and-bracket passes.
+MAX_EXACT_DISTINCT = 1_000_000
 
 
 def quantile_map(df: DataFrame, cols: list[str], probs: list[float], method: str = "exact",
@@ -75,7 +76,9 @@ def quantile_map(df: DataFrame, cols: list[str], probs: list[float], method: str
     """Exact linear-interpolation quantiles (pandas / ``quantile_cont``) as ``{(column, p): q}``
     (``len(cols) * len(probs)`` numbers, null for an all-null column).
 
-    Small inputs: one ``percentile`` aggregate. Large inputs: no task ever holds a column --
+    Columns with at most ``MAX_EXACT_DISTINCT`` distinct values (HLL estimate, or the known row
+    count): exact ``percentile`` aggregates whose value->count maps stay within that bound.
+    High-cardinality columns: no task ever holds a column --
       1. one sketch pass brackets every target rank between the sketch's answers at
          ``p -/+ 3/accuracy`` (plus exact counts, min and max);
       2. one pass counts the values below each bracket;
@@ -89,14 +92,42 @@ def quantile_map(df: DataFrame, cols: list[str], probs: list[float], method: str
     if method == "approx":
         row = df.agg(*[F.percentile_approx(x[c], probs, SKETCH_ACCURACY).alias(c) for c in cols]).first()
         return {(c, p): (row[c][i] if row[c] is not None else None) for c in cols for i, p in enumerate(probs)}
+    if counts is not None and all(c in counts for c in cols) and \
+            sum(counts[c] for c in cols) <= MAX_EXACT_DISTINCT:
+        distinct = {c: counts[c] for c in cols}  # known row counts already bound the distinct values
+    else:
+        st = df.agg(*[F.struct(F.count(x[c]).alias("n"), F.approx_count_distinct(x[c], 0.05).alias("d")).alias(c)
+                      for c in cols]).first()
+        counts = {c: st[c]["n"] for c in cols}
+        distinct = {c: int(st[c]["d"] * 1.2) for c in cols}  # margin for the estimate error
+    few = [c for c in cols if distinct[c] <= MAX_EXACT_DISTINCT]
+    # one exact aggregate per group of columns whose value maps together stay within the bound
+    groups, cur, size = [], [], 0
+    for c in few:
+        if cur and size + distinct[c] > MAX_EXACT_DISTINCT:
+            groups.append(cur)
+            cur, size = [], 0
+        cur.append(c)
+        size += distinct[c]
+    if cur:
+        groups.append(cur)
+    out = {}
+    for g in groups:
+        row = df.agg(*[F.percentile(x[c], probs).alias(c) for c in g]).first()
+        out.update({(c, p): (row[c][i] if row[c] is not None else None) for c in g for i, p in enumerate(probs)})
+    many = [c for c in cols if c not in few]
+    if not many:
+        return out
+    out.update(_bracket_quantiles(df, many, probs, counts))
+    return out
+
+
+def _bracket_quantiles(df: DataFrame, cols: list[str], probs: list[float], counts: dict) -> dict:
+    """Bounded passes for high-cardinality columns (see ``quantile_map``)."""
+    x = {c: F.col(c).cast("double") for c in cols}
     eps = 3.0 / SKETCH_ACCURACY
     lo_ps = [max(0.0, p - eps) for p in probs]
     hi_ps = [min(1.0, p + eps) for p in probs]
-    if counts is None or any(c not in counts for c in cols):  # non-null counts, unless known
-        counts = df.agg(*[F.count(x[c]).alias(c) for c in cols]).first().asDict()
-    if sum(counts[c] for c in cols) <= SMALL_EXACT_VALUES:
-        row = df.agg(*[F.percentile(x[c], probs).alias(c) for c in cols]).first()
-        return {(c, p): (row[c][i] if row[c] is not None else None) for c in cols for i, p in enumerate(probs)}
     # pass 1: sketch brackets
     sk = df.agg(*[F.struct(F.min(x[c]).alias("mn"), F.max(x[c]).alias("mx"),
                            F.percentile_approx(x[c], lo_ps + hi_ps, SKETCH_ACCURACY).alias("q")).alias(c)

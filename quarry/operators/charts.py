@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import stats as S
 from quarry.operators import profile as P
+from quarry.session import spread_cached
 from quarry.types import numeric_cols, text_cols
 
 ROUND = 6
@@ -48,7 +49,7 @@ def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = 20) -> D
     """Equal-width bin counts over [min, max] of the first 6 numeric columns (VIZ-3); empty bins
     are listed with count 0. ``(column, bin, lo, hi, count)``."""
     cols = cols if cols is not None else numeric_cols(df)[:HIST_COLS]
-    d = S.nan_to_null(df, cols)
+    d, cached = spread_cached(S.nan_to_null(df, cols).select(cols))
     spark = df.sparkSession
     rng = _ranges(d, cols)  # one small row: min/max per column
     parts = []
@@ -61,8 +62,11 @@ def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = 20) -> D
         parts.append(F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("column"), b.alias("bin"))))
     if not parts:
         return spark.createDataFrame([], "column string, bin int, lo double, hi double, count bigint")
-    counts = d.select(F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("x")) \
-        .groupBy("x.column", "x.bin").agg(F.count(F.lit(1)).alias("count"))
+    counted = d.select(F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("x")) \
+        .groupBy("x.column", "x.bin").agg(F.count(F.lit(1)).alias("count")).collect()  # <= bins per column
+    if cached:
+        d.unpersist()
+    counts = spark.createDataFrame([tuple(r) for r in counted], "column string, bin int, count bigint")
     edges = spark.createDataFrame(
         [(c, i, rng[c]["lo"] + i * ((rng[c]["hi"] - rng[c]["lo"]) / bins),
           rng[c]["lo"] + (i + 1) * ((rng[c]["hi"] - rng[c]["lo"]) / bins))
@@ -77,9 +81,9 @@ def box_stats(df: DataFrame, cols: list[str] | None = None, k: float = 1.5) -> D
     """Quartiles, fences, whiskers (extreme values inside the fences) and outlier counts for the
     first 5 numeric columns (VIZ-4)."""
     cols = cols if cols is not None else numeric_cols(df)[:BOX_COLS]
-    d = S.nan_to_null(df, cols)
+    d, cached = spread_cached(S.nan_to_null(df, cols).select(cols))
     q = S.quantile_map(d, cols, [0.25, 0.5, 0.75])
-    parts = []
+    parts, rows = [], []
     for c in cols:
         q1, med, q3 = q.get((c, 0.25)), q.get((c, 0.5)), q.get((c, 0.75))
         if q1 is None:
@@ -87,13 +91,17 @@ def box_stats(df: DataFrame, cols: list[str] | None = None, k: float = 1.5) -> D
         lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
         x = F.col(c).cast("double")
         inside = (x >= lo) & (x <= hi)
-        parts.append(F.struct(
-            F.lit(c).alias("column"), F.lit(q1).alias("q1"), F.lit(med).alias("median"), F.lit(q3).alias("q3"),
-            F.lit(lo).alias("lower_fence"), F.lit(hi).alias("upper_fence"),
-            F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"),
-            F.count_if(x.isNotNull() & ~inside).cast("bigint").alias("outliers"),
-            F.avg(x).alias("mean")))
-    out = d.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("x")).select("x.*")
+        parts.append(F.struct(F.min(F.when(inside, x)).alias("wl"), F.max(F.when(inside, x)).alias("wh"),
+                              F.count_if(x.isNotNull() & ~inside).cast("bigint").alias("o"), F.avg(x).alias("m")).alias(c))
+        rows.append((c, q1, med, q3, lo, hi))
+    agg = d.agg(*parts).first() if parts else None
+    if cached:
+        d.unpersist()
+    data = [(c, q1, med, q3, lo, hi, agg[c]["wl"], agg[c]["wh"], agg[c]["m"], agg[c]["o"])
+            for c, q1, med, q3, lo, hi in rows]
+    out = df.sparkSession.createDataFrame(
+        data, "column string, q1 double, median double, q3 double, lower_fence double, upper_fence double, "
+              "whisker_low double, whisker_high double, mean double, outliers bigint")
     return out.select("column", *[_r(F.col(c)).alias(c) for c in
                                   ("q1", "median", "q3", "lower_fence", "upper_fence", "whisker_low",
                                    "whisker_high", "mean")], "outliers")
@@ -152,11 +160,11 @@ def violin(df: DataFrame, cols: list[str] | None = None, grid: int = 64) -> Data
     Exact: every value contributes to every grid point, summed per partition in numpy, then one
     small shuffle of (column, point) partial sums."""
     cols = cols if cols is not None else numeric_cols(df)[:VIOLIN_COLS]
-    d = S.nan_to_null(df, cols)
+    d, cached = spread_cached(S.nan_to_null(df, cols).select(cols))
     base = d.agg(*[F.struct(F.count(c).alias("n"), F.stddev_samp(F.col(c).cast("double")).alias("std"),
                             F.min(F.col(c).cast("double")).alias("lo"),
                             F.max(F.col(c).cast("double")).alias("hi")).alias(c) for c in cols]).first()
-    q = S.quantile_map(d, cols, [0.25, 0.75])
+    q = S.quantile_map(d, cols, [0.25, 0.75], counts={c: base[c]["n"] for c in cols})
     specs, meta = [], []
     for c in cols:
         s = base[c]
@@ -174,7 +182,10 @@ def violin(df: DataFrame, cols: list[str] | None = None, grid: int = 64) -> Data
         return spark.createDataFrame([], "column string, point int, x double, density double")
     sel = d.select(*[F.col(c).cast("double").alias(c) for c, *_ in specs])
     parts = sel.mapInPandas(_kde_partials(specs, grid), "column string, point int, s double")
-    sums = parts.groupBy("column", "point").agg(F.sum("s").alias("s"))
+    sums_rows = parts.groupBy("column", "point").agg(F.sum("s").alias("s")).collect()  # grid rows per column
+    if cached:
+        d.unpersist()
+    sums = spark.createDataFrame([tuple(r) for r in sums_rows], "column string, point int, s double")
     m = spark.createDataFrame(meta, "column string, lo double, step double, norm double")
     out = sums.join(F.broadcast(m), "column")  # one row per column: a bounded broadcast
     return out.select("column", "point", _r(F.col("lo") + F.col("point") * F.col("step")).alias("x"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import stats as S
+from quarry.session import spread_cached
 from quarry.types import numeric_cols, simple_cols, text_cols, type_class
 
 ROUND = 6
@@ -73,12 +74,14 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """count, mean, sample std, min, quartiles (exact, linear) and max per numeric column (PRF-4).
     One moments aggregate plus the bounded quantile passes; the result has one row per column."""
     cols = cols if cols is not None else numeric_cols(df)
-    d = S.nan_to_null(df, cols)
+    d, cached = spread_cached(S.nan_to_null(df, cols).select(cols))
     row = d.agg(*[F.struct(F.count(c).alias("count"), F.avg(F.col(c).cast("double")).alias("mean"),
                            F.stddev_samp(F.col(c).cast("double")).alias("std"),
                            F.min(F.col(c).cast("double")).alias("min"),
                            F.max(F.col(c).cast("double")).alias("max")).alias(c) for c in cols]).first()
-    q = S.quantile_map(d, cols, [0.25, 0.5, 0.75])
+    q = S.quantile_map(d, cols, [0.25, 0.5, 0.75], counts={c: row[c]["count"] for c in cols})
+    if cached:
+        d.unpersist()
     data = [(c, row[c]["count"], row[c]["mean"], row[c]["std"], row[c]["min"], q[(c, 0.25)], q[(c, 0.5)],
              q[(c, 0.75)], row[c]["max"]) for c in cols]
     out = df.sparkSession.createDataFrame(
@@ -106,7 +109,10 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pearson matrix in long form ``(a, b, r)``: all ordered pairs, pairwise complete rows, null
     for a constant column (PRF-7, VIZ-2). Two passes of plain sums (``corr_pairs``), mirrored."""
     cols = cols if cols is not None else numeric_cols(df)
-    r = S.corr_pairs(S.nan_to_null(df, cols), cols)
+    d, cached = spread_cached(S.nan_to_null(df, cols).select(cols))
+    r = S.corr_pairs(d, cols)
+    if cached:
+        d.unpersist()
     data = [(a, b, r[(a, b)] if (a, b) in r else r[(b, a)]) for a in cols for b in cols]
     return df.sparkSession.createDataFrame(data, "a string, b string, r double").select("a", "b", _r(F.col("r")).alias("r"))
 

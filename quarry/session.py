@@ -62,16 +62,26 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
+# Below this many rows a shuffle to spread the rows costs more than the passes gain.
+SPREAD_MIN_ROWS = 200_000
+
+
 def spread_cached(df: DataFrame) -> tuple[DataFrame, bool]:
-    """For multi-pass statistics: a small input (fewer partitions than cores, so at most
-    cores x ``maxPartitionBytes`` of files) is spread over the cores and cached once, so each pass
-    reads memory in parallel. Large inputs are returned unchanged (never cached). Returns the
-    frame and whether it was cached (the caller unpersists)."""
+    """For multi-pass statistics over a small input (fewer partitions than cores, so at most
+    cores x ``maxPartitionBytes`` of files): cache it once; when it also has enough rows to gain
+    from parallel passes, spread it over the cores first. Large inputs are returned unchanged
+    (never cached). Returns the frame and whether it is cached (the caller unpersists)."""
+    from pyspark import StorageLevel
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.isStreaming or df.rdd.getNumPartitions() >= target:
         return df, False
-    from pyspark import StorageLevel
-    return df.repartition(target).persist(StorageLevel.MEMORY_AND_DISK), True
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if cached.count() < SPREAD_MIN_ROWS:
+        return cached, True
+    spread_df = cached.repartition(target).persist(StorageLevel.MEMORY_AND_DISK)
+    spread_df.count()
+    cached.unpersist()
+    return spread_df, True
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
