@@ -65,9 +65,9 @@ def modes(df: DataFrame, cols: list[str]) -> DataFrame:
     return top_values(value_frequencies(df, cols), 1).select("column", F.col("value").alias("mode"))
 
 
-# Columns whose (HLL-estimated) distinct count is at most this use one exact ``percentile``
-# aggregate: its value->count map per column is bounded by the distinct count, not the rows.
-# Columns above it take the bounded sketch-and-bracket passes.
+# Columns whose (HLL-estimated) distinct count is at most this are ranked exactly in one job (a
+# window partition per column holds at most this many distinct values); columns above it take the
+# bounded sketch-and-bracket passes.
 MAX_EXACT_DISTINCT = 1_000_000
 
 
@@ -77,7 +77,7 @@ def quantile_map(df: DataFrame, cols: list[str], probs: list[float], method: str
     (``len(cols) * len(probs)`` numbers, null for an all-null column).
 
     Columns with at most ``MAX_EXACT_DISTINCT`` distinct values (HLL estimate, or the known row
-    count): exact ``percentile`` aggregates whose value->count maps stay within that bound.
+    count): one job -- counts per (column, value), running sums over the sorted distinct values.
     High-cardinality columns: no task ever holds a column --
       1. one sketch pass brackets every target rank between the sketch's answers at
          ``p -/+ 3/accuracy`` (plus exact counts, min and max);
@@ -101,20 +101,9 @@ def quantile_map(df: DataFrame, cols: list[str], probs: list[float], method: str
         counts = {c: st[c]["n"] for c in cols}
         distinct = {c: int(st[c]["d"] * 1.2) for c in cols}  # margin for the estimate error
     few = [c for c in cols if distinct[c] <= MAX_EXACT_DISTINCT]
-    # one exact aggregate per group of columns whose value maps together stay within the bound
-    groups, cur, size = [], [], 0
-    for c in few:
-        if cur and size + distinct[c] > MAX_EXACT_DISTINCT:
-            groups.append(cur)
-            cur, size = [], 0
-        cur.append(c)
-        size += distinct[c]
-    if cur:
-        groups.append(cur)
     out = {}
-    for g in groups:
-        row = df.agg(*[F.percentile(x[c], probs).alias(c) for c in g]).first()
-        out.update({(c, p): (row[c][i] if row[c] is not None else None) for c in g for i, p in enumerate(probs)})
+    if few:
+        out.update(_ranked_quantiles(df, few, probs, counts))
     many = [c for c in cols if c not in few]
     if not many:
         return out
@@ -122,6 +111,55 @@ def quantile_map(df: DataFrame, cols: list[str], probs: list[float], method: str
     return out
 
 
+def _pick(rows: list, keys: list, hs: dict) -> dict:
+    """Linear interpolation between the order statistics at floor(h) and floor(h)+1."""
+    out = {}
+    for kk in keys:
+        h = hs[kk]
+        if h is None:
+            out[kk] = None
+            continue
+        f = int(h // 1)
+        mine = [r for r in rows if (r[0], r[1]) == kk]
+        a = next((r[2] for r in mine if r[3] <= f < r[4]), None)
+        b = next((r[2] for r in mine if r[3] <= f + 1 < r[4]), None)
+        frac = h - f
+        out[kk] = a if (b is None or frac == 0) else a + frac * (b - a)
+    return out
+
+
+def _ranked_quantiles(df: DataFrame, cols: list[str], probs: list[float], counts: dict) -> dict:
+    """Exact quantiles of columns with a bounded number of distinct values, in one job: counts per
+    (column, value) with map-side combining, then a running sum over each column's sorted
+    distinct values (one window partition per column, bounded by the distinct check)."""
+    freq = long_values(df, cols, "double").groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    w = Window.partitionBy("column").orderBy("value")
+    n_of = F.element_at(F.create_map(*[v for c in cols for v in (F.lit(c), F.lit(int(counts[c])))]), F.col("column"))
+    ranked = (freq.withColumn("end", F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+              .withColumn("n", n_of)
+              .withColumn("start", F.col("end") - F.col("cnt")))
+    conds = []
+    for p in probs:
+        h = F.lit(p) * (F.col("n") - 1)
+        f = F.floor(h)
+        conds.append(((F.col("start") <= f) & (f < F.col("end"))) | ((F.col("start") <= f + 1) & (f + 1 < F.col("end"))))
+    picked = ranked.filter(reduce_or(conds)).select("column", "value", "start", "end", "n").collect()
+    ns = {}
+    for r in picked:
+        ns[r["column"]] = r["n"]
+    rows = [(r["column"], p, r["value"], r["start"], r["end"]) for r in picked for p in probs]
+    keys = [(c, p) for c in cols for p in probs]
+    hs = {(c, p): (p * (ns[c] - 1) if c in ns else None) for c in cols for p in probs}
+    return _pick(rows, keys, hs)
+
+
+def reduce_or(conds: list[Column]) -> Column:
+    out = conds[0]
+    for c in conds[1:]:
+        out = out | c
+    return out
+
+
 def _bracket_quantiles(df: DataFrame, cols: list[str], probs: list[float], counts: dict) -> dict:
     """Bounded passes for high-cardinality columns (see ``quantile_map``)."""
     x = {c: F.col(c).cast("double") for c in cols}

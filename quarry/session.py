@@ -63,7 +63,7 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
 
 # Below this many rows a shuffle to spread the rows costs more than the passes gain.
-SPREAD_MIN_ROWS = 200_000
+SPREAD_MIN_ROWS = 100_000
 
 
 def spread_cached(df: DataFrame) -> tuple[DataFrame, bool]:
