@@ -194,25 +194,35 @@ def violin(df: DataFrame, cols: list[str] | None = None, grid: int = 64) -> Data
 
 def scatter_density(df: DataFrame, cols: list[str] | None = None, bins: int = 20) -> DataFrame:
     """Scatter matrix as exact 2-D bin counts for every pair of numeric columns (VIZ-6 over all
-    rows): ``(a, b, bin_a, bin_b, count)``. Pairwise complete rows only."""
+    rows): ``(a, b, bin_a, bin_b, count)``. Pairwise complete rows only. Each row emits one small
+    (pair id, bin, bin) triple per pair; map-side combining reduces them to at most
+    pairs x bins^2 groups per task before the shuffle."""
     cols = cols if cols is not None else numeric_cols(df)
-    d = S.nan_to_null(df, cols)
+    d, cached = spread_cached(S.nan_to_null(df, cols).select(cols))
     rng = _ranges(d, cols)
     cols = [c for c in cols if rng[c]["lo"] is not None]
+    spark = df.sparkSession
 
     def binned(c):
         lo, hi = rng[c]["lo"], rng[c]["hi"]
         width = (hi - lo) / bins if hi > lo else 1.0
         return F.least(F.lit(bins - 1), F.floor((F.col(c).cast("double") - F.lit(lo)) / F.lit(width))).cast("int")
 
-    pairs = [F.when(F.col(a).isNotNull() & F.col(b).isNotNull(),
-                    F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), binned(a).alias("bin_a"),
-                             binned(b).alias("bin_b")))
-             for i, a in enumerate(cols) for b in cols[i + 1:]]
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     if not pairs:
-        return df.sparkSession.createDataFrame([], "a string, b string, bin_a int, bin_b int, count bigint")
-    return d.select(F.explode(F.filter(F.array(*pairs), lambda x: x.isNotNull())).alias("x")) \
-        .groupBy("x.a", "x.b", "x.bin_a", "x.bin_b").agg(F.count(F.lit(1)).alias("count"))
+        if cached:
+            d.unpersist()
+        return spark.createDataFrame([], "a string, b string, bin_a int, bin_b int, count bigint")
+    bc = {c: binned(c) for c in cols}
+    triples = F.array(*[F.when(F.col(a).isNotNull() & F.col(b).isNotNull(),
+                               F.struct(F.lit(k).alias("p"), bc[a].alias("x"), bc[b].alias("y")))
+                        for k, (a, b) in enumerate(pairs)])
+    rows = d.select(F.explode(triples).alias("t")).filter(F.col("t").isNotNull()) \
+        .groupBy("t.p", "t.x", "t.y").agg(F.count(F.lit(1)).alias("count")).collect()  # <= pairs x bins^2
+    if cached:
+        d.unpersist()
+    return spark.createDataFrame([(pairs[r["p"]][0], pairs[r["p"]][1], r["x"], r["y"], r["count"]) for r in rows],
+                                 "a string, b string, bin_a int, bin_b int, count bigint")
 
 
 def scatter_sample(df: DataFrame, key: str, n: int = 1000, cols: list[str] | None = None) -> DataFrame:

@@ -179,6 +179,15 @@ def q_outlier_fences(spark, sf_dir):
     return round_doubles(d.agg(F.array(*rows).alias("a")).select(F.explode("a").alias("x")).select("x.*"))
 
 
+@query("outlier_counts", f"""WITH {DIRTY_ORDERS}, {STAGED}
+SELECT * FROM (VALUES {", ".join(
+    f"('{c}', (SELECT count(*) FROM filled, fences WHERE {c} < {c}_lo OR {c} > {c}_hi))"
+    for c in ("o_orderkey", "o_custkey", "price_gaps", "price_outliers"))}) t("column", outliers)""")
+def q_outlier_counts(spark, sf_dir):
+    """Values strictly outside the IQR fences per numeric column (the capped-outlier count)."""
+    return q_outlier_fences(spark, sf_dir).select("column", "outliers")
+
+
 CLEANED_ORDERS = f"""cleaned AS (SELECT
   round(greatest(least(CAST(o_orderkey AS DOUBLE), o_orderkey_hi), o_orderkey_lo), 6) AS o_orderkey,
   round(greatest(least(CAST(o_custkey AS DOUBLE), o_custkey_hi), o_custkey_lo), 6) AS o_custkey,

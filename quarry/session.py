@@ -75,12 +75,10 @@ def spread_cached(df: DataFrame) -> tuple[DataFrame, bool]:
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.isStreaming or df.rdd.getNumPartitions() >= target:
         return df, False
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if cached.count() < SPREAD_MIN_ROWS:
-        return cached, True
-    spread_df = cached.repartition(target).persist(StorageLevel.MEMORY_AND_DISK)
+    if df.count() < SPREAD_MIN_ROWS:  # a footer read for a plain parquet scan
+        return df.persist(StorageLevel.MEMORY_AND_DISK), True
+    spread_df = df.repartition(target).persist(StorageLevel.MEMORY_AND_DISK)
     spread_df.count()
-    cached.unpersist()
     return spread_df, True
 
 
