@@ -64,11 +64,15 @@ def detect_dates(df: DataFrame, order_by: list[str] | None = None, sample: int =
     if not cols:
         return df.sparkSession.createDataFrame([], schema)
     keys = order_by or []
-    long = df.select(*[F.col(k) for k in keys], *cols) \
-        .unpivot(keys, cols, "column", "value").filter(F.col("value").isNotNull())
     if keys:
-        w = Window.partitionBy("column").orderBy(*keys)
-        long = long.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= sample)  # top-k per column
+        # first ``sample`` non-null values per column: one bounded top-k per column (no full sort)
+        parts = [df.filter(F.col(c).isNotNull()).orderBy(*keys).limit(sample)
+                 .select(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols]
+        long = parts[0]
+        for p in parts[1:]:
+            long = long.unionByName(p)
+    else:
+        long = df.select(*cols).unpivot([], cols, "column", "value").filter(F.col("value").isNotNull())
     agg = long.groupBy("column").agg(F.count(F.lit(1)).alias("sample_size"),
                                      F.count(parse_date(F.col("value"))).alias("sample_parsed"))
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
@@ -214,8 +218,11 @@ def fit_clean(df: DataFrame, order_by: list[str] | None = None, persist: bool =
     plan.log.append(LOG_STRINGS.format(plan.string_cols))
     plan.log.append(LOG_STANDARD)
 
-    # B2: pruning on the normalised frame
+    # B2: pruning on the normalised frame (kept for the de-duplication pass when small)
     staged = plan.rows_stage(src)
+    if small:
+        staged = staged.persist(StorageLevel.MEMORY_AND_DISK)
+        frames.append(staged)
     plan.drop_cols = [r["column"] for r in prune_decisions(staged).collect() if r["dropped"]]
     if plan.drop_cols:
         plan.log.append(LOG_DROPPED.format(plan.drop_cols))

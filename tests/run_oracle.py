@@ -16,7 +16,12 @@ import __spark_entry__ as E  # noqa: E402
 def main():
     args = sys.argv[1:]
     sf_dir = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.01"
-    spark = build_session()
+    if os.environ.get("QUARRY_VANILLA"):  # a session with Spark defaults, as a driver might use
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = build_session()
     con = duck(sf_dir)
     qs, sqls = E.queries(), E.oracle_sql()
     keys = args or sorted(qs)
