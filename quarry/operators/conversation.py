@@ -84,12 +84,11 @@ def attach_file(store: DataFrame, uploads: DataFrame) -> DataFrame:
 
 
 def session_history(store: DataFrame, ids: DataFrame) -> DataFrame:
-    """Full history per requested id; an unknown id gets an empty history (CNV-5).
-    Returns ``(session_id, messages array<struct<pos,type,content>>)``."""
-    msgs = store.groupBy("session_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "type", "content"))).alias("messages"))
-    return ids.select("session_id").join(msgs, "session_id", "left") \
-        .withColumn("messages", F.coalesce("messages", F.array().cast(msgs.schema["messages"].dataType)))
+    """Full history per requested id as rows ``(session_id, pos, type, content)`` (CNV-5); an
+    unknown id yields one row with null message fields (an empty history). Rows, not one array
+    per session: a session of any size is never gathered into one value."""
+    return ids.select("session_id").distinct().join(store.select("session_id", "pos", "type", "content"),
+                                                    "session_id", "left")
 
 
 def session_titles(store: DataFrame, width: int | None = None) -> DataFrame:
@@ -150,11 +149,11 @@ def cache_merge(cache: DataFrame, computed: DataFrame) -> DataFrame:
 
 def first_payloads(store: DataFrame) -> DataFrame:
     """Each distinct attachment once per session, at its first position (CNV-13):
-    ``(session_id, pos, payload_md5)``."""
+    ``(session_id, pos, payload_md5)``. An aggregate (min position) rather than a window, so a
+    session with a third of all rows is combined map-side."""
     h = store.filter(F.col("file.base64").isNotNull()) \
         .withColumn("payload_md5", F.md5(F.unbase64(F.col("file.base64"))))
-    w = Window.partitionBy("session_id", "payload_md5").orderBy("pos")
-    return h.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1") \
+    return h.groupBy("session_id", "payload_md5").agg(F.min("pos").alias("pos")) \
         .select("session_id", "pos", "payload_md5")
 
 

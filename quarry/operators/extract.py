@@ -71,9 +71,11 @@ def extract_links(pages: DataFrame, within: str = "nav") -> DataFrame:
 
 
 def dedup_links(links: DataFrame, order: tuple[str, ...] = ("page_id", "pos")) -> DataFrame:
-    """First-seen link wins across listing pages (EXT-2)."""
-    w = Window.partitionBy("link").orderBy(*order)
-    return links.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """First-seen link wins across listing pages (EXT-2): ``min_by`` per link, an aggregate with
+    map-side combining (a link repeated on a third of all pages is never one task's group)."""
+    rest = [c for c in links.columns if c != "link"]
+    first = links.groupBy("link").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_f"))
+    return first.select(*[F.col(f"_f.{c}").alias(c) for c in rest], "link").select(*links.columns)
 
 
 def extract_paragraphs(pages: DataFrame, within: str = "article") -> DataFrame:

@@ -158,16 +158,11 @@ def q_first_payloads(spark, sf_dir):
 
 @query("session_history", f"""WITH {MSGS},
 ids AS (SELECT DISTINCT user_id AS session_id FROM events)
-SELECT ids.session_id, count(m.pos) AS n_messages,
-  coalesce(string_agg(m.type || ': ' || m.content, chr(10) ORDER BY m.pos), '') AS history
-FROM ids LEFT JOIN msgs m USING (session_id) GROUP BY ids.session_id""")
+SELECT ids.session_id, m.pos, m.type, m.content FROM ids LEFT JOIN msgs m USING (session_id)""")
 def q_session_history(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    ids = t.events.select(F.col("user_id").alias("session_id")).distinct()
-    h = cnv.session_history(messages(t), ids)
-    return h.select("session_id", F.size("messages").cast("bigint").alias("n_messages"),
-                    F.array_join(F.transform("messages", lambda m: F.concat(m["type"], F.lit(": "), m["content"])),
-                                 "\n").alias("history"))
+    ids = t.events.select(F.col("user_id").alias("session_id"))
+    return cnv.session_history(messages(t), ids)
 
 
 @query("session_key", """SELECT event_id,
