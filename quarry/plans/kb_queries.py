@@ -37,7 +37,7 @@ def mmr_hits(t: Tables) -> DataFrame:
     return R.mmr(cands, label_centroids(emb))
 
 
-CENT = """cent AS (SELECT label AS qid, list(v ORDER BY i) AS qv FROM (
+CENT = """cent AS (SELECT CAST(label AS BIGINT) AS qid, list(v ORDER BY i) AS qv FROM (
   SELECT label, i, avg(x) AS v FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i
   FROM embeddings) GROUP BY label, i) GROUP BY label),
 dist AS (SELECT c.qid, e.vec_id, pow(list_distance(c.qv, CAST(e.embedding AS DOUBLE[])), 2) AS d FROM cent c, embeddings e),

@@ -276,8 +276,9 @@ def q_quality_comparison(spark, sf_dir):
 
 
 @query("basic_insights", f"""WITH {DIRTY_ORDERS}, {STAGED}, {CLEANED_ORDERS}
-SELECT count(*) AS records, 7 AS features, 6 AS numeric_columns, 0 AS text_columns,
-  (SELECT count(*) FROM dirty) - count(*) AS rows_removed, 10 AS issues_addressed,
+SELECT count(*) AS records, CAST(7 AS BIGINT) AS features, CAST(6 AS BIGINT) AS numeric_columns,
+  CAST(0 AS BIGINT) AS text_columns, (SELECT count(*) FROM dirty) - count(*) AS rows_removed,
+  CAST(10 AS BIGINT) AS issues_addressed,
   'well-structured' AS quality FROM cleaned""")
 def q_basic_insights(spark, sf_dir):
     d = dirty_orders(Tables(spark, sf_dir))
@@ -288,8 +289,8 @@ def q_basic_insights(spark, sf_dir):
 # ------------------------------------------------------------------------------------------
 # Profiling
 
-@query("table_metrics", """SELECT count(*) AS rows, 11 AS columns, 8 AS numeric_columns, 2 AS text_columns
-FROM lineitem""")
+@query("table_metrics", """SELECT count(*) AS rows, CAST(11 AS BIGINT) AS columns, CAST(8 AS BIGINT) AS numeric_columns,
+  CAST(2 AS BIGINT) AS text_columns FROM lineitem""")
 def q_table_metrics(spark, sf_dir):
     return P.table_metrics(Tables(spark, sf_dir).lineitem)
 
@@ -378,8 +379,8 @@ def q_top_values(spark, sf_dir):
     return P.value_counts(Tables(spark, sf_dir).part, PART_TEXT, 5)
 
 
-@query("dtype_counts", """SELECT * FROM (VALUES ('bigint', 3), ('int', 1), ('double', 4), ('string', 2),
-  ('timestamp_ntz', 1)) t(data_type, columns) WHERE (SELECT count(*) FROM lineitem) >= 0""")
+@query("dtype_counts", """SELECT data_type, CAST(columns AS BIGINT) AS columns FROM (VALUES ('bigint', 3), ('int', 1),
+  ('double', 4), ('string', 2), ('timestamp_ntz', 1)) t(data_type, columns) WHERE (SELECT count(*) FROM lineitem) >= 0""")
 def q_dtype_counts(spark, sf_dir):
     return P.dtype_counts(Tables(spark, sf_dir).lineitem)
 
