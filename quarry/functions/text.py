@@ -33,6 +33,9 @@ WORDSEP = (
 )
 TAB_SIZE = 8
 # ---------------------------------------------------------------------------
+# Python's whitespace (what ``str.strip`` removes and ``\s`` keeps), derived by rule.
+WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+_WS_CLASS = "".join("\\x{%x}" % ord(ch) for ch in WHITESPACE)
 
 
 def _lit_array(values: list[str]) -> Column:
@@ -41,13 +44,13 @@ def _lit_array(values: list[str]) -> Column:
 
 def strip_ws(c: Column) -> Column:
     """Python ``str.strip()``: removes every kind of leading/trailing whitespace (Spark ``trim``
-    only removes spaces)."""
-    return F.regexp_replace(F.regexp_replace(c, r"^\s+", ""), r"\s+$", "")
+    only removes spaces); a character-set trim, no regular expression."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def normalise_text(c: Column) -> Column:
     """strip -> lower -> delete characters outside word/space; text ``nan`` becomes null."""
-    out = F.regexp_replace(F.lower(strip_ws(c)), r"[^\p{L}\p{N}_\s]", "")
+    out = F.regexp_replace(F.lower(strip_ws(c)), "[^\\p{L}\\p{N}_" + _WS_CLASS + "]", "")
     return F.when(out == "nan", F.lit(None).cast("string")).otherwise(out)
 
 

@@ -202,31 +202,42 @@ def fit_clean(df: DataFrame, order_by: list[str] | None = None, persist: bool =
     frames = _frames if _frames is not None else []
     if small:
         frames.append(src)
-    text_all = [c for c, t in _fields(src).items() if is_text(t)]
-
-    # B0 + B1: row count and whole-column date parse counts in one pass; first-10 sample test
-    row0 = src.agg(F.count(F.lit(1)).alias("__n"),
-                   *[F.count(parse_date(F.col(c))).alias(c) for c in text_all]).first()
+    fields = _fields(src)
+    text_all = [c for c, t in fields.items() if is_text(t)]
+
+    def presence(e: Column) -> Column:
+        return F.struct(F.count(e).alias("nn"), F.coalesce(F.min(e) < F.max(e), F.lit(False)).alias("varied"))
+
+    # B0 + B1 + B2 in one pass: row count, whole-column date parse counts, and the pruning
+    # statistics (non-null count, at least two values) of every column under both readings of a
+    # text column (parsed as dates / normalised text)
+    parts = [F.count(F.lit(1)).alias("__n")]
+    for c in src.columns:
+        if c in text_all:
+            parts += [presence(parse_date(F.col(c))).alias(f"d_{c}"),
+                      presence(standardise_values(normalise_text(F.col(c)))).alias(f"t_{c}")]
+        else:
+            parts.append(presence(F.col(c)).alias(f"r_{c}"))
+    row0 = src.agg(*parts).first()
     n0 = row0["__n"]
     plan.initial_shape = (n0, len(df.columns))
     plan.log.append(LOG_INITIAL.format(plan.initial_shape))
     cand = [r["column"] for r in detect_dates(src, order_by).collect() if r["candidate"]] if text_all else []
-    plan.date_cols = [c for c in cand if row0[c] > 0 and row0[c] > n0 * DATE_PARSE_SHARE]
+    plan.date_cols = [c for c in cand if row0[f"d_{c}"]["nn"] > 0 and row0[f"d_{c}"]["nn"] > n0 * DATE_PARSE_SHARE]
     if plan.date_cols:
         plan.log.append(LOG_DATES.format(plan.date_cols))
     plan.string_cols = [c for c in text_all if c not in plan.date_cols]
     plan.log.append(LOG_STRINGS.format(plan.string_cols))
     plan.log.append(LOG_STANDARD)
 
-    # B2: pruning on the normalised frame (kept for the de-duplication pass when small)
+    def stat(c):
+        return row0[f"d_{c}"] if c in plan.date_cols else row0[f"t_{c}"] if c in text_all else row0[f"r_{c}"]
+
+    plan.drop_cols = [c for c in src.columns
+                      if (n0 and (n0 - stat(c)["nn"]) / n0 > MAX_MISSING_SHARE) or not stat(c)["varied"]]
     staged = plan.rows_stage(src)
-    if small:
-        staged = staged.persist(StorageLevel.MEMORY_AND_DISK)
-        frames.append(staged)
-    plan.drop_cols = [r["column"] for r in prune_decisions(staged).collect() if r["dropped"]]
     if plan.drop_cols:
         plan.log.append(LOG_DROPPED.format(plan.drop_cols))
-        staged = staged.drop(*plan.drop_cols)
 
     # B3: duplicates, missing values, fill values (on the de-duplicated frame)
     deduped = plan.dedup_stage(staged)

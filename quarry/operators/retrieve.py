@@ -50,12 +50,14 @@ SLOTS = ("chat_history", "context", "input")
 MAX_QUERY_BLOCK_BYTES = 64 << 20
 
 
-def _local_topk(qids: np.ndarray, qmat: np.ndarray, k: int, vid: str, vec: str):
+def _local_topk(block, k: int, vid: str, vec: str):
     """Per-partition scorer: squared L2 of every corpus row to every query, keep per query the
-    k nearest (plus rows tied with the k-th, so the final order by (distance, id) is exact)."""
-    qn = (qmat * qmat).sum(axis=1)
+    k nearest (plus rows tied with the k-th, so the final order by (distance, id) is exact).
+    ``block`` is a broadcast of (query ids, query matrix): shipped once per executor."""
 
     def run(batches):
+        qids, qmat = block.value
+        qn = (qmat * qmat).sum(axis=1)
         best_d, best_v = None, None
         for pdf in batches:
             if len(pdf) == 0:
@@ -110,7 +112,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = FETCH_K, qid: str = "qid
             continue
         qids = np.array([r["qid"] for r in rows], dtype=np.int64)
         qmat = np.array([r["qv"] for r in rows], dtype=np.float64)
-        parts.append(src.mapInPandas(_local_topk(qids, qmat, k, vid, vec), out_schema))
+        block = queries.sparkSession.sparkContext.broadcast((qids, qmat))
+        parts.append(src.mapInPandas(_local_topk(block, k, vid, vec), out_schema))
     cands = parts[0]
     for p in parts[1:]:
         cands = cands.unionByName(p)
