@@ -220,14 +220,17 @@ def q_rag_prompts(spark, sf_dir):
     chunks = kb_chunks(t).withColumn("vec_id", F.xxhash64("doc_id", "chunk_id"))
     qs = t.benchmark.select(F.col("item_id").alias("vec_id"), F.lit("q").alias("kind"), F.col("text").alias("content"))
     both = chunks.select("vec_id", F.lit("c").alias("kind"), "content").unionByName(qs)
-    emb = K.tfidf_embed(both, "content", num_features=1 << 10)
+    from quarry.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    # vectors feed the scan, the candidates and the texts: cut the lineage once (shared folder)
+    emb = K.tfidf_embed(both, "content", num_features=1 << 10).checkpoint(eager=True)
     corpus = emb.filter(F.col("kind") == "c").select("vec_id", "embedding")
     queries = emb.filter(F.col("kind") == "q").select(F.col("vec_id").alias("qid"),
                                                       F.col("embedding").alias("qvec"))
     hits = R.knn(queries, corpus, k=R.FETCH_K)
     cands = hits.join(corpus.withColumnRenamed("vec_id", "vid"), "vid")
     picked = R.mmr(cands, queries)
-    texts = picked.join(chunks.select(F.col("vec_id").alias("vid"), "content"), "vid")
+    texts = picked.join(emb.filter(F.col("kind") == "c").select(F.col("vec_id").alias("vid"), "content"), "vid")
     ctx = R.stuff_context(texts)
     qtext = t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     return ctx.join(qtext, "qid").select("qid", R.fill_template(chat_history=F.lit(""), context=F.col("context"),
