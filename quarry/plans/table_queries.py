@@ -172,7 +172,7 @@ SELECT * FROM (VALUES {", ".join(
 def q_outlier_fences(spark, sf_dir):
     t = Tables(spark, sf_dir)
     plan = _orders_plan(spark, sf_dir)
-    d = plan.fill_stage(plan.dedup_stage(plan.rows_stage(dirty_orders(t))))
+    d = plan.fill_stage(plan.dedup_stage(plan.rows_stage(plan.source)))  # the frame the fit read
     rows = [F.struct(F.lit(c).alias("column"), F.lit(lo).alias("lower_fence"), F.lit(hi).alias("upper_fence"),
                      F.count_if((F.col(c) < lo) | (F.col(c) > hi)).cast("bigint").alias("outliers"))
             for c, (lo, hi) in plan.fences.items()]
@@ -203,7 +203,7 @@ FROM filled f, fences)"""
 SELECT o_orderkey, price_gaps, price_outliers FROM cleaned""")
 def q_cap_outliers(spark, sf_dir):
     plan = _orders_plan(spark, sf_dir)
-    d = plan.clip_stage(plan.fill_stage(plan.dedup_stage(plan.rows_stage(dirty_orders(Tables(spark, sf_dir))))))
+    d = plan.clip_stage(plan.fill_stage(plan.dedup_stage(plan.rows_stage(plan.source))))
     return round_doubles(d.select("o_orderkey", "price_gaps", "price_outliers"))
 
 
