@@ -38,10 +38,6 @@ WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 _WS_CLASS = "".join("\\x{%x}" % ord(ch) for ch in WHITESPACE)
 
 
-def _lit_array(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def strip_ws(c: Column) -> Column:
     """Python ``str.strip()``: removes every kind of leading/trailing whitespace (Spark ``trim``
     only removes spaces); a character-set trim, no regular expression."""

@@ -30,10 +30,6 @@ def _r(c: Column) -> Column:
     return F.round(c.cast("double"), ROUND)
 
 
-def _names(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(cols)], "position int, column string")
-
-
 def table_metrics(df: DataFrame) -> DataFrame:
     """Rows, columns, numeric and text column counts (PRF-1)."""
     return df.agg(F.count(F.lit(1)).alias("rows")).select(

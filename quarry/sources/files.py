@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.session import shared_dir
@@ -127,6 +127,3 @@ def union_sources(*dfs: DataFrame, dedup: bool = False) -> DataFrame:
     return out.dropDuplicates(["source", "title", "chunk_id", "content"]) if dedup else out
 
 
-def first_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")

@@ -30,7 +30,8 @@ def _limiter(key: str, name: str, event_id: str, limit: int, window_us: int):
         if state.exists:
             s = state.get
             kept, last = list(s[0] or []), s[1]
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["_us", event_id], kind="stable")
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["_us", event_id], kind="stable") \
+            .reset_index(drop=True)  # positional lists below must line up with the rows
         status, left = [], []
         for t, nm in zip(pdf["_us"].tolist(), pdf[name].tolist()):
             kept = [x for x in kept if x > t - window_us]
@@ -51,11 +52,16 @@ def _limiter(key: str, name: str, event_id: str, limit: int, window_us: int):
 
 
 def limiter_stream(events: DataFrame, key: str, ts: str, name: str, event_id: str,
-                   limit: int = UPLOAD_LIMIT, window_hours: float = 6.0) -> DataFrame:
+                   limit: int = UPLOAD_LIMIT, window_hours: float = 6.0,
+                   late_after: str | None = None) -> DataFrame:
     """Streaming upload limiter (STR-1): same rule as the batch limiter, state kept per key across
     micro-batches. Arrivals are processed in event-time order within a micro-batch; the state
-    never expires on its own because the repeat rule needs the last accepted name."""
+    (at most ``limit`` timestamps and one name per key) never expires on its own because the
+    repeat rule needs the last accepted name. ``late_after`` (e.g. ``"6 hours"``) sets a
+    watermark on ``ts``: rows later than that behind the newest event are dropped."""
     from quarry.operators.conversation import micros
+    if late_after:
+        events = events.withWatermark(ts, late_after)
     ev = events.select(key, event_id, name, micros(ts).alias("_us"))
     key_type = events.schema[key].dataType.simpleString()
     eid_type = events.schema[event_id].dataType.simpleString()
