@@ -29,10 +29,11 @@ def _na_to_null(df: DataFrame) -> DataFrame:
 
 
 def file_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, encoding)``: utf-8 when the bytes are valid UTF-8, else latin-1."""
+    """``(path, encoding)``: UTF-8 when the bytes are valid UTF-8, else latin-1 (Spark's charset
+    name ``ISO-8859-1``)."""
     b = spark.read.format("binaryFile").load(path)
-    return b.select("path", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.lit("utf-8"))
-                    .otherwise(F.lit("latin-1")).alias("encoding"))
+    return b.select("path", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.lit("UTF-8"))
+                    .otherwise(F.lit("ISO-8859-1")).alias("encoding"))
 
 
 def read_table(spark: SparkSession, path: str, encoding: str | None = None, schema=None) -> DataFrame:
@@ -41,7 +42,8 @@ def read_table(spark: SparkSession, path: str, encoding: str | None = None, sche
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     if encoding:
-        return _na_to_null(reader.option("encoding", encoding).csv(path))
+        names = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1", "latin1": "ISO-8859-1"}
+        return _na_to_null(reader.option("encoding", names.get(encoding.lower(), encoding)).csv(path))
     groups = {}
     for r in file_encodings(spark, path).collect():  # one row per file
         groups.setdefault(r["encoding"], []).append(r["path"])
