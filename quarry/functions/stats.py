@@ -65,9 +65,9 @@ def modes(df: DataFrame, cols: list[str]) -> DataFrame:
     return top_values(value_frequencies(df, cols), 1).select("column", F.col("value").alias("mode"))
 
 
-# Columns whose (HLL-estimated) distinct count is at most this are ranked exactly in one job (a
-# window partition per column holds at most this many distinct values); columns above it take the
-# bounded sketch-and-bracket passes.
+# Columns whose (HLL-estimated) distinct count is at most this are answered by exact aggregates
+# whose per-column value maps are bounded by it; columns above it take the bounded
+# sketch-and-bracket passes.
 MAX_EXACT_DISTINCT = 1_000_000
 
 
@@ -77,7 +77,8 @@ def quantile_map(df: DataFrame, cols: list[str], probs: list[float], method: str
     (``len(cols) * len(probs)`` numbers, null for an all-null column).
 
     Columns with at most ``MAX_EXACT_DISTINCT`` distinct values (HLL estimate, or the known row
-    count): one job -- counts per (column, value), running sums over the sorted distinct values.
+    count): exact ``percentile`` aggregates whose value->count maps together stay within that
+    bound (``_ranked_quantiles`` is the one-job alternative by window).
     High-cardinality columns: no task ever holds a column --
       1. one sketch pass brackets every target rank between the sketch's answers at
          ``p -/+ 3/accuracy`` (plus exact counts, min and max);
@@ -102,8 +103,20 @@ def quantile_map(df: DataFrame, cols: list[str], probs: list[float], method: str
         distinct = {c: int(st[c]["d"] * 1.2) for c in cols}  # margin for the estimate error
     few = [c for c in cols if distinct[c] <= MAX_EXACT_DISTINCT]
     out = {}
-    if few:
-        out.update(_ranked_quantiles(df, few, probs, counts))
+    # exact ``percentile`` aggregates, grouped so that the value->count maps of one aggregate hold
+    # at most MAX_EXACT_DISTINCT values together (one pass per group)
+    groups, cur, size = [], [], 0
+    for c in few:
+        if cur and size + distinct[c] > MAX_EXACT_DISTINCT:
+            groups.append(cur)
+            cur, size = [], 0
+        cur.append(c)
+        size += distinct[c]
+    if cur:
+        groups.append(cur)
+    for g in groups:
+        row = df.agg(*[F.percentile(x[c], probs).alias(c) for c in g]).first()
+        out.update({(c, p): (row[c][i] if row[c] is not None else None) for c in g for i, p in enumerate(probs)})
     many = [c for c in cols if c not in few]
     if not many:
         return out
