@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, token_codes
+from quarry.llm import chat_format, decontam, source_mix, token_codes, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -67,3 +67,50 @@ SELECT low.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM low LEFT JOIN spots USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+#: Weights of the sources, repeating in their order.
+SOURCE_WEIGHTS = (5, 2, 1)
+
+
+@query
+def op10_min_cost_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(table(spark, sf_dir, "documents"), lambda i: SOURCE_WEIGHTS[i % 3], share=1.5, max_repeats=2)
+
+
+@query
+def op2_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    return chat_format.digests(chat_format.format_paths(chat_format.conversations_as_trees(conv.unionByName(extra))))
+
+
+ORACLE["op2_reply_tree_chat"] = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('### ' || role || ':' || chr(10) || replace(replace(replace(text, '\', '\\'), '#', '\#'), '<', '\<')
+                       || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+#: Rules of the url query, by host and path.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+@query
+def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's labelled outcome is the label of the document that the page's url names (the number
+    after the language): good if of quality and not toxic."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = (table(spark, sf_dir, "labels").where("quality is not null and doc_id is not null")
+              .groupBy("doc_id").agg((F.min("quality") * (1 - F.coalesce(F.max("toxic"), F.lit(0)))).alias("good")))
+    named = F.regexp_extract(url_filter.path_of(F.col("url")), r"^/[a-z]+/([0-9]{1,18})(?:[^0-9]|$)", 1)
+    outcomes = (pages.select(url_filter.host_of(F.col("url")).alias("host"), F.when(named != "", named.cast("long")).alias("doc_id"))
+                .join(labels, "doc_id").select("host", "good"))
+    return url_filter.judge(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
