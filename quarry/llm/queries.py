@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat_format, decontam, source_mix, token_codes, url_filter
+from quarry.llm import ann_join, byte_cnn, chat_format, decontam, html_text, jaccard_join, line_dedup, source_mix, token_codes, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -114,3 +114,55 @@ def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = (pages.select(url_filter.host_of(F.col("url")).alias("host"), F.when(named != "", named.cast("long")).alias("doc_id"))
                 .join(labels, "doc_id").select("host", "good"))
     return url_filter.judge(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op5_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(table(spark, sf_dir, "documents"))
+
+
+def held_out(doc_id):
+    """Documents whose labels are never learnt."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
+#: A document of at least this score counts as of quality.
+QUALITY_SCORE = 0.3
+
+
+@query
+def op6_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = byte_cnn.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), held_out=held_out)
+    scored = byte_cnn.add_score(docs, model, "score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= QUALITY_SCORE).cast("int").alias("predicted"))
+
+
+@query
+def op7_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann_join.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, 10)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+ORACLE["op7_block_matrix_neighbours"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, min(list_distance(q.e, c.e)) AS score FROM v q JOIN v c
+      ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e) GROUP BY 1, 2)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10
+"""
+
+
+@query
+def op9_block_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions for each document: its lines, how many stay, which (numbers from 0)."""
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("kept").cast("long").alias("n_kept"), "kept")
