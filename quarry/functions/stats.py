@@ -12,10 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.types import is_float
-
-# Rank error of the sketch used to bracket exact quantiles (relative error 1/ACCURACY).
-SKETCH_ACCURACY = 100_000
+from quarry.session import stored
+from quarry.types import col_of, is_float
 
 
 def nan_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -23,19 +21,16 @@ def nan_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     fl = [f.name for f in df.schema.fields if is_float(f.dataType) and (cols is None or f.name in cols)]
     if not fl:
         return df
-    return df.withColumns({c: F.when(F.isnan(F.col(c)), F.lit(None)).otherwise(F.col(c)) for c in fl})
+    return df.withColumns({c: F.when(F.isnan(col_of(c)), F.lit(None)).otherwise(col_of(c)) for c in fl})
 
 
 def long_values(df: DataFrame, cols: list[str], value_type: str = "string",
                 keep_nulls: bool = False) -> DataFrame:
-    """Unpivot ``cols`` to ``(column, value)``; values cast to ``value_type``."""
+    """``cols`` as rows ``(column, value)``; values cast to ``value_type``."""
     if not cols:
-        schema = T.StructType([T.StructField("column", T.StringType()),
-                               T.StructField("value", T.StringType() if value_type == "string"
-                                             else T.DoubleType())])
-        return df.sparkSession.createDataFrame([], schema)
-    proj = df.select(*[F.col(c).cast(value_type).alias(c) for c in cols])
-    out = proj.unpivot([], cols, "column", "value")
+        return df.sparkSession.createDataFrame([], f"column string, value {value_type}")
+    out = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), col_of(c).cast(value_type).alias("value"))
+                                       for c in cols])))
     return out if keep_nulls else out.filter(F.col("value").isNotNull())
 
 
@@ -44,11 +39,11 @@ def value_frequencies(df: DataFrame, cols: list[str]) -> DataFrame:
     return long_values(df, cols, "string").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def top_values(freq: DataFrame, k: int | None) -> DataFrame:
-    """Rank values per column by count desc, value asc (deterministic ties); keep ``k``."""
+def top_values(freq: DataFrame, k: int) -> DataFrame:
+    """The ``k`` most frequent values per column with their ``rank``: count desc, value asc. Each
+    task cuts its own values to ``k`` before the shuffle (Spark's group limit), so no task sorts a column."""
     w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value").asc())
-    ranked = freq.withColumn("rank", F.row_number().over(w))
-    return ranked if k is None else ranked.filter(F.col("rank") <= k)
+    return freq.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -65,158 +60,50 @@ def modes(df: DataFrame, cols: list[str]) -> DataFrame:
     return top_values(value_frequencies(df, cols), 1).select("column", F.col("value").alias("mode"))
 
 
-# Columns whose (HLL-estimated) distinct count is at most this are answered by exact aggregates
-# whose per-column value maps are bounded by it; columns above it take the bounded
-# sketch-and-bracket passes.
-MAX_EXACT_DISTINCT = 1_000_000
-
+def quantile_map(df: DataFrame, cols: list[str], probs: list[float]) -> dict:
+    """Exact linear-interpolation quantiles (pandas / ``quantile_cont``) as ``{(column, p): q}``,
+    null for a column without values. One method for any size and cardinality:
 
-def quantile_map(df: DataFrame, cols: list[str], probs: list[float], method: str = "exact",
-                 counts: dict | None = None) -> dict:
-    """Exact linear-interpolation quantiles (pandas / ``quantile_cont``) as ``{(column, p): q}``
-    (``len(cols) * len(probs)`` numbers, null for an all-null column).
-
-    Columns with at most ``MAX_EXACT_DISTINCT`` distinct values (HLL estimate, or the known row
-    count): exact ``percentile`` aggregates whose value->count maps together stay within that
-    bound (``_ranked_quantiles`` is the one-job alternative by window).
-    High-cardinality columns: no task ever holds a column --
-      1. one sketch pass brackets every target rank between the sketch's answers at
-         ``p -/+ 3/accuracy`` (plus exact counts, min and max);
-      2. one pass counts the values below each bracket;
-      3. one pass ranks only the values inside the brackets (about ``6n/accuracy`` rows per
-         bracket, a window per (column, p)) and picks the two order statistics around the target.
-    ``method="approx"`` returns the sketch answers only."""
-    if not cols:
-        return {}
+    1. count equal values per (column, value), combined on the map side;
+    2. range-partition the distinct values by (column, value): no task holds more than its range;
+    3. total each range; the driver adds these totals up (one number per range and column in it)
+       and so knows in which range each wanted rank lies;
+    4. running sums within those ranges only, and the one or two order statistics of each target."""
     probs = [float(p) for p in probs]
-    x = {c: F.col(c).cast("double") for c in cols}
-    if method == "approx":
-        row = df.agg(*[F.percentile_approx(x[c], probs, SKETCH_ACCURACY).alias(c) for c in cols]).first()
-        return {(c, p): (row[c][i] if row[c] is not None else None) for c in cols for i, p in enumerate(probs)}
-    if counts is not None and all(c in counts for c in cols) and \
-            sum(counts[c] for c in cols) <= MAX_EXACT_DISTINCT:
-        distinct = {c: counts[c] for c in cols}  # known row counts already bound the distinct values
-    else:
-        st = df.agg(*[F.struct(F.count(x[c]).alias("n"), F.approx_count_distinct(x[c], 0.05).alias("d")).alias(c)
-                      for c in cols]).first()
-        counts = {c: st[c]["n"] for c in cols}
-        distinct = {c: int(st[c]["d"] * 1.2) for c in cols}  # margin for the estimate error
-    few = [c for c in cols if distinct[c] <= MAX_EXACT_DISTINCT]
-    out = {}
-    # exact ``percentile`` aggregates, grouped so that the value->count maps of one aggregate hold
-    # at most MAX_EXACT_DISTINCT values together (one pass per group)
-    groups, cur, size = [], [], 0
-    for c in few:
-        if cur and size + distinct[c] > MAX_EXACT_DISTINCT:
-            groups.append(cur)
-            cur, size = [], 0
-        cur.append(c)
-        size += distinct[c]
-    if cur:
-        groups.append(cur)
-    for g in groups:
-        row = df.agg(*[F.percentile(x[c], probs).alias(c) for c in g]).first()
-        out.update({(c, p): (row[c][i] if row[c] is not None else None) for c in g for i, p in enumerate(probs)})
-    many = [c for c in cols if c not in few]
-    if not many:
-        return out
-    out.update(_bracket_quantiles(df, many, probs, counts))
-    return out
-
-
-def _pick(rows: list, keys: list, hs: dict) -> dict:
-    """Linear interpolation between the order statistics at floor(h) and floor(h)+1."""
-    out = {}
-    for kk in keys:
-        h = hs[kk]
-        if h is None:
-            out[kk] = None
-            continue
-        f = int(h // 1)
-        mine = [r for r in rows if (r[0], r[1]) == kk]
-        a = next((r[2] for r in mine if r[3] <= f < r[4]), None)
-        b = next((r[2] for r in mine if r[3] <= f + 1 < r[4]), None)
-        frac = h - f
-        out[kk] = a if (b is None or frac == 0) else a + frac * (b - a)
-    return out
-
-
-def _ranked_quantiles(df: DataFrame, cols: list[str], probs: list[float], counts: dict) -> dict:
-    """Exact quantiles of columns with a bounded number of distinct values, in one job: counts per
-    (column, value) with map-side combining, then a running sum over each column's sorted
-    distinct values (one window partition per column, bounded by the distinct check)."""
-    freq = long_values(df, cols, "double").groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    w = Window.partitionBy("column").orderBy("value")
-    n_of = F.element_at(F.create_map(*[v for c in cols for v in (F.lit(c), F.lit(int(counts[c])))]), F.col("column"))
-    ranked = (freq.withColumn("end", F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-              .withColumn("n", n_of)
-              .withColumn("start", F.col("end") - F.col("cnt")))
-    conds = []
-    for p in probs:
-        h = F.lit(p) * (F.col("n") - 1)
-        f = F.floor(h)
-        conds.append(((F.col("start") <= f) & (f < F.col("end"))) | ((F.col("start") <= f + 1) & (f + 1 < F.col("end"))))
-    picked = ranked.filter(reduce_or(conds)).select("column", "value", "start", "end", "n").collect()
-    ns = {}
-    for r in picked:
-        ns[r["column"]] = r["n"]
-    rows = [(r["column"], p, r["value"], r["start"], r["end"]) for r in picked for p in probs]
-    keys = [(c, p) for c in cols for p in probs]
-    hs = {(c, p): (p * (ns[c] - 1) if c in ns else None) for c in cols for p in probs}
-    return _pick(rows, keys, hs)
-
-
-def reduce_or(conds: list[Column]) -> Column:
-    out = conds[0]
-    for c in conds[1:]:
-        out = out | c
-    return out
-
-
-def _bracket_quantiles(df: DataFrame, cols: list[str], probs: list[float], counts: dict) -> dict:
-    """Bounded passes for high-cardinality columns (see ``quantile_map``)."""
-    x = {c: F.col(c).cast("double") for c in cols}
-    eps = 3.0 / SKETCH_ACCURACY
-    lo_ps = [max(0.0, p - eps) for p in probs]
-    hi_ps = [min(1.0, p + eps) for p in probs]
-    # pass 1: sketch brackets
-    sk = df.agg(*[F.struct(F.min(x[c]).alias("mn"), F.max(x[c]).alias("mx"),
-                           F.percentile_approx(x[c], lo_ps + hi_ps, SKETCH_ACCURACY).alias("q")).alias(c)
-                  for c in cols]).first()
-    br = {}
-    for c in cols:
-        n = counts[c]
-        if not n:
-            continue
-        for i, p in enumerate(probs):
-            lo = sk[c]["mn"] if p - eps <= 0 else sk[c]["q"][i]
-            hi = sk[c]["mx"] if p + eps >= 1 else sk[c]["q"][len(probs) + i]
-            br[(c, p)] = (lo, hi, p * (n - 1))
-    keys = list(br)
-    # pass 2: values strictly below each bracket
-    below_row = df.agg(*[F.count_if(x[c] < F.lit(br[(c, p)][0])).alias(f"b{j}") for j, (c, p) in enumerate(keys)]).first()
-    # pass 3: rank the bracket values
-    tagged = F.array(*[F.when((x[c] >= F.lit(br[(c, p)][0])) & (x[c] <= F.lit(br[(c, p)][1])),
-                              F.struct(F.lit(j).alias("k"), x[c].alias("value"))) for j, (c, p) in enumerate(keys)])
-    inside = df.select(F.explode(F.filter(tagged, lambda t: t.isNotNull())).alias("t")) \
-        .groupBy("t.k", "t.value").agg(F.count(F.lit(1)).alias("cnt"))
-    offs = F.element_at(F.array(*[F.lit(int(below_row[f"b{j}"])) for j in range(len(keys))]), F.col("k") + 1)
-    hs = F.element_at(F.array(*[F.lit(float(br[kk][2])) for kk in keys]), F.col("k") + 1)
-    w = Window.partitionBy("k").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("end", offs + F.sum("cnt").over(w)).withColumn("start", F.col("end") - F.col("cnt"))
-    fl = F.floor(hs)
-    picked = ranked.filter(((F.col("start") <= fl) & (fl < F.col("end"))) |
-                           ((F.col("start") <= fl + 1) & (fl + 1 < F.col("end")))) \
-        .select("k", "value", "start", "end").collect()  # at most two rows per (column, p)
     out = {(c, p): None for c in cols for p in probs}
-    for j, kk in enumerate(keys):
-        h = br[kk][2]
+    if not cols:
+        return out
+    spark = df.sparkSession
+    freq = stored(long_values(df, cols, "double").groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt")), "freq")
+    ranged = stored(freq.repartitionByRange("column", "value").withColumn("part", F.spark_partition_id()), "ranges")
+    ranges: dict[str, list] = {}
+    for r in ranged.groupBy("part", "column").agg(F.sum("cnt").alias("n")).orderBy("part").collect():
+        ranges.setdefault(r["column"], []).append((r["part"], r["n"]))
+    wanted, target = [], {}
+    for c, parts in ranges.items():
+        n = sum(k for _, k in parts)
+        for p in probs:
+            h = p * (n - 1)
+            target[(c, p)] = h
+            for rank in {int(h // 1), min(int(h // 1) + 1, n - 1)}:
+                before = 0
+                for part, k in parts:
+                    if rank < before + k:
+                        wanted.append((part, c, rank, rank - before))
+                        break
+                    before += k
+    if not wanted:
+        return out
+    want = spark.createDataFrame(sorted(set(wanted)), "part int, column string, rank bigint, local bigint")
+    w = Window.partitionBy("part", "column").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    inside = ranged.join(F.broadcast(want.select("part", "column").distinct()), ["part", "column"])  # at most 2 per target
+    inside = inside.withColumn("end", F.sum("cnt").over(w)).withColumn("start", F.col("end") - F.col("cnt"))
+    hits = inside.join(F.broadcast(want), ["part", "column"]).filter("start <= local and local < end")
+    at = {(r["column"], r["rank"]): r["value"] for r in hits.select("column", "rank", "value").collect()}
+    for (c, p), h in target.items():
         f = int(h // 1)
-        rows = [r for r in picked if r["k"] == j]
-        a = next((r["value"] for r in rows if r["start"] <= f < r["end"]), None)
-        b2 = next((r["value"] for r in rows if r["start"] <= f + 1 < r["end"]), None)
-        frac = h - f
-        out[kk] = a if (b2 is None or frac == 0) else a + frac * (b2 - a)
+        a, b = at[(c, f)], at.get((c, f + 1))
+        out[(c, p)] = a if b is None or h == f else a + (h - f) * (b - a)
     return out
 
 
@@ -228,11 +115,14 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataF
 
 
 def moments(df: DataFrame, cols: list[str]) -> dict:
-    """Per column: count, mean, min, max (one aggregate, collected: four numbers per column)."""
-    row = df.agg(*[F.struct(F.count(c).alias("n"), F.avg(F.col(c).cast("double")).alias("mean"),
-                            F.min(F.col(c).cast("double")).alias("mn"),
-                            F.max(F.col(c).cast("double")).alias("mx")).alias(c) for c in cols]).first()
-    return {c: row[c].asDict() for c in cols}
+    """Per column: count, mean, sample deviation, min, max, and the table's rows, from one aggregate."""
+    if not cols:
+        return {}
+    x = {c: col_of(c).cast("double") for c in cols}
+    row = df.agg(*[F.struct(F.count(x[c]).alias("n"), F.avg(x[c]).alias("mean"), F.stddev_samp(x[c]).alias("std"),
+                            F.min(x[c]).alias("mn"), F.max(x[c]).alias("mx")).alias(f"c{i}") for i, c in enumerate(cols)],
+                 F.count(F.lit(1)).alias("rows")).first()
+    return {c: {**row[f"c{i}"].asDict(), "rows": row["rows"]} for i, c in enumerate(cols)}
 
 
 def corr_pairs(df: DataFrame, cols: list[str]) -> dict:
@@ -244,9 +134,9 @@ def corr_pairs(df: DataFrame, cols: list[str]) -> dict:
     if not cols:
         return {}
     m = moments(df, cols)
-    nrows = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    nrows = m[cols[0]]["rows"]
     nullable = {c for c in cols if m[c]["n"] < nrows}
-    d = {c: F.col(c).cast("double") - F.lit(m[c]["mean"] if m[c]["mean"] is not None else 0.0) for c in cols}
+    d = {c: col_of(c).cast("double") - F.lit(m[c]["mean"] if m[c]["mean"] is not None else 0.0) for c in cols}
     exprs, plan = [], {}
     for i, a in enumerate(cols):
         for b in cols[i:]:
@@ -255,7 +145,7 @@ def corr_pairs(df: DataFrame, cols: list[str]) -> dict:
                 exprs.append(F.sum(d[a] * d[b]).alias(key))
                 plan[(a, b)] = ("full", key)
             else:
-                both = F.col(a).isNotNull() & F.col(b).isNotNull()
+                both = col_of(a).isNotNull() & col_of(b).isNotNull()
                 da, db = F.when(both, d[a]), F.when(both, d[b])
                 exprs.append(F.struct(F.count_if(both).alias("n"), F.sum(da).alias("sa"), F.sum(db).alias("sb"),
                                       F.sum(da * da).alias("saa"), F.sum(db * db).alias("sbb"),
@@ -302,14 +192,3 @@ def sample_kurtosis(c: Column, n: Column, vmin: Column, vmax: Column) -> Column:
     g2 = F.kurtosis(c)
     adj = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
     return F.when(n < 4, F.lit(None).cast("double")).when(vmin == vmax, F.lit(0.0)).otherwise(adj)
-
-
-def pair_corr(a: Column, b: Column) -> Column:
-    """Pearson correlation over rows where both are present; null when either side is constant
-    (never a division by zero under ANSI)."""
-    both = a.isNotNull() & b.isNotNull()
-    x = F.when(both, a.cast("double"))
-    y = F.when(both, b.cast("double"))
-    # gate on min < max: merged partial moments of a constant column can leave rounding residue
-    varied = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return F.when(varied, F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y)))

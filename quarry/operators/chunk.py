@@ -16,29 +16,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import wrap_chunks
-from quarry.session import spread
 
 CHUNK_WIDTH = 500  # fixed value: characters per chunk
 
 CHUNK_SCHEMA = "title string, chunk_id int, content string, source string"
 
 
-def chunk_text(c: Column, width: int = CHUNK_WIDTH, engine: str = "arrow") -> Column:
+def chunk_text(c: Column, width: int = CHUNK_WIDTH) -> Column:
     """``array<string>`` of lines of at most ``width`` characters (CHK-1, CHK-3)."""
-    return wrap_chunks(c, width, engine)
+    return wrap_chunks(c, width)
 
 
 def chunk_documents(df: DataFrame, text: str = "text", title: str | Column = "title",
                     source: str | Column = "source", width: int = CHUNK_WIDTH,
-                    keep: list[str] | None = None, engine: str = "arrow") -> DataFrame:
+                    keep: list[str] | None = None) -> DataFrame:
     """One row per chunk with a 1-based ``chunk_id`` (CHK-2); ``keep`` columns ride along."""
-    if not df.isStreaming:
-        df = spread(df)
     t = F.col(title) if isinstance(title, str) else title
     s = F.col(source) if isinstance(source, str) else source
     extra = [F.col(k) for k in (keep or [])]
     return (df.select(*extra, t.cast("string").alias("title"), s.cast("string").alias("source"),
-                      F.posexplode(chunk_text(F.col(text), width, engine)).alias("_pos", "content"))
+                      F.posexplode(chunk_text(F.col(text), width)).alias("_pos", "content"))
             .select(*[F.col(k) for k in (keep or [])], "title", (F.col("_pos") + 1).cast("int").alias("chunk_id"),
                     "content", "source"))
 
@@ -76,7 +73,7 @@ def tfidf_embed(df: DataFrame, text: str = "content", num_features: int = 1 << 1
                 out: str = "embedding") -> DataFrame:
     """Offline default model: lower-cased word tokens -> hashed term frequencies -> IDF weights,
     as a dense ``array<float>`` of ``num_features`` (fit on ``df`` itself)."""
-    tok = RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"\W+", toLowercase=True)
+    tok = RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"(?U)\W+", toLowercase=True)  # words of any script
     tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)
     tfd = tf.transform(tok.transform(df))
     model = IDF(inputCol="_tf", outputCol="_tfidf").fit(tfd)

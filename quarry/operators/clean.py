@@ -3,7 +3,7 @@
 ``fit_clean(df)`` makes every data-dependent decision (date columns, dropped columns, fill values,
 outlier fences, label codes) from a few small aggregates and returns a ``CleanPlan``;
 ``plan.apply(df)`` is then one lazy plan: row-wise projections, one de-duplication shuffle,
-row-wise projections. The same plan can be applied to new batches or streams.
+row-wise projections. The same plan can be applied to new batches (see ``CleanPlan.apply``).
 
 Steps, in order: date detection and parsing, text normalisation, yes/no standardisation, column
 pruning, duplicate removal, imputation (median / mode), IQR outlier capping, label encoding.
@@ -13,13 +13,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions import stats as S
 from quarry.functions.text import normalise_text, standardise_values
-from quarry.types import is_datetime, is_number, is_text
+from quarry.session import stored
+from quarry.types import col_of, is_datetime, is_number, is_text
 
 # Fixed values (thresholds and log texts of the cleaning procedure).
 DATE_SAMPLE = 10
@@ -52,27 +53,35 @@ def _fields(df: DataFrame):
     return {f.name: f.dataType for f in df.schema.fields}
 
 
+def _is_complex(t: T.DataType) -> bool:
+    return isinstance(t, (T.ArrayType, T.MapType, T.StructType))
+
+
+def _has_map(t: T.DataType) -> bool:
+    return (isinstance(t, T.MapType) or isinstance(t, T.ArrayType) and _has_map(t.elementType)
+            or isinstance(t, T.StructType) and any(_has_map(f.dataType) for f in t.fields))
+
+
 # ---------------------------------------------------------------------------------------------
 # Step functions (each returns a small DataFrame of decisions or the transformed frame)
 
-def detect_dates(df: DataFrame, order_by: list[str] | None = None, sample: int = DATE_SAMPLE) -> DataFrame:
-    """Date candidates (CLN-1): of the first ``sample`` non-null values of each text column (in
-    ``order_by`` order), more than 70% parse as dates. Without ``order_by`` the share is taken
-    over the whole column. ``(column, sample_size, sample_parsed, candidate)``."""
+def detect_dates(df: DataFrame, sample_by: list[str] | None = None, sample: int = DATE_SAMPLE) -> DataFrame:
+    """Date candidates (CLN-1): text columns of whose non-null values more than 70% parse as dates,
+    ``(column, sample_size, sample_parsed, candidate)``. The share is taken over the whole column.
+    ``sample_by`` is the parity rule instead: only the first ``sample`` values in that order count
+    (one scan for all columns; each task keeps its own first values)."""
     cols = [c for c, t in _fields(df).items() if is_text(t)]
-    schema = "column string, sample_size bigint, sample_parsed bigint, candidate boolean"
     if not cols:
-        return df.sparkSession.createDataFrame([], schema)
-    keys = order_by or []
-    if keys:
-        # first ``sample`` non-null values per column: one bounded top-k per column (no full sort)
-        parts = [df.filter(F.col(c).isNotNull()).orderBy(*keys).limit(sample)
-                 .select(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols]
-        long = parts[0]
-        for p in parts[1:]:
-            long = long.unionByName(p)
+        return df.sparkSession.createDataFrame([], "column string, sample_size bigint, sample_parsed bigint, candidate boolean")
+    if sample_by:
+        keys = [f"o{i}" for i in range(len(sample_by))]
+        long = df.select(*[col_of(k).alias(o) for k, o in zip(sample_by, keys)], F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), col_of(c).alias("value")) for c in cols])).alias("x")) \
+            .select(*keys, "x.column", "x.value").filter(F.col("value").isNotNull())
+        w = Window.partitionBy("column").orderBy(*keys)
+        long = long.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= sample)
     else:
-        long = df.select(*cols).unpivot([], cols, "column", "value").filter(F.col("value").isNotNull())
+        long = S.long_values(df, cols)
     agg = long.groupBy("column").agg(F.count(F.lit(1)).alias("sample_size"),
                                      F.count(parse_date(F.col("value"))).alias("sample_parsed"))
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
@@ -87,9 +96,9 @@ def date_parse_counts(df: DataFrame, candidates: list[str]) -> DataFrame:
     """Whole-column parse counts of the candidates (CLN-2): ``(column, parsed, total, converted)``."""
     if not candidates:
         return df.sparkSession.createDataFrame([], "column string, parsed bigint, total bigint, converted boolean")
-    row = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(parse_date(F.col(c))).alias(c) for c in candidates])
-    out = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("parsed"),
-                                                  F.col("__n").alias("total")) for c in candidates])).alias("x")) \
+    row = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(parse_date(col_of(c))).alias(f"c{i}") for i, c in enumerate(candidates)])
+    out = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("parsed"),
+                                                  F.col("__n").alias("total")) for i, c in enumerate(candidates)])).alias("x")) \
         .select("x.*")
     return out.withColumn("converted", (F.col("parsed") > 0) & (F.col("parsed") > F.col("total") * DATE_PARSE_SHARE))
 
@@ -97,14 +106,16 @@ def date_parse_counts(df: DataFrame, candidates: list[str]) -> DataFrame:
 def column_presence(df: DataFrame) -> DataFrame:
     """Null share and whether a column holds at least two distinct values (min < max), from one
     aggregate (no distinct-value shuffle): ``(column, null_share, varied)``."""
-    cols = df.columns
-    row = df.agg(F.count(F.lit(1)).alias("__n"),
-                 *[F.struct(F.count(c).alias("nn"), (F.min(c) < F.max(c)).alias("varied")).alias(c) for c in cols])
+    fields = _fields(df)
+    row = df.agg(F.count(F.lit(1)).alias("__n"), *[_presence(col_of(c), t).alias(f"c{i}") for i, (c, t) in enumerate(fields.items())])
     return row.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"),
-                 F.try_divide(F.col("__n") - F.col(f"`{c}`.nn"), F.col("__n")).alias("null_share"),
-                 F.coalesce(F.col(f"`{c}`.varied"), F.lit(False)).alias("varied")) for c in cols])).alias("x")) \
-        .select("x.*")
+        F.struct(F.lit(c).alias("column"), F.try_divide(F.col("__n") - F.col(f"c{i}.nn"), F.col("__n")).alias("null_share"),
+                 F.col(f"c{i}.varied").alias("varied")) for i, c in enumerate(fields)])).alias("x")).select("x.*")
+
+
+def _presence(e: Column, t: T.DataType) -> Column:
+    """Non-null count, and whether there are two values at least (complex columns pass through)."""
+    return F.struct(F.count(e).alias("nn"), (F.lit(True) if _is_complex(t) else F.coalesce(F.min(e) < F.max(e), F.lit(False))).alias("varied"))
 
 
 def prune_decisions(df: DataFrame) -> DataFrame:
@@ -117,7 +128,7 @@ def prune_decisions(df: DataFrame) -> DataFrame:
 class CleanPlan:
     initial_shape: tuple[int, int] = (0, 0)
     date_cols: list[str] = field(default_factory=list)
-    string_cols: list[str] = field(default_factory=list)
+    string_cols: list[str] = field(default_factory=list)  # booleans with gaps included: read as text
     drop_cols: list[str] = field(default_factory=list)
     duplicates: int = 0
     missing_before: int = 0
@@ -127,45 +138,65 @@ class CleanPlan:
     labels: dict = field(default_factory=dict)
     final_shape: tuple[int, int] = (0, 0)
     log: list[str] = field(default_factory=list)
-    source: DataFrame | None = None
+    rows: DataFrame | None = None  # the fitted table after the row stage and de-duplication, stored
 
     # -- row-wise stages -------------------------------------------------------------------
     def rows_stage(self, df: DataFrame) -> DataFrame:
         """Dates, text normalisation, standardisation, column pruning (before de-duplication)."""
         df = S.nan_to_null(df)
-        exprs = {c: parse_date(F.col(c)) for c in self.date_cols}
-        exprs.update({c: standardise_values(normalise_text(F.col(c))) for c in self.string_cols})
-        return df.withColumns(exprs).drop(*self.drop_cols)
+        exprs = {c: parse_date(col_of(c)) for c in self.date_cols}
+        exprs.update({c: standardise_values(normalise_text(col_of(c).cast("string"))) for c in self.string_cols})
+        keep = [c for c in df.columns if c not in self.drop_cols]
+        return df.select(*[exprs[c].alias(c) if c in exprs else col_of(c) for c in keep])
 
     def dedup_stage(self, df: DataFrame) -> DataFrame:
-        return df.dropDuplicates()
+        """Equal rows once. Maps cannot be compared, so their JSON text stands for them."""
+        maps = [c for c, t in _fields(df).items() if _has_map(t)]
+        if not maps:
+            return df.dropDuplicates()
+        keyed = df.withColumns({f"__map{i}": F.to_json(F.struct(col_of(c))) for i, c in enumerate(maps)})
+        return keyed.dropDuplicates([c for c in keyed.columns if c not in maps]).select(*[col_of(c) for c in df.columns])
 
     def fill_stage(self, df: DataFrame) -> DataFrame:
         types = _fields(df)
         exprs = {}
         for c, v in self.fills.items():
             if is_number(types[c]):  # a numeric column with gaps is a float column (median fill)
-                exprs[c] = F.coalesce(F.col(c).cast("double"), F.lit(float(v)))
+                exprs[c] = F.coalesce(col_of(c).cast("double"), F.lit(float(v)))
             else:
-                exprs[c] = F.coalesce(F.col(c), F.lit(v).cast(types[c]))
+                exprs[c] = F.coalesce(col_of(c), F.lit(v).cast(types[c]))
         return df.withColumns(exprs) if exprs else df
 
     def clip_stage(self, df: DataFrame) -> DataFrame:
-        exprs = {c: F.greatest(F.least(F.col(c).cast("double"), F.lit(hi)), F.lit(lo))
+        exprs = {c: F.greatest(F.least(col_of(c).cast("double"), F.lit(hi)), F.lit(lo))
                  for c, (lo, hi) in self.fences.items()}
         return df.withColumns(exprs) if exprs else df
 
     def encode_stage(self, df: DataFrame) -> DataFrame:
+        """Labels to codes; a label that the fit did not see gets the code after the last one."""
         exprs = {}
         for c, labels in self.labels.items():
             m = F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(lab), F.lit(i))])
-            exprs[c] = F.try_element_at(m, F.col(c)).cast("int")
+            exprs[c] = F.when(col_of(c).isNotNull(), F.coalesce(F.try_element_at(m, col_of(c)), F.lit(len(labels)))).cast("int")
         return df.withColumns(exprs) if exprs else df
 
-    def apply(self, df: DataFrame) -> DataFrame:
-        d = self.dedup_stage(self.rows_stage(df))
+    def finish(self, d: DataFrame) -> DataFrame:
         return self.encode_stage(self.clip_stage(self.fill_stage(d)))
 
+    def apply(self, df: DataFrame) -> DataFrame:
+        """The plan on a table or a new batch of the same columns (batch only: on a stream the
+        de-duplication would keep state for ever). Gaps are filled in columns that had gaps at the
+        fit; ``unseen_labels`` counts what the codes do not know."""
+        return self.finish(self.dedup_stage(self.rows_stage(df)))
+
+    def unseen_labels(self, df: DataFrame) -> DataFrame:
+        """``(column, label, count)`` of labels in ``df`` that the fit did not see."""
+        cols = list(self.labels)
+        freq = S.value_frequencies(self.fill_stage(self.dedup_stage(self.rows_stage(df))), cols)
+        known = [(c, lab) for c in cols for lab in self.labels[c]]
+        k = df.sparkSession.createDataFrame(known, "column string, value string")
+        return freq.join(F.broadcast(k), ["column", "value"], "left_anti").select("column", F.col("value").alias("label"), F.col("n").alias("count"))
+
     def log_frame(self, spark) -> DataFrame:
         return spark.createDataFrame([(i + 1, m) for i, m in enumerate(self.log)], "step int, message string")
 
@@ -175,78 +206,67 @@ class CleanResult:
     df: DataFrame
     log: DataFrame
     plan: CleanPlan
-    frames: list = field(default_factory=list)
 
-    def release(self) -> None:
-        """Unpersist the frames kept for the cleaning passes."""
-        for f in self.frames:
-            f.unpersist()
 
-
-def _stage_copy(df: DataFrame, small: bool) -> DataFrame:
-    """Keep the de-duplicated frame for the passes that follow: cached when the input is small,
-    else written to the shared checkpoint folder (cuts lineage, survives executor loss)."""
-    if small:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    from quarry.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def fit_clean(df: DataFrame, order_by: list[str] | None = None, persist: bool = True,
-              _frames: list | None = None) -> CleanPlan:
-    """Make every cleaning decision with a handful of small aggregates (B1..B5)."""
-    from quarry.session import spread_cached
+def fit_clean(df: DataFrame, date_sample_by: list[str] | None = None) -> CleanPlan:
+    """Make every cleaning decision with a handful of small aggregates (B1..B5). The table is read
+    for B0-B2 and once more for the de-duplicated copy in the shared folder (``plan.rows``), which
+    serves all later passes. ``date_sample_by``: see ``detect_dates``."""
     plan = CleanPlan()
-    src, small = spread_cached(S.nan_to_null(df))
-    frames = _frames if _frames is not None else []
-    if small:
-        frames.append(src)
+    src = S.nan_to_null(df)
     fields = _fields(src)
     text_all = [c for c, t in fields.items() if is_text(t)]
-
-    def presence(e: Column) -> Column:
-        return F.struct(F.count(e).alias("nn"), F.coalesce(F.min(e) < F.max(e), F.lit(False)).alias("varied"))
+    bools = [c for c, t in fields.items() if isinstance(t, T.BooleanType)]
 
     # B0 + B1 + B2 in one pass: row count, whole-column date parse counts, and the pruning
     # statistics (non-null count, at least two values) of every column under both readings of a
-    # text column (parsed as dates / normalised text)
-    parts = [F.count(F.lit(1)).alias("__n")]
+    # text column (parsed as dates / normalised text) or of a boolean (as it is / as text)
+    parts, names = [F.count(F.lit(1)).alias("__n")], {}
+
+    def want(kind: str, c: str, e: Column) -> None:
+        names[kind, c] = f"s{len(names)}"
+        parts.append(_presence(e, T.StringType() if kind != "raw" else fields[c]).alias(names[kind, c]))
+
     for c in src.columns:
+        want("raw", c, col_of(c))
         if c in text_all:
-            parts += [presence(parse_date(F.col(c))).alias(f"d_{c}"),
-                      presence(standardise_values(normalise_text(F.col(c)))).alias(f"t_{c}")]
-        else:
-            parts.append(presence(F.col(c)).alias(f"r_{c}"))
+            want("date", c, parse_date(col_of(c)))
+        if c in text_all + bools:
+            want("text", c, standardise_values(normalise_text(col_of(c).cast("string"))))
     row0 = src.agg(*parts).first()
     n0 = row0["__n"]
+
+    def seen(kind: str, c: str):
+        return row0[names[kind, c]]
+
     plan.initial_shape = (n0, len(df.columns))
     plan.log.append(LOG_INITIAL.format(plan.initial_shape))
-    cand = [r["column"] for r in detect_dates(src, order_by).collect() if r["candidate"]] if text_all else []
-    plan.date_cols = [c for c in cand if row0[f"d_{c}"]["nn"] > 0 and row0[f"d_{c}"]["nn"] > n0 * DATE_PARSE_SHARE]
+    if date_sample_by:
+        cand = [r["column"] for r in detect_dates(src, date_sample_by).collect() if r["candidate"]] if text_all else []
+    else:
+        cand = [c for c in text_all if seen("date", c)["nn"] > seen("raw", c)["nn"] * DATE_SAMPLE_SHARE]
+    plan.date_cols = [c for c in cand if seen("date", c)["nn"] > 0 and seen("date", c)["nn"] > n0 * DATE_PARSE_SHARE]
     if plan.date_cols:
         plan.log.append(LOG_DATES.format(plan.date_cols))
-    plan.string_cols = [c for c in text_all if c not in plan.date_cols]
+    gappy = [c for c in bools if seen("raw", c)["nn"] < n0]  # such a column is one of objects, and cleaned as text
+    plan.string_cols = [c for c in src.columns if c in text_all + gappy and c not in plan.date_cols]
     plan.log.append(LOG_STRINGS.format(plan.string_cols))
     plan.log.append(LOG_STANDARD)
 
     def stat(c):
-        return row0[f"d_{c}"] if c in plan.date_cols else row0[f"t_{c}"] if c in text_all else row0[f"r_{c}"]
+        return seen("date" if c in plan.date_cols else "text" if c in plan.string_cols else "raw", c)
 
     plan.drop_cols = [c for c in src.columns
                       if (n0 and (n0 - stat(c)["nn"]) / n0 > MAX_MISSING_SHARE) or not stat(c)["varied"]]
-    staged = plan.rows_stage(src)
     if plan.drop_cols:
         plan.log.append(LOG_DROPPED.format(plan.drop_cols))
 
     # B3: duplicates, missing values, fill values (on the de-duplicated frame)
-    deduped = plan.dedup_stage(staged)
-    if persist:
-        deduped = _stage_copy(deduped, small)
-        frames.append(deduped)
+    deduped = plan.rows = stored(plan.dedup_stage(plan.rows_stage(src)), "clean")
     types = _fields(deduped)
     row = deduped.agg(F.count(F.lit(1)).alias("__n"),
-                      *[F.count_if(F.col(c).isNull()).alias(c) for c in deduped.columns]).first()
+                      *[F.count_if(col_of(c).isNull()).alias(f"c{i}") for i, c in enumerate(deduped.columns)]).first()
+    row = {"__n": row["__n"], **{c: row[f"c{i}"] for i, c in enumerate(deduped.columns)}}
     n1 = row["__n"]
     plan.duplicates = n0 - n1
     if plan.duplicates > 0:
@@ -255,7 +275,7 @@ def fit_clean(df: DataFrame, order_by: list[str] | None = None, persist: bool =
     plan.missing_before = int(sum(gaps.values()))
     if plan.missing_before > 0:
         num = [c for c in gaps if is_number(types[c])]
-        med = S.quantile_map(deduped, num, [0.5], counts={c: n1 - gaps[c] for c in num})
+        med = S.quantile_map(deduped, num, [0.5])
         for c in num:
             if med.get((c, 0.5)) is not None:
                 plan.fills[c] = med[(c, 0.5)]
@@ -273,15 +293,14 @@ def fit_clean(df: DataFrame, order_by: list[str] | None = None, persist: bool =
     filled = plan.fill_stage(deduped)
     num_cols = [c for c in filled.columns if is_number(types[c])]
     if num_cols:
-        filled_n = {c: n1 - (gaps.get(c, 0) if c not in plan.fills else 0) for c in num_cols}
-        q = S.quantile_map(filled, num_cols, [0.25, 0.75], counts=filled_n)
+        q = S.quantile_map(filled, num_cols, [0.25, 0.75])
         for c in num_cols:
             q1, q3 = q.get((c, 0.25)), q.get((c, 0.75))
             if q1 is not None and q3 - q1 > 0:
                 iqr = q3 - q1
                 plan.fences[c] = (q1 - IQR_K * iqr, q3 + IQR_K * iqr)
         if plan.fences:
-            outside = [F.count_if((F.col(c) < lo) | (F.col(c) > hi)) for c, (lo, hi) in plan.fences.items()]
+            outside = [F.count_if((col_of(c) < lo) | (col_of(c) > hi)) for c, (lo, hi) in plan.fences.items()]
             plan.outliers = int(filled.agg(sum(outside, F.lit(0)).alias("o")).first()["o"])
     if plan.outliers > 0:
         plan.log.append(LOG_OUTLIERS.format(plan.outliers))
@@ -290,9 +309,12 @@ def fit_clean(df: DataFrame, order_by: list[str] | None = None, persist: bool =
     clipped = plan.clip_stage(filled)
     txt_cols = [c for c in clipped.columns if is_text(_fields(clipped)[c]) and c not in plan.date_cols]
     if txt_cols:
-        freq = S.value_frequencies(clipped, txt_cols)
+        # an estimate leaves the columns that can have so few labels; those are counted exactly
+        guess = clipped.agg(*[F.approx_count_distinct(col_of(c), 0.05).alias(f"c{i}") for i, c in enumerate(txt_cols)]).first()
+        few = [c for i, c in enumerate(txt_cols) if guess[f"c{i}"] < 2 * MAX_LABELS]
+        freq = S.value_frequencies(clipped, few)
         counts = {r["column"]: r["k"] for r in freq.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
-        enc = [c for c in txt_cols if 1 < counts.get(c, 0) < MAX_LABELS]
+        enc = [c for c in few if 1 < counts.get(c, 0) < MAX_LABELS]
         if enc:
             vals = freq.filter(F.col("column").isin(enc)).select("column", "value").collect()  # < 20 per column
             for c in enc:
@@ -300,26 +322,23 @@ def fit_clean(df: DataFrame, order_by: list[str] | None = None, persist: bool =
             plan.log.append(LOG_ENCODED.format(enc))
     plan.final_shape = (n1, len(deduped.columns))
     plan.log.append(LOG_FINAL.format(plan.final_shape))
-    plan.source = src
     return plan
 
 
-def deep_clean(df: DataFrame, order_by: list[str] | None = None) -> CleanResult:
-    """Whole cleaning procedure (CLN-11): decisions, cleaned frame and log. A small input stays
-    cached (spread over the cores) for the cleaned frame; ``release()`` frees it."""
-    frames: list = []
-    plan = fit_clean(df, order_by, _frames=frames)
-    return CleanResult(plan.apply(plan.source), plan.log_frame(df.sparkSession), plan, frames)
+def deep_clean(df: DataFrame, date_sample_by: list[str] | None = None) -> CleanResult:
+    """Whole cleaning procedure (CLN-11): decisions, cleaned frame and log."""
+    plan = fit_clean(df, date_sample_by)
+    return CleanResult(plan.finish(plan.rows), plan.log_frame(df.sparkSession), plan)
 
 
 def quality_comparison(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows, columns, missing values and duplicate rows before and after cleaning (CLN-12)."""
     def stats(d: DataFrame):
         d = S.nan_to_null(d)
-        g = d.groupBy(*d.columns).agg(F.count(F.lit(1)).alias("__k"))
+        g = d.groupBy(*[col_of(c) for c in d.columns]).agg(F.count(F.lit(1)).alias("__k"))
         dup = g.agg(F.sum(F.col("__k") - 1).alias("dup"))
         base = d.agg(F.count(F.lit(1)).alias("rows"),
-                     sum((F.count_if(F.col(c).isNull()) for c in d.columns), F.lit(0)).alias("missing"))
+                     sum((F.count_if(col_of(c).isNull()) for c in d.columns), F.lit(0)).alias("missing"))
         r, u = base.first(), dup.first()
         return [r["rows"], len(d.columns), int(r["missing"]), int(u["dup"] or 0)]
 

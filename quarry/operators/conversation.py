@@ -99,12 +99,16 @@ def session_titles(store: DataFrame, width: int | None = None) -> DataFrame:
 
 
 def display_history(store: DataFrame) -> DataFrame:
-    """UI projection (CNV-7): ai/human only, an image attachment surfaces as image/type."""
-    is_img = F.col("file").isNotNull() & (F.col("file.type") == "image")
+    """UI projection (CNV-7): ai/human only, an image attachment surfaces as image/type; a store with
+    the older ``image`` and ``image_type`` columns shows those where there is no attachment."""
+    is_img = (F.col("type") == "human") & F.col("file").isNotNull() & (F.col("file.type") == "image")
+
+    def shown(new: str, old: str) -> Column:  # older messages hold the image in fields of their own
+        was = F.when(F.col("type") == "human", F.col(old)) if old in store.columns else F.lit(None)
+        return F.coalesce(F.when(is_img, F.col(new)), was).alias(old)
+
     return (store.filter(F.col("type").isin("human", "ai"))
-            .select("session_id", "pos", "type", "content",
-                    F.when((F.col("type") == "human") & is_img, F.col("file.base64")).alias("image"),
-                    F.when((F.col("type") == "human") & is_img, F.col("file.format")).alias("image_type")))
+            .select("session_id", "pos", "type", "content", shown("file.base64", "image"), shown("file.format", "image_type")))
 
 
 def serialise(store: DataFrame) -> DataFrame:
@@ -114,9 +118,12 @@ def serialise(store: DataFrame) -> DataFrame:
 
 def route(requests: DataFrame) -> DataFrame:
     """Endpoint per request: csv (data and name) > image > pdf (data and name) > chat (CNV-10)."""
-    r = (F.when(F.col("csv_base64").isNotNull() & F.col("csv_filename").isNotNull(), "csv-upload")
-         .when(F.col("image_base64").isNotNull(), "image-upload")
-         .when(F.col("pdf_base64").isNotNull() & F.col("pdf_filename").isNotNull(), "pdf-upload")
+    def given(c: str) -> Column:  # an empty string is no upload
+        return F.nullif(F.col(c), F.lit("")).isNotNull()
+
+    r = (F.when(given("csv_base64") & given("csv_filename"), "csv-upload")
+         .when(given("image_base64"), "image-upload")
+         .when(given("pdf_base64") & given("pdf_filename"), "pdf-upload")
          .otherwise("chat"))
     return requests.withColumn("route", r)
 
@@ -132,19 +139,42 @@ def content_key(requests: DataFrame) -> DataFrame:
 
 def cache_split(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Known keys -> stored context (hits); unknown keys -> one row per key to compute (misses)
-    (CNV-12). Requests without a key are neither."""
+    (CNV-12). Requests without a key are neither. A key stored twice counts with its smaller context."""
     keyed = requests.filter(F.col("content_key").isNotNull())
-    c = cache.select("content_key", "context").dropDuplicates(["content_key"])
+    c = cache.groupBy("content_key").agg(F.min("context").alias("context"))
     hits = keyed.join(c, "content_key", "inner")
     misses = keyed.join(c, "content_key", "left_anti").select("content_key").distinct()
     return hits, misses
 
 
-def cache_merge(cache: DataFrame, computed: DataFrame) -> DataFrame:
-    """Add newly computed contexts; the first stored context of a key wins."""
-    return cache.select("content_key", "context").unionByName(
-        computed.select("content_key", "context").join(cache.select("content_key"), "content_key", "left_anti")
-    ).dropDuplicates(["content_key"])
+def cache_merge(cache: DataFrame, computed: DataFrame, order: str | None = None) -> DataFrame:
+    """Add newly computed contexts; a stored context of a key wins, then the first computed in
+    ``order`` (without it, the smallest text)."""
+    new = computed.join(cache.select("content_key"), "content_key", "left_anti")
+    first = F.min_by("context", order) if order else F.min("context")
+    return cache.groupBy("content_key").agg(F.min("context").alias("context")).unionByName(
+        new.groupBy("content_key").agg(first.alias("context")))
+
+
+def csv_context(requests: DataFrame, payload: str = "csv_base64", key: str = "content_key") -> DataFrame:
+    """``(content_key, context)`` of uploaded CSV payloads (CNV-12, compute step): base64 text of a
+    header CSV -> its rows as documents, ``column: value`` lines, newline-joined. One payload is one
+    value of its row; equal keys are computed once."""
+    once = requests.filter(F.col(key).isNotNull() & F.col(payload).isNotNull()).groupBy(key).agg(F.min(payload).alias("p"))
+
+    def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import csv
+        import io
+        for pdf in batches:
+            out = []
+            for raw in pdf["p"]:
+                rows = list(csv.reader(io.StringIO(raw)))
+                head = rows[0] if rows else []
+                out.append("\n".join(f"{c.strip()}: {v.strip()}" for r in rows[1:] for c, v in zip(head, r)))
+            yield pd.DataFrame({key: pdf[key], "context": out})
+
+    text = once.select(key, F.unbase64("p").cast("string").alias("p"))
+    return text.mapInPandas(render, f"{key} string, context string")
 
 
 def first_payloads(store: DataFrame) -> DataFrame:
@@ -157,11 +187,23 @@ def first_payloads(store: DataFrame) -> DataFrame:
         .select("session_id", "pos", "payload_md5")
 
 
-def drop_repeats(uploads: DataFrame, key: str, ts: str, name: str, tiebreak: str) -> DataFrame:
-    """``is_new``: the file name differs from the previous upload of the key (CNV-15)."""
-    w = Window.partitionBy(key).orderBy(ts, tiebreak)
-    prev = F.lag(name).over(w)
-    return uploads.withColumn("is_new", prev.isNull() | (prev != F.col(name)))
+def drop_repeats(uploads: DataFrame, key: str, ts: str, name: str, tiebreak: str, limit: int = UPLOAD_LIMIT,
+                 window_hours: float = 6.0) -> DataFrame:
+    """``is_new``: the limiter accepted the upload, that is, its name differs from the last accepted
+    one and there was room (CNV-15). From the same scan as ``rate_limit``."""
+    out = rate_limit(uploads, key, ts, name, tiebreak, limit, window_hours)
+    return out.withColumn("is_new", F.col("status") == "accepted").drop("status", "uploads_left")
+
+
+def limit_step(kept: list, last, t: int, name, limit: int, window_us: int):
+    """The limiter's rule for one upload: (accepted times, last accepted name, status). Batch and
+    stream share it."""
+    kept = [x for x in kept if x > t - window_us]
+    if len(kept) >= limit:
+        return kept, last, "refused"
+    if name == last:
+        return kept, last, "repeat"
+    return [*kept, t], name, "accepted"
 
 
 def _limit_scan(limit: int, window_us: int, key: str, name: str):
@@ -175,15 +217,8 @@ def _limit_scan(limit: int, window_us: int, key: str, name: str):
             for k, t, nm in zip(pdf[key].tolist(), pdf["_us"].tolist(), pdf[name].tolist()):
                 if k != cur_key:
                     cur_key, kept, last = k, [], None
-                kept = [x for x in kept if x > t - window_us]
-                if len(kept) >= limit:
-                    status.append("refused")
-                elif nm == last:
-                    status.append("repeat")
-                else:
-                    kept.append(t)
-                    last = nm
-                    status.append("accepted")
+                kept, last, st = limit_step(kept, last, t, nm, limit, window_us)
+                status.append(st)
                 left.append(max(0, limit - len(kept)))
             out = pdf.drop(columns=["_us"])
             out["status"] = status

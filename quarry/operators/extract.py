@@ -25,9 +25,25 @@ def strip_noise(html: Column) -> Column:
     return F.regexp_replace(html, _NOISE, " ")
 
 
-def container(html: Column, tag: str = "article") -> Column:
-    """Inner HTML of the first ``<tag>`` element; empty when absent."""
-    return F.regexp_extract(strip_noise(html), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1)
+def container(html: Column, tag: str = "article", attribute: str | None = None) -> Column:
+    """Inner HTML of the first ``<tag>`` element (with ``attribute``, a regular expression, in its
+    opening tag; e.g. ``class="[^"]*\\btext\\b``), up to its own closing tag however deep equal
+    elements are nested; up to the end of the document if it is not closed; empty when absent."""
+    pieces = F.split(strip_noise(html), rf"(?i)(?=</?{tag}\b)")
+    opening = rf"(?is)^<{tag}\b" + (f"(?=[^>]*?{attribute})" if attribute else "")
+
+    def step(a: Column, p: Column) -> Column:
+        i, start, depth, stop = a["i"], a["start"], a["depth"], a["stop"]
+        begins = start.isNull() & p.rlike(opening)
+        inside = start.isNotNull() & stop.isNull()
+        d = F.when(begins, 1).when(inside & p.rlike(rf"(?i)^<{tag}\b"), depth + 1).when(inside & p.rlike(rf"(?i)^</{tag}\b"), depth - 1).otherwise(depth)
+        return F.struct((i + 1).alias("i"), F.when(begins, i).otherwise(start).alias("start"), d.alias("depth"),
+                        F.when(inside & (d == 0), i).otherwise(stop).alias("stop"))
+
+    none = F.lit(None).cast("int")
+    at = F.aggregate(pieces, F.struct(F.lit(0).alias("i"), none.alias("start"), F.lit(0).alias("depth"), none.alias("stop")), step)
+    inner = F.array_join(F.slice(pieces, at["start"] + 1, F.coalesce(at["stop"], F.size(pieces)) - at["start"]), "")
+    return F.when(at["start"].isNull(), "").otherwise(F.regexp_replace(inner, r"(?s)^<[^>]*>", ""))
 
 
 def visible_text(fragment: Column) -> Column:
@@ -59,15 +75,14 @@ def resolve_link(url: Column, href: Column) -> Column:
 
 def extract_links(pages: DataFrame, within: str = "nav") -> DataFrame:
     """Title + link pairs of a listing (EXT-1): ``(page_id, url, pos, title, link)``; anchors with an
-    empty link or title are skipped."""
+    empty link are skipped, anchors without text keep an empty title."""
     frag = container(F.col("html"), within)
     z = F.arrays_zip(F.regexp_extract_all(frag, F.lit(_ANCHOR), 1).alias("href"),
                      F.regexp_extract_all(frag, F.lit(_ANCHOR), 2).alias("text"))
     e = pages.select("page_id", "url", F.posexplode(z).alias("pos", "a"))
     out = e.select("page_id", "url", F.col("pos").cast("int").alias("pos"), visible_text(F.col("a.text")).alias("title"),
                    F.trim(F.col("a.href")).alias("href"))
-    out = out.filter((F.col("href") != "") & (F.col("title") != ""))
-    return out.select("page_id", "url", "pos", "title", resolve_link(F.col("url"), F.col("href")).alias("link"))
+    return out.filter(F.col("href") != "").select("page_id", "url", "pos", "title", resolve_link(F.col("url"), F.col("href")).alias("link"))
 
 
 def dedup_links(links: DataFrame, order: tuple[str, ...] = ("page_id", "pos")) -> DataFrame:
@@ -78,12 +93,16 @@ def dedup_links(links: DataFrame, order: tuple[str, ...] = ("page_id", "pos")) -
     return first.select(*[F.col(f"_f.{c}").alias(c) for c in rest], "link").select(*links.columns)
 
 
-def extract_paragraphs(pages: DataFrame, within: str = "article") -> DataFrame:
-    """Article text (EXT-3): paragraph texts of the container, blanks dropped, newline-joined."""
-    paras = F.transform(_items(container(F.col("html"), within), "p"), visible_text)
+def paragraphs(pages: DataFrame, fragment: Column) -> DataFrame:
+    """Paragraph texts of an HTML fragment of each page, blanks dropped, newline-joined."""
+    paras = F.transform(_items(fragment, "p"), visible_text)
     kept = F.filter(paras, lambda s: F.length(F.trim(s)) > 0)
-    return pages.select("page_id", "url", F.array_join(kept, "\n").alias("content"),
-                        F.size(kept).alias("paragraphs"))
+    return pages.select("page_id", "url", F.array_join(kept, "\n").alias("content"), F.size(kept).alias("paragraphs"))
+
+
+def extract_paragraphs(pages: DataFrame, within: str = "article", attribute: str | None = None) -> DataFrame:
+    """Article text (EXT-3): paragraph texts of the container, blanks dropped, newline-joined."""
+    return paragraphs(pages, container(F.col("html"), within, attribute))
 
 
 def extract_blocks(pages: DataFrame, within: str = "article", tags: tuple[str, ...] = ("p", "ol", "ul")) -> DataFrame:
@@ -111,13 +130,15 @@ def host(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^/:?#]+)", 1)
 
 
-def crawl_report(links: DataFrame, totals: DataFrame) -> DataFrame:
-    """Per source: listing pages, links seen, unique links, announced total, and whether the
-    crawl is complete (unique links >= total) (EXT-6)."""
-    per = links.groupBy("source").agg(F.count_distinct("page_id").alias("pages"), F.count(F.lit(1)).alias("links"),
-                                      F.count_distinct("link").alias("unique_links"))
-    return per.join(totals, "source", "left").withColumn("total", F.coalesce("total", F.lit(0))) \
-        .withColumn("complete", (F.col("total") > 0) & (F.col("unique_links") >= F.col("total")))
+def crawl_report(pages: DataFrame, links: DataFrame, totals: DataFrame) -> DataFrame:
+    """Per source of ``pages(page_id, source)``: listing pages, links seen, unique links, announced
+    total, and whether the crawl is complete (unique links >= total) (EXT-6). Sources without links
+    are reported with none."""
+    base = pages.groupBy("source").agg(F.count_distinct("page_id").alias("pages"))
+    per = links.groupBy("source").agg(F.count(F.lit(1)).alias("links"), F.count_distinct("link").alias("unique_links"))
+    out = base.join(per, "source", "left").join(totals, "source", "left")
+    out = out.select("source", "pages", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("links", "unique_links", "total")])
+    return out.withColumn("complete", (F.col("total") > 0) & (F.col("unique_links") >= F.col("total")))
 
 
 def with_status(articles: DataFrame, on_error: str = "keep", content: str = "content",
@@ -132,7 +153,8 @@ def with_status(articles: DataFrame, on_error: str = "keep", content: str = "con
         .withColumn(content, F.when(failed, F.concat(F.lit(ERROR_PREFIX), why)).otherwise(F.col(content)))
 
 
-def limit_pages(pages: DataFrame, n: int = MAX_LISTING_PAGES, order: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """At most ``n`` listing pages per source (EXT-9)."""
+def number_pages(pages: DataFrame, order: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """``listing_no``: 1, 2, ... within each source in ``order`` (EXT-9). A live crawl stops at page
+    ``MAX_LISTING_PAGES``; over a stored table every page is kept and the caller may filter."""
     w = Window.partitionBy("source").orderBy(*order)
-    return pages.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    return pages.withColumn("listing_no", F.row_number().over(w))

@@ -10,10 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import stats as S
-from quarry.session import spread_cached
-from quarry.types import numeric_cols, simple_cols, text_cols, type_class
-
-ROUND = 6
+from quarry.types import col_of, numeric_cols, simple_cols, text_cols, type_class
 
 # Answer clean-up texts and the fallback insight labels.
 QUOTA_MESSAGE = ("<span style='color:red;'><b>⚠️ Gemini API quota exceeded.</b><br>"
@@ -26,10 +23,6 @@ WELL_STRUCTURED = "well-structured"
 MODERATELY_CLEAN = "moderately clean"
 
 
-def _r(c: Column) -> Column:
-    return F.round(c.cast("double"), ROUND)
-
-
 def table_metrics(df: DataFrame) -> DataFrame:
     """Rows, columns, numeric and text column counts (PRF-1)."""
     return df.agg(F.count(F.lit(1)).alias("rows")).select(
@@ -41,9 +34,9 @@ def table_metrics(df: DataFrame) -> DataFrame:
 def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """``(column, non_null, nulls)`` from one aggregate pass."""
     cols = cols if cols is not None else df.columns
-    row = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(F.col(c)).alias(c) for c in cols])
+    row = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(col_of(c)).alias(f"c{i}") for i, c in enumerate(cols)])
     stacked = row.select("__n", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("non_null")) for c in cols])).alias("s"))
+        F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("non_null")) for i, c in enumerate(cols)])).alias("s"))
     return stacked.select("s.column", "s.non_null", (F.col("__n") - F.col("s.non_null")).alias("nulls"))
 
 
@@ -63,54 +56,49 @@ def missing_counts(df: DataFrame) -> DataFrame:
 
 def missing_total(df: DataFrame) -> Column:
     """Total missing cells (an aggregate expression)."""
-    return sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0)).cast("bigint")
+    return sum((F.count_if(col_of(c).isNull()) for c in df.columns), F.lit(0)).cast("bigint")
+
+
+DESCRIBE_SCHEMA = ("column string, count bigint, mean double, std double, min double, q25 double, q50 double, "
+                   "q75 double, max double")
 
 
 def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """count, mean, sample std, min, quartiles (exact, linear) and max per numeric column (PRF-4).
-    One moments aggregate plus the bounded quantile passes; the result has one row per column."""
+    """count, mean, sample std, min, quartiles (exact, linear) and max per numeric column (PRF-4);
+    unrounded; a table without number columns gives an empty frame. One moments aggregate and the
+    quantile passes; the result has one row per column."""
     cols = cols if cols is not None else numeric_cols(df)
-    d, cached = spread_cached(S.nan_to_null(df, cols).select(cols))
-    row = d.agg(*[F.struct(F.count(c).alias("count"), F.avg(F.col(c).cast("double")).alias("mean"),
-                           F.stddev_samp(F.col(c).cast("double")).alias("std"),
-                           F.min(F.col(c).cast("double")).alias("min"),
-                           F.max(F.col(c).cast("double")).alias("max")).alias(c) for c in cols]).first()
-    q = S.quantile_map(d, cols, [0.25, 0.5, 0.75], counts={c: row[c]["count"] for c in cols})
-    if cached:
-        d.unpersist()
-    data = [(c, row[c]["count"], row[c]["mean"], row[c]["std"], row[c]["min"], q[(c, 0.25)], q[(c, 0.5)],
-             q[(c, 0.75)], row[c]["max"]) for c in cols]
-    out = df.sparkSession.createDataFrame(
-        data, "column string, count bigint, mean double, std double, min double, q25 double, q50 double, "
-              "q75 double, max double")
-    return out.select("column", "count", *[_r(F.col(c)).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
+    d = S.nan_to_null(df, cols)
+    m, q = S.moments(d, cols), S.quantile_map(d, cols, [0.25, 0.5, 0.75])
+    return df.sparkSession.createDataFrame(
+        [(c, m[c]["n"], m[c]["mean"], m[c]["std"], m[c]["mn"], q[(c, 0.25)], q[(c, 0.5)], q[(c, 0.75)], m[c]["mx"])
+         for c in cols], DESCRIBE_SCHEMA)
 
 
 def skew_kurtosis(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Bias-corrected skewness and excess kurtosis per numeric column (PRF-5, PRF-6)."""
+    """Bias-corrected skewness and excess kurtosis per numeric column (PRF-5, PRF-6); empty without
+    number columns."""
     cols = cols if cols is not None else numeric_cols(df)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, skew double, kurtosis double")
     d = S.nan_to_null(df, cols)
     parts = []
     for c in cols:
-        x = F.col(c).cast("double")
+        x = col_of(c).cast("double")
         n = F.count(x).cast("double")
         parts.append(F.struct(F.lit(c).alias("column"),
                               S.sample_skew(x, n, F.min(x), F.max(x)).alias("skew"),
                               S.sample_kurtosis(x, n, F.min(x), F.max(x)).alias("kurtosis")))
-    return d.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("x")) \
-        .select("x.column", _r(F.col("x.skew")).alias("skew"), _r(F.col("x.kurtosis")).alias("kurtosis"))
+    return d.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("x")).select("x.*")
 
 
 def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pearson matrix in long form ``(a, b, r)``: all ordered pairs, pairwise complete rows, null
     for a constant column (PRF-7, VIZ-2). Two passes of plain sums (``corr_pairs``), mirrored."""
     cols = cols if cols is not None else numeric_cols(df)
-    d, cached = spread_cached(S.nan_to_null(df, cols).select(cols))
-    r = S.corr_pairs(d, cols)
-    if cached:
-        d.unpersist()
+    r = S.corr_pairs(S.nan_to_null(df, cols), cols)
     data = [(a, b, r[(a, b)] if (a, b) in r else r[(b, a)]) for a in cols for b in cols]
-    return df.sparkSession.createDataFrame(data, "a string, b string, r double").select("a", "b", _r(F.col("r")).alias("r"))
+    return df.sparkSession.createDataFrame(data, "a string, b string, r double")
 
 
 def nunique(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -120,9 +108,13 @@ def nunique(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def value_counts(df: DataFrame, cols: list[str] | None = None, top: int | None = None) -> DataFrame:
-    """``(column, value, count, rank)``: frequencies, count desc then value asc (PRF-9)."""
+    """``(column, value, count)``: frequencies of every value (PRF-9); with ``top`` only the ``top``
+    most frequent, and their ``rank`` (count desc, then value asc)."""
     cols = cols if cols is not None else text_cols(df)
-    return S.top_values(S.value_frequencies(df, cols), top) \
+    freq = S.value_frequencies(df, cols)
+    if top is None:
+        return freq.select("column", "value", F.col("n").alias("count"))
+    return S.top_values(freq, top) \
         .select("column", "value", F.col("n").alias("count"), F.col("rank").cast("int").alias("rank"))
 
 
@@ -136,7 +128,7 @@ def dtype_counts(df: DataFrame) -> DataFrame:
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows minus distinct rows (PRF-15), from one aggregate over the grouped rows."""
-    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__k"))
+    g = df.groupBy(*[col_of(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__k"))
     return g.agg(F.coalesce(F.sum(F.col("__k") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
 
 
@@ -154,10 +146,54 @@ def stats_report_text(df: DataFrame, top: int = 5) -> DataFrame:
         .select("column", "nunique", F.col("rank").cast("int").alias("rank"), "value", F.col("n").alias("count"))
 
 
+def statistical_analysis(df: DataFrame, top: int = 5) -> DataFrame:
+    """The whole statistics report in one frame (PRF-11), ``(section, column, item, number, text)``:
+    ``numeric`` (describe, skew, kurtosis), ``correlation`` (item: the other column) and ``text``
+    (distinct count and the ``top`` values). Sections without columns are absent."""
+    num = stats_report_numeric(df)
+    items = [c for c in num.columns if c != "column"]
+    numeric = num.select(F.lit("numeric").alias("section"), "column", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("item"), F.col(c).cast("double").alias("number")) for c in items])).alias("x")) \
+        .select("section", "column", "x.item", "x.number", F.lit(None).cast("string").alias("text"))
+    corr = corr_matrix(df).select(F.lit("correlation").alias("section"), F.col("a").alias("column"), F.col("b").alias("item"),
+                                  F.col("r").alias("number"), F.lit(None).cast("string").alias("text"))
+    text = stats_report_text(df, top)
+    top_rows = text.select(F.lit("text").alias("section"), "column", F.concat(F.lit("top "), "rank").alias("item"),
+                           F.col("count").cast("double").alias("number"), F.col("value").alias("text"))
+    distinct = text.select(F.lit("text").alias("section"), "column", F.lit("nunique").alias("item"),
+                           F.col("nunique").cast("double").alias("number"), F.lit(None).cast("string").alias("text")).distinct()
+    return numeric.unionByName(corr).unionByName(top_rows).unionByName(distinct)
+
+
+SUMMARY_ROWS = 5  # fixed value: first rows shown in the summary
+
+
+def dataset_summary(df: DataFrame, log: DataFrame | None = None, order_by: list[str] | None = None) -> DataFrame:
+    """What the insight prompt is made from (PRF-12), ``(section, name, value)``: shape, column types,
+    missing values, statistics, frequencies of text columns, the first rows (as JSON, in ``order_by``
+    order) and the cleaning log."""
+    def part(section: str, d: DataFrame, name: Column, value: Column) -> DataFrame:
+        return d.select(F.lit(section).alias("section"), name.cast("string").alias("name"), value.cast("string").alias("value"))
+
+    num = describe(df)
+    stats = num.select("column", F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v"))
+                                                     for c in num.columns if c != "column"])).alias("x"))
+    types = schema_profile(df)
+    rows = preview(df, SUMMARY_ROWS, order_by)
+    out = part("shape", table_metrics(df), F.lit("shape"), F.concat_ws(" x ", "rows", "columns"))
+    for p in (part("types", types, F.col("column"), F.col("data_type")),
+              part("missing", null_counts(df), F.col("column"), F.col("nulls")),
+              part("statistics", stats, F.concat_ws(".", "column", "x.k"), F.col("x.v")),
+              part("values", value_counts(df), F.concat_ws("=", "column", "value"), F.col("count")),
+              part("rows", rows, F.lit("row"), F.to_json(F.struct(*[col_of(c) for c in rows.columns])))):
+        out = out.unionByName(p)
+    return out if log is None else out.unionByName(part("log", log, F.col("step"), F.col("message")))
+
+
 def preview(df: DataFrame, n: int = 10, order_by: list[str] | None = None) -> DataFrame:
     """First ``n`` rows (5..50 in the app) in a stated order (PRF-14)."""
     n = max(1, int(n))
-    return (df.orderBy(*order_by) if order_by else df).limit(n)
+    return (df.orderBy(*[col_of(c) for c in order_by]) if order_by else df).limit(n)
 
 
 def basic_insights(after: DataFrame, rows_before: int, log_steps: int) -> DataFrame:

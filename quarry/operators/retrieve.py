@@ -50,42 +50,44 @@ SLOTS = ("chat_history", "context", "input")
 MAX_QUERY_BLOCK_BYTES = 64 << 20
 
 
+# Cells (queries x corpus rows) scored at once by a task.
+SCORE_CELLS = 1 << 21
+
+
 def _local_topk(block, k: int, vid: str, vec: str):
-    """Per-partition scorer: squared L2 of every corpus row to every query, keep per query the
-    k nearest (plus rows tied with the k-th, so the final order by (distance, id) is exact).
+    """Per-partition scorer: squared L2 of every corpus row to every query; per query the k nearest
+    by (distance, id) stay after each step, so equal vectors never pile up. A matrix product gives
+    the distances; those near the k-th are recomputed from the differences, which keeps all digits.
     ``block`` is a broadcast of (query ids, query matrix): shipped once per executor."""
 
     def run(batches):
         qids, qmat = block.value
         qn = (qmat * qmat).sum(axis=1)
-        best_d, best_v = None, None
+        step = max(1, SCORE_CELLS // max(1, len(qids)))
+        best_d = np.full((len(qids), 0), np.inf)
+        best_v = np.zeros((len(qids), 0), np.int64)
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-            ids = pdf[vid].to_numpy()
-            d = qn[:, None] + (x * x).sum(axis=1)[None, :] - 2.0 * (qmat @ x.T)
-            np.maximum(d, 0.0, out=d)
-            if best_d is not None:
-                d = np.concatenate([best_d, d], axis=1)
-                ids = np.concatenate([best_v, np.broadcast_to(ids, (len(qids), len(ids)))], axis=1)
-            else:
-                ids = np.broadcast_to(ids, (len(qids), len(ids)))
-            if d.shape[1] > k:
-                kth = np.partition(d, k - 1, axis=1)[:, k - 1:k]
-                keep_n = int((d <= kth).sum(axis=1).max())
-                order = np.argsort(d, axis=1, kind="stable")[:, :keep_n]
-                best_d = np.take_along_axis(d, order, axis=1)
-                best_v = np.take_along_axis(ids, order, axis=1)
-                # drop rows beyond the tie-extended k per query
-                mask = best_d <= kth
-                best_d = np.where(mask, best_d, np.inf)
-            else:
-                best_d, best_v = d, np.array(ids)
-        if best_d is None:
-            return
+            for at in range(0, len(pdf), step):
+                part = pdf.iloc[at:at + step]
+                x = np.stack(part[vec].to_numpy()).astype(np.float64)
+                ids = part[vid].to_numpy().astype(np.int64)
+                xn = (x * x).sum(axis=1)
+                d = qn[:, None] + xn[None, :] - 2.0 * (qmat @ x.T)
+                slack = 1e-12 * (qn[:, None] + xn[None, :]) + 1e-300
+                rough = np.concatenate([best_d, d + slack], axis=1)
+                kth = np.partition(rough, k - 1, axis=1)[:, k - 1] if rough.shape[1] >= k else np.full(len(qids), np.inf)
+                close = d - slack <= kth[:, None]
+                qi, xi = np.nonzero(close)
+                exact = np.full(d.shape, np.inf)
+                for i in range(0, len(qi), 1 << 16):
+                    a, c = qi[i:i + (1 << 16)], xi[i:i + (1 << 16)]
+                    exact[a, c] = ((qmat[a] - x[c]) ** 2).sum(axis=1)
+                all_d = np.concatenate([best_d, exact], axis=1)
+                all_v = np.concatenate([best_v, np.broadcast_to(ids, exact.shape)], axis=1)
+                order = np.lexsort((all_v, all_d), axis=-1)[:, :k]
+                best_d, best_v = np.take_along_axis(all_d, order, axis=1), np.take_along_axis(all_v, order, axis=1)
         qi, ci = np.nonzero(np.isfinite(best_d))
-        yield pd.DataFrame({"qid": qids[qi], "vid": best_v[qi, ci].astype(np.int64), "distance": best_d[qi, ci]})
+        yield pd.DataFrame({"qid": qids[qi], "vid": best_v[qi, ci], "distance": best_d[qi, ci]})
 
     return run
 
@@ -210,6 +212,19 @@ def mmr(cands: DataFrame, queries: DataFrame, k: int = MMR_K, lambda_mult: float
                       F.element_at("cs", F.col("i") + 1)["v"].alias("vid"))
 
 
+def retrieve(queries: DataFrame, corpus: DataFrame, k: int = MMR_K, fetch_k: int = FETCH_K, lambda_mult: float = MMR_LAMBDA,
+             qid: str = "qid", qvec: str = "qvec") -> DataFrame:
+    """Passages for questions (RET-3): the ``fetch_k`` nearest rows of ``corpus(vec_id, embedding,
+    content, title, chunk_id, source)``, of which MMR keeps ``k``:
+    ``(qid, mmr_rank, content, title, chunk_id, source)``. Rows of the corpus are joined twice, both
+    times to at most ``fetch_k`` ids for each question."""
+    hits = knn(queries, corpus, fetch_k, qid, qvec)
+    cands = hits.join(corpus.select(F.col("vec_id").cast("bigint").alias("vid"), "embedding"), "vid")
+    picked = mmr(cands, queries, k, lambda_mult, qid, qvec)
+    texts = corpus.select(F.col("vec_id").cast("bigint").alias("vid"), "content", "title", "chunk_id", "source")
+    return picked.join(texts, "vid").select("qid", "mmr_rank", "content", "title", "chunk_id", "source")
+
+
 def stuff_context(hits: DataFrame, key: str = "qid", order: str = "mmr_rank", content: str = "content",
                   sep: str = DOC_SEPARATOR) -> DataFrame:
     """All retrieved texts of a query joined by a blank line, in rank order (RET-4)."""

@@ -120,8 +120,21 @@ def q_history_append(spark, sf_dir):
 @query("history_append_dedup", f"""WITH {MSGS}
 SELECT session_id, pos, type, content FROM msgs""")
 def q_history_append_dedup(spark, sf_dir):
+    """The store holds the even turns; the client resends the whole history, so the odd turns are
+    added and the even ones are not repeated."""
     m = messages(Tables(spark, sf_dir))
-    return cnv.append_history(m, m, dedup=True).select("session_id", "pos", "type", "content")
+    return cnv.append_history(m.filter(F.col("pos") % 2 == 0), m, dedup=True).select("session_id", "pos", "type", "content")
+
+
+@query("csv_payload_context", """SELECT sha256(base64(encode('event, kind' || chr(10) || event_id || ',' || event_type || chr(10) || '7,"a, b"')) || props) AS content_key,
+  'event: ' || event_id || chr(10) || 'kind: ' || event_type || chr(10) || 'event: 7' || chr(10) || 'kind: a, b' AS context FROM events""")
+def q_csv_payload_context(spark, sf_dir):
+    """Every request uploads a CSV made from its event; all keys are unknown, so all are computed."""
+    e = Tables(spark, sf_dir).events
+    csv = F.concat(F.lit("event, kind\n"), "event_id", F.lit(","), "event_type", F.lit('\n7,"a, b"'))
+    r = e.select(encode_payload(csv).alias("csv_base64"), F.col("props").alias("question"), F.lit("csv-upload").alias("route"),
+                 F.lit(None).cast("string").alias("image_base64"), F.lit(None).cast("string").alias("pdf_base64"))
+    return cnv.csv_context(cnv.content_key(r))
 
 
 @query("attach_file", f"""WITH {MSGS}, {UPLOADS}
@@ -196,20 +209,20 @@ def q_content_keys(spark, sf_dir):
 
 @query("cache_hits", f"""WITH {REQUESTS}, {ROUTED}, {KEYED}, {CACHE}
 SELECT k.request_id, k.content_key, c.context FROM keyed k JOIN cache c USING (content_key)
-WHERE k.ts >= TIMESTAMP '2024-01-15'""")
+WHERE k.ts >= TIMESTAMP '2024-01-02'""")
 def q_cache_hits(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    later = keyed_requests(t).filter(F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz"))
+    later = keyed_requests(t).filter(F.col("ts") >= F.lit("2024-01-02").cast("timestamp_ntz"))
     hits, _ = cnv.cache_split(later, cache_table(t))
     return hits.select("request_id", "content_key", "context")
 
 
 @query("cache_misses", f"""WITH {REQUESTS}, {ROUTED}, {KEYED}, {CACHE}
-SELECT DISTINCT k.content_key FROM keyed k WHERE k.ts >= TIMESTAMP '2024-01-15'
+SELECT DISTINCT k.content_key FROM keyed k WHERE k.ts >= TIMESTAMP '2024-01-02'
 AND k.content_key IS NOT NULL AND k.content_key NOT IN (SELECT content_key FROM cache)""")
 def q_cache_misses(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    later = keyed_requests(t).filter(F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz"))
+    later = keyed_requests(t).filter(F.col("ts") >= F.lit("2024-01-02").cast("timestamp_ntz"))
     _, misses = cnv.cache_split(later, cache_table(t))
     return misses
 
@@ -268,9 +281,7 @@ def q_uploads_left(spark, sf_dir):
         F.max_by("uploads_left", F.struct("ts", "event_id")).alias("uploads_left"))
 
 
-@query("drop_repeats", """SELECT event_id, user_id,
-  coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) != event_type, true) AS is_new
-FROM events""")
+@query("drop_repeats", LIMIT_SQL + "SELECT event_id, user_id, status = 'accepted' AS is_new FROM r")
 def q_drop_repeats(spark, sf_dir):
     e = Tables(spark, sf_dir).events
     return cnv.drop_repeats(e, "user_id", "ts", "event_type", "event_id").select("event_id", "user_id", "is_new")

@@ -15,6 +15,7 @@ from quarry.operators import chunk as K
 from quarry.operators import conversation as cnv
 from quarry.operators import retrieve as R
 from quarry.plans.registry import Tables, query
+from quarry.session import stored
 
 WS = "[\\t\\n\\x0B\\f\\r ]"
 
@@ -78,13 +79,14 @@ def q_mmr_rerank(spark, sf_dir):
 
 
 @query("retrieve_with_metadata", f"""WITH {MMR}
-SELECT h.qid, h.mmr_rank, h.vid, e.label, d.source, d.lang FROM hits h JOIN embeddings e ON e.vec_id = h.vid
-LEFT JOIN documents d ON d.doc_id = h.vid""")
+SELECT h.qid, h.mmr_rank, d.text AS content, 'doc ' || d.doc_id AS title, 1 AS chunk_id, d.source
+FROM hits h JOIN documents d ON d.doc_id = h.vid""")
 def q_retrieve_with_metadata(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    h = mmr_hits(t)
-    return h.join(t.embeddings.select(F.col("vec_id").alias("vid"), "label"), "vid") \
-        .join(t.documents.select(F.col("doc_id").alias("vid"), "source", "lang"), "vid", "left")
+    docs = t.documents.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"),
+                              F.concat(F.lit("doc "), "doc_id").alias("title"), F.lit(1).alias("chunk_id"), "source")
+    corpus = t.embeddings.select("vec_id", "embedding").join(docs, "vec_id", "left")
+    return R.retrieve(label_centroids(t.embeddings), corpus).where("content is not null")
 
 
 STUFFED = f"""{MMR},
@@ -136,12 +138,15 @@ def sessions(t: Tables) -> DataFrame:
 
 
 @query("prompts", f"""WITH {STUFFED}, {SESSION_PARTS}
-SELECT s.qid, {_sql_template('x.history', 's.context', 'x.question')} AS prompt
-FROM stuffed s JOIN sess x ON x.session_id = s.qid""")
+SELECT x.session_id, {_sql_template('x.history', 's.context', 'x.question')} AS prompt
+FROM sess x JOIN stuffed s ON x.session_id % (SELECT count(*) FROM cent) = s.qid""")
 def q_prompts(spark, sf_dir):
+    """Every session that has a question; its context is that of one of the centroids in turn."""
     t = Tables(spark, sf_dir)
-    s = stuffed(t).join(sessions(t).withColumnRenamed("session_id", "qid"), "qid")
-    return s.select("qid", R.fill_template(chat_history=F.col("history"), context=F.col("context"),
+    context = stuffed(t)
+    n = label_centroids(t.embeddings).count()
+    s = sessions(t).withColumn("qid", F.pmod("session_id", F.lit(n))).join(context, "qid")
+    return s.select("session_id", R.fill_template(chat_history=F.col("history"), context=F.col("context"),
                                            input=F.col("question")).alias("prompt"))
 
 
@@ -194,12 +199,11 @@ def q_chunk_conservation(spark, sf_dir):
     return c.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("content", WS, ""))).cast("bigint").alias("chars"))
 
 
-@query("documents_with_metadata", """SELECT text AS page_content, 'benchmark' AS title,
-  CAST(item_id + 1 AS VARCHAR) AS chunk_id, '' AS source FROM benchmark""")
+@query("documents_with_metadata", """SELECT text AS page_content, lang AS title,
+  CAST(doc_id + 1 AS VARCHAR) AS chunk_id, '' AS source FROM documents""")
 def q_documents_with_metadata(spark, sf_dir):
-    b = Tables(spark, sf_dir).benchmark
-    rows = b.select(F.lit("benchmark").alias("title"), (F.col("item_id") + 1).cast("int").alias("chunk_id"),
-                    F.col("text").alias("content"))
+    d = Tables(spark, sf_dir).documents
+    rows = d.select(F.col("lang").alias("title"), (F.col("doc_id") + 1).cast("int").alias("chunk_id"), F.col("text").alias("content"))
     d = K.to_documents(rows)
     return d.select("page_content", "metadata.title", "metadata.chunk_id", "metadata.source")
 
@@ -217,27 +221,23 @@ def q_rag_prompts(spark, sf_dir):
     """End to end: benchmark questions and document chunks share one TF-IDF space; each question
     gets its 20 nearest chunks, MMR keeps 6, their texts are stuffed into the prompt."""
     t = Tables(spark, sf_dir)
-    chunks = kb_chunks(t).withColumn("vec_id", F.xxhash64("doc_id", "chunk_id"))
+    # a chunk's number: its document's id and its place (a document has fewer than 2^20 chunks)
+    chunks = kb_chunks(t).withColumn("vec_id", F.col("doc_id") * (1 << 20) + F.col("chunk_id"))
     qs = t.benchmark.select(F.col("item_id").alias("vec_id"), F.lit("q").alias("kind"), F.col("text").alias("content"))
-    both = chunks.select("vec_id", F.lit("c").alias("kind"), "content").unionByName(qs)
-    from quarry.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    # vectors feed the scan, the candidates and the texts: cut the lineage once (shared folder)
-    emb = K.tfidf_embed(both, "content", num_features=1 << 10).checkpoint(eager=True)
-    corpus = emb.filter(F.col("kind") == "c").select("vec_id", "embedding")
-    queries = emb.filter(F.col("kind") == "q").select(F.col("vec_id").alias("qid"),
-                                                      F.col("embedding").alias("qvec"))
-    hits = R.knn(queries, corpus, k=R.FETCH_K)
-    cands = hits.join(corpus.withColumnRenamed("vec_id", "vid"), "vid")
-    picked = R.mmr(cands, queries)
-    texts = picked.join(emb.filter(F.col("kind") == "c").select(F.col("vec_id").alias("vid"), "content"), "vid")
-    ctx = R.stuff_context(texts)
-    qtext = t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    return ctx.join(qtext, "qid").select("qid", R.fill_template(chat_history=F.lit(""), context=F.col("context"),
-                                                                input=F.col("question")).alias("prompt"))
-
-
-@query("answer_step")
+    both = chunks.select("vec_id", F.lit("c").alias("kind"), "content", "title", "chunk_id", "source") \
+        .unionByName(qs, allowMissingColumns=True)
+    # vectors feed the scan, the candidates and the texts: written once (shared folder)
+    emb = stored(K.tfidf_embed(both, "content", num_features=1 << 10), "vectors")
+    questions = emb.filter(F.col("kind") == "q").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"),
+                                                        F.col("content").alias("question"))
+    found = R.retrieve(questions.select("qid", "qvec"), emb.filter(F.col("kind") == "c"))
+    ctx = R.stuff_context(found)
+    return ctx.join(questions, "qid").select("qid", R.fill_template(chat_history=F.lit(""), context=F.col("context"),
+                                                                    input=F.col("question")).alias("prompt"))
+
+
+@query("answer_step", """SELECT item_id, CASE WHEN length(text) % 3 = 0 THEN 'No response' ELSE length(text) || ' characters' END AS answer
+FROM benchmark""")
 def q_answer_step(spark, sf_dir):
     """Answer step with a caller batch function (here: the question's length); the model gives
     no answer for lengths divisible by 3 -> fallback text."""
@@ -247,3 +247,24 @@ def q_answer_step(spark, sf_dir):
         return [None if len(p) % 3 == 0 else f"{len(p)} characters" for p in prompts]
 
     return R.answer(b, "text", model).select("item_id", "answer")
+
+
+@query("chunk_counts_80", f"""SELECT doc_id, CAST(length(regexp_replace(text, '{WS}', '', 'g')) AS BIGINT) AS chars, true AS within
+FROM documents WHERE length(regexp_replace(text, '{WS}', '', 'g')) > 0""")
+def q_chunk_counts_80(spark, sf_dir):
+    """Another width: lines of at most 80 characters keep every non-blank character."""
+    c = kb_chunks(Tables(spark, sf_dir), 80)
+    return c.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("content", WS, ""))).cast("bigint").alias("chars"),
+                                   F.bool_and(F.length("content") <= 80).alias("within"))
+
+
+@query("embed_caller", """SELECT doc_id, CAST(length(text) AS DOUBLE) AS chars, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS es
+FROM documents""")
+def q_embed_caller(spark, sf_dir):
+    """A caller's batch model as the embedding (here: two counts), on whole documents."""
+    def model(texts):
+        import numpy as np
+        return np.array([[len(t), t.count("e")] for t in texts])
+
+    e = K.embed_batches(Tables(spark, sf_dir).documents.select("doc_id", "text"), "text", model, 2)
+    return e.select("doc_id", F.col("embedding")[0].cast("double").alias("chars"), F.col("embedding")[1].cast("double").alias("es"))

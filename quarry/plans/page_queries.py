@@ -53,7 +53,7 @@ LINKS = f"""a AS (SELECT page_id, url, regexp_extract_all({s_container('nav')},
 b AS (SELECT page_id, url, CAST(unnest(generate_series(0, len(hrefs) - 1)) AS INTEGER) AS pos,
   unnest(hrefs) AS href, unnest(texts) AS txt FROM a),
 links AS (SELECT page_id, url, pos, {s_visible('txt')} AS title, {s_resolve('url', 'trim(href)')} AS link
-  FROM b WHERE trim(href) != '' AND {s_visible('txt')} != '')"""
+  FROM b WHERE trim(href) != '')"""
 
 
 @query("page_links", f"WITH {LINKS} SELECT page_id, url, pos, title, link FROM links")
@@ -115,16 +115,17 @@ def q_parse_result_total(spark, sf_dir):
 tot AS (SELECT regexp_extract(url, '{HOST}', 1) AS source,
   max(coalesce(TRY_CAST(nullif(regexp_extract(info, 'Showing\\s+\\d+\\s*–\\s*\\d+\\s+of\\s+(\\d+)', 1), '') AS INTEGER), 0)) AS total
   FROM info GROUP BY 1),
-per AS (SELECT regexp_extract(url, '{HOST}', 1) AS source, count(DISTINCT page_id) AS pages, count(*) AS links,
-  count(DISTINCT link) AS unique_links FROM links GROUP BY 1)
-SELECT per.*, coalesce(tot.total, 0) AS total, coalesce(tot.total, 0) > 0 AND unique_links >= coalesce(tot.total, 0) AS complete
-FROM per LEFT JOIN tot USING (source)""")
+base AS (SELECT regexp_extract(url, '{HOST}', 1) AS source, count(DISTINCT page_id) AS pages FROM pages GROUP BY 1),
+per AS (SELECT regexp_extract(url, '{HOST}', 1) AS source, count(*) AS links, count(DISTINCT link) AS unique_links FROM links GROUP BY 1)
+SELECT source, pages, coalesce(links, 0) AS links, coalesce(unique_links, 0) AS unique_links, coalesce(tot.total, 0) AS total,
+  coalesce(tot.total, 0) > 0 AND coalesce(unique_links, 0) >= coalesce(tot.total, 0) AS complete
+FROM base LEFT JOIN per USING (source) LEFT JOIN tot USING (source)""")
 def q_crawl_report(spark, sf_dir):
     p = Tables(spark, sf_dir).pages
     links = X.extract_links(p).withColumn("source", X.host(F.col("url")))
     totals = result_info(p).groupBy(X.host(F.col("url")).alias("source")) \
         .agg(F.max(X.parse_total(F.col("info"))).alias("total"))
-    return X.crawl_report(links, totals)
+    return X.crawl_report(p.select("page_id", X.host(F.col("url")).alias("source")), links, totals)
 
 
 @query("extract_status", f"""WITH {PARAS}
@@ -148,8 +149,21 @@ def q_pages_by_source(spark, sf_dir):
     return p.groupBy(X.host(F.col("url")).alias("source")).agg(F.count(F.lit(1)).alias("pages"))
 
 
-@query("pages_capped", f"""SELECT page_id, regexp_extract(url, '{HOST}', 1) AS source FROM pages
-QUALIFY row_number() OVER (PARTITION BY regexp_extract(url, '{HOST}', 1) ORDER BY page_id) <= 10""")
-def q_pages_capped(spark, sf_dir):
+@query("listing_numbers", f"""SELECT page_id, regexp_extract(url, '{HOST}', 1) AS source,
+  CAST(row_number() OVER (PARTITION BY regexp_extract(url, '{HOST}', 1) ORDER BY page_id) AS INTEGER) AS listing_no FROM pages""")
+def q_listing_numbers(spark, sf_dir):
     p = Tables(spark, sf_dir).pages.select("page_id", X.host(F.col("url")).alias("source"))
-    return X.limit_pages(p, 10)
+    return X.number_pages(p)
+
+
+@query("nested_container", """SELECT page_id, 'before é – ’ page ' || page_id || ' & after' AS content FROM pages""")
+def q_nested_container(spark, sf_dir):
+    """A classed container with equal elements nested in it, character references of every kind, and
+    no closing tag on every third page; made from each page's id."""
+    p = Tables(spark, sf_dir).pages
+    tail = F.when(F.col("page_id") % 3 == 0, "").otherwise("</div><div>outside</div>")
+    html = F.concat(F.lit('<div class="menu"><p>no</p></div><div id="x" class="main text wide"><div>skip</div><p>before &eacute; &ndash; &#8217; <b>page '),
+                    "page_id", F.lit("</b><br></p><div><div></div><p>&amp; &#x61;fter</p></div>"), tail)
+    d = p.select("page_id", "url", html.alias("html"))
+    inner = X.container(F.col("html"), "div", r'class="[^"]*\btext\b')
+    return X.paragraphs(d, inner).select("page_id", F.replace("content", F.lit("\n"), F.lit(" ")).alias("content"))

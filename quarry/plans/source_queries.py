@@ -11,12 +11,12 @@ from quarry.plans.registry import Tables, query
 from quarry.operators import extract as X
 from quarry.sources import files as SRC
 
-BENCH_CHUNKS = """bc AS (SELECT 'benchmark' AS title, CAST(item_id + 1 AS INTEGER) AS chunk_id, text AS content,
-  'bench.example.org' AS source FROM benchmark)"""
+DOC_CHUNKS = """bc AS (SELECT lang AS title, CAST(doc_id + 1 AS INTEGER) AS chunk_id, text AS content,
+  'docs.example.org' AS source FROM documents)"""
 
 
-def bench_chunks(t: Tables, source: str = "bench.example.org") -> DataFrame:
-    return t.benchmark.select(F.lit("benchmark").alias("title"), (F.col("item_id") + 1).cast("int").alias("chunk_id"),
+def doc_chunks(t: Tables, source: str = "docs.example.org") -> DataFrame:
+    return t.documents.select(F.col("lang").alias("title"), (F.col("doc_id") + 1).cast("int").alias("chunk_id"),
                               F.col("text").alias("content"), F.lit(source).alias("source"))
 
 
@@ -29,9 +29,9 @@ def q_csv_roundtrip(spark, sf_dir):
     return back.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in src.schema.fields])
 
 
-@query("jsonl_roundtrip", f"WITH {BENCH_CHUNKS} SELECT * FROM bc")
+@query("jsonl_roundtrip", f"WITH {DOC_CHUNKS} SELECT * FROM bc")
 def q_jsonl_roundtrip(spark, sf_dir):
-    path = SRC.append_jsonl(bench_chunks(Tables(spark, sf_dir)), SRC.scratch_path(spark, "jsonl"))
+    path = SRC.append_jsonl(doc_chunks(Tables(spark, sf_dir)), SRC.scratch_path(spark, "jsonl"))
     return SRC.read_jsonl(spark, path, strict=True)
 
 
@@ -81,18 +81,33 @@ def q_vector_roundtrip(spark, sf_dir):
                        .alias("sq_norm"))
 
 
-@query("kb_union", f"""WITH {BENCH_CHUNKS}
+@query("kb_union", f"""WITH {DOC_CHUNKS}
 SELECT * FROM bc UNION ALL SELECT title, chunk_id, content, 'mirror.example.org' FROM bc UNION ALL SELECT * FROM bc""")
 def q_kb_union(spark, sf_dir):
     """Two sources plus a rerun of the first: the knowledge base repeats the rerun's chunks."""
     t = Tables(spark, sf_dir)
-    a, b = bench_chunks(t), bench_chunks(t, "mirror.example.org")
+    a, b = doc_chunks(t), doc_chunks(t, "mirror.example.org")
     return SRC.union_sources(a, b, a)
 
 
-@query("kb_union_dedup", f"""WITH {BENCH_CHUNKS}
+@query("kb_union_dedup", f"""WITH {DOC_CHUNKS}
 SELECT * FROM bc UNION SELECT title, chunk_id, content, 'mirror.example.org' FROM bc""")
 def q_kb_union_dedup(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    a, b = bench_chunks(t), bench_chunks(t, "mirror.example.org")
+    a, b = doc_chunks(t), doc_chunks(t, "mirror.example.org")
     return SRC.union_sources(a, b, a, dedup=True)
+
+
+@query("csv_dirty_roundtrip", """SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS qty,
+  'He said "' || p_name || '", ' || chr(10) || 'é ok' AS note, '2024-01-0' || (p_partkey % 9 + 1) AS day FROM part""")
+def q_csv_dirty_roundtrip(spark, sf_dir):
+    """Missing-value tokens in a number column, doubled quotes, commas and line breaks in quoted
+    fields, dates (kept as text), one UTF-8 and one latin-1 file."""
+    p = Tables(spark, sf_dir).part
+    k = F.col("p_partkey")
+    d = p.select("p_partkey", F.when(k % 4 == 0, "NA").otherwise(F.col("p_size").cast("string")).alias("qty"),
+                 F.concat(F.lit('He said "'), "p_name", F.lit('", \né ok')).alias("note"), F.concat(F.lit("2024-01-0"), (k % 9 + 1).cast("string")).alias("day"))
+    path = SRC.write_csv(d.where("p_partkey % 2 = 0").coalesce(1), SRC.scratch_path(spark, "csv"))
+    d.where("p_partkey % 2 = 1").coalesce(1).write.mode("append").option("header", True).option("quote", '"').option("escape", '"') \
+        .option("encoding", "ISO-8859-1").csv(path)
+    return SRC.read_table(spark, path)

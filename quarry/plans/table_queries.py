@@ -1,8 +1,8 @@
 """Table cleaning, profiling, statistics and chart-data queries.
 
 Cleaning runs on the dirty ``orders`` / ``part`` fixtures; profiling and charts on ``lineitem``
-(plus ``part`` / ``customer`` for text charts). Every double in an output is rounded to 6 places
-on both sides.
+(plus ``part`` / ``customer`` for text charts). Every double in an output is cut to
+seven significant digits on both sides.
 """
 
 from __future__ import annotations
@@ -24,9 +24,14 @@ LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
 LI_TEXT = ["l_returnflag", "l_linestatus"]
 
 
-def round_doubles(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(F.col(f.name), 6).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-                       else F.col(f.name) for f in df.schema.fields])
+def sig_doubles(df: DataFrame) -> DataFrame:
+    """Doubles to seven significant digits (operators do not round; sums are merged in task order).
+    The factor moves exact ties, which the two engines would round apart, off the tie."""
+    def cut(x):
+        return F.when(x.isNotNull(), F.format_string("%.6e", x * 1.000000000001 + 0.0)).cast("double")
+
+    return df.select(*[cut(F.col(f.name)).alias(f.name)
+                       if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name) for f in df.schema.fields])
 
 
 def _li_long(cols, alias="value"):
@@ -70,7 +75,7 @@ SELECT "column", count(*) AS sample_size, count({sql_parse_date('value')}) AS sa
   count({sql_parse_date('value')}) > 0.7 * count(*) AS candidate
 FROM long WHERE rn <= 10 GROUP BY "column" """)
 def q_detect_dates(spark, sf_dir):
-    return C.detect_dates(dirty_orders(Tables(spark, sf_dir)), order_by=["o_orderkey"])
+    return C.detect_dates(dirty_orders(Tables(spark, sf_dir)), sample_by=["o_orderkey"])
 
 
 @query("date_parse_share", f"""WITH {DIRTY_ORDERS}
@@ -112,7 +117,7 @@ s AS (SELECT o_orderkey, o_custkey, {sql_clean_text('o_orderstatus')} AS o_order
   {sql_parse_date('order_day')} AS order_day, {sql_clean_text('sparse_flag')} AS sparse_flag,
   {sql_clean_text('constant_col')} AS constant_col, {sql_clean_text('o_orderpriority')} AS o_orderpriority FROM dirty),
 p AS (SELECT * FROM (VALUES
-  {", ".join(f"('{c}', (SELECT round(1 - count({c}) / count(*), 6) FROM s), (SELECT count(DISTINCT {c}) FROM s))"
+  {", ".join(f"('{c}', (SELECT CAST(printf('%.6e', CAST(1 - count({c}) / count(*) AS DOUBLE) * 1.000000000001) AS DOUBLE) FROM s), (SELECT count(DISTINCT {c}) FROM s))"
              for c in ("o_orderkey", "o_custkey", "o_orderstatus", "price_gaps", "price_outliers", "order_day",
                        "sparse_flag", "constant_col", "o_orderpriority"))}) t("column", null_share, nd))
 SELECT "column", null_share, nd > 1 AS varied, null_share > 0.5 OR nd <= 1 AS dropped FROM p""")
@@ -120,7 +125,7 @@ def q_prune_columns(spark, sf_dir):
     d = dirty_orders(Tables(spark, sf_dir))
     plan = C.CleanPlan(date_cols=["order_day"],
                        string_cols=["o_orderstatus", "sparse_flag", "constant_col", "o_orderpriority"])
-    return round_doubles(C.prune_decisions(plan.rows_stage(d)))
+    return sig_doubles(C.prune_decisions(plan.rows_stage(d)))
 
 
 @query("drop_duplicate_rows", f"""WITH {DIRTY_ORDERS}, {STAGED}
@@ -138,11 +143,11 @@ def _orders_plan(spark, sf_dir):
 
 
 @query("impute_median", f"""WITH {DIRTY_ORDERS}, {STAGED}
-SELECT 'price_gaps' AS "column", round(med, 6) AS fill FROM fills""")
+SELECT 'price_gaps' AS "column", CAST(printf('%.6e', CAST(med AS DOUBLE) * 1.000000000001) AS DOUBLE) AS fill FROM fills""")
 def q_impute_median(spark, sf_dir):
     plan = _orders_plan(spark, sf_dir)
     num = [(c, float(v)) for c, v in plan.fills.items() if isinstance(v, (int, float))]
-    return round_doubles(spark.createDataFrame(num, "column string, fill double"))
+    return sig_doubles(spark.createDataFrame(num, "column string, fill double"))
 
 
 @query("impute_date_mode", f"""WITH {DIRTY_ORDERS}, {STAGED}
@@ -166,17 +171,17 @@ def q_impute_mode(spark, sf_dir):
 
 @query("outlier_fences", f"""WITH {DIRTY_ORDERS}, {STAGED}
 SELECT * FROM (VALUES {", ".join(
-    f"('{c}', (SELECT round({c}_lo, 6) FROM fences), (SELECT round({c}_hi, 6) FROM fences), "
+    f"('{c}', (SELECT CAST(printf('%.6e', CAST({c}_lo AS DOUBLE) * 1.000000000001) AS DOUBLE) FROM fences), (SELECT CAST(printf('%.6e', CAST({c}_hi AS DOUBLE) * 1.000000000001) AS DOUBLE) FROM fences), "
     f"(SELECT count(*) FROM filled, fences WHERE {c} < {c}_lo OR {c} > {c}_hi))"
     for c in ("o_orderkey", "o_custkey", "price_gaps", "price_outliers"))}) t("column", lower_fence, upper_fence, outliers)""")
 def q_outlier_fences(spark, sf_dir):
     t = Tables(spark, sf_dir)
     plan = _orders_plan(spark, sf_dir)
-    d = plan.fill_stage(plan.dedup_stage(plan.rows_stage(plan.source)))  # the frame the fit read
+    d = plan.fill_stage(plan.rows)  # the frame the fit read
     rows = [F.struct(F.lit(c).alias("column"), F.lit(lo).alias("lower_fence"), F.lit(hi).alias("upper_fence"),
                      F.count_if((F.col(c) < lo) | (F.col(c) > hi)).cast("bigint").alias("outliers"))
             for c, (lo, hi) in plan.fences.items()]
-    return round_doubles(d.agg(F.array(*rows).alias("a")).select(F.explode("a").alias("x")).select("x.*"))
+    return sig_doubles(d.agg(F.array(*rows).alias("a")).select(F.explode("a").alias("x")).select("x.*"))
 
 
 @query("outlier_counts", f"""WITH {DIRTY_ORDERS}, {STAGED}
@@ -189,11 +194,11 @@ def q_outlier_counts(spark, sf_dir):
 
 
 CLEANED_ORDERS = f"""cleaned AS (SELECT
-  round(greatest(least(CAST(o_orderkey AS DOUBLE), o_orderkey_hi), o_orderkey_lo), 6) AS o_orderkey,
-  round(greatest(least(CAST(o_custkey AS DOUBLE), o_custkey_hi), o_custkey_lo), 6) AS o_custkey,
+  CAST(printf('%.6e', CAST(greatest(least(CAST(o_orderkey AS DOUBLE), o_orderkey_hi), o_orderkey_lo) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS o_orderkey,
+  CAST(printf('%.6e', CAST(greatest(least(CAST(o_custkey AS DOUBLE), o_custkey_hi), o_custkey_lo) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS o_custkey,
   CAST((SELECT count(DISTINCT x.o_orderstatus) FROM filled x WHERE x.o_orderstatus < f.o_orderstatus) AS INTEGER) AS o_orderstatus,
-  round(greatest(least(price_gaps, price_gaps_hi), price_gaps_lo), 6) AS price_gaps,
-  round(greatest(least(price_outliers, price_outliers_hi), price_outliers_lo), 6) AS price_outliers,
+  CAST(printf('%.6e', CAST(greatest(least(price_gaps, price_gaps_hi), price_gaps_lo) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS price_gaps,
+  CAST(printf('%.6e', CAST(greatest(least(price_outliers, price_outliers_hi), price_outliers_lo) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS price_outliers,
   order_day,
   CAST((SELECT count(DISTINCT x.o_orderpriority) FROM filled x WHERE x.o_orderpriority < f.o_orderpriority) AS INTEGER) AS o_orderpriority
 FROM filled f, fences)"""
@@ -203,15 +208,15 @@ FROM filled f, fences)"""
 SELECT o_orderkey, price_gaps, price_outliers FROM cleaned""")
 def q_cap_outliers(spark, sf_dir):
     plan = _orders_plan(spark, sf_dir)
-    d = plan.clip_stage(plan.fill_stage(plan.dedup_stage(plan.rows_stage(plan.source))))
-    return round_doubles(d.select("o_orderkey", "price_gaps", "price_outliers"))
+    d = plan.clip_stage(plan.fill_stage(plan.rows))
+    return sig_doubles(d.select("o_orderkey", "price_gaps", "price_outliers"))
 
 
 @query("deep_clean", f"""WITH {DIRTY_ORDERS}, {STAGED}, {CLEANED_ORDERS}
 SELECT * FROM cleaned""")
 def q_deep_clean(spark, sf_dir):
-    res = C.deep_clean(dirty_orders(Tables(spark, sf_dir)), order_by=["o_orderkey"])
-    return round_doubles(res.df)
+    res = C.deep_clean(dirty_orders(Tables(spark, sf_dir)), date_sample_by=["o_orderkey"])
+    return sig_doubles(res.df)
 
 
 @query("label_encode", f"""WITH {DIRTY_PARTS},
@@ -234,15 +239,15 @@ f AS (SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice, coalesce
   (SELECT in_stock FROM s WHERE in_stock IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, in_stock LIMIT 1)) AS in_stock FROM s),
 q AS (SELECT {", ".join(f"quantile_cont({c}, 0.25) AS {c}_q1, quantile_cont({c}, 0.75) AS {c}_q3"
                         for c in ("p_partkey", "p_size", "p_retailprice"))} FROM f)
-SELECT {", ".join(f"round(greatest(least(CAST({c} AS DOUBLE), {c}_q3 + 1.5 * ({c}_q3 - {c}_q1)), {c}_q1 - 1.5 * ({c}_q3 - {c}_q1)), 6) AS {c}"
+SELECT {", ".join(f"CAST(printf('%.6e', CAST(greatest(least(CAST({c} AS DOUBLE), {c}_q3 + 1.5 * ({c}_q3 - {c}_q1)), {c}_q1 - 1.5 * ({c}_q3 - {c}_q1)) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS {c}"
                   for c in ("p_partkey", "p_size", "p_retailprice"))},
   p_name, p_brand,
   CAST((SELECT count(DISTINCT x.p_type) FROM f x WHERE x.p_type < f.p_type) AS INTEGER) AS p_type,
   CAST((SELECT count(DISTINCT x.in_stock) FROM f x WHERE x.in_stock < f.in_stock) AS INTEGER) AS in_stock
 FROM f, q""")
 def q_deep_clean_parts(spark, sf_dir):
-    res = C.deep_clean(dirty_parts(Tables(spark, sf_dir)), order_by=["p_partkey"])
-    return round_doubles(res.df)
+    res = C.deep_clean(dirty_parts(Tables(spark, sf_dir)), date_sample_by=["p_partkey"])
+    return sig_doubles(res.df)
 
 
 @query("clean_log", f"""WITH {DIRTY_ORDERS}, {STAGED}
@@ -313,38 +318,38 @@ def q_missing_counts(spark, sf_dir):
     return P.missing_counts(dirty_orders(Tables(spark, sf_dir)))
 
 
-@query("describe", f"""SELECT "column", count(value) AS count, round(avg(value), 6) AS mean,
-  round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(quantile_cont(value, 0.25), 6) AS q25,
-  round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75, round(max(value), 6) AS max
+@query("describe", f"""SELECT "column", count(value) AS count, CAST(printf('%.6e', CAST(avg(value) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS mean,
+  CAST(printf('%.6e', CAST(stddev_samp(value) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS std, CAST(printf('%.6e', CAST(min(value) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS min, CAST(printf('%.6e', CAST(quantile_cont(value, 0.25) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS q25,
+  CAST(printf('%.6e', CAST(quantile_cont(value, 0.5) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS q50, CAST(printf('%.6e', CAST(quantile_cont(value, 0.75) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS q75, CAST(printf('%.6e', CAST(max(value) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS max
 FROM {_li_long(LI_NUM)} GROUP BY "column" """)
 def q_describe(spark, sf_dir):
-    return P.describe(Tables(spark, sf_dir).lineitem)
+    return sig_doubles(P.describe(Tables(spark, sf_dir).lineitem))
 
 
-@query("skew_kurtosis", f"""SELECT "column", round(skewness(value), 6) AS skew, round(kurtosis(value), 6) AS kurtosis
+@query("skew_kurtosis", f"""SELECT "column", CAST(printf('%.6e', CAST(skewness(value) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS skew, CAST(printf('%.6e', CAST(kurtosis(value) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS kurtosis
 FROM {_li_long(LI_NUM)} GROUP BY "column" """)
 def q_skew_kurtosis(spark, sf_dir):
-    return P.skew_kurtosis(Tables(spark, sf_dir).lineitem)
+    return sig_doubles(P.skew_kurtosis(Tables(spark, sf_dir).lineitem))
 
 
 @query("corr_matrix", "SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for a in LI_NUM for b in LI_NUM) + ")")
+    f"SELECT '{a}' AS a, '{b}' AS b, CAST(printf('%.6e', CAST(corr({a}, {b}) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS r FROM lineitem" for a in LI_NUM for b in LI_NUM) + ")")
 def q_corr_matrix(spark, sf_dir):
-    return P.corr_matrix(Tables(spark, sf_dir).lineitem)
+    return sig_doubles(P.corr_matrix(Tables(spark, sf_dir).lineitem))
 
 
 @query("corr_constant", f"""WITH {DIRTY_ORDERS}
 SELECT * FROM (VALUES
- ('price_gaps', 'price_gaps', (SELECT round(corr(price_gaps, price_gaps), 6) FROM dirty)),
- ('price_gaps', 'price_outliers', (SELECT round(corr(price_gaps, price_outliers), 6) FROM dirty)),
- ('price_outliers', 'price_gaps', (SELECT round(corr(price_gaps, price_outliers), 6) FROM dirty)),
- ('price_outliers', 'price_outliers', (SELECT round(corr(price_outliers, price_outliers), 6) FROM dirty)),
+ ('price_gaps', 'price_gaps', (SELECT CAST(printf('%.6e', CAST(corr(price_gaps, price_gaps) AS DOUBLE) * 1.000000000001) AS DOUBLE) FROM dirty)),
+ ('price_gaps', 'price_outliers', (SELECT CAST(printf('%.6e', CAST(corr(price_gaps, price_outliers) AS DOUBLE) * 1.000000000001) AS DOUBLE) FROM dirty)),
+ ('price_outliers', 'price_gaps', (SELECT CAST(printf('%.6e', CAST(corr(price_gaps, price_outliers) AS DOUBLE) * 1.000000000001) AS DOUBLE) FROM dirty)),
+ ('price_outliers', 'price_outliers', (SELECT CAST(printf('%.6e', CAST(corr(price_outliers, price_outliers) AS DOUBLE) * 1.000000000001) AS DOUBLE) FROM dirty)),
  ('price_gaps', 'flat', NULL), ('flat', 'price_gaps', NULL), ('price_outliers', 'flat', NULL),
  ('flat', 'price_outliers', NULL), ('flat', 'flat', NULL)) t(a, b, r)""")
 def q_corr_constant(spark, sf_dir):
     """Pairwise-complete correlations with gaps and a constant column (null, never an error)."""
     d = dirty_orders(Tables(spark, sf_dir)).withColumn("flat", F.lit(1.0))
-    return P.corr_matrix(d, ["price_gaps", "price_outliers", "flat"])
+    return sig_doubles(P.corr_matrix(d, ["price_gaps", "price_outliers", "flat"]))
 
 
 LI_ALL = LI_NUM + LI_TEXT + ["l_shipdate"]
@@ -356,8 +361,7 @@ def q_nunique(spark, sf_dir):
     return P.nunique(Tables(spark, sf_dir).lineitem)
 
 
-@query("value_counts", """SELECT "column", value, count(*) AS count,
-  CAST(row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, value) AS INTEGER) AS rank
+@query("value_counts", """SELECT "column", value, count(*) AS count
 FROM (UNPIVOT (SELECT l_returnflag, l_linestatus FROM lineitem) ON l_returnflag, l_linestatus
       INTO NAME "column" VALUE value) GROUP BY "column", value""")
 def q_value_counts(spark, sf_dir):
@@ -391,13 +395,13 @@ def q_duplicate_count(spark, sf_dir):
     return P.duplicate_count(dirty_orders(Tables(spark, sf_dir)))
 
 
-@query("stats_report_numeric", f"""SELECT "column", count(value) AS count, round(avg(value), 6) AS mean,
-  round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(quantile_cont(value, 0.25), 6) AS q25,
-  round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75, round(max(value), 6) AS max,
-  round(skewness(value), 6) AS skew, round(kurtosis(value), 6) AS kurtosis
+@query("stats_report_numeric", f"""SELECT "column", count(value) AS count, CAST(printf('%.6e', CAST(avg(value) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS mean,
+  CAST(printf('%.6e', CAST(stddev_samp(value) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS std, CAST(printf('%.6e', CAST(min(value) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS min, CAST(printf('%.6e', CAST(quantile_cont(value, 0.25) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS q25,
+  CAST(printf('%.6e', CAST(quantile_cont(value, 0.5) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS q50, CAST(printf('%.6e', CAST(quantile_cont(value, 0.75) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS q75, CAST(printf('%.6e', CAST(max(value) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS max,
+  CAST(printf('%.6e', CAST(skewness(value) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS skew, CAST(printf('%.6e', CAST(kurtosis(value) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS kurtosis
 FROM {_li_long(LI_NUM)} GROUP BY "column" """)
 def q_stats_report_numeric(spark, sf_dir):
-    return P.stats_report_numeric(Tables(spark, sf_dir).lineitem)
+    return sig_doubles(P.stats_report_numeric(Tables(spark, sf_dir).lineitem))
 
 
 @query("stats_report_text", f"""SELECT t.*, n.nunique FROM ({_topk_sql("customer", ["c_name", "c_mktsegment"], 5)}) t
@@ -432,9 +436,9 @@ UNION ALL SELECT 'shape', 'columns', 11.0
 UNION ALL {" UNION ALL ".join(f"SELECT 'missing', '{c}', CAST(count(*) - count({c}) AS DOUBLE) FROM lineitem" for c in LI_ALL)}
 UNION ALL SELECT 'describe', "column" || '.' || stat, v FROM (
   SELECT "column", unnest(['count', 'mean', 'std', 'min', 'q25', 'q50', 'q75', 'max']) AS stat,
-         unnest([count(value), round(avg(value), 6), round(stddev_samp(value), 6), round(min(value), 6),
-                 round(quantile_cont(value, 0.25), 6), round(quantile_cont(value, 0.5), 6),
-                 round(quantile_cont(value, 0.75), 6), round(max(value), 6)]) AS v
+         unnest([CAST(printf('%.6e', CAST(count(value) AS DOUBLE) * 1.000000000001) AS DOUBLE), CAST(printf('%.6e', CAST(avg(value) AS DOUBLE) * 1.000000000001) AS DOUBLE), CAST(printf('%.6e', CAST(stddev_samp(value) AS DOUBLE) * 1.000000000001) AS DOUBLE), CAST(printf('%.6e', CAST(min(value) AS DOUBLE) * 1.000000000001) AS DOUBLE),
+                 CAST(printf('%.6e', CAST(quantile_cont(value, 0.25) AS DOUBLE) * 1.000000000001) AS DOUBLE), CAST(printf('%.6e', CAST(quantile_cont(value, 0.5) AS DOUBLE) * 1.000000000001) AS DOUBLE),
+                 CAST(printf('%.6e', CAST(quantile_cont(value, 0.75) AS DOUBLE) * 1.000000000001) AS DOUBLE), CAST(printf('%.6e', CAST(max(value) AS DOUBLE) * 1.000000000001) AS DOUBLE)]) AS v
   FROM {_li_long(LI_NUM)} GROUP BY "column")
 UNION ALL SELECT 'value_counts', "column" || '=' || value, CAST(count(*) AS DOUBLE)
   FROM (UNPIVOT (SELECT l_returnflag, l_linestatus FROM lineitem) ON l_returnflag, l_linestatus
@@ -456,7 +460,7 @@ def q_dataset_summary(spark, sf_dir):
     vc = P.value_counts(li).select(F.lit("value_counts").alias("section"),
                                    F.concat("column", F.lit("="), "value").alias("item"),
                                    F.col("count").cast("double").alias("value"))
-    return shape.unionByName(miss).unionByName(desc).unionByName(vc)
+    return shape.unionByName(miss).unionByName(sig_doubles(desc)).unionByName(vc)
 
 
 # ------------------------------------------------------------------------------------------
@@ -469,7 +473,7 @@ def q_overview(spark, sf_dir):
     return V.overview(Tables(spark, sf_dir).lineitem)
 
 
-HIST = LI_NUM[:6]
+HIST = LI_NUM[:V.HIST_COLS]  # the app's charts take the first columns
 
 
 @query("histogram", f"""WITH long AS {_li_long(HIST)},
@@ -479,40 +483,40 @@ b AS (SELECT l."column", CAST(least(19, floor((value - lo) / CASE WHEN hi > lo T
 c AS (SELECT "column", bin, count(*) AS count FROM b GROUP BY ALL),
 e AS (SELECT "column", CAST(i AS INTEGER) AS bin, lo + i * ((hi - lo) / 20) AS lo, lo + (i + 1) * ((hi - lo) / 20) AS hi
       FROM r, range(20) t(i))
-SELECT e."column", e.bin, round(e.lo, 6) AS lo, round(e.hi, 6) AS hi, coalesce(c.count, 0) AS count
+SELECT e."column", e.bin, CAST(printf('%.6e', CAST(e.lo AS DOUBLE) * 1.000000000001) AS DOUBLE) AS lo, CAST(printf('%.6e', CAST(e.hi AS DOUBLE) * 1.000000000001) AS DOUBLE) AS hi, coalesce(c.count, 0) AS count
 FROM e LEFT JOIN c USING ("column", bin)""")
 def q_histogram(spark, sf_dir):
-    return V.histogram(Tables(spark, sf_dir).lineitem)
+    return sig_doubles(V.histogram(Tables(spark, sf_dir).lineitem, HIST))
 
 
-BOX = LI_NUM[:5]
+BOX = LI_NUM[:V.BOX_COLS]
 
 
 @query("box_stats", f"""WITH long AS {_li_long(BOX)},
 q AS (SELECT "column", quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS med,
              quantile_cont(value, 0.75) AS q3, avg(value) AS mean FROM long GROUP BY "column"),
 f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
-SELECT "column", round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3, round(lo, 6) AS lower_fence,
-  round(hi, 6) AS upper_fence, round(min(value) FILTER (WHERE value >= lo AND value <= hi), 6) AS whisker_low,
-  round(max(value) FILTER (WHERE value >= lo AND value <= hi), 6) AS whisker_high, round(mean, 6) AS mean,
+SELECT "column", CAST(printf('%.6e', CAST(q1 AS DOUBLE) * 1.000000000001) AS DOUBLE) AS q1, CAST(printf('%.6e', CAST(med AS DOUBLE) * 1.000000000001) AS DOUBLE) AS median, CAST(printf('%.6e', CAST(q3 AS DOUBLE) * 1.000000000001) AS DOUBLE) AS q3, CAST(printf('%.6e', CAST(lo AS DOUBLE) * 1.000000000001) AS DOUBLE) AS lower_fence,
+  CAST(printf('%.6e', CAST(hi AS DOUBLE) * 1.000000000001) AS DOUBLE) AS upper_fence, CAST(printf('%.6e', CAST(min(value) FILTER (WHERE value >= lo AND value <= hi) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS whisker_low,
+  CAST(printf('%.6e', CAST(max(value) FILTER (WHERE value >= lo AND value <= hi) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS whisker_high, CAST(printf('%.6e', CAST(mean AS DOUBLE) * 1.000000000001) AS DOUBLE) AS mean,
   count(*) FILTER (WHERE value < lo OR value > hi) AS outliers
 FROM long JOIN f USING ("column") GROUP BY "column", q1, med, q3, lo, hi, mean""")
 def q_box_stats(spark, sf_dir):
-    return V.box_stats(Tables(spark, sf_dir).lineitem)
+    return sig_doubles(V.box_stats(Tables(spark, sf_dir).lineitem, BOX))
 
 
 @query("bar_top10", _topk_sql("part", PART_TEXT, 10))
 def q_bar_top10(spark, sf_dir):
-    return V.top_values(Tables(spark, sf_dir).part)
+    return V.top_values(Tables(spark, sf_dir).part, PART_TEXT[:V.BAR_COLS])
 
 
-@query("pie_top6", f"""SELECT "column", value, count, rank, round(count / sum(count) OVER (PARTITION BY "column"), 6) AS share
+@query("pie_top6", f"""SELECT "column", value, count, rank, CAST(printf('%.6e', CAST(count / sum(count) OVER (PARTITION BY "column") AS DOUBLE) * 1.000000000001) AS DOUBLE) AS share
 FROM ({_topk_sql("part", ["p_name", "p_brand"], 6)})""")
 def q_pie_top6(spark, sf_dir):
-    return V.pie(Tables(spark, sf_dir).part)
+    return sig_doubles(V.pie(Tables(spark, sf_dir).part, PART_TEXT[:V.PIE_COLS]))
 
 
-VIOLIN = LI_NUM[:5]
+VIOLIN = LI_NUM[:V.VIOLIN_COLS]
 
 
 @query("violin_density", f"""WITH long AS {_li_long(VIOLIN)},
@@ -521,11 +525,11 @@ s AS (SELECT "column", count(value) AS n, stddev_samp(value) AS sd, min(value) A
 h AS (SELECT *, 1.059 * (CASE WHEN iqr > 0 THEN least(sd, iqr / 1.349) ELSE sd END) * pow(n, -0.2) AS bw FROM s),
 g AS (SELECT "column", n, bw, CAST(i AS INTEGER) AS point,
              (vmin - 2 * bw) + i * (((vmax + 2 * bw) - (vmin - 2 * bw)) / 63) AS x FROM h, range(64) t(i))
-SELECT g."column", g.point, round(g.x, 6) AS x,
-  round(sum(exp(-0.5 * pow((l.value - g.x) / g.bw, 2))) * (1.0 / (g.n * g.bw * sqrt(2 * pi()))), 6) AS density
+SELECT g."column", g.point, CAST(printf('%.6e', CAST(g.x AS DOUBLE) * 1.000000000001) AS DOUBLE) AS x,
+  CAST(printf('%.6e', CAST(sum(exp(-0.5 * pow((l.value - g.x) / g.bw, 2))) * (1.0 / (g.n * g.bw * sqrt(2 * pi()))) AS DOUBLE) * 1.000000000001) AS DOUBLE) AS density
 FROM g JOIN long l USING ("column") GROUP BY g."column", g.point, g.x, g.n, g.bw""")
 def q_violin_density(spark, sf_dir):
-    return V.violin(Tables(spark, sf_dir).lineitem)
+    return sig_doubles(V.violin(Tables(spark, sf_dir).lineitem, VIOLIN))
 
 
 def _scatter_sql(cols, bins=20):
@@ -548,7 +552,68 @@ def q_scatter_density(spark, sf_dir):
     return V.scatter_density(Tables(spark, sf_dir).lineitem)
 
 
-@query("scatter_sample")
-def q_scatter_sample(spark, sf_dir):
-    li = Tables(spark, sf_dir).lineitem.withColumn("row_key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    return V.scatter_sample(li, "row_key", 1000, LI_NUM)
+# ------------------------------------------------------------------------------------------
+# Unusual tables and whole rows
+
+def _sig(e: str) -> str:
+    return f"CAST(printf('%.6e', CAST({e} AS DOUBLE) * 1.000000000001) AS DOUBLE)"
+
+
+@query("describe_extremes", f"""WITH t AS (SELECT CAST(l_extendedprice AS DOUBLE) * 1e-12 AS tiny, CAST(l_orderkey AS DOUBLE) * 100.0 AS big FROM lineitem),
+long AS (UNPIVOT t ON tiny, big INTO NAME "column" VALUE value)
+SELECT "column", count(value) AS count, {", ".join(f"{_sig(e)} AS {n}" for e, n in (
+    ("avg(value)", "mean"), ("stddev_samp(value)", "std"), ("min(value)", "min"), ("quantile_cont(value, 0.25)", "q25"),
+    ("quantile_cont(value, 0.5)", "q50"), ("quantile_cont(value, 0.75)", "q75"), ("max(value)", "max")))}
+FROM long GROUP BY "column" """)
+def q_describe_extremes(spark, sf_dir):
+    """Statistics of very small and of large values (nothing is rounded on the way)."""
+    li = Tables(spark, sf_dir).lineitem
+    return sig_doubles(P.describe(li.select((F.col("l_extendedprice") * 1e-12).alias("tiny"), (F.col("l_orderkey") * 100.0).alias("big"))))
+
+
+@query("impute_rows", f"""WITH {DIRTY_ORDERS}, {STAGED}
+SELECT o_orderkey, {_sig("price_gaps")} AS price_gaps, order_day FROM filled""")
+def q_impute_rows(spark, sf_dir):
+    plan = _orders_plan(spark, sf_dir)
+    return sig_doubles(plan.fill_stage(plan.rows).select("o_orderkey", "price_gaps", "order_day"))
+
+
+@query("distinct_rows", f"""WITH {DIRTY_ORDERS}, {STAGED}
+SELECT o_orderkey, o_custkey, o_orderstatus, {_sig("price_gaps")} AS price_gaps, {_sig("price_outliers")} AS price_outliers,
+  order_day, o_orderpriority FROM dedup""")
+def q_distinct_rows(spark, sf_dir):
+    return sig_doubles(_orders_plan(spark, sf_dir).rows)
+
+
+@query("clean_odd_table", f"""WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS x,
+  CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 5 < 4 THEN 'yes' ELSE 'no' END AS s, p_brand FROM part),
+f AS (SELECT p_partkey, coalesce(x, (SELECT quantile_cont(x, 0.5) FROM t)) AS x, coalesce(s, 'yes') AS s, p_brand FROM t),
+q AS (SELECT quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.75) AS b, quantile_cont(p_partkey, 0.25) AS ka, quantile_cont(p_partkey, 0.75) AS kb FROM f)
+SELECT {_sig("greatest(least(CAST(p_partkey AS DOUBLE), kb + 1.5 * (kb - ka)), ka - 1.5 * (kb - ka))")} AS p_partkey,
+  {_sig("greatest(least(x, b + 1.5 * (b - a)), a - 1.5 * (b - a))")} AS n_items, CASE s WHEN 'yes' THEN 1 ELSE 0 END AS in_stock, p_brand AS brand
+FROM f, q""")
+def q_clean_odd_table(spark, sf_dir):
+    """A header with a dot and blanks, a map column (passes through) and a boolean with gaps (text
+    yes/no, filled and encoded); every 50th row twice."""
+    p = Tables(spark, sf_dir).part
+    k = F.col("p_partkey")
+    d = p.select("p_partkey", F.when(k % 7 != 0, F.col("p_size").cast("double")).alias("No. of items"),
+                 F.when(k % 5 != 0, k % 5 < 4).alias("in_stock"), F.create_map(F.lit("brand"), "p_brand").alias("attributes"))
+    out = C.deep_clean(d.unionByName(d.where("p_partkey % 50 = 0"))).df
+    return sig_doubles(out.select("p_partkey", F.col("`No. of items`").alias("n_items"), "in_stock", F.col("attributes")["brand"].alias("brand")))
+
+
+_CUST_NUM = ["c_custkey", "c_nationkey", "c_acctbal"]
+_NUM_ITEMS = (("count", "count(v)"), ("mean", "avg(v)"), ("std", "stddev_samp(v)"), ("min", "min(v)"), ("q25", "quantile_cont(v, 0.25)"),
+              ("q50", "quantile_cont(v, 0.5)"), ("q75", "quantile_cont(v, 0.75)"), ("max", "max(v)"), ("skew", "skewness(v)"), ("kurtosis", "kurtosis(v)"))
+
+
+@query("statistical_analysis", "SELECT section, \"column\", item, CAST(printf('%.6e', CAST(number AS DOUBLE) * 1.000000000001) AS DOUBLE) AS number, text FROM (" + " UNION ALL ".join(
+    [f"SELECT 'numeric' AS section, '{c}' AS \"column\", '{n}' AS item, (SELECT CAST({e} AS DOUBLE) FROM (SELECT CAST({c} AS DOUBLE) AS v FROM customer)) AS number, CAST(NULL AS VARCHAR) AS text"
+     for c in _CUST_NUM for n, e in _NUM_ITEMS]
+    + [f"SELECT 'correlation', '{a}', '{b}', (SELECT corr({a}, {b}) FROM customer), NULL" for a in _CUST_NUM for b in _CUST_NUM]
+    + [f"SELECT 'text', '{c}', 'nunique', (SELECT count(DISTINCT {c}) FROM customer), NULL" for c in ("c_name", "c_mktsegment")]
+    + [f"SELECT 'text', \"column\", 'top ' || rank, CAST(count AS DOUBLE), value FROM ({_topk_sql('customer', ['c_name', 'c_mktsegment'], 5)})"]) + ")")
+def q_statistical_analysis(spark, sf_dir):
+    """The statistics report in one frame: numeric part, correlations, text part."""
+    return sig_doubles(P.statistical_analysis(Tables(spark, sf_dir).customer))

@@ -4,15 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = (
-    "region nation customer supplier part orders lineitem events documents "
-    "embeddings pages benchmark labels conversations"
-).split()
-
-
 def build_session(master: str | None = None, app: str = "quarry", shuffle_partitions: int = 8,
                   extra: dict | None = None) -> SparkSession:
     """Local/test session. On a cluster, use the cluster's own session and pass it in."""
@@ -38,10 +33,13 @@ def build_session(master: str | None = None, app: str = "quarry", shuffle_partit
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only pick a local one when none is set
-    (local tests)."""
+    """The cluster's shared ``spark.checkpoint.dir``. Without it only a local session gets a
+    temporary folder (its executors are threads of one process); on a cluster each executor would
+    write to its own disk, so a missing setting is an error there."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -54,32 +52,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a small input over all cores before CPU-heavy per-row work (a parquet file splits
-    only at row groups, so a 25 MB text table can arrive as one partition). Inputs that already
-    have enough partitions -- any large table -- pass through without a shuffle."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-
-
-# Below this many rows a shuffle to spread the rows costs more than the passes gain.
-SPREAD_MIN_ROWS = 100_000
-
-
-def spread_cached(df: DataFrame) -> tuple[DataFrame, bool]:
-    """For multi-pass statistics over a small input (fewer partitions than cores, so at most
-    cores x ``maxPartitionBytes`` of files): cache it once; when it also has enough rows to gain
-    from parallel passes, spread it over the cores first. Large inputs are returned unchanged
-    (never cached). Returns the frame and whether it is cached (the caller unpersists)."""
-    from pyspark import StorageLevel
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= target:
-        return df, False
-    if df.count() < SPREAD_MIN_ROWS:  # a footer read for a plain parquet scan
-        return df.persist(StorageLevel.MEMORY_AND_DISK), True
-    spread_df = df.repartition(target).persist(StorageLevel.MEMORY_AND_DISK)
-    spread_df.count()
-    return spread_df, True
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as parquet below the shared folder and read it back: lineage is cut, later
+    passes keep column pruning and pushdown, and a lost executor costs no recomputation."""
+    path = f"{shared_dir(df.sparkSession, name)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,8 +7,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.session import shared_dir
+from quarry.types import col_of
 
 # Text the CSV reader treats as missing (pandas' default NA tokens) and the
 # encodings tried in order (latin-1 maps every byte, so it always succeeds).
@@ -18,45 +20,66 @@ ENCODINGS = ("utf-8", "latin-1", "cp1252")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder (never a machine-local temp dir)."""
+    """A fresh folder under the shared checkpoint folder."""
     return f"{shared_dir(spark, name)}/{uuid.uuid4().hex}"
 
 
-def _na_to_null(df: DataFrame) -> DataFrame:
-    txt = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-    return df.withColumns({c: F.when(F.col(c).isin(*CSV_NA_TOKENS), F.lit(None)).otherwise(F.col(c))
-                           for c in txt}) if txt else df
-
-
 def file_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, encoding)``: UTF-8 when the bytes are valid UTF-8, else latin-1 (Spark's charset
-    name ``ISO-8859-1``)."""
-    b = spark.read.format("binaryFile").load(path)
-    return b.select("path", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.lit("UTF-8"))
-                    .otherwise(F.lit("ISO-8859-1")).alias("encoding"))
+    """``(path, encoding)``: UTF-8 when every line of the file is valid UTF-8, else latin-1 (Spark's
+    charset name ``ISO-8859-1``). Lines are checked where they are read; no file is one value."""
+    lines = spark.read.text(path)
+    return lines.select(F.col("_metadata.file_path").alias("path"), F.is_valid_utf8("value").alias("ok")) \
+        .groupBy("path").agg(F.when(F.bool_and("ok"), F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1")).alias("encoding"))
+
+
+def infer_types(df: DataFrame) -> DataFrame:
+    """Text columns read as a data-frame reader does: missing-value tokens are null; a column of
+    integers is ``bigint`` (``double`` if it has gaps), of numbers ``double``, of true/false
+    ``boolean``, anything else (dates too) stays text. One aggregate decides for all columns."""
+    df = df.select(*[F.when(~col_of(c).isin(*CSV_NA_TOKENS), col_of(c)).alias(c) for c in df.columns])
+    number = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(inf|infinity|Infinity|Inf)\s*$"
+    parts = [F.struct(F.count(x).alias("n"), F.count_if(x.rlike(r"^\s*[+-]?\d{1,18}\s*$")).alias("i"), F.count_if(x.rlike(number)).alias("d"),
+                      F.count_if(x.isin("True", "TRUE", "true", "False", "FALSE", "false")).alias("b")).alias(f"c{k}")
+             for k, x in enumerate(col_of(c) for c in df.columns)]
+    if not parts:
+        return df
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), *parts).first()
+    out = []
+    for k, c in enumerate(df.columns):
+        s, x = seen[f"c{k}"], col_of(c)
+        kind = ("string" if not s["n"] else "bigint" if s["i"] == s["n"] == seen["rows"] else "double" if s["d"] == s["n"]
+                else "boolean" if s["b"] == s["n"] else "string")
+        out.append((x if kind == "string" else F.trim(x).try_cast(kind)).alias(c))
+    return df.select(*out)
 
 
 def read_table(spark: SparkSession, path: str, encoding: str | None = None, schema=None) -> DataFrame:
-    """Header CSV with inferred types (SRC-1). Without ``encoding`` each file is checked: valid
-    UTF-8 is read as UTF-8, anything else as latin-1. Missing-value tokens become null."""
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
+    """Header CSV with inferred types (SRC-1): quoted fields may hold commas, doubled quotes and line
+    breaks. Without ``encoding`` each file is checked: valid UTF-8 is read as UTF-8, anything else as
+    latin-1. Missing-value tokens become null; ``schema`` replaces the inference."""
+    reader = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", True).option("quote", '"')
+              .option("escape", '"').option("inferSchema", False).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+    if schema is not None:
+        reader = reader.schema(schema)
     if encoding:
         names = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1", "latin1": "ISO-8859-1"}
-        return _na_to_null(reader.option("encoding", names.get(encoding.lower(), encoding)).csv(path))
-    groups = {}
-    for r in file_encodings(spark, path).collect():  # one row per file
-        groups.setdefault(r["encoding"], []).append(r["path"])
-    frames = [reader.option("encoding", enc).csv(paths) for enc, paths in groups.items()]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return _na_to_null(out)
+        out = reader.option("encoding", names.get(encoding.lower(), encoding)).csv(path)
+    else:
+        groups = {}
+        for r in file_encodings(spark, path).collect():  # one row per file
+            groups.setdefault(r["encoding"], []).append(r["path"])
+        frames = [reader.option("encoding", enc).csv(sorted(paths)) for enc, paths in sorted(groups.items())]
+        if not frames:
+            return reader.csv(path)
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f, allowMissingColumns=True)
+    return infer_types(out) if schema is None else out
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Cleaned table export: header CSV, no index column (SRC-4)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """Cleaned table export: header CSV, no index column, quotes doubled inside fields (SRC-4)."""
+    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
     return path
 
 
@@ -87,10 +110,20 @@ def decode_payload(c: Column) -> Column:
     return F.unbase64(c)
 
 
+def plain_text(c: Column, kind: T.DataType) -> Column:
+    """A value as text; doubles as plain decimals (``12345678.9``, not ``1.23456789E7``) where
+    Python writes them so."""
+    if not isinstance(kind, (T.DoubleType, T.FloatType)):
+        return c.cast("string")
+    digits = F.regexp_replace(c.cast("decimal(38,20)").cast("string"), r"0+$", "")
+    plain = F.when(F.endswith(digits, F.lit(".")), F.concat(digits, F.lit("0"))).otherwise(digits)
+    return F.when((F.abs(c) >= 1e-4) & (F.abs(c) < 1e16), plain).otherwise(c.cast("string"))
+
+
 def row_document(df: DataFrame, cols: list[str] | None = None) -> Column:
     """One ``column: value`` line per column (both trimmed), newline-joined (SRC-6)."""
     cols = cols or df.columns
-    return F.concat_ws("\n", *[F.concat(F.lit(c.strip() + ": "), F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")))
+    return F.concat_ws("\n", *[F.concat(F.lit(c.strip() + ": "), F.coalesce(F.trim(plain_text(col_of(c), df.schema[c].dataType)), F.lit("")))
                                for c in cols])
 
 

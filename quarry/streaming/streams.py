@@ -17,12 +17,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry.operators import chunk as K
-from quarry.operators.conversation import UPLOAD_LIMIT
+from quarry.operators.conversation import UPLOAD_LIMIT, limit_step
 
 LIMIT_STATE = "kept array<bigint>, last string"
 
 
-def _limiter(key: str, name: str, event_id: str, limit: int, window_us: int):
+def _limiter(key: str, name: str, event_id: str, limit: int, window_us: int, watermark: bool):
     """Per-key state update: at most ``limit`` accepted timestamps plus the last accepted name."""
 
     def update(k, batches: Iterator[pd.DataFrame], state: GroupState):
@@ -30,19 +30,16 @@ def _limiter(key: str, name: str, event_id: str, limit: int, window_us: int):
         if state.exists:
             s = state.get
             kept, last = list(s[0] or []), s[1]
+        late = state.getCurrentWatermarkMs() * 1000 if watermark else None
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["_us", event_id], kind="stable") \
             .reset_index(drop=True)  # positional lists below must line up with the rows
         status, left = [], []
         for t, nm in zip(pdf["_us"].tolist(), pdf[name].tolist()):
-            kept = [x for x in kept if x > t - window_us]
-            if len(kept) >= limit:
-                status.append("refused")
-            elif nm == last:
-                status.append("repeat")
+            if late and t < late:
+                status.append("late")
             else:
-                kept.append(t)
-                last = nm
-                status.append("accepted")
+                kept, last, st = limit_step(kept, last, t, nm, limit, window_us)
+                status.append(st)
             left.append(max(0, limit - len(kept)))
         state.update((kept, last))
         yield pd.DataFrame({key: pdf[key], event_id: pdf[event_id], "status": status,
@@ -58,16 +55,17 @@ def limiter_stream(events: DataFrame, key: str, ts: str, name: str, event_id: st
     micro-batches. Arrivals are processed in event-time order within a micro-batch; the state
     (at most ``limit`` timestamps and one name per key) never expires on its own because the
     repeat rule needs the last accepted name. ``late_after`` (e.g. ``"6 hours"``) sets a
-    watermark on ``ts``: rows later than that behind the newest event are dropped."""
+    watermark on ``ts``: rows further behind the newest event of earlier micro-batches come out with
+    the status ``late`` and do not change the state. Bound a micro-batch at the source
+    (``maxFilesPerTrigger`` of ``stream_source``)."""
     from quarry.operators.conversation import micros
-    if late_after:
-        events = events.withWatermark(ts, late_after)
-    ev = events.select(key, event_id, name, micros(ts).alias("_us"))
+    ev = events.select(key, event_id, name, micros(ts).alias("_us"), F.col(ts).cast("timestamp").alias("_ts"))
+    ev = ev.withWatermark("_ts", late_after) if late_after else ev.drop("_ts")
     key_type = events.schema[key].dataType.simpleString()
     eid_type = events.schema[event_id].dataType.simpleString()
     out = f"{key} {key_type}, {event_id} {eid_type}, status string, uploads_left int"
     return ev.groupBy(key).applyInPandasWithState(
-        _limiter(key, name, event_id, limit, int(window_hours * 3600 * 1_000_000)),
+        _limiter(key, name, event_id, limit, int(window_hours * 3600 * 1_000_000), bool(late_after)),
         out, LIMIT_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -103,5 +101,7 @@ def run_complete_to_table(df: DataFrame, path: str, checkpoint: str):
     return q
 
 
-def stream_source(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet") -> DataFrame:
-    return spark.readStream.schema(schema).format(fmt).load(path)
+def stream_source(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet",
+                  max_files: int = 64) -> DataFrame:
+    """Files of a folder as a stream, at most ``max_files`` in one micro-batch."""
+    return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files).load(path)

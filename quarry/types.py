@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -35,8 +36,9 @@ def numeric_cols(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_number(f.dataType)]
 
 
-def datetime_cols(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if is_datetime(f.dataType)]
+def col_of(name: str) -> Column:
+    """The column of exactly this name, whatever dots, blanks or backticks it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def simple_cols(df: DataFrame) -> list[str]:

@@ -24,6 +24,24 @@ def test_append_attach_cache_route(spark):
     new = spark.createDataFrame([("k1", "new"), ("k2", "two")], "content_key string, context string")
     assert {r["content_key"]: r["context"] for r in cnv.cache_merge(cache, new).collect()} == {"k1": "old", "k2": "two"}
     req = spark.createDataFrame([("a", "n", "i", None, None), (None, None, "i", "p", "f"), ("a", None, None, "p", "f"),
-                                 (None, None, None, None, None)],
+                                 (None, None, None, None, None), ("", "f", "", "", "f")],
                                 "csv_base64 string, csv_filename string, image_base64 string, pdf_base64 string, pdf_filename string")
-    assert [r["route"] for r in cnv.route(req).collect()] == ["csv-upload", "image-upload", "pdf-upload", "chat"]
+    assert [r["route"] for r in cnv.route(req).collect()] == ["csv-upload", "image-upload", "pdf-upload", "chat", "chat"]
+
+
+def test_csv_context_and_repeats(spark):
+    import base64
+    import datetime as dt
+    raw = base64.b64encode("a, b\n1,\"x, \"\"y\"\"\"\n2, é \n".encode()).decode()
+    req = spark.createDataFrame([("k", raw), ("k", raw), (None, raw)], "content_key string, csv_base64 string")
+    assert [r["context"] for r in cnv.csv_context(req).collect()] == ['a: 1\nb: x, "y"\na: 2\nb: é']
+    t = dt.datetime(2024, 1, 1)
+    ev = [(i, "u", t + dt.timedelta(minutes=i), n) for i, n in enumerate("abcdd")] + [(9, "u", t + dt.timedelta(hours=7), "d")]
+    df = spark.createDataFrame(ev, "event_id long, k string, ts timestamp_ntz, name string")
+    got = {r["event_id"]: r["is_new"] for r in cnv.drop_repeats(df, "k", "ts", "name", "event_id").collect()}
+    assert got == {0: True, 1: True, 2: True, 3: False, 4: False, 9: True}  # d was refused before, so it is new at last
+
+
+def test_display_older_image_fields(spark):
+    old = spark.createDataFrame([("s", 0, "human", "hi", None, "QQ==", "png"), ("s", 1, "ai", "yo", None, "QQ==", "png")], STORE + ", image string, image_type string")
+    assert [(r["image"], r["image_type"]) for r in cnv.display_history(old).orderBy("pos").collect()] == [("QQ==", "png"), (None, None)]

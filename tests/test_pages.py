@@ -3,7 +3,7 @@ link resolution."""
 
 from pyspark.sql import functions as F
 
-from quarry.functions.text import wrap_chunks_native
+from quarry.functions.text import wrap_by_tokens
 from quarry.operators import extract as X
 
 HTML = ("<html><head><title>T</title><script>var t='</p>';</script></head><body>"
@@ -21,7 +21,7 @@ def test_blocks_paragraphs_links(spark):
     assert p["content"] == "First & one\ntwo\nSecond" and p["paragraphs"] == 2
     links = [(r["title"], r["link"]) for r in X.extract_links(pages).orderBy("pos").collect()]
     assert links == [("A", "https://site.org/a"), ("B", "http://x.org/b"), ("C", "https://cdn.org/c"),
-                     ("D", "https://site.org/dir/d.html")]
+                     ("D", "https://site.org/dir/d.html"), ("", "https://site.org/e")]
     assert X.extract_links(pages).select(X.host(F.col("url")).alias("h")).first()["h"] == "site.org"
 
 
@@ -29,5 +29,17 @@ def test_native_wrap_tabs(spark):
     import textwrap
     texts = ["a\tb\tc", "tab\there\tand\tthere " * 30, "\tlead", "x\t" * 100]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = [list(r["w"]) for r in df.select(wrap_chunks_native(F.col("t"), 20).alias("w")).collect()]
+    got = [list(r["w"]) for r in df.select(wrap_by_tokens(F.col("t"), 20).alias("w")).collect()]
     assert got == [textwrap.wrap(t, 20) for t in texts]
+
+
+def test_container_nesting(spark):
+    rows = [('<div class="text"><div>in</div><p>kept</p></div><p>out</p>', "<div>in</div><p>kept</p>"), ("<div>a</div>", ""),
+            ('<div class="x text y">open <div>b', "open <div>b"), ("", ""), ('<div id="text">no</div><DIV CLASS="text">yes</DIV>', "yes")]
+    df = spark.createDataFrame(rows, "h string, want string")
+    got = df.select(X.container(F.col("h"), "div", r'class="[^"]*\btext\b').alias("c"), "want").collect()
+    assert all(r["c"] == r["want"] for r in got)
+    two = spark.createDataFrame([(1, "http://a.org/", "<p>x</p>"), (2, "http://b.org/", "<nav><a href='/q'></a></nav>")], "page_id long, url string, html string") \
+        .withColumn("source", X.host(F.col("url")))
+    rep = X.crawl_report(two, X.extract_links(two).withColumn("source", X.host(F.col("url"))), spark.createDataFrame([("b.org", 1)], "source string, total int"))
+    assert {r["source"]: (r["pages"], r["links"], r["complete"]) for r in rep.collect()} == {"a.org": (1, 0, False), "b.org": (1, 1, True)}

@@ -55,3 +55,13 @@ def test_template_slots_not_replaced_in_user_text(spark):
     df = spark.createDataFrame([("{context} is mine", "ctx", "hist")], "q string, c string, h string")
     p = df.select(R.fill_template(chat_history=F.col("h"), context=F.col("c"), input=F.col("q")).alias("p")).first()["p"]
     assert p == R.TEMPLATE.replace("{chat_history}", "hist").replace("{context}", "ctx", 1).replace("{input}", "{context} is mine")
+
+
+def test_knn_equal_vectors_stay_bounded(spark):
+    corpus = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(3000)] + [(5000, [1e8, 1.0]), (5001, [1e8, 1.5])], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1e8, 1.4])], "qid long, qvec array<double>")
+    got = {(r["qid"], r["rank"]): (r["vid"], r["distance"]) for r in R.knn(queries, corpus, k=3).collect()}
+    assert [got[1, i][0] for i in (1, 2, 3)] == [0, 1, 2]
+    assert got[2, 1][0] == 5001 and abs(got[2, 1][1] - 0.01) < 1e-9 and abs(got[2, 2][1] - 0.16) < 1e-9
+    local = R._local_topk(type("B", (), {"value": (np.array([1]), np.array([[1.0, 2.0]]))}), 3, "vec_id", "embedding")
+    assert len(next(local(iter([corpus.toPandas()])))) == 3

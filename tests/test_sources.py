@@ -15,4 +15,24 @@ def test_read_table_encoding_fallback_and_na_tokens(spark):
     df = read_table(spark, d)
     rows = sorted((r["name"], r["qty"], r["note"]) for r in df.collect())
     assert rows == [("Café", 1, None), ("Crème", 3, None), ("Naïve", 2, "ok"), ("Soirée", 4, None)]
-    assert dict(df.dtypes)["qty"] == "int"
+    assert dict(df.dtypes)["qty"] == "bigint"
+
+
+def test_csv_quotes_breaks_gaps_and_dates(spark):
+    import pandas as pd
+    from quarry.sources.files import plain_text, write_csv
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+    d = tempfile.mkdtemp(prefix="quarry-csv-test-")
+    with open(os.path.join(d, "a.csv"), "w") as f:
+        f.write('No. of,note,day,flag,x\n1,"He said ""hi"", ok",2024-01-01,True,1e3\nNA,"two\nlines",2024-01-02,False,.5\n3,plain,,True,-2\n')
+    df = read_table(spark, d)
+    assert dict(df.dtypes) == {"No. of": "double", "note": "string", "day": "string", "flag": "boolean", "x": "double"}
+    rows = {r["note"]: r for r in df.collect()}
+    assert set(rows) == {'He said "hi", ok', "two\nlines", "plain"} and rows["plain"]["No. of"] == 3.0 and rows["plain"]["day"] is None
+    out = write_csv(df.coalesce(1), tempfile.mkdtemp(prefix="quarry-csv-test-"))
+    back = pd.concat(pd.read_csv(os.path.join(out, x)) for x in os.listdir(out) if x.endswith(".csv"))
+    assert set(back["note"]) == set(rows)
+    v = [12345678.9, 0.1, 1.0, -2.5, 1e15, 1e20, 1e-7, None]
+    got = [r["t"] for r in spark.createDataFrame([(x,) for x in v], "x double").select(plain_text(F.col("x"), T.DoubleType()).alias("t")).collect()]
+    assert got[:5] == ["12345678.9", "0.1", "1.0", "-2.5", "1000000000000000.0"] and got[7] is None

@@ -4,10 +4,9 @@ import math
 
 import numpy as np
 import pandas as pd
-import pytest
-from pyspark.sql import functions as F
 
 from quarry.functions import stats as S
+from quarry.operators import charts as V
 from quarry.operators import clean as C
 from quarry.operators import profile as P
 
@@ -18,18 +17,41 @@ def close(a, b, tol=1e-9):
     return b is not None and abs(a - b) <= tol * max(1.0, abs(a), abs(b))
 
 
-def test_quantiles_exact_both_paths(spark, monkeypatch):
+def test_quantiles_exact(spark):
     rng = np.random.default_rng(1)
     vals = np.concatenate([rng.normal(size=3000), np.full(1500, 2.5)])  # a hot value: a third of rows
-    df = spark.createDataFrame([(float(v), float(v) * 2) for v in vals], "a double, b double")
+    df = spark.createDataFrame([(float(v), float(v) * 2, None) for v in vals], "`a.b c` double, b double, e double")
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    exp = {(c, p): float(pd.Series(vals * (2 if c == "b" else 1)).quantile(p)) for c in "ab" for p in probs}
-    got = S.quantile_map(df, ["a", "b"], probs)
-    assert all(close(got[k], exp[k]) for k in exp)
-    monkeypatch.setattr(S, "MAX_EXACT_DISTINCT", 10)       # force the bounded bracket passes
-    monkeypatch.setattr(S, "SKETCH_ACCURACY", 200)         # wide enough brackets to matter
-    got2 = S.quantile_map(df, ["a", "b"], probs)
-    assert all(close(got2[k], exp[k]) for k in exp)
+    got = S.quantile_map(df, ["a.b c", "b", "e"], probs)
+    for c, f in (("a.b c", 1), ("b", 2)):
+        assert all(close(got[(c, p)], float(pd.Series(vals * f).quantile(p))) for p in probs)
+    assert all(got[("e", p)] is None for p in probs) and S.quantile_map(df, [], probs) == {}
+
+
+def test_no_number_columns_and_small_values(spark):
+    text = spark.createDataFrame([("a",), ("b",)], "t string")
+    assert P.describe(text).count() == P.skew_kurtosis(text).count() == P.corr_matrix(text).count() == 0
+    assert V.histogram(text).count() == V.box_stats(text).count() == V.violin(text).count() == V.scatter_density(text).count() == 0
+    assert P.stats_report_numeric(text).count() == 0 and P.statistical_analysis(text).count() > 0
+    tiny = spark.createDataFrame([(i * 1e-9,) for i in range(11)], "`x.y` double")
+    r = P.describe(tiny).first()
+    assert close(r["mean"], 5e-9) and close(r["q25"], 2.5e-9) and close(r["max"], 1e-8)
+    big = spark.createDataFrame([(float(i * 10**6),) for i in range(100)], "x double")
+    assert all(r["density"] > 0 for r in V.violin(big).collect())
+    s = {(r["section"], r["name"]): r["value"] for r in P.dataset_summary(tiny, spark.createDataFrame([(1, "m")], "step int, message string"), ["x.y"]).collect()}
+    assert s["shape", "shape"] == "11 x 1" and s["types", "x.y"] == "double" and s["missing", "x.y"] == "0" and s["log", "1"] == "m"
+
+
+def test_clean_odd_columns(spark):
+    rows = [(i, None if i % 3 == 0 else i % 2 == 0, {"k": i % 4}, float(i % 4)) for i in range(40)] * 2
+    df = spark.createDataFrame(rows, "id int, `is ok?` boolean, m map<string,int>, `No. of items` double")
+    plan = C.fit_clean(df)
+    assert plan.duplicates == 40 and "is ok?" in plan.string_cols and plan.labels["is ok?"] == ["no", "yes"]
+    out = plan.apply(df).collect()
+    assert len(out) == 40 and all(r["m"]["k"] == int(r["No. of items"]) and r["is ok?"] in (0, 1) for r in out)
+    new = spark.createDataFrame([(1, "zz"), (2, "yes")] * 3, "id int, t string")
+    p2 = C.fit_clean(spark.createDataFrame([(i, "ab"[i % 2]) for i in range(10)], "id int, t string"))
+    assert {r["t"] for r in p2.apply(new).collect()} == {2} and {r["label"] for r in p2.unseen_labels(new).collect()} == {"zz", "yes"}
 
 
 def test_skew_kurtosis_and_constant(spark):
@@ -37,8 +59,8 @@ def test_skew_kurtosis_and_constant(spark):
     df = spark.createDataFrame(data, "x double, c double")
     got = {r["column"]: r for r in P.skew_kurtosis(df).collect()}
     s = pd.Series([d[0] for d in data])
-    assert close(got["x"]["skew"], round(s.skew(), 6), 1e-6)
-    assert close(got["x"]["kurtosis"], round(s.kurt(), 6), 1e-6)
+    assert close(got["x"]["skew"], s.skew(), 1e-9)
+    assert close(got["x"]["kurtosis"], s.kurt(), 1e-9)
     assert got["c"]["skew"] == 0.0 and got["c"]["kurtosis"] == 0.0
 
 
@@ -48,7 +70,7 @@ def test_corr_pairwise_and_constant(spark):
     df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None).values.tolist(), "a double, b double, k double")
     got = {(r["a"], r["b"]): r["r"] for r in P.corr_matrix(df).collect()}
     exp = pdf.corr()
-    assert close(got[("a", "b")], round(exp.loc["a", "b"], 6), 1e-6)
+    assert close(got[("a", "b")], exp.loc["a", "b"], 1e-9)
     assert got[("a", "k")] is None and got[("k", "k")] is None
 
 
@@ -68,7 +90,7 @@ def test_clean_edges(spark):
     rows = list(zip(range(20), dates8, dates7, half, cats19, cats20, num, ["same"] * 20))
     df = spark.createDataFrame(rows, "k int, d8 string, d7 string, half string, c19 string, c20 string, x double, "
                                      "const string")
-    plan = C.fit_clean(df, order_by=["k"])
+    plan = C.fit_clean(df, date_sample_by=["k"])
     assert plan.date_cols == ["d8"]
     assert "const" in plan.drop_cols and "half" not in plan.drop_cols
     assert "c19" in plan.labels and "c20" not in plan.labels

@@ -23,3 +23,16 @@ def test_stream_limiter_equals_batch_on_shuffled_arrivals(spark):
     got = {r["event_id"]: (r["status"], r["uploads_left"]) for r in spark.read.parquet(d + "/out").collect()}
     exp = {r["event_id"]: (r["status"], r["uploads_left"]) for r in rate_limit(df).collect()}
     assert got == exp
+
+
+def test_stream_limiter_marks_late_rows(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    d = tempfile.mkdtemp(prefix="quarry-stream-test-")
+    schema = "event_id long, session_id string, ts timestamp_ntz, name string"
+    for part in ([(1, "u", t0 + dt.timedelta(hours=60), "a")], [(2, "u", t0, "b"), (3, "u", t0 + dt.timedelta(hours=60, minutes=1), "c")],
+                 [(4, "u", t0 + dt.timedelta(minutes=5), "d"), (5, "u", t0 + dt.timedelta(hours=60, minutes=2), "e")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(d + "/in")
+        src = ST.stream_source(spark, d + "/in", spark.read.parquet(d + "/in").schema)
+        ST.run_available(ST.limiter_stream(src, "session_id", "ts", "name", "event_id", late_after="1 hour"), d + "/out", d + "/ck")
+    got = {r["event_id"]: r["status"] for r in spark.read.parquet(d + "/out").collect()}
+    assert got == {1: "accepted", 2: "late", 3: "accepted", 4: "late", 5: "accepted"}

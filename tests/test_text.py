@@ -5,7 +5,7 @@ import textwrap
 
 from pyspark.sql import functions as F
 
-from quarry.functions.text import normalise_text, standardise_values, wrap_chunks, wrap_chunks_native
+from quarry.functions.text import normalise_text, standardise_values, unescape_entities, wrap_by_tokens, wrap_chunks
 
 EDGE = ["", " ", "   leading blanks", "trailing   ", "x" * 1234, "a-b c--d e—f", "tab\there\tand\tthere",
         "line\nbreaks\r\nand\x0bvertical\x0cfeeds", "9-9-9-" * 120, "word " * 300, "é" * 501,
@@ -24,17 +24,24 @@ def test_wrap_matches_stdlib_on_edges(spark):
             assert got[i] == textwrap.wrap(t, width), (width, t[:40])
 
 
-def test_wrap_native_matches_stdlib_on_random_text(spark):
+def test_wrap_matches_stdlib_on_random_text(spark):
     random.seed(3)
-    alpha = ["a", "bb", "ccc-dd", "e--f", "—", " ", "  ", "\n", "word.", "hyphen-ated", "é", "ß", "-", "x" * 30]
+    hyphens = ["a", "bb", "ccc-dd", "e--f", "—", " ", "  ", "\n", "word.", "hyphen-ated", "é", "ß", "-", "x" * 30, "9-9", "y" * 55, "--", "p-" * 40]
+    blanks = ["a", "bb", "word.", " ", "  ", "\n\n", "\t", "é", "x" * 30, "y" * 49, "z" * 50, "q" * 51, "r" * 130, "\x0b", "𝒳" * 7, " " * 60]
     texts = ["".join(random.choice(alpha) + random.choice(["", " "]) for _ in range(random.randint(0, 80)))
-             for _ in range(400)]
-    got = _wrapped(spark, texts, 50, wrap_chunks_native)
-    bad = [t for i, t in enumerate(texts) if got[i] != textwrap.wrap(t, 50)]
-    # documented difference of the native engine only: a token longer than the width with a hyphen
-    import re
-    assert all(any(len(tok) > 50 and "-" in tok for tok in re.split(r"\s+", t)) for t in bad)
-    assert len(bad) <= len(texts) // 50
+             for alpha in (hyphens, blanks) for _ in range(400)]
+    for width, fn in ((50, wrap_chunks), (50, wrap_by_tokens), (2, wrap_chunks), (1, wrap_chunks)):
+        got = _wrapped(spark, texts, width, fn)
+        bad = [t for i, t in enumerate(texts) if got[i] != textwrap.wrap(t, width)]
+        assert not bad, (width, fn.__name__, len(bad), bad[0], )
+
+
+def test_character_references(spark):
+    import html
+    refs = ["a &amp; b &lt;c&gt; &quot;q&quot; &#39;x&#39; &nbsp;|", "&#8217;&hellip;&eacute;&#x1F600;&#x61;", "&amp;lt; once", "&nosuch; & &; &#; &#x; &", "&#150;&#128;&#0;&#55296;", "plain", ""]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(refs)], "i int, t string")
+    got = {r["i"]: r["u"] for r in df.select("i", unescape_entities(F.col("t")).alias("u")).collect()}
+    assert [got[i] for i in range(len(refs))] == [html.unescape(r) for r in refs]
 
 
 def test_wrap_whole_documents(spark):
