@@ -18,9 +18,11 @@ are ordered by a hash of the text, then all are kept; an empty table gives no se
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +37,15 @@ MAGIC = b"DACSEG01"
 #: A segment is closed once it holds this many ids; documents are not split, so a segment is at
 #: most this plus one document.
 SEGMENT_IDS = 1 << 18
-#: Words whose ids a task remembers; beyond it the memory is emptied.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker remembers in its young memory; when that is full it becomes the old one,
+#: from which words in use move back.
+CACHE_WORDS = 500_000
+#: Words that one call to the library encodes.
+CALL_WORDS = 100
 SEPARATOR = "<|endoftext|>"
+#: A word up to its last ASCII (or Latin-1) small letter or digit, and the ASCII punctuation after it,
+#: without apostrophes, which pre-tokenizers may join to letters.
+TAIL = re.compile(rb"(.*(?:[a-z0-9]|\xc3[\xa0-\xb6\xb8-\xbf]))[!-&(-/:-@\[-`{-~]+", re.S)
 
 
 class WordEncoder:
@@ -53,11 +61,24 @@ class WordEncoder:
         self.specials = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.lowercase = lowercase
         self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
+        self.old: dict[bytes, bytes] = {}
+
+    def learn(self, words: set[bytes]) -> None:
+        """Remember the ids of words. A word that ends in punctuation after a letter or digit is
+        two pre-tokens at least, so its ids are those of both parts (where ``lowercase`` holds)."""
+        tails = {w: m.end(1) for w in words if self.lowercase and b"<|" not in w and (m := TAIL.fullmatch(w))}
+        parts = {x for w, n in tails.items() for x in (w[:n], w[n:])}
+        need = (words - tails.keys()) | parts
+        for w in (need - self.known.keys()) & self.old.keys():
+            self.known[w] = self.old[w]
+        self._encode_new(sorted(need - self.known.keys()))
+        for w, n in tails.items():
+            self.known[w] = self.known[w[:n]] + self.known[w[n:]]
+
+    def _encode_new(self, words: list[bytes]) -> None:
         plain = [w for w in words if b"<|" not in w and not any(s in w for s in self.specials)]
-        for i in range(0, len(plain), 2000):
-            part = plain[i:i + 2000]
+        for i in range(0, len(plain), CALL_WORDS):
+            part = plain[i:i + CALL_WORDS]
             ids = np.array(self.tok.encode_batch_fast([SEPARATOR.join(w.decode() for w in part)],
                                                       add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(ids == self.sep)
@@ -77,18 +98,26 @@ class WordEncoder:
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes."""
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+            self.old, self.known = self.known, {}
         cut = [((t.lower() if self.lowercase else t).split() if t else []) for t in texts]
         new: set[bytes] = set()
         for words in cut:
             new.update(words)
         new -= self.known.keys()
         if new:
-            self._learn(sorted(new))
+            for w in new & self.old.keys():
+                self.known[w] = self.old[w]
+            self.learn(new - self.known.keys())
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
 
+@cache
+def encoder(path: str, lowercase: bool) -> WordEncoder:
+    """One for each Python worker, so that its memory serves all tasks of the worker."""
+    return WordEncoder(path, lowercase)
+
+
 def _pad(b: bytes) -> bytes:
     return b + bytes(-len(b) % 8)
 
@@ -185,7 +214,7 @@ def write_codes(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: s
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
         part, seq, start = TaskContext.get().partitionId(), 0, 0
-        encoder = WordEncoder(tokenizer_path, lowercase)
+        encode = encoder(tokenizer_path, lowercase).encode
         ids, held, parts = [], 0, []
 
         def close():
@@ -200,7 +229,7 @@ def write_codes(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: s
             return out
 
         for b in arrow_slices(batches, 1):
-            for key, code in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
+            for key, code in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
                 ids.append(key)
                 parts.append(code + tail)
                 held += len(code) // 4 + 1
