@@ -96,12 +96,16 @@ def root_to_leaf(nodes: DataFrame, top: int = 1) -> DataFrame:
     # the ancestor reached so far, the scores of the nodes below it, and how many they are
     far = hop.select("tree", "node", "up", "total", F.when(F.col("up").isNotNull(), 1).otherwise(0).alias("dist"))
     size = nodes.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
-    while far.where("up is not null").limit(1).count() and len(levels) <= size.bit_length():
-        levels.append(far.where("up is not null").select("tree", "node", "up"))
+    # nodes that have reached their root stay aside, so each round works on the longer threads only
+    while len(levels) <= size.bit_length():
+        active = far.where("up is not null")
+        if not active.limit(1).count():
+            break
+        levels.append(active.select("tree", "node", "up"))
         step = far.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("dist").alias("d2"))
-        far = stored(far.join(step, ["tree", "up"], "left").select(
-            "tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"),
-            (F.col("dist") + F.coalesce("d2", F.lit(0))).alias("dist")), "hops")
+        moved = active.join(step, ["tree", "up"]).select(
+            "tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("t2")).alias("total"), (F.col("dist") + F.col("d2")).alias("dist"))
+        far = stored(moved.unionByName(far.where("up is null")), "hops")
     parents = hop.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
     leaves = far.where("up is null").join(parents, ["tree", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "node"))
