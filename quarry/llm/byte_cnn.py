@@ -27,12 +27,12 @@ from pyspark.sql import types as T
 from quarry.llm.common import append_by_batch, binary_parts, col
 
 #: Labelled documents that training takes at most.
-TRAIN_DOCS = 3000
+TRAIN_DOCS = 2000
 #: Bytes of a training document are taken as at most this many whole chunks spread over it.
-TRAIN_CHUNKS = 6
+TRAIN_CHUNKS = 3
 FILTERS, WIDTH, HIDDEN = 16, 4, 16
 CHUNK, OVERLAP = 512, 8
-EPOCHS, BATCH, RATE = 8, 32, 4e-3
+EPOCHS, BATCH, RATE = 6, 32, 5e-3
 
 
 class Model:
@@ -106,8 +106,8 @@ def _chunks(text: np.ndarray, most: int) -> np.ndarray:
 
 
 def train(texts: list[bytes], labels: list[int], seed: int = 3) -> Model:
-    """Adam on the logistic loss; gradients pass through the places of the
-    largest responses and, evenly, through the means."""
+    """Adam on the logistic loss; the filters learn through the
+    places of their largest responses, the means are features only."""
     model = Model(seed)
     y = np.array(labels, np.float32)
     if len(y) == 0 or y.min() == y.max():
@@ -116,7 +116,6 @@ def train(texts: list[bytes], labels: list[int], seed: int = 3) -> Model:
     docs = [_chunks(np.frombuffer(t, np.uint8), TRAIN_CHUNKS) for t in texts]
     r = np.random.default_rng(seed)
     m1, m2 = [np.zeros_like(p) for p in model.params()], [np.zeros_like(p) for p in model.params()]
-    places = CHUNK - WIDTH + 1
     # features start centred on a first look at the data
     look = [_forward(model, d)[0] for d in docs[:200]]
     model.centre, model.scale = np.mean(look, axis=0), np.std(look, axis=0) + 1e-2
@@ -134,27 +133,16 @@ def train(texts: list[bytes], labels: list[int], seed: int = 3) -> Model:
             dh = np.outer(dz, model.w2) * (pre > 0)
             df = (dh @ model.w1.T) / model.scale
             g_table, g_bias = np.zeros_like(model.table), np.zeros_like(model.bias)
-            for i, (_, best_chunk, best_place, mean_chunk, top, resp) in zip(range(len(idx)), parts, strict=True):
+            for i, (_, best_chunk, best_place, top) in zip(range(len(idx)), parts, strict=True):
                 chunks, n_c = docs[idx[i]], len(docs[idx[i]])
-                d_tmax, d_tmean, d_mmax, d_mmean = df[i].reshape(4, FILTERS)
+                d_tmax, d_tmean = df[i, :FILTERS], df[i, FILTERS:2 * FILTERS]
                 d_top = np.tile(d_tmean / n_c, (n_c, 1))
                 d_top[best_chunk, np.arange(FILTERS)] += d_tmax
-                d_mean = np.tile(d_mmean / n_c, (n_c, 1))
-                d_mean[mean_chunk, np.arange(FILTERS)] += d_mmax
                 d_top *= top > 0
                 for k in range(WIDTH):
                     b = np.take_along_axis(chunks, best_place + k, axis=1)  # (n_c, FILTERS)
                     np.add.at(g_table[k], (b, np.broadcast_to(np.arange(FILTERS), b.shape)), d_top)
                 g_bias += d_top.sum(axis=0)
-                # a mean's gradient reaches every place with a positive response: by counts of bytes
-                live = (resp > 0).astype(np.float32) * (d_mean / places)[:, None, :]
-                flat = live.reshape(-1, FILTERS)
-                for k in range(WIDTH):
-                    byte = chunks[:, k:k + places].reshape(-1)
-                    o = np.argsort(byte, kind="stable")
-                    cut = np.flatnonzero(np.diff(byte[o], prepend=-1))
-                    g_table[k][byte[o][cut]] += np.add.reduceat(flat[o], cut, axis=0)
-                g_bias += flat.sum(axis=0)
             grads = [g_table, g_bias, f.T @ dh, dh.sum(axis=0), h.T @ dz, np.array([dz.sum()], np.float32)]
             t += 1
             for q, g, a1, a2 in zip(model.params(), grads, m1, m2, strict=True):
@@ -174,7 +162,7 @@ def _forward(model: Model, chunks: np.ndarray):
     place = resp.argmax(axis=1)
     top, mean = np.take_along_axis(resp, place[:, None, :], axis=1)[:, 0, :], resp.mean(axis=1)
     f = np.concatenate([top.max(axis=0), top.mean(axis=0), mean.max(axis=0), mean.mean(axis=0)])
-    return f, top.argmax(axis=0), place, mean.argmax(axis=0), top, resp
+    return f, top.argmax(axis=0), place, top
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
