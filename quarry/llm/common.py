@@ -109,6 +109,51 @@ def append_by_batch(df: DataFrame, text_col: str, fields: list[T.StructField],
     return map_batches(src, T.StructType(list(df.schema.fields) + fields), one, tmp)
 
 
+#: Rows up to which a side of two or three numbers or hashes a row (64 MB at most) is broadcast.
+NEAR_ROWS = 1_000_000
+
+
+def near(df: DataFrame) -> DataFrame:
+    """``df`` (narrow rows, stored) with a broadcast hint if its counted size allows; beyond, the
+    join is left to shuffles."""
+    return F.broadcast(df) if df.count() <= NEAR_ROWS else df
+
+
+def pack_sorted(values):
+    """Sorted uint32 values as bytes: differences, one byte plane after the other, so that the planes
+    of high bytes, nearly all zero, vanish when shuffle blocks are compressed."""
+    import numpy as np
+    d = np.diff(values.astype(np.uint32), prepend=np.uint32(0))
+    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unpack_sorted(raw, n: int):
+    import numpy as np
+    planes = np.frombuffer(raw, np.uint8, 4 * n).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
+
+
+def planes(values):
+    """Bytes of numbers, one byte plane after the other."""
+    import numpy as np
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def unplanes(raw, kind, n: int, at: int):
+    import numpy as np
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, width * n, at).reshape(width, n).T).view(kind).ravel()
+
+
+def bucket_of(hashes, buckets: int):
+    """(bucket, 32 further bits) of 64-bit hashes; both together tell hashes apart within a bucket
+    of a bounded number of them but for a few in a million."""
+    import numpy as np
+    from quarry.llm.hashing import mix
+    r = mix(hashes)
+    return ((r >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), (r & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` (any one orderable type; null ends are ignored):
     ``(node, component)``, the component being its smallest node. Large-star / small-star rounds on
