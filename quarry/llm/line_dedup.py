@@ -9,7 +9,7 @@ space, trimmed. Lines of equal plain form are one class. A class's set holds the
    parts of the hash range; an empty part takes the next one's). Lines of about ``SHORT`` shingles get
    both kinds, so that no pair falls between.
 2. *Bands.* Each band of ``ROWS`` values is hashed; (band hash, class) entries go to buckets as packed
-   arrays. Classes that share a band hash are candidates: each with the smallest class of its list and
+   arrays, with 64 bits of the class and 32 of the hash: what collides adds candidates only. Classes that share a band hash are candidates: each with the smallest class of its list and
    with the next one, so a list of any length gives at most twice as many pairs as entries (and all
    pairs up to ``SMALL`` entries). At similarity 0.8 one pair is missed by all bands with probability 0.002.
 3. *Verification* of the candidates by the exact Jaccard similarity of their sets.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import arrow_slices, col, components, stored
+from quarry.llm.common import arrow_slices, bucket_of, col, components, near, pack_sorted, stored, unpack_sorted
 from quarry.llm.hashing import mix
 
 SHINGLE = 8
@@ -131,8 +131,9 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 _LINE = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("line", T.IntegerType()),
                       T.StructField("cls", T.BinaryType())])
 _PACK = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("packed", T.BinaryType())])
-_PAIR = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
-_TEXT = T.StructType([T.StructField("cls", T.BinaryType()), T.StructField("plain", T.BinaryType())])
+_PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+_LINK = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+_TEXT = T.StructType([T.StructField("c", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("plain", T.BinaryType())])
 
 
 def _class(p: bytes) -> bytes:
@@ -165,13 +166,12 @@ def candidates(src: DataFrame, buckets: int) -> DataFrame:
         size = 0
 
         def flush():
-            k, c = np.concatenate(keys), np.concatenate(owners)
-            b = (k % np.uint64(buckets)).astype(np.int64)
-            o = np.argsort(b, kind="stable")
-            k, c, b = k[o], c[o], b[o]
-            cut = np.flatnonzero(np.diff(b, prepend=-1))
-            packed = [k[x:y].tobytes() + c[x:y].tobytes() for x, y in zip(cut, [*cut[1:].tolist(), len(b)], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(b[cut], pa.int64()), pa.array(packed, pa.binary())], names=_PACK.names)
+            bucket, low = bucket_of(np.concatenate(keys), buckets)
+            o = np.lexsort((low, bucket))
+            c, bucket, low = np.concatenate(owners)[o], bucket[o], low[o]
+            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+            packed = [pack_sorted(low[x:y]) + c[x:y].tobytes() for x, y in zip(cut, [*cut[1:].tolist(), len(low)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), pa.array(packed, pa.binary())], names=_PACK.names)
 
         for piece in arrow_slices(batches, 2):
             new: dict[bytes, bytes] = {}
@@ -184,10 +184,10 @@ def candidates(src: DataFrame, buckets: int) -> DataFrame:
                                 seen.add(c)
                                 new[c] = p
             if new:
-                ids = np.frombuffer(b"".join(new), np.uint64).reshape(-1, 2)
+                ids = np.frombuffer(b"".join(c[:8] for c in new), np.uint64)
                 for at, hashes in bands(list(new.values())):
                     keys.append(hashes.reshape(-1))
-                    owners.append(np.repeat(ids[at], BANDS, axis=0))
+                    owners.append(np.repeat(ids[at], BANDS))
                     size += hashes.size
             if size > 1_500_000:
                 yield flush()
@@ -199,14 +199,14 @@ def candidates(src: DataFrame, buckets: int) -> DataFrame:
         ks, cs = [], []
         for x in t.column("packed"):
             raw = x.as_buffer()
-            n = raw.size // 24
-            ks.append(np.frombuffer(raw, np.uint64, n))
-            cs.append(np.frombuffer(raw, np.uint64, 2 * n, 8 * n).reshape(-1, 2))
+            n = raw.size // 12
+            ks.append(unpack_sorted(raw, n))
+            cs.append(np.frombuffer(raw, np.uint64, n, 4 * n))
         k, c = np.concatenate(ks), np.concatenate(cs)
-        o = np.lexsort((c[:, 1], c[:, 0], k))
+        o = np.lexsort((c, k))
         k, c = k[o], c[o]
         new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1]).any(axis=1)
+        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
         k, c = k[new], c[new]
         cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         size = np.diff([*cut, len(k)])
@@ -220,20 +220,17 @@ def candidates(src: DataFrame, buckets: int) -> DataFrame:
             a.append(i[ok])
             b.append(i[ok] - d)
         a, b = np.concatenate(a), np.concatenate(b)
-        both = np.unique(np.concatenate([c[a], c[b]], axis=1), axis=0) if len(a) else np.zeros((0, 4), np.uint64)
-        wide = lambda x: pa.Array.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
-        return pa.table({"a": wide(both[:, :2]), "b": wide(both[:, 2:])})
+        both = np.unique(np.stack([c[b], c[a]], axis=1), axis=0).view(np.int64) if len(a) else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
 
     # band hashes are even, so buckets are: an entry for each class and band, whatever repeats
-    pairs = src.mapInArrow(emit, _PACK).groupBy("bucket").applyInArrow(pair, _PAIR)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return src.mapInArrow(emit, _PACK).groupBy("bucket").applyInArrow(pair, _PAIR).distinct()
 
 
 def class_texts(src: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, plain form) of the given classes."""
+    """(c, cls, plain form) of the classes with the given 64 bits ``classes(c)``."""
     def run(batches: Iterator[pa.RecordBatch]):
         seen: set[bytes] = set()
-        size = 0
         for b in arrow_slices(batches, 2):
             found: dict[bytes, bytes] = {}
             for text in b.column(2).to_pylist():
@@ -242,19 +239,20 @@ def class_texts(src: DataFrame, classes: DataFrame) -> DataFrame:
                         if (p := plain(x)) and (c := _class(p)) not in seen:
                             seen.add(c)
                             found[c] = p
-            size += len(found)
-            if size > 1_000_000:
-                seen, size = set(), 0
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=_TEXT.names)
+            if len(seen) > 1_000_000:
+                seen = set()
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(c[:8] for c in found), np.int64), pa.int64()),
+                                              pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=_TEXT.names)
 
-    lines = src.mapInArrow(run, _TEXT).join(classes, "cls", "left_semi")
-    return lines.groupBy("cls").agg(F.first("plain").alias("plain"))
+    lines = src.mapInArrow(run, _TEXT).join(near(classes), "c", "left_semi")
+    return lines.groupBy("c", "cls").agg(F.first("plain").alias("plain"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose sets reach the threshold."""
-    rows = (pairs.join(texts.select(F.col("cls").alias("a"), F.col("plain").alias("x")), "a")
-            .join(texts.select(F.col("cls").alias("b"), F.col("plain").alias("y")), "b").select("a", "b", "x", "y"))
+    """The pairs (as classes) whose sets reach the threshold."""
+    x = texts.select(F.col("c").alias("a"), F.col("cls").alias("x_cls"), F.col("plain").alias("x")).join(near(pairs), "a")
+    y = texts.select(F.col("c").alias("b"), F.col("cls").alias("y_cls"), F.col("plain").alias("y")).join(near(pairs.select("b").distinct()), "b", "left_semi")
+    rows = x.join(y, "b").where("x_cls <> y_cls").select("x_cls", "y_cls", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in arrow_slices(batches, 2):
@@ -263,9 +261,9 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             ends = np.append(first[1:], len(h))
             n = len(xs)
             ok = [similarity(h[first[i]:ends[i]], h[first[n + i]:ends[n + i]]) >= threshold for i in range(n)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=_PAIR.names).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=_LINK.names).filter(pa.array(ok, pa.bool_()))
 
-    return rows.mapInArrow(run, _PAIR)
+    return rows.mapInArrow(run, _LINK)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -275,7 +273,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seen = stored(occurrences(src), "lines")
     n = seen.count()
     pairs = stored(candidates(src, max(64, n * BANDS // BUCKET)), "pairs")
-    texts = stored(class_texts(src, pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()), "line-texts")
+    texts = stored(class_texts(src, stored(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct(), "involved")), "line-texts")
     comp = components(stored(verified(pairs, texts, threshold), "links")).select(F.col("node").alias("cls"), "component")
     first = seen.where("cls is not null").groupBy("cls").agg(F.min(F.struct("id", "h", "line")).alias("at"))
     first = first.join(comp, "cls", "left").groupBy(F.coalesce("component", "cls").alias("group")).agg(F.min("at").alias("at"))
