@@ -12,7 +12,7 @@ pattern with a third of all documents makes no larger group than others.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; empty
 tables give empty results; repeated rows are documents of their own; a document without words
-takes none and appears once; other columns are ignored unless named in ``keep``.
+takes none and appears once; ``mix`` ignores other columns, ``mixed`` keeps them.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import heapq
 import math
 from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -115,14 +116,26 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int]
 
 
 def mix(docs: DataFrame, weights, share: float = 1.5, max_repeats: int = 2, seed: int = 17,
-        id_col: str = "doc_id", text_col: str = "text", members=None, keep: list[str] | None = None) -> DataFrame:
-    """One row per document: ``keep`` columns (default the id), ``size``, ``source_size`` and
-    ``target`` (of its first member source), ``taken`` (words, repeats counted) and ``copies``
-    (0..max_repeats). ``members`` is an array-of-string column of the sources a document belongs to
-    (default: the one in ``source``); ``weights(i)`` is the weight of the i-th source, sources
-    ordered by code point with null last."""
+        id_col: str = "doc_id", text_col: str = "text", members=None) -> DataFrame:
+    """One row per document: the id, ``size``, ``source_size`` and ``target`` (of its first member
+    source), ``taken`` (words, repeats counted) and ``copies`` (0..max_repeats). ``members`` is an
+    array-of-string column of the sources a document belongs to (default: the one in ``source``);
+    ``weights(i)`` is the weight of the i-th source, sources ordered by code point with null last."""
+    rows, copies = _chosen(docs, weights, share, max_repeats, seed, id_col, text_col, members, [id_col])
+    return rows.select(F.col("k0").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
+
+def mixed(docs: DataFrame, weights, share: float = 1.5, max_repeats: int = 2, seed: int = 17,
+          id_col: str = "doc_id", text_col: str = "text", members=None) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it."""
+    rows, copies = _chosen(docs, weights, share, max_repeats, seed, id_col, text_col, members, docs.columns)
+    rows = rows.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+    return rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _chosen(docs, weights, share, max_repeats, seed, id_col, text_col, members, keep):
+    """(rows, the expression of their copies): columns ``k0, k1, ...`` hold those in ``keep``."""
     spark = docs.sparkSession
-    keep = [id_col] if keep is None else keep
     members = F.array(col("source").cast("string")) if members is None else members
     flat = [f"k{i}" for i in range(len(keep))]
     ordered = F.array_sort(F.array_distinct(members))  # null last
@@ -156,31 +169,46 @@ def mix(docs: DataFrame, weights, share: float = 1.5, max_repeats: int = 2, seed
             .withColumn("bin", F.floor(F.col("place") * F.col("bins")).cast("int")))
     by_bin = rows.groupBy("pattern", "bin", "rest").agg(F.sum("size").alias("size"))
     before = F.sum("size").over(Window.partitionBy("pattern").orderBy("bin")) - F.col("size")
-    ends = (by_bin.withColumn("before", before).where("before <= rest and before + size > rest")
-            .select("pattern", F.col("bin").alias("end_bin"), (F.col("rest") - F.col("before")).alias("open")))
+    ends = by_bin.withColumn("before", before).where("before <= rest and before + size > rest").collect()  # one row for each pattern
+    ends = spark.createDataFrame([(r["pattern"], r["bin"], r["rest"] - r["before"]) for r in ends], "pattern string, end_bin int, open long")
     rows = rows.join(ends, "pattern", "left")
 
-    kept = ["size", "source_size", "target"]
+    sized = ["size", "source_size", "target"]
     out_schema = T.StructType([T.StructField(f, docs.schema[c].dataType) for c, f in zip(keep, flat, strict=True)]
                               + [T.StructField("size", T.LongType()), T.StructField("source_size", T.LongType()),
                                  T.StructField("target", T.DoubleType()), T.StructField("copies", T.IntegerType())])
 
     def fill(t: pa.Table) -> pa.Table:
         """The bin in which the quota ends, in seeded order: a document that would overshoot is
-        passed over, later ones fill the rest."""
+        passed over, later ones fill the rest; then the one exchange (or addition) of documents that
+        brings the sum nearest to the quota is made."""
         t = t.sort_by([("place", "ascending"), ("size", "ascending")])
-        left, extra = t.column("open")[0].as_py(), []
-        for size in t.column("size").to_pylist():
-            extra.append(int(size <= left))
-            left -= size * extra[-1]
-        copies = pc.add(t.column("full"), pa.array(extra, pa.int32()))
-        return t.select([*flat, *kept]).append_column("copies", copies)
-
-    cut = (rows.where("bin = end_bin").select("pattern", *flat, *kept, "full", "open", "place")
+        left, size = t.column("open")[0].as_py(), t.column("size").to_numpy()
+        extra = np.zeros(len(size), np.int32)
+        for i, n in enumerate(size.tolist()):
+            if n <= left:
+                extra[i] = 1
+                left -= n
+        out = np.flatnonzero(extra == 0)
+        if left and len(out):
+            out = out[np.argsort(size[out], kind="stable")]
+            taken = np.concatenate([[-1], np.flatnonzero(extra)])  # -1: nothing is given back
+            given = np.where(taken < 0, 0, size[taken])
+            want = given + left
+            at = np.searchsorted(size[out], want)
+            miss = np.stack([np.abs(size[out[np.clip(at - d, 0, len(out) - 1)]] - want) for d in (0, 1)])
+            d, i = np.unravel_index(int(miss.argmin()), miss.shape)
+            if miss[d, i] < left:
+                extra[out[np.clip(at[i] - d, 0, len(out) - 1)]] = 1
+                if taken[i] >= 0:
+                    extra[taken[i]] = 0
+        copies = pc.add(t.column("full"), pa.array(extra))
+        return t.select([*flat, *sized]).append_column("copies", copies)
+
+    cut = (rows.where("bin = end_bin").select("pattern", *flat, *sized, "full", "open", "place")
            .groupBy("pattern").applyInArrow(fill, out_schema))
     more = F.when(F.col("end_bin").isNull(), F.col("rest") > 0).otherwise(F.col("bin") < F.col("end_bin"))
     sure = (rows.where("end_bin is null or bin <> end_bin")
-            .select(*flat, *kept, (F.col("full") + more.cast("int")).alias("copies")))
+            .select(*flat, *sized, (F.col("full") + more.cast("int")).alias("copies")))
     copies = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
-    return sure.unionByName(cut).select(*[F.col(f).alias(c) for f, c in zip(flat, keep, strict=True)], *kept,
-                                        (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return sure.unionByName(cut), copies
