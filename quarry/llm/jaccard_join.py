@@ -333,43 +333,60 @@ _PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Lon
 
 def _open_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of classes of different components that can be linked. The lists of one bucket are
-    walked together; each common entry must pass by sizes and positions. Then all common prefix
-    shingles of a pair (``k``) are added up: the overlap is at most k and what stands behind the
-    prefix that ends first, or behind the last common entry."""
+    walked together. The first common shingle of linked sets leaves enough behind it in both, so a long
+    list (more than ``FREQUENT`` entries) gives only the pairs for which that holds; a short one gives
+    what sizes and positions allow with all before it in common. Then the common prefix shingles
+    of a pair (``k``) are added up: the overlap is at most k, the long lists that both are in, and what
+    stands behind the prefix that ends first, or behind the last common entry."""
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("list", "ascending"), ("n", "ascending"), ("c", "ascending")])
         name, c, comp = (t.column(k).to_numpy() for k in ("list", "c", "comp"))
         n, pos = t.column("n").to_numpy().astype(np.int64), t.column("pos").to_numpy().astype(np.int64)
+        before = np.where(t.column("len").to_numpy() > FREQUENT, 0, pos)  # what can be common before
         ends = np.flatnonzero(np.append(name[1:] != name[:-1], True)) + 1
         ends = ends[np.searchsorted(ends, np.arange(len(name)), side="right")]
-        pairs: dict[tuple[int, int, int, int], list[int]] = {}
+        who, at = np.unique(np.stack([c, n], axis=1), axis=0, return_inverse=True)
+        at = at.reshape(-1)
+        total = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))  # pair, k, rest
+        held, size = [total], 0
+
+        def merged():
+            key, k, rest = (np.concatenate(x) for x in zip(*held, strict=True))
+            o = np.argsort(key, kind="stable")
+            key, k, rest = key[o], k[o], rest[o]
+            cut = np.flatnonzero(np.diff(key, prepend=-1))
+            return (key[cut], np.add.reduceat(k, cut), np.minimum.reduceat(rest, cut)) if len(key) else total
+
         for i in range(len(name) - 1):
             # partners are not smaller; the block ends where the size rules them out
             last = int(ends[i])
             j = i + 1 + int(np.searchsorted(n[i + 1:last], n[i] * den // num, side="right"))
             if j > i + 1:
                 rest = np.minimum(n[i] - pos[i] - 1, n[i + 1:j] - pos[i + 1:j] - 1)
-                for x in (np.flatnonzero((comp[i + 1:j] != comp[i]) & (1 + pos[i] + rest >= need(n[i], n[i + 1:j], num, den)))).tolist():
-                    y = i + 1 + x
-                    key = (int(c[i]), int(c[y]), int(n[i]), int(n[y]))
-                    seen = pairs.get(key)
-                    if seen is None:
-                        pairs[key] = [1, int(rest[x])]
-                    else:
-                        seen[0] += 1
-                        seen[1] = min(seen[1], int(rest[x]))
-        cols = list(zip(*[(*k, *v) for k, v in pairs.items()])) or [()] * 6
+                x = np.flatnonzero((comp[i + 1:j] != comp[i]) & (1 + before[i] + rest >= need(n[i], n[i + 1:j], num, den)))
+                if len(x):
+                    held.append((at[i] * len(who) + at[i + 1 + x], np.ones(len(x), np.int64), rest[x]))
+                    size += len(x)
+                    if size > 1_000_000:
+                        held, size = [merged()], 0
+        key, k, rest = merged()
+        a, b = who[key // max(1, len(who))], who[key % max(1, len(who))]
+        cols = (a[:, 0], b[:, 0], a[:, 1], b[:, 1], k, rest)
         return pa.table({f.name: pa.array(x, pa.int64()) for f, x in zip(_PAIR.fields, cols, strict=True)})
 
     found = rows.groupBy(F.shiftright("list", 32).alias("bucket")).applyInArrow(run, _PAIR)
     pairs = found.groupBy("a", "b", "an", "bn").agg(F.sum("k").alias("k"), F.min("rest").alias("rest"))
+    long_ = near(stored(rows.where(F.col("len") > FREQUENT).groupBy("c").agg(F.count("*").alias("m")), "long-lists"))
+    pairs = (pairs.join(long_.select(F.col("c").alias("a"), F.col("m").alias("am")), "a", "left")
+             .join(long_.select(F.col("c").alias("b"), F.col("m").alias("bm")), "b", "left"))
     least = F.ceil(F.lit(num) * (F.col("an") + F.col("bn")) / F.lit(num + den))
 
     def behind(n):  # shingles behind the prefix
         return n - (n - F.ceil(F.lit(num) * n / F.lit(den)) + 1)
 
     # one more: two shingles of a class may share their 32 bits in a bucket
-    most = F.col("k") + 1 + F.least("rest", F.greatest(behind(F.col("an")), behind(F.col("bn"))))
+    most = (F.col("k") + 1 + F.least(F.coalesce("am", F.lit(0)), F.coalesce("bm", F.lit(0)))
+            + F.least("rest", F.greatest(behind(F.col("an")), behind(F.col("bn")))))
     return pairs.where(most >= least).select("a", "b")
 
 
