@@ -50,8 +50,6 @@ from quarry.llm.hashing import PLAIN, counts_by_text, text_windows, windows
 #: A shingle in more rows than this is ordered behind the others, if it is among the MAX_FREQUENT.
 FREQUENT = 16
 MAX_FREQUENT = 1 << 20
-#: Only shingles in this lower part of the hash range are counted: prefixes hardly reach further.
-COUNTED = 0.4
 #: Shingles of one hash bucket, about; sets the number of buckets.
 BUCKET = 1 << 18
 
@@ -131,10 +129,8 @@ def _by_bucket(bucket: np.ndarray, low: np.ndarray):
 
 def _frequent(docs: DataFrame, width: int, buckets: int) -> np.ndarray:
     """Keys (bucket, 32 bits) of frequent shingles, the most frequent ``MAX_FREQUENT`` at most, sorted."""
-    top = np.uint64(int(COUNTED * 2**64))
-
     def emit(batches: Iterator[pa.RecordBatch]):
-        for group in _new_sets(batches, width, 3_000_000, lambda s: s[:np.searchsorted(s, top)].copy()):
+        for group in _new_sets(batches, width, 3_000_000, lambda s: s):
             bucket, low = bucket_of(np.concatenate(list(group.values())), buckets)
             key, n = np.unique(bucket.astype(np.uint64) << np.uint64(32) | low, return_counts=True)
             n = np.minimum(n, 255).astype(np.uint8)
