@@ -9,11 +9,16 @@ space, trimmed. Lines of equal plain form are one class. A class's set holds the
    parts of the hash range; an empty part takes the next one's). Lines of about ``SHORT`` shingles get
    both kinds, so that no pair falls between.
 2. *Bands.* Each band of ``ROWS`` values is hashed; (band hash, class) entries go to buckets as packed
-   arrays, with 64 bits of the class and 32 of the hash: what collides adds candidates only. Classes that share a band hash are candidates: each with the smallest class of its list and
-   with the next one, so a list of any length gives at most twice as many pairs as entries (and all
-   pairs up to ``SMALL`` entries). At similarity 0.8 one pair is missed by all bands with probability 0.002.
-3. *Verification* of the candidates by the exact Jaccard similarity of their sets.
-4. *Union-find* (``common.components``) over verified pairs; of each component the first line, by
+   arrays, with 64 bits of the class and 32 of the hash: what collides adds candidates only. All classes
+   that share a band hash are candidates; at similarity 0.8 one pair shares none with probability 0.002.
+3. *First candidates.* Each class with the smallest class of its list and with the next one, so a list of
+   any length gives at most twice as many pairs as entries (and all pairs up to ``SMALL`` entries). They
+   are verified by the exact Jaccard similarity of their sets and merged into components.
+4. *Open lists.* Longer lists that still hold several components are compared across them, whole: lists
+   beyond ``BLOCK`` classes or ``BLOCK_BYTES`` in pairs of blocks. Sizes and the parity sketches of the sets
+   (bits that differ never outnumber the shingles that do) rule out pairs that cannot reach the
+   threshold, the others are verified. Only pairs of one component are skipped.
+5. *Union-find* (``common.components``) over verified pairs; of each component the first line, by
    document id, then text hash, then line number, is kept, all others go.
 
 Defined results: null text has no lines; lines without characters other than white space are always
@@ -41,6 +46,10 @@ SHORT = 400
 SMALL = 6
 #: Entries of one bucket, about.
 BUCKET = 1 << 17
+#: Classes and bytes of text of one block of an open list, about.
+BLOCK, BLOCK_BYTES = 2048, 4 << 20
+#: Bits of a parity sketch, as a power of 2.
+SKETCH = 10
 
 _r = np.random.default_rng(11)
 _FACTORS = _r.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -131,7 +140,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 _LINE = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("line", T.IntegerType()),
                       T.StructField("cls", T.BinaryType())])
 _PACK = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("packed", T.BinaryType())])
-_PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+_FOUND = T.StructType([T.StructField("list", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 _LINK = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 _TEXT = T.StructType([T.StructField("c", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("plain", T.BinaryType())])
 
@@ -158,7 +167,7 @@ def occurrences(src: DataFrame) -> DataFrame:
 
 
 def candidates(src: DataFrame, buckets: int) -> DataFrame:
-    """Pairs of classes that share a band hash."""
+    """(null, a, b): first candidates; (list, class, null): the entries of lists beyond ``SMALL``."""
     def emit(batches: Iterator[pa.RecordBatch]):
         seen: set[bytes] = set()
         keys: list[np.ndarray] = []
@@ -221,10 +230,14 @@ def candidates(src: DataFrame, buckets: int) -> DataFrame:
             b.append(i[ok] - d)
         a, b = np.concatenate(a), np.concatenate(b)
         both = np.unique(np.stack([c[b], c[a]], axis=1), axis=0).view(np.int64) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+        long_ = n > SMALL
+        name = np.int64(t.column("bucket")[0].as_py() << 32) | k[long_].astype(np.int64)
+        return pa.table({"list": pa.concat_arrays([pa.nulls(len(both), pa.int64()), pa.array(name, pa.int64())]),
+                         "a": pa.array(np.concatenate([both[:, 0], c[long_].view(np.int64)]), pa.int64()),
+                         "b": pa.concat_arrays([pa.array(both[:, 1], pa.int64()), pa.nulls(len(name), pa.int64())])})
 
     # band hashes are even, so buckets are: an entry for each class and band, whatever repeats
-    return src.mapInArrow(emit, _PACK).groupBy("bucket").applyInArrow(pair, _PAIR).distinct()
+    return src.mapInArrow(emit, _PACK).groupBy("bucket").applyInArrow(pair, _FOUND).distinct()
 
 
 def class_texts(src: DataFrame, classes: DataFrame) -> DataFrame:
@@ -266,15 +279,99 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, _LINK)
 
 
+def sketches(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(sets, words) parity sketches of sets of distinct hashes ``h``, ``n`` of each: a bit tells whether an
+    odd number of hashes falls to it, so two sketches differ in at most as many bits as the sets in hashes."""
+    at = np.repeat(np.arange(len(n)) << SKETCH, n) + (h >> np.uint64(64 - SKETCH)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(n) << SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(n), -1), axis=1).view(np.uint64)
+
+
+def links_across(sets: list[np.ndarray], comp: np.ndarray, block: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Pairs that reach the threshold and join the components ``comp`` (numbers) as all such pairs would,
+    in one block or, if there are two, across them."""
+    n = np.array([len(s) for s in sets])
+    bits = sketches(np.concatenate(sets), n)
+    root, out = comp.copy(), []
+    across = block.min() != block.max()
+    count = np.bincount(comp)
+    order = np.argsort(count[comp], kind="stable")  # members of the largest component meet all others, not each other
+    last = len(order) - (int(count.max()) if (count == count.max()).sum() == 1 else 0)
+    for x, i in enumerate(order[:last]):
+        j = order[x + 1:]
+        j = j[(root[j] != root[i]) & (np.minimum(n[j], n[i]) >= threshold * np.maximum(n[j], n[i]) - 1e-6)]
+        if across:
+            j = j[block[j] != block[i]]
+        if len(j):
+            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            for k in j[apart <= (n[j] + n[i]) * (1 - threshold) / (1 + threshold) + 1e-6]:
+                if root[k] != root[i]:
+                    both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                    if both / (n[i] + n[k] - both) >= threshold:
+                        root[root == root[k]] = root[i]
+                        out.append((int(i), int(k)))
+    return out
+
+
+def open_links(lists: DataFrame, texts: DataFrame, comp: DataFrame, threshold: float) -> DataFrame | None:
+    """Verified pairs between components within ``lists(list, c)``; ``comp(cls, component)`` has the classes
+    of components of two and more."""
+    texts = texts.join(comp, "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
+    who = stored(texts.select("c", "comp", F.octet_length("plain").alias("size")), "line-components")
+    mixed = (lists.join(near(who), "c").groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), F.sum("size").alias("size"))
+             .where("low <> high").select("list", "n", "size", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int").alias("blocks")))
+    mixed = stored(mixed, "open-lists")
+    total = mixed.agg(F.sum(F.col("n") * F.col("blocks")).alias("n"), F.sum(F.col("size") * F.col("blocks")).alias("size")).first()
+    if not total["n"]:
+        return None
+    groups = max(64, total["n"] // (4 * BLOCK), total["size"] // (4 * BLOCK_BYTES))
+    rows = (lists.join(near(mixed.select("list", "blocks")), "list").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("list", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+    rows = rows.join(texts.select("c", "cls", "comp", "plain"), "c").select("list", "i", "j", "block", "cls", "comp", "plain")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("list", "ascending"), ("i", "ascending"), ("j", "ascending"), ("cls", "ascending")])
+        cls, at, sets = t.column("cls").to_pylist(), {}, []
+        texts_of = {c: p for c, p in zip(cls, t.column("plain").to_pylist(), strict=True)}
+        names = list(texts_of)
+        for a in range(0, len(names), 4096):
+            h, first = shingles([texts_of[c] for c in names[a:a + 4096]])
+            for c, x, y in zip(names[a:a + 4096], first, [*first[1:], len(h)], strict=True):
+                at[c] = len(sets)
+                sets.append(np.unique(h[x:y]))
+        which = np.array([at[c] for c in cls])
+        comp_no: dict[bytes, int] = {}
+        number = np.array([comp_no.setdefault(x, len(comp_no)) for x in t.column("comp").to_pylist()])
+        block = t.column("block").to_numpy()
+        key = np.stack([t.column(k).to_numpy() for k in ("list", "i", "j")], axis=1)
+        cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])).tolist()
+        out = []
+        for x, y in zip(cut, [*cut[1:], len(cls)], strict=True):
+            own = np.unique(number[x:y], return_inverse=True)[1].reshape(-1)
+            if own.max() > 0 and (key[x, 1] == key[x, 2] or block[x:y].min() != block[x:y].max()):
+                out += [(cls[x + a], cls[x + b]) for a, b in links_across([sets[k] for k in which[x:y]], own, block[x:y], threshold)]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
+
+    return rows.groupBy(F.pmod(F.xxhash64("list", "i", "j"), F.lit(groups)).alias("group")).applyInArrow(run, _LINK)
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """Per document row: id, ``n_lines``, ``kept`` (line numbers from 0, in order) and the text's hash
     ``h`` that tells documents of one id apart."""
     src = docs.select(col(id_col).cast("long").alias("id"), F.xxhash64(col(text_col).cast("binary")).alias("h"), col(text_col).cast("binary").alias("text"))
     seen = stored(occurrences(src), "lines")
     n = seen.count()
-    pairs = stored(candidates(src, max(64, n * BANDS // BUCKET)), "pairs")
+    found = stored(candidates(src, max(64, n * BANDS // BUCKET)), "pairs")
+    pairs = found.where("list is null").select("a", "b")
     texts = stored(class_texts(src, stored(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct(), "involved")), "line-texts")
-    comp = components(stored(verified(pairs, texts, threshold), "links")).select(F.col("node").alias("cls"), "component")
+    links = stored(verified(pairs, texts, threshold), "links")
+    comp = components(links).select(F.col("node").alias("cls"), "component")
+    more = open_links(found.where("list is not null").select("list", F.col("a").alias("c")), texts, comp, threshold)
+    if more is not None:
+        more = stored(more, "open-links")
+        if not more.isEmpty():
+            comp = components(links.union(more)).select(F.col("node").alias("cls"), "component")
     first = seen.where("cls is not null").groupBy("cls").agg(F.min(F.struct("id", "h", "line")).alias("at"))
     first = first.join(comp, "cls", "left").groupBy(F.coalesce("component", "cls").alias("group")).agg(F.min("at").alias("at"))
     kept = (first.select("at.*").union(seen.where("cls is null").select("id", "h", "line").distinct())

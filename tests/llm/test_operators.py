@@ -103,6 +103,40 @@ def test_fuzzy_lines(spark, docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_similar_lines_in_long_mixed_lists(spark, monkeypatch):
+    """Pairs of similar lines on one template, whose lists hold hundreds of lines that are not similar
+    enough: each pair is found, whatever stands between in the list, also across blocks."""
+    r = random.Random(8)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    template, lines = letters(240), []
+    for _ in range(600):
+        x = template + letters(40)
+        y = list(x)
+        for at in (60, 120, 180):
+            y[at] = chr(35 + r.randrange(25))
+        lines += [x, "".join(y)]
+    sets = [frozenset(x[k:k + 8] for k in range(len(x) - 7)) for x in lines]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(alike(i, i + 1) > 0.82 and alike(i, (i + 2) % 1200) < 0.79 and alike(i + 1, (i + 3) % 1200) < 0.79 for i in range(0, 1200, 2))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string").repartition(4)
+    for block in (line_dedup.BLOCK, 150):
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        got = {x["doc_id"]: x["kept"] for x in line_dedup.dedup_lines(df).collect()}
+        assert got == {i: [0] if i % 2 == 0 else [] for i in range(1200)}
+
+
+def test_sketches_never_rule_out_links():
+    r = np.random.default_rng(6)
+    for n in (1, 5, 60, 900, 20000):
+        a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        for changed in {0, n // 50, n // 10, n // 9}:
+            b = np.unique(np.concatenate([a[changed:], r.integers(0, 2**64, changed, dtype=np.uint64)]))
+            x, y = line_dedup.sketches(np.concatenate([a, b]), np.array([len(a), len(b)]))
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+            linked = line_dedup.links_across([a, b], np.array([0, 1]), np.zeros(2, int), 0.8)
+            assert bool(linked) == (line_dedup.similarity(a, b) >= 0.8)
+
+
 def test_benchmark_windows(spark, docs, empty):
     rows = docs.collect()
     texts = [r["text"] for r in rows if r["text"]]
