@@ -251,6 +251,23 @@ def test_reputation_shrinks(spark):
     assert rep["c.bad.net"]["mean"] < rep["d.bad.net"]["mean"] < 1 and all(r["lower"] <= r["mean"] <= r["upper"] for r in rep.values())
 
 
+def test_hosts_without_outcomes(spark):
+    """Such a host has the mean of its domain, else of its suffix, else of the table."""
+    rows = [("a.bad.net", 0)] * 60 + [("b.bad.net", 0)] * 50 + [("b.bad.net", 1)] + [("www.fine.net", 1)] * 400 + [("good.org", 1)] * 80 + [("x.good.org", 1)] * 40 + [("x.good.org", 0)]
+    outcomes = spark.createDataFrame(rows, "host string, good int")
+    urls = ["http://new.bad.net/1", "http://new.bad.net/2", "http://bad.net/", "http://new.fine.net/", "http://other.net/", "http://y.good.org/", "http://far.xyz/", None, "http://a.bad.net/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.judge(pages, outcomes, []).collect()}
+    assert [got[i]["verdict"] for i in range(len(urls))] == ["block", "block", "block", "allow", "allow", "allow", "allow", "allow", "block"]
+    assert all(r["mean"] is not None and r["upper"] >= r["mean"] for r in got.values())
+    rep = {r["host"]: r for r in url_filter.reputation(outcomes, hosts=pages.select(url_filter.host_of(pages.url).alias("host"))).collect()}
+    assert rep["new.bad.net"]["n"] == 0 and rep["new.bad.net"]["mean"] == rep["bad.net"]["mean"] < rep["other.net"]["mean"] < rep["new.fine.net"]["mean"]
+    n, good = len(rows), sum(g for _, g in rows)
+    assert rep["far.xyz"]["mean"] == rep[""]["mean"] == pytest.approx((good + 0.5) / (n + 1))
+    before = {r["host"]: r for r in url_filter.reputation(outcomes).collect()}  # further hosts change nothing for those with outcomes
+    assert all(rep[h]["mean"] == pytest.approx(r["mean"]) and rep[h]["upper"] == pytest.approx(r["upper"]) for h, r in before.items())
+
+
 def test_nearest(spark):
     r = np.random.default_rng(4)
     rows = [(i, [float(x) for x in r.standard_normal(8)], 1) for i in range(400)]
