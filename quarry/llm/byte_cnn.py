@@ -7,8 +7,8 @@ response over the chunk make the chunk's features. The chunks' features are pool
 document (largest and mean), and a hidden layer combines them into one probability.
 
 The model is trained on a bounded sample of labelled documents (``TRAIN_DOCS``, the first by a hash
-of the id) on the driver, in a fixed order from a fixed seed, so that reruns agree. Scoring runs in
-Arrow slices, whole texts, chunk by chunk.
+of the id) on the driver, on all chunks of their whole texts, in a fixed order from a fixed seed, so
+that reruns agree. Scoring runs in Arrow slices, whole texts, by the same chunks.
 
 Defined results: null text scores as the empty text (one chunk of padding); labels that are null
 or have no document teach nothing; a document with contradictory labels teaches the smaller; with
@@ -28,10 +28,10 @@ from quarry.llm.common import append_by_batch, binary_parts, col
 
 #: Labelled documents that training takes at most.
 TRAIN_DOCS = 2000
-#: Bytes of a training document are taken as at most this many whole chunks spread over it.
-TRAIN_CHUNKS = 3
 FILTERS, WIDTH, HIDDEN = 16, 4, 16
 CHUNK, OVERLAP = 512, 8
+#: Chunks whose responses are held at once.
+GROUP = 64
 EPOCHS, BATCH, RATE = 6, 32, 5e-3
 
 
@@ -69,11 +69,10 @@ class Model:
         step = CHUNK - OVERLAP
         starts = np.arange(0, max(1, len(text) - OVERLAP), step)
         top, mean = np.zeros((len(starts), FILTERS), np.float32), np.zeros((len(starts), FILTERS), np.float32)
-        group = 64  # chunks whose responses are held at once
-        for a in range(0, len(starts), group):
-            part = text[starts[a]:min(len(text), starts[min(a + group, len(starts)) - 1] + CHUNK)]
+        for a in range(0, len(starts), GROUP):
+            part = text[starts[a]:min(len(text), starts[min(a + GROUP, len(starts)) - 1] + CHUNK)]
             r = self.respond(part)
-            for j in range(a, min(a + group, len(starts))):
+            for j in range(a, min(a + GROUP, len(starts))):
                 x = r[starts[j] - starts[a]:starts[j] - starts[a] + CHUNK - WIDTH + 1]
                 if len(x):
                     top[j], mean[j] = x.max(axis=0), x.mean(axis=0)
@@ -96,15 +95,6 @@ def padded(text: np.ndarray) -> np.ndarray:
     return text if len(text) >= WIDTH else np.concatenate([text, np.zeros(WIDTH - len(text), np.uint8)])
 
 
-def _chunks(text: np.ndarray, most: int) -> np.ndarray:
-    """(m, CHUNK) whole chunks spread evenly over the text; short texts are padded with zero bytes."""
-    if len(text) < CHUNK:
-        text = np.concatenate([text, np.zeros(CHUNK - len(text), np.uint8)])
-    m = max(1, min(most, -(-(len(text) - OVERLAP) // (CHUNK - OVERLAP))))
-    at = np.linspace(0, len(text) - CHUNK, m).astype(np.int64)
-    return text[at[:, None] + np.arange(CHUNK)]
-
-
 def train(texts: list[bytes], labels: list[int], seed: int = 3) -> Model:
     """Adam on the logistic loss; the filters learn through the
     places of their largest responses, the means are features only."""
@@ -113,11 +103,11 @@ def train(texts: list[bytes], labels: list[int], seed: int = 3) -> Model:
     if len(y) == 0 or y.min() == y.max():
         model.constant = float(y.mean()) if len(y) else 0.5
         return model
-    docs = [_chunks(np.frombuffer(t, np.uint8), TRAIN_CHUNKS) for t in texts]
+    docs = [padded(np.frombuffer(t, np.uint8)) for t in texts]
     r = np.random.default_rng(seed)
     m1, m2 = [np.zeros_like(p) for p in model.params()], [np.zeros_like(p) for p in model.params()]
-    # features start centred on a first look at the data
-    look = [_forward(model, d)[0] for d in docs[:200]]
+    # features start centred on a first look at the whole sample
+    look = [model.features(d) for d in docs]
     model.centre, model.scale = np.mean(look, axis=0), np.std(look, axis=0) + 1e-2
     t = 0
     for _ in range(EPOCHS):
@@ -134,13 +124,13 @@ def train(texts: list[bytes], labels: list[int], seed: int = 3) -> Model:
             df = (dh @ model.w1.T) / model.scale
             g_table, g_bias = np.zeros_like(model.table), np.zeros_like(model.bias)
             for i, (_, best_chunk, best_place, top) in zip(range(len(idx)), parts, strict=True):
-                chunks, n_c = docs[idx[i]], len(docs[idx[i]])
+                n_c = len(top)
                 d_tmax, d_tmean = df[i, :FILTERS], df[i, FILTERS:2 * FILTERS]
                 d_top = np.tile(d_tmean / n_c, (n_c, 1))
                 d_top[best_chunk, np.arange(FILTERS)] += d_tmax
                 d_top *= top > 0
                 for k in range(WIDTH):
-                    b = np.take_along_axis(chunks, best_place + k, axis=1)  # (n_c, FILTERS)
+                    b = docs[idx[i]][best_place + k]  # (n_c, FILTERS)
                     np.add.at(g_table[k], (b, np.broadcast_to(np.arange(FILTERS), b.shape)), d_top)
                 g_bias += d_top.sum(axis=0)
             grads = [g_table, g_bias, f.T @ dh, dh.sum(axis=0), h.T @ dz, np.array([dz.sum()], np.float32)]
@@ -152,17 +142,20 @@ def train(texts: list[bytes], labels: list[int], seed: int = 3) -> Model:
     return model
 
 
-def _forward(model: Model, chunks: np.ndarray):
-    places = CHUNK - WIDTH + 1
-    resp = model.table[0].take(chunks[:, :places], axis=0)
-    for k in range(1, WIDTH):
-        resp += model.table[k].take(chunks[:, k:k + places], axis=0)
-    resp += model.bias
-    np.maximum(resp, 0, out=resp)
-    place = resp.argmax(axis=1)
-    top, mean = np.take_along_axis(resp, place[:, None, :], axis=1)[:, 0, :], resp.mean(axis=1)
-    f = np.concatenate([top.max(axis=0), top.mean(axis=0), mean.max(axis=0), mean.mean(axis=0)])
-    return f, top.argmax(axis=0), place, top
+def _forward(model: Model, text: np.ndarray):
+    """``model.features`` of a padded text, the chunk of each filter's largest response, and by chunk
+    the place in the text and the value of the largest response."""
+    step, places = CHUNK - OVERLAP, CHUNK - WIDTH + 1
+    starts = np.arange(0, max(1, len(text) - OVERLAP), step)
+    place = np.zeros((len(starts), FILTERS), np.int64)
+    top, mean = np.zeros((len(starts), FILTERS), np.float32), np.zeros((len(starts), FILTERS), np.float32)
+    for a in range(0, len(starts), GROUP):
+        r = model.respond(text[starts[a]:min(len(text), starts[min(a + GROUP, len(starts)) - 1] + CHUNK)])
+        for j in range(a, min(a + GROUP, len(starts))):
+            x = r[starts[j] - starts[a]:starts[j] - starts[a] + places]
+            best = x.argmax(axis=0)
+            place[j], top[j], mean[j] = starts[j] + best, x[best, np.arange(FILTERS)], x.mean(axis=0)
+    return np.concatenate([top.max(axis=0), top.mean(axis=0), mean.max(axis=0), mean.mean(axis=0)]), top.argmax(axis=0), place, top
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
@@ -175,11 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         ids = ids.where(~held_out(F.col("id")))
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS)
     rows = (docs.select(col(id_col).alias("id"), col(text_col).cast("binary").alias("t")).join(F.broadcast(ids), "id")
-            .select("id", "y", F.coalesce("t", F.lit(b"")).alias("t"), F.octet_length("t").alias("n")))
-    # a long text gives the bytes of its training chunks only
-    at = [F.floor((F.col("n") - CHUNK) * i / (TRAIN_CHUNKS - 1)).cast("int") + 1 for i in range(TRAIN_CHUNKS)]
-    cut = F.concat(*[F.substring(F.col("t"), a, F.lit(CHUNK)) for a in at])
-    rows = rows.select("id", "y", F.when(F.col("n") > CHUNK * TRAIN_CHUNKS, cut).otherwise(F.col("t")).alias("t")).collect()
+            .select("id", "y", F.coalesce("t", F.lit(b"")).alias("t"))).collect()
     rows = sorted(rows, key=lambda r: (r["id"], bytes(r["t"])))
     return train([bytes(r["t"]) for r in rows], [int(r["y"]) for r in rows])
 

@@ -314,6 +314,36 @@ def test_cnn_covers_whole_text():
         assert np.allclose(f[:byte_cnn.FILTERS], whole)  # the largest response over chunks is that of the text
 
 
+def test_cnn_learns_from_whole_texts():
+    """Marks that stand anywhere but at the start, in the middle or at the end of long texts; clean texts
+    are not rejected, however long."""
+    r = random.Random(4)
+    word = lambda: r.choice(["the", "and", "other", "then"])
+
+    def text(n, marked):
+        w = [word() for _ in range(n)]
+        for _ in range(n // 40 + 1 if marked else 0):
+            w[int(n * r.choice([r.uniform(0.2, 0.35), r.uniform(0.65, 0.8)]))] = "#$%&"
+        return " ".join(w).encode()
+
+    sizes = [600, 1200, 2400]
+    y = [int(i % 2) for i in range(120)]
+    model = byte_cnn.train([text(sizes[i % 3], not y[i]) for i in range(120)], y)
+    for n in (60, *sizes, 9600):
+        score = lambda marked: [model.head(model.features(np.frombuffer(text(n, marked), np.uint8))[None])[0] for _ in range(15)]  # noqa: B023, E731
+        good, bad = score(False), score(True)
+        assert min(good) > max(bad) and min(good) >= queries.QUALITY_SCORE
+
+
+def test_cnn_trains_on_the_scored_features():
+    model = byte_cnn.Model()
+    for n in (0, 3, 100, 513, 5000, 64 * 504 + 9):
+        text = byte_cnn.padded(np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8))
+        f, best, place, top = byte_cnn._forward(model, text)
+        assert np.allclose(f, model.features(text), atol=1e-5) and np.allclose(top[best, np.arange(byte_cnn.FILTERS)], f[:byte_cnn.FILTERS])
+        assert place.max() + byte_cnn.WIDTH <= len(text)
+
+
 def test_page_text(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no";</script></head><body>
       <header><h2>Site</h2></header><nav><ul><li><a href=x>Home</a><li><a href=y>More</a></ul></nav><div class="cookie-notice">We use cookies here</div>
