@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann_join, byte_cnn, chat_format, decontam, html_text, jaccard_join, line_dedup, source_mix, token_codes, url_filter
+from quarry.llm import ann_join, byte_cnn, chat_format, decontam, html_text, jaccard_join, license_scan, line_dedup, source_mix, token_codes, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -166,3 +166,43 @@ def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions for each document: its lines, how many stay, which (numbers from 0)."""
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", F.size("kept").cast("long").alias("n_kept"), "kept")
+
+
+#: Phrases of the license query and their labels.
+LICENSE_PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+
+
+@query
+def op11_license_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), LICENSE_PHRASES)
+
+
+def _license_sql() -> str:
+    """Every block against every template, every place against every phrase."""
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    notices = ", ".join(f"('{t.label}', {listed(t.tokens)}, {t.need})" for t in license_scan.NOTICES)
+    phrases = ", ".join(f"('{label}', {listed(text.split())})" for text, label in LICENSE_PHRASES.items())
+    return rf"""
+WITH low AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+notice(label, tokens, need) AS (VALUES {notices}),
+phrase(label, words) AS (VALUES {phrases}),
+block AS (SELECT r, list_distinct(w[s + 1:s + {2 * license_scan.STRIDE}]) AS b
+          FROM (SELECT r, w, unnest(range(0, len(w), {license_scan.STRIDE})) AS s FROM low)),
+met AS (SELECT r, label, o / len(tokens) AS share
+        FROM (SELECT r, label, tokens, need, len(list_intersect(b, tokens)) AS o FROM block, notice) WHERE o >= need),
+place AS (SELECT r, label, i - 1 AS p
+          FROM (SELECT r, label, w, words, unnest(range(1, len(w) - len(words) + 2)) AS i FROM low, phrase WHERE len(w) >= len(words))
+          WHERE w[i] = words[1] AND w[i:i + len(words) - 1] = words),
+base AS (SELECT r, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS names
+         FROM place GROUP BY r),
+every AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS names, max(share) AS score
+          FROM (SELECT r, label, share FROM met UNION ALL SELECT r, label, 1.0::DOUBLE FROM place) GROUP BY r)
+SELECT low.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base.names, '') AS base_labels,
+       coalesce(every.names, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM low LEFT JOIN base USING (r) LEFT JOIN every USING (r)
+"""
+
+
+ORACLE["op11_license_blocks"] = _license_sql()
