@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann_join, byte_cnn, chat_format, decontam, html_text, jaccard_join, license_scan, line_dedup, source_mix, token_codes, url_filter
+from quarry.llm import ann_join, byte_cnn, chat_format, decontam, filter_audit, html_text, jaccard_join, license_scan, line_dedup, source_mix, token_codes, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -206,3 +206,39 @@ FROM low LEFT JOIN base USING (r) LEFT JOIN every USING (r)
 
 
 ORACLE["op11_license_blocks"] = _license_sql()
+
+
+@query
+def op12_survival_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "source"),
+                              table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
+ORACLE["op12_survival_words"] = r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+mark AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+fail AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CAST(len(w) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INT)
+         + 4 * CAST(100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+         + 16 * CAST(coalesce(doc_id > first, false) AS INT) AS m
+  FROM doc LEFT JOIN mark USING (doc_id)),
+letter AS (SELECT unnest(range(0, 5)) AS f),
+orders AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (
+  SELECT array_to_string(list_transform(o, lambda x: 'ABCDE'[x + 1]), '') AS filter_order, k AS step, CAST(1 << o[k] AS INT) AS f,
+         CAST(coalesce(list_sum(list_transform(o[1:k - 1], lambda x: 1 << x)), 0) AS INT) AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS k)),
+counts AS (
+  SELECT part, filter_order, step, f, count(*) FILTER (m & (before | f) = 0) AS kept, count(*) FILTER (m & before = 0 AND m & f <> 0) AS removed,
+         count(*) FILTER (m & before <> 0 AND m & f <> 0) AS redundant, count(*) FILTER (m = f) AS unique_fails,
+         count(*) FILTER (m & before = 0 AND m & f <> 0 AND good) AS good_lost, count(*) FILTER (m & before = 0 AND m & f <> 0 AND toxic) AS toxic_lost
+  FROM fail, steps GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counts
+"""
