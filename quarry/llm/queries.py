@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann_join, byte_cnn, chat_format, decontam, filter_audit, html_text, jaccard_join, license_scan, line_dedup, source_mix, token_codes, url_filter
+from quarry.llm import ann_join, byte_cnn, chat_format, decontam, filter_audit, html_text, jaccard_join, license_scan, line_dedup, source_mix, spelling, token_codes, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -242,3 +242,43 @@ SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant,
        CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
 FROM counts
 """
+
+
+@query
+def op13_kd_tree_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE["op13_kd_tree_variants"] = r"""
+WITH RECURSIVE bits AS (
+  SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) AS x(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+run AS (
+  SELECT s, run, count(*) AS n
+  FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS s, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY 1, 2),
+code AS (SELECT run, n, hex(encode(s || ':' || run)) AS x FROM run),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, CAST(length(x) / 2 AS BIGINT)),
+           lambda i: CAST(16 * strpos('0123456789ABCDEF', x[2 * i + 1]) + strpos('0123456789ABCDEF', x[2 * i + 2]) - 17 AS BIGINT))),
+           lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM code, crc),
+voc AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT n, CASE WHEN h % 31 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+cut AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM voc),
+hole AS (SELECT word, n, i, word[1:i - 1] || '*' || word[i + 1:] AS p, word[1:i - 1] || word[i + 1:] AS q FROM cut),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM hole a JOIN hole b ON a.p = b.p AND a.word <> b.word
+  UNION SELECT hole.word, voc.word, voc.n FROM hole JOIN voc ON hole.q = voc.word
+  UNION SELECT voc.word, hole.word, hole.n FROM hole JOIN voc ON hole.q = voc.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS best_n FROM near GROUP BY 1),
+known AS (
+  SELECT voc.word, CASE WHEN best_n >= 10 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n
+  FROM voc LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS node FROM known UNION ALL SELECT chain.word, form FROM chain JOIN known ON known.word = node WHERE form IS NOT NULL),
+root AS (SELECT chain.word, node AS root FROM chain JOIN known ON known.word = node WHERE form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM known JOIN root USING (word)
+"""
