@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     names = E.queries()
-    assert {re.match(r"op(\d+)_", k)[1] for k in names if re.match(r"op\d+_", k)} == {str(i) for i in range(1, 11)} and "pipeline" in names
+    assert {re.match(r"op(\d+)_", k)[1] for k in names if re.match(r"op\d+_", k)} == {str(i) for i in range(1, 14)} and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
