@@ -6,8 +6,8 @@ which is a convolution over one-hot bytes), a rectifier follows, and each filter
 response over the chunk make the chunk's features. The chunks' features are pooled over the
 document (largest and mean), and a hidden layer combines them into one probability.
 
-The model is trained on a bounded sample of labelled documents (``TRAIN_DOCS``, the first by a hash
-of the id) on the driver, on all chunks of their whole texts, in a fixed order from a fixed seed, so
+The model is trained on a bounded sample of labelled documents (``TRAIN_DOCS`` and ``TRAIN_BYTES``, the
+first by a hash of the id) on the driver, on all chunks of their whole texts, in a fixed order from a fixed seed, so
 that reruns agree. Scoring runs in Arrow slices, whole texts, by the same chunks.
 
 Defined results: null text scores as the empty text (one chunk of padding); labels that are null
@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import append_by_batch, binary_parts, col
+from quarry.llm.common import append_by_batch, binary_parts, col, stored
 
 #: Labelled documents that training takes at most.
 TRAIN_DOCS = 2000
+#: Bytes of their texts that training takes at most.
+TRAIN_BYTES = 64 << 20
 FILTERS, WIDTH, HIDDEN = 16, 4, 16
 CHUNK, OVERLAP = 512, 8
 #: Chunks whose responses are held at once.
@@ -68,7 +70,7 @@ class Model:
         text = padded(text)
         step = CHUNK - OVERLAP
         starts = np.arange(0, max(1, len(text) - OVERLAP), step)
-        top, mean = np.zeros((len(starts), FILTERS), np.float32), np.zeros((len(starts), FILTERS), np.float32)
+        top, mean = np.zeros((2, len(starts), FILTERS), self.table.dtype)
         for a in range(0, len(starts), GROUP):
             part = text[starts[a]:min(len(text), starts[min(a + GROUP, len(starts)) - 1] + CHUNK)]
             r = self.respond(part)
@@ -96,8 +98,7 @@ def padded(text: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[bytes], labels: list[int], seed: int = 3) -> Model:
-    """Adam on the logistic loss; the filters learn through the
-    places of their largest responses, the means are features only."""
+    """Adam on the logistic loss, by the exact gradient of all parameters."""
     model = Model(seed)
     y = np.array(labels, np.float32)
     if len(y) == 0 or y.min() == y.max():
@@ -114,26 +115,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = 3) -> Model:
         order = r.permutation(len(docs))
         for a in range(0, len(order), BATCH):
             idx = order[a:a + BATCH]
-            parts = [_forward(model, docs[i]) for i in idx]
-            f = (np.stack([p[0] for p in parts]) - model.centre) / model.scale
-            pre = f @ model.w1 + model.b1
-            h = np.maximum(pre, 0)
-            p = 1 / (1 + np.exp(-np.clip(h @ model.w2 + model.b2, -30, 30)))
-            dz = ((p - y[idx]) / len(idx)).astype(np.float32)
-            dh = np.outer(dz, model.w2) * (pre > 0)
-            df = (dh @ model.w1.T) / model.scale
-            g_table, g_bias = np.zeros_like(model.table), np.zeros_like(model.bias)
-            for i, (_, best_chunk, best_place, top) in zip(range(len(idx)), parts, strict=True):
-                n_c = len(top)
-                d_tmax, d_tmean = df[i, :FILTERS], df[i, FILTERS:2 * FILTERS]
-                d_top = np.tile(d_tmean / n_c, (n_c, 1))
-                d_top[best_chunk, np.arange(FILTERS)] += d_tmax
-                d_top *= top > 0
-                for k in range(WIDTH):
-                    b = docs[idx[i]][best_place + k]  # (n_c, FILTERS)
-                    np.add.at(g_table[k], (b, np.broadcast_to(np.arange(FILTERS), b.shape)), d_top)
-                g_bias += d_top.sum(axis=0)
-            grads = [g_table, g_bias, f.T @ dh, dh.sum(axis=0), h.T @ dz, np.array([dz.sum()], np.float32)]
+            _, grads = loss_and_gradients(model, [docs[i] for i in idx], y[idx])
             t += 1
             for q, g, a1, a2 in zip(model.params(), grads, m1, m2, strict=True):
                 a1 += 0.1 * (g - a1)
@@ -142,35 +124,85 @@ def train(texts: list[bytes], labels: list[int], seed: int = 3) -> Model:
     return model
 
 
+def loss_and_gradients(model: Model, docs: list[np.ndarray], y: np.ndarray):
+    """Mean logistic loss of padded texts and its gradient for ``model.params()``. Filters learn through
+    all four pooled features: largest responses through their places, means through every place."""
+    parts = [_forward(model, d) for d in docs]
+    f = (np.stack([p[0] for p in parts]) - model.centre) / model.scale
+    pre = f @ model.w1 + model.b1
+    h = np.maximum(pre, 0)
+    z = np.clip(h @ model.w2 + model.b2, -30, 30)
+    loss = float(np.mean(np.logaddexp(0, z) - y * z))
+    dz = ((1 / (1 + np.exp(-z)) - y) / len(docs)).astype(np.float32)
+    dh = np.outer(dz, model.w2) * (pre > 0)
+    df = (dh @ model.w1.T) / model.scale
+    g_table, g_bias = np.zeros(model.table.shape, np.float64), np.zeros(FILTERS, np.float64)
+    for d, doc, part in zip(df, docs, parts, strict=True):
+        _filter_gradients(model, doc, part, d.reshape(4, FILTERS), g_table, g_bias)
+    return loss, [g_table.astype(np.float32), g_bias.astype(np.float32), f.T @ dh, dh.sum(axis=0), h.T @ dz, np.array([dz.sum()], np.float32)]
+
+
+def _filter_gradients(model: Model, text: np.ndarray, part, d: np.ndarray, g_table: np.ndarray, g_bias: np.ndarray) -> None:
+    """Add one document's share. ``d``: gradients of its features (largest and mean over chunks of the
+    largest response, of the mean response)."""
+    _, place, top, mean = part
+    n, each, step = len(top), np.arange(FILTERS), CHUNK - OVERLAP
+    d_top, d_mean = np.tile(d[1] / n, (n, 1)), np.tile(d[3] / n, (n, 1))
+    d_top[top.argmax(axis=0), each] += d[0]
+    d_mean[mean.argmax(axis=0), each] += d[2]
+    for a in range(0, n, GROUP):
+        last = min(a + GROUP, n)
+        piece = text[a * step:min(len(text), (last - 1) * step + CHUNK)]
+        r = model.respond(piece)
+        g = np.zeros_like(r)
+        for j in range(a, last):  # chunks overlap: places of both get a share of both
+            lo = (j - a) * step
+            hi = min(len(r), lo + CHUNK - WIDTH + 1)
+            g[lo:hi] += d_mean[j] / (hi - lo)
+        np.add.at(g, (place[a:last] - a * step, np.broadcast_to(each, (last - a, FILTERS))), d_top[a:last])
+        g *= r > 0
+        g_bias += g.sum(axis=0)
+        for k in range(WIDTH):
+            cell = piece[k:k + len(g)].astype(np.int64)[:, None] * FILTERS + each
+            g_table[k] += np.bincount(cell.ravel(), weights=g.ravel(), minlength=256 * FILTERS).reshape(256, FILTERS)
+
+
 def _forward(model: Model, text: np.ndarray):
-    """``model.features`` of a padded text, the chunk of each filter's largest response, and by chunk
-    the place in the text and the value of the largest response."""
+    """``model.features`` of a padded text, and by chunk the place in the text and the value of each
+    filter's largest response, and its mean response."""
     step, places = CHUNK - OVERLAP, CHUNK - WIDTH + 1
     starts = np.arange(0, max(1, len(text) - OVERLAP), step)
     place = np.zeros((len(starts), FILTERS), np.int64)
-    top, mean = np.zeros((len(starts), FILTERS), np.float32), np.zeros((len(starts), FILTERS), np.float32)
+    top, mean = np.zeros((2, len(starts), FILTERS), model.table.dtype)
     for a in range(0, len(starts), GROUP):
         r = model.respond(text[starts[a]:min(len(text), starts[min(a + GROUP, len(starts)) - 1] + CHUNK)])
         for j in range(a, min(a + GROUP, len(starts))):
             x = r[starts[j] - starts[a]:starts[j] - starts[a] + places]
             best = x.argmax(axis=0)
             place[j], top[j], mean[j] = starts[j] + best, x[best, np.arange(FILTERS)], x.mean(axis=0)
-    return np.concatenate([top.max(axis=0), top.mean(axis=0), mean.max(axis=0), mean.mean(axis=0)]), top.argmax(axis=0), place, top
+    return np.concatenate([top.max(axis=0), top.mean(axis=0), mean.max(axis=0), mean.mean(axis=0)]), place, top, mean
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
         held_out=None) -> Model:
-    """Train on at most ``TRAIN_DOCS`` labelled documents. The ids are chosen from ``labels`` alone
-    (by hash, without those for which ``held_out(id)`` holds), so only their texts are fetched, by a
-    join with a side of that bounded size."""
+    """Train on at most ``TRAIN_DOCS`` labelled documents of at most ``TRAIN_BYTES`` together: ids that
+    have a label and a document (without those for which ``held_out(id)`` holds), in the order of
+    their hash; whole texts, one for each id (of several the one of the smallest hash)."""
     ids = labels.where(col(label_col).isNotNull() & col(id_col).isNotNull()).groupBy(col(id_col).alias("id")).agg(F.min(col(label_col)).alias("y"))
     if held_out is not None:
         ids = ids.where(~held_out(F.col("id")))
-    ids = ids.orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS)
-    rows = (docs.select(col(id_col).alias("id"), col(text_col).cast("binary").alias("t")).join(F.broadcast(ids), "id")
-            .select("id", "y", F.coalesce("t", F.lit(b"")).alias("t"))).collect()
-    rows = sorted(rows, key=lambda r: (r["id"], bytes(r["t"])))
-    return train([bytes(r["t"]) for r in rows], [int(r["y"]) for r in rows])
+    rows = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col).cast("binary"), F.lit(b"")).alias("t"))
+    chosen = ids.join(rows.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS)
+    one = rows.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
+    one = stored(one.withColumn("bytes", F.octet_length("t")), "training")
+    total, take = 0, []
+    for r in one.select("id", "bytes").orderBy(F.xxhash64("id"), "id").collect():  # TRAIN_DOCS rows at most
+        total += r["bytes"]
+        if total > TRAIN_BYTES:
+            break
+        take.append(r["id"])
+    found = sorted(one.where(F.col("id").isin(take)).collect(), key=lambda r: r["id"])
+    return train([bytes(r["t"]) for r in found], [int(r["y"]) for r in found])
 
 
 def add_score(docs: DataFrame, model: Model, name: str, text_col: str = "text") -> DataFrame:
