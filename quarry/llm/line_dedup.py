@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import arrow_slices, bucket_of, col, components, near, pack_sorted, stored, unpack_sorted
+from quarry.llm.common import arrow_slices, bucket_of, col, components, fresh, near, pack_sorted, stored, unpack_sorted
 from quarry.llm.hashing import mix
 
 SHINGLE = 8
@@ -384,8 +384,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def rewrite(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with only the kept lines in the text; null texts stay null."""
-    d = decisions.select(F.col(id_col).alias("__id"), F.col("h").alias("__h"), F.col("kept").alias("__kept")).dropDuplicates(["__id", "__h"])
-    rows = docs.join(d, col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(col(text_col).cast("binary")) == F.col("__h")), "left")
+    key, h, kept = (fresh(x, docs.columns) for x in ("__id", "__h", "__kept"))
+    d = decisions.select(F.col(id_col).alias(key), F.col("h").alias(h), F.col("kept").alias(kept)).dropDuplicates([key, h])
+    rows = docs.join(d, col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(col(text_col).cast("binary")) == F.col(h)), "left")
     lines = F.split(col(text_col), "\n", -1)
-    text = F.array_join(F.transform(F.col("__kept"), lambda i: F.element_at(lines, i + 1)), "\n")
+    text = F.array_join(F.transform(F.col(kept), lambda i: F.element_at(lines, i + 1)), "\n")
     return rows.withColumn(text_col, F.when(col(text_col).isNotNull(), text)).select(*[col(c) for c in docs.columns])

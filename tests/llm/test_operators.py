@@ -339,9 +339,88 @@ def test_cnn_trains_on_the_scored_features():
     model = byte_cnn.Model()
     for n in (0, 3, 100, 513, 5000, 64 * 504 + 9):
         text = byte_cnn.padded(np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8))
-        f, best, place, top = byte_cnn._forward(model, text)
-        assert np.allclose(f, model.features(text), atol=1e-5) and np.allclose(top[best, np.arange(byte_cnn.FILTERS)], f[:byte_cnn.FILTERS])
-        assert place.max() + byte_cnn.WIDTH <= len(text)
+        f, place, top, mean = byte_cnn._forward(model, text)
+        assert np.allclose(f, model.features(text), atol=1e-5) and np.allclose(top.max(axis=0), f[:byte_cnn.FILTERS])
+        assert place.max() + byte_cnn.WIDTH <= len(text) and np.allclose(mean.mean(axis=0), f[3 * byte_cnn.FILTERS:], atol=1e-5)
+
+
+def test_cnn_gradients(spark):
+    """The gradient of every kind of parameter against differences of the loss, in double precision."""
+    r = np.random.default_rng(5)
+    model = byte_cnn.Model()
+    docs = [byte_cnn.padded(r.integers(97, 103, n, dtype=np.uint8)) for n in (0, 3, 40, 700, 3000, 64 * 504 + 200)]
+    y = np.array([0, 1, 0, 1, 1, 0], np.float32)
+    for name in ("table", "bias", "w1", "b1", "w2", "b2", "centre", "scale"):
+        setattr(model, name, getattr(model, name).astype(np.float64))
+    _, grads = byte_cnn.loss_and_gradients(model, docs, y)
+    assert np.count_nonzero(grads[0][:, 97:103]) > 300
+    for p, g in zip(model.params(), grads, strict=True):
+        used = np.flatnonzero(np.abs(g.ravel()) > 1e-4)
+        for k in r.choice(used, min(12, len(used)), replace=False):
+            at, eps = np.unravel_index(k, p.shape), 1e-6
+            was = p[at]
+            p[at] = was + eps
+            up = byte_cnn.loss_and_gradients(model, docs, y)[0]
+            p[at] = was - eps
+            down = byte_cnn.loss_and_gradients(model, docs, y)[0]
+            p[at] = was
+            assert (up - down) / (2 * eps) == pytest.approx(g[at], rel=2e-2, abs=2e-5)
+
+
+def test_cnn_score_once_more(spark):
+    """Scores from plain loops over chunks, places and filter bytes."""
+    r = np.random.default_rng(9)
+    model = byte_cnn.train([bytes(r.integers(97, 105 + 3 * (i % 2), 30 + 40 * i, dtype=np.uint8)) for i in range(24)], [i % 2 for i in range(24)])
+
+    def plain(text):
+        text = text + bytes(max(0, byte_cnn.WIDTH - len(text)))
+        tops, means = [], []
+        for s in range(0, max(1, len(text) - byte_cnn.OVERLAP), byte_cnn.CHUNK - byte_cnn.OVERLAP):
+            chunk = text[s:s + byte_cnn.CHUNK]
+            rows = []
+            for a in range(len(chunk) - byte_cnn.WIDTH + 1):
+                v = model.bias.astype(float)
+                for k in range(byte_cnn.WIDTH):
+                    v = v + model.table[k, chunk[a + k]]
+                rows.append(np.maximum(v, 0))
+            tops.append(np.max(rows, axis=0))
+            means.append(np.mean(rows, axis=0))
+        f = np.concatenate([np.max(tops, axis=0), np.mean(tops, axis=0), np.max(means, axis=0), np.mean(means, axis=0)])
+        h = np.maximum((f - model.centre) / model.scale @ model.w1 + model.b1, 0)
+        return 1 / (1 + np.exp(-(h @ model.w2 + model.b2[0])))
+
+    texts = ["", "ab", "some text é", "the end " * 90, "x" * 1016, "#$% " * 600]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["p"] for x in byte_cnn.add_score(df, model, "p").collect()}
+    assert all(got[i] == pytest.approx(plain(t.encode()), abs=1e-4) for i, t in enumerate(texts))
+
+
+def test_training_sample_is_bounded(spark, monkeypatch):
+    """Repeated ids, labels without documents and long texts do not grow what comes to the driver."""
+    taken = []
+    monkeypatch.setattr(byte_cnn, "train", lambda texts, labels: taken.append((texts, labels)))
+    monkeypatch.setattr(byte_cnn, "TRAIN_DOCS", 50)
+    monkeypatch.setattr(byte_cnn, "TRAIN_BYTES", 5000)
+    df = spark.createDataFrame([(1, f"copy {i}") for i in range(300)] + [(i, "t" * (10 + i)) for i in range(2, 200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 3000)], "doc_id long, quality int")
+    byte_cnn.fit(df, labels)
+    byte_cnn.fit(df.repartition(7), labels)
+    (texts, y), again = taken
+    assert (texts, y) == again and 20 < len(texts) <= 50 and sum(map(len, texts)) <= 5000 and len(set(texts)) == len(texts)
+
+
+def test_clashing_names(spark):
+    """Columns named like the operators' own go through unchanged."""
+    names = ["rid", "rh", "__id", "__h", "__rid", "__rh", "__kept", "h", "group", "cls", "component", "id", "score", "word", "part"]
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, t, *range(len(names))) for i, t in [(1, text), (2, text + " more"), (3, "other"), (3, "other"), (4, None), (5, "a line\na line")]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    kept = jaccard_join.one_of_each(df)
+    assert kept.columns == df.columns and sorted((r["doc_id"], r["rid"], r["__rh"]) for r in kept.collect()) == [(i, 0, 5) for i in (1, 3, 4, 5)]
+    new = line_dedup.rewrite(df, line_dedup.dedup_lines(df))
+    assert new.columns == df.columns and {r["doc_id"]: (r["text"], r["__kept"]) for r in new.collect()}[5] == ("a line", 6)
+    model = byte_cnn.Model()
+    assert byte_cnn.add_score(df, model, "p").select(df.columns).count() == len(rows)
 
 
 def test_page_text(spark):

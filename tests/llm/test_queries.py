@@ -78,8 +78,9 @@ def test_url_verdicts(spark):
         fits = [(x, v) for x, v in queries.URL_RULES if (host == (h := x.split("/")[0]) or host.endswith("." + h)) and path.startswith(x[x.find("/"):])]
         rule, verdict = max(fits, key=lambda x: len(x[0]), default=(None, None))
         if rule is None:
-            m = mean.get(host)
-            verdict = "block" if m is not None and m + 1.645 * (m * (1 - m) / (k + count[host][0] + 1)) ** 0.5 < 0.7 else "allow"
+            # without outcomes: the mean of the domain, else of the suffix, else of the table
+            m = mean.get(host, d.get(domain(host), s.get(suffix(host), root)))
+            verdict = "block" if m + 1.645 * (m * (1 - m) / (k + count.get(host, [0])[0] + 1)) ** 0.5 < 0.7 else "allow"
         assert (got[r["page_id"]]["host"], got[r["page_id"]]["path"], got[r["page_id"]]["rule"], got[r["page_id"]]["verdict"]) == (host, path, rule, verdict)
 
 
