@@ -9,7 +9,7 @@ word; what passes is verified letter by letter.
 
 Words are searched per length pair: those of length m among length m, those of length m - 1 among length
 m. Each searched length is cut by the top of a k-d tree into cells of about ``CELL`` words; the top is
-fitted on a bounded sample (``SAMPLE`` words, smallest hashes), which shapes the cells and no result.
+fitted on a bounded sample (about ``SAMPLE`` words of small hashes), which shapes the cells and no result.
 Every word lives in one cell and is sent as a query to each cell that its box reaches; a cell that the
 sample cannot split further is dealt by hash, and queries go to all of its parts. Within a cell a tree
 with leaves of ``LEAF`` words is built in numpy, and queries stream through it in blocks: a task holds
@@ -329,7 +329,8 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     rows = {r["len"]: r["count"] for r in large.collect()}  # at most a row for each CELL words
     sample: dict[int, list[str]] = {m: [] for m in rows}
     if rows:
-        chosen = sized.where(F.col("len").isin(list(rows)) & (F.col("len") < 256)).orderBy(F.xxhash64("word"), "word").limit(SAMPLE)
+        share = min(1.0, SAMPLE / sum(rows.values()))
+        chosen = sized.where(F.col("len").isin(list(rows)) & (F.col("len") < 256) & (F.pmod(F.xxhash64("word"), F.lit(1 << 40)) < int(share * (1 << 40))))
         for r in chosen.select("len", "word").collect():
             sample[r["len"]].append(r["word"])
     tops = {m: fit_top(masks(matrix(x), m) if x else np.zeros(0, np.uint64), rows[m], capacity(m)) for m, x in sample.items()}
