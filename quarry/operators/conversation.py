@@ -14,13 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.operators.limiter import UPLOAD_LIMIT, drop_repeats, limit_step, micros, rate_limit  # noqa: F401  part of this module's interface
+
 FILE_TYPE = T.StructType([
     T.StructField("type", T.StringType()), T.StructField("name", T.StringType()),
     T.StructField("format", T.StringType()), T.StructField("base64", T.StringType())])
 
-# Upload limiter defaults, default session, fallback answer, error prefix.
-UPLOAD_LIMIT = 3
-UPLOAD_WINDOW = "6 hours"
+# Default session, fallback answer, error prefix.
 DEFAULT_SESSION = "default"
 NO_RESPONSE = "No response"
 API_ERROR_PREFIX = "❌ API Error: "
@@ -187,71 +187,6 @@ def first_payloads(store: DataFrame) -> DataFrame:
         .select("session_id", "pos", "payload_md5")
 
 
-def drop_repeats(uploads: DataFrame, key: str, ts: str, name: str, tiebreak: str, limit: int = UPLOAD_LIMIT,
-                 window_hours: float = 6.0) -> DataFrame:
-    """``is_new``: the limiter accepted the upload, that is, its name differs from the last accepted
-    one and there was room (CNV-15). From the same scan as ``rate_limit``."""
-    out = rate_limit(uploads, key, ts, name, tiebreak, limit, window_hours)
-    return out.withColumn("is_new", F.col("status") == "accepted").drop("status", "uploads_left")
-
-
-def limit_step(kept: list, last, t: int, name, limit: int, window_us: int):
-    """The limiter's rule for one upload: (accepted times, last accepted name, status). Batch and
-    stream share it."""
-    kept = [x for x in kept if x > t - window_us]
-    if len(kept) >= limit:
-        return kept, last, "refused"
-    if name == last:
-        return kept, last, "repeat"
-    return [*kept, t], name, "accepted"
-
-
-def _limit_scan(limit: int, window_us: int, key: str, name: str):
-    """Bounded-state scan over rows sorted by (key, time, id): state is at most ``limit``
-    timestamps plus the last accepted name, so a key of any size costs O(1) memory."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur_key, kept, last = object(), [], None
-        for pdf in batches:
-            status, left = [], []
-            for k, t, nm in zip(pdf[key].tolist(), pdf["_us"].tolist(), pdf[name].tolist()):
-                if k != cur_key:
-                    cur_key, kept, last = k, [], None
-                kept, last, st = limit_step(kept, last, t, nm, limit, window_us)
-                status.append(st)
-                left.append(max(0, limit - len(kept)))
-            out = pdf.drop(columns=["_us"])
-            out["status"] = status
-            out["uploads_left"] = pd.Series(left, dtype="int32", index=out.index)
-            yield out
-
-    return scan
-
-
-def micros(col_name: str) -> Column:
-    """Microseconds since the epoch of a timestamp column, independent of the session time zone."""
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
-                  f"cast(`{col_name}` as timestamp_ntz))")
-
-
-def rate_limit(uploads: DataFrame, key: str = "session_id", ts: str = "ts", name: str = "name",
-               event_id: str = "event_id", limit: int = UPLOAD_LIMIT, window_hours: float = 6.0,
-               partitions: int | None = None) -> DataFrame:
-    """Upload limiter (CNV-14, CNV-16): per key, in time order, forget accepted uploads with age
-    >= window; refuse while ``limit`` accepted remain; the same name as the last accepted upload
-    is a repeat, not a new upload. Returns the input columns plus ``status`` and
-    ``uploads_left``.
-
-    Plan: hash-partition on the key, sort within partitions, one ordered scan per partition with
-    bounded state (never a whole key in memory, never a second shuffle to join results back)."""
-    n = partitions or int(uploads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    srt = (uploads.withColumn("_us", micros(ts))
-           .repartition(n, key).sortWithinPartitions(key, "_us", event_id))
-    schema = T.StructType(uploads.schema.fields + [
-        T.StructField("status", T.StringType()), T.StructField("uploads_left", T.IntegerType())])
-    return srt.mapInPandas(_limit_scan(limit, int(window_hours * 3600 * 1_000_000), key, name), schema)
-
-
 def error_to_message(df: DataFrame, error: str = "error", answer: str = "answer") -> Column:
     """A failed call becomes an ai message holding the error text (CNV-17)."""
     return F.when(F.col(error).isNotNull(), F.concat(F.lit(API_ERROR_PREFIX), F.col(error))) \
