@@ -16,19 +16,43 @@ from quarry.streaming import streams as ST
 SLICES = ["2024-01-11", "2024-01-21"]  # events arrive in three slices split at these dates
 
 
+EVENT_COLS = ["event_id", "user_id", "ts", "event_type"]
+
+
+def _limited(spark, slices):
+    """Each slice arrives, then one incremental run; (decisions, late rows)."""
+    inbox, out, late, ck = (scratch_path(spark, n) for n in ("limit-in", "limit-out", "limit-late", "limit-ck"))
+    for rows in slices:
+        rows.write.mode("append").parquet(inbox)
+        src = ST.stream_source(spark, inbox, rows.schema)
+        ST.run_limiter(ST.limiter_stream(src, "user_id", "ts", "event_type", "event_id", late_after="1 hour"), out, late, ck)
+    return spark.read.parquet(out).drop("epoch"), spark.read.parquet(late).drop("epoch")
+
+
 @query("stream_rate_limit", LIMIT_SQL + """SELECT event_id, user_id, status,
   CAST(greatest(0, 3 - len(kept)) AS INTEGER) AS uploads_left FROM r""")
 def q_stream_rate_limit(spark, sf_dir):
-    e = Tables(spark, sf_dir).events.select("event_id", "user_id", "ts", "event_type")
-    inbox, out, ck = (scratch_path(spark, n) for n in ("limit-in", "limit-out", "limit-ck"))
+    e = Tables(spark, sf_dir).events.select(EVENT_COLS)
+    ts = F.col("ts")
+    bounds = [F.lit(d).cast("timestamp_ntz") for d in SLICES]
+    decided, _ = _limited(spark, [e.filter(ts < bounds[0]), e.filter((ts >= bounds[0]) & (ts < bounds[1])), e.filter(ts >= bounds[1])])
+    return decided.select("event_id", "user_id", "status", "uploads_left")
+
+
+@query("stream_late", f"""WITH arrived AS (
+  SELECT event_id, user_id, ts, (ts >= TIMESTAMP '{SLICES[0]}')::INT + (ts >= TIMESTAMP '{SLICES[1]}')::INT + (event_id % 10 = 0)::INT AS slice FROM events),
+seen AS (SELECT slice + 1 AS slice, max(ts) AS newest FROM arrived GROUP BY 1),
+mark AS (SELECT slice, date_trunc('milliseconds', max(newest) OVER (ORDER BY slice)) - INTERVAL 1 HOUR AS mark FROM seen)
+SELECT event_id, user_id FROM arrived JOIN mark USING (slice) WHERE ts < mark""")
+def q_stream_late(spark, sf_dir):
+    """Every tenth event arrives a slice later than the others of its time; those that are more than an
+    hour behind what came before are in the table of late rows."""
     ts = F.col("ts")
     bounds = [F.lit(d).cast("timestamp_ntz") for d in SLICES]
-    slices = [ts < bounds[0], (ts >= bounds[0]) & (ts < bounds[1]), ts >= bounds[1]]
-    for cond in slices:  # each slice arrives, then one incremental run
-        e.filter(cond).write.mode("append").parquet(inbox)
-        src = ST.stream_source(spark, inbox, e.schema)
-        ST.run_available(ST.limiter_stream(src, "user_id", "ts", "event_type", "event_id"), out, ck)
-    return spark.read.parquet(out).select("event_id", "user_id", "status", "uploads_left")
+    e = Tables(spark, sf_dir).events.select(EVENT_COLS)
+    arrives = sum(((ts >= b).cast("int") for b in bounds), F.when(F.col("event_id") % 10 == 0, 1).otherwise(0))
+    _, late = _limited(spark, [e.where(arrives == k) for k in range(4)])
+    return late.select("event_id", "user_id")
 
 
 @query("stream_chunks", f"""SELECT doc_id, CAST(length(regexp_replace(text, '{WS}', '', 'g')) AS BIGINT) AS chars
@@ -56,5 +80,6 @@ def q_stream_titles(spark, sf_dir):
     for cond in (F.col("pos") < 2, F.col("pos") >= 2):  # early turns arrive first
         m.filter(cond).write.mode("append").parquet(inbox)
         src = ST.stream_source(spark, inbox, m.schema)
-        ST.run_complete_to_table(ST.titles_stream(src), out, ck)
-    return spark.read.parquet(out)
+        live = ST.titles_stream(src)
+        ST.run_upserts(live, out, ck, "session_id")
+    return ST.read_live(spark, out, live.schema)
