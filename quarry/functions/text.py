@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html.entities
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -73,19 +74,53 @@ def expand_tabs(c: Column, tabsize: int = TAB_SIZE) -> Column:
         .otherwise(c)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once: inside a lambda, an expression of the row would be
+    evaluated again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def wrap_chunks(c: Column, width: int = 500) -> Column:
     """Greedy word wrap into lines of at most ``width`` characters, equal to Python's
     ``textwrap.wrap(text, width)`` with default options: ``array<string>``, expressions only.
 
     Texts without hyphens break at blanks alone, and one regular expression finds the lines: the
-    longest run up to ``width`` that ends with a word, or ``width`` characters where a word longer
-    than that begins in the line. Texts with a hyphen or a leading blank take ``wrap_by_tokens``."""
+    longest run up to ``width`` that ends with a word. Texts with hyphens take ``wrap_at_marks``. Those
+    with a longer run of non-blanks than a line, or a leading blank, take ``wrap_by_tokens``."""
     w = int(width)
-    text = F.translate(expand_tabs(c), "\n\x0b\x0c\r", "    ")
     run = f"[^ ].{{0,{w - 2}}}[^ ]|[^ ]" if w > 1 else "[^ ]"
-    line = rf"(?s)\G *+((?=(?:.{{0,{w - 1}}} )?[^ ]{{{w + 1}}}).{{{w}}}|(?:{run})(?= |\z))"
-    simple = (F.instr(text, "-") == 0) & (F.instr(text, "—") == 0) & ~F.startswith(text, F.lit(" "))
-    return F.when(simple, F.regexp_extract_all(text, F.lit(line), 1)).otherwise(wrap_by_tokens(c, width))
+
+    def wrapped(text: Column) -> Column:
+        rare = F.startswith(text, F.lit(" ")) | text.rlike(rf"(?:\A| )[^ ]{{{w + 1}}}")
+        hyphens = (F.instr(text, "-") > 0) | (F.instr(text, "—") > 0)
+        return (F.when(rare, _by_tokens(text, w)).when(hyphens, wrap_at_marks(text, w))
+                .otherwise(F.regexp_extract_all(text, F.lit(rf"(?s)\G *({run})(?= |\z)"), 1)))
+
+    return let(F.translate(expand_tabs(c), "\n\x0b\x0c\r", "    "), wrapped)
+
+
+def wrap_at_marks(text: Column, width: int) -> Column:
+    """``wrap_chunks`` for blank-normalised texts without leading blanks or tokens longer than a line.
+
+    The standard library's word splitter gives the tokens, once a text. Their lengths make a string of
+    marks as long as the text, in which ``h`` stands for each last character of a token, where a line
+    may end; the longest match up to ``width`` marks is a line, and the next search starts behind it.
+    The number of tokens that a line's marks hold cuts the lines out of the token array."""
+    body = rf"(?:[^ ].{{0,{width - 2}}})?h" if width > 1 else "h"
+
+    def lines(tokens: Column) -> Column:
+        marks = F.array_join(F.transform(tokens, lambda t: F.when(F.startswith(t, F.lit(" ")), t).otherwise(
+            F.concat(F.repeat(F.lit("x"), F.length(t) - 1), F.lit("h")))), "")
+        held = F.transform(F.regexp_extract_all(marks, F.lit(rf"\G *{body}"), 0), lambda m: F.regexp_count(m, F.lit("h| +")))
+
+        def cut(counts: Column) -> Column:
+            start = F.aggregate(counts, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+            return let(start, lambda at: F.zip_with(F.slice(at, F.lit(1), F.size(counts)), counts,
+                                                    lambda s, n: F.ltrim(F.array_join(F.slice(tokens, s + 1, n), ""))))
+
+        return let(held, cut)
+
+    return let(F.filter(F.regexp_extract_all(text, F.lit(WORDSEP), 1), lambda t: F.length(t) > 0), lines)
 
 
 def wrap_by_tokens(c: Column, width: int = 500) -> Column:
@@ -96,8 +131,10 @@ def wrap_by_tokens(c: Column, width: int = 500) -> Column:
     the token lengths folds integer positions only (no string is built per token); the lines are
     cut out once at the end. Blank tokens enter the fold as negative lengths. A word longer than the
     width is cut where a line is full, or after its last hyphen before that."""
-    w = int(width)
-    text = F.translate(expand_tabs(c), "\n\x0b\x0c\r", "    ")
+    return let(F.translate(expand_tabs(c), "\n\x0b\x0c\r", "    "), lambda text: _by_tokens(text, int(width)))
+
+
+def _by_tokens(text: Column, w: int) -> Column:
     tokens = F.filter(F.regexp_extract_all(text, F.lit(WORDSEP), 1), lambda t: F.length(t) > 0)
     lens = F.transform(tokens, lambda t: F.when(F.substring(t, 1, 1) == " ", -F.length(t)).otherwise(F.length(t)))
     span = "array<struct<s:int,e:int>>"

@@ -180,12 +180,59 @@ def kb_chunks(t: Tables, width: int = K.CHUNK_WIDTH) -> DataFrame:
     return K.chunk_documents(d, "text", F.concat(F.lit("doc "), F.col("doc_id")), "source", width, keep=["doc_id"])
 
 
-@query("kb_chunks")
+def chunk_sql(width: int = K.CHUNK_WIDTH) -> str:
+    """``WITH`` list that ends with ``chunk(doc_id, source, chunk_id, content)``: the wrap position by
+    position. ``mark`` has an ``h`` for each character after which a line may end (a word's last one, a
+    hyphen between letters, both sides of a dash of hyphens). For texts without tabs, leading blanks
+    and words longer than a line, as the driver tables have them."""
+    letter = r"regexp_full_match({}, '[\pL\pM_]')".format
+    at = "p[i + {}]".format
+    return rf"""WITH RECURSIVE plain AS (
+  SELECT doc_id, source, translate(text, chr(10) || chr(11) || chr(12) || chr(13), '    ') AS t FROM documents WHERE text IS NOT NULL),
+place AS (SELECT doc_id, p, unnest(range(4, length(p) - 2)) AS i FROM (SELECT doc_id, '   ' || t || '   ' AS p FROM plain WHERE contains(t, '-'))),
+dash AS (SELECT doc_id, i, length(regexp_extract(substr(p, i + 1), '^(-{{2,}})[\pL\pM\pN_]', 1)) AS n
+         FROM place WHERE regexp_full_match({at(0)}, '[\pL\pM\pN_!"''&.,?]')),
+stop AS (
+  SELECT doc_id, i FROM place
+  WHERE {at(0)} = '-' AND {letter(at(-1))} AND ({letter(at(-2))} OR ({at(-2)} = '-' AND {letter(at(-3))}))
+    AND {letter(at(1))} AND ({letter(at(2))} OR ({at(2)} = '-' AND {letter(at(3))}))
+  UNION SELECT doc_id, i FROM dash WHERE n > 0 UNION SELECT doc_id, i + n FROM dash WHERE n > 0),
+hyphen AS (
+  SELECT place.doc_id, string_agg(CASE WHEN {at(0)} = ' ' THEN ' ' WHEN stop.i IS NOT NULL OR p[place.i + 1] = ' ' THEN 'h' ELSE 'x' END, '' ORDER BY place.i) AS m
+  FROM (SELECT doc_id, p, i FROM place) place LEFT JOIN stop ON stop.doc_id = place.doc_id AND stop.i = place.i GROUP BY 1),
+mark AS (
+  SELECT doc_id, source, t, coalesce(m, regexp_replace(regexp_replace(t, '[^ ]', 'x', 'g'), 'x( |$)', 'h\1', 'g')) AS m
+  FROM plain LEFT JOIN hyphen USING (doc_id)),
+line AS (
+  SELECT doc_id, 0 AS chunk_id, 0 AS pos, '' AS content FROM mark
+  UNION ALL
+  SELECT doc_id, chunk_id + 1, start + n, substr(t, start + 1, n)
+  FROM (SELECT *, CASE WHEN contains(seg, 'h') THEN length(seg) - strpos(reverse(seg), 'h') + 1 ELSE length(seg) END AS n
+        FROM (SELECT doc_id, chunk_id, t, start, substr(m, start + 1, {width}) AS seg
+              FROM (SELECT line.doc_id, chunk_id, t, m, pos + length(substr(m, pos + 1)) - length(ltrim(substr(m, pos + 1), ' ')) AS start
+                    FROM line JOIN mark USING (doc_id))))
+  WHERE length(seg) > 0),
+chunk AS (SELECT doc_id, source, chunk_id, content FROM line JOIN plain USING (doc_id) WHERE chunk_id > 0)
+""".replace("p[i + 0] = ' '", "p[place.i] = ' '")
+
+
+def digests(chunks: DataFrame) -> DataFrame:
+    """A text's chunks as one digest: order, breaks and characters."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "content"))), lambda c: c["content"])
+    return chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("content")).cast("bigint").alias("chars"),
+                                        F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
+
+
+DIGEST_SQL = """SELECT doc_id, count(*) AS chunks, CAST(sum(length(content)) AS BIGINT) AS chars,
+  sha256(string_agg(content, chr(10) ORDER BY chunk_id)) AS digest FROM chunk GROUP BY doc_id"""
+
+
+@query("kb_chunks", chunk_sql() + "SELECT doc_id, 'doc ' || doc_id AS title, chunk_id, content, source FROM chunk")
 def q_kb_chunks(spark, sf_dir):
     return kb_chunks(Tables(spark, sf_dir))
 
 
-@query("chunk_counts")
+@query("chunk_counts", chunk_sql() + "SELECT doc_id, count(*) AS chunks, CAST(max(length(content)) AS INTEGER) AS longest FROM chunk GROUP BY doc_id")
 def q_chunk_counts(spark, sf_dir):
     c = kb_chunks(Tables(spark, sf_dir))
     return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max(F.length("content")).alias("longest"))
@@ -249,13 +296,10 @@ def q_answer_step(spark, sf_dir):
     return R.answer(b, "text", model).select("item_id", "answer")
 
 
-@query("chunk_counts_80", f"""SELECT doc_id, CAST(length(regexp_replace(text, '{WS}', '', 'g')) AS BIGINT) AS chars, true AS within
-FROM documents WHERE length(regexp_replace(text, '{WS}', '', 'g')) > 0""")
+@query("chunk_counts_80", chunk_sql(80) + DIGEST_SQL)
 def q_chunk_counts_80(spark, sf_dir):
-    """Another width: lines of at most 80 characters keep every non-blank character."""
-    c = kb_chunks(Tables(spark, sf_dir), 80)
-    return c.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("content", WS, ""))).cast("bigint").alias("chars"),
-                                   F.bool_and(F.length("content") <= 80).alias("within"))
+    """Another width: lines of at most 80 characters, each as the standard library breaks it."""
+    return digests(kb_chunks(Tables(spark, sf_dir), 80))
 
 
 @query("embed_caller", """SELECT doc_id, CAST(length(text) AS DOUBLE) AS chars, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS es

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import conversation as cnv
 from quarry.plans.conversation_queries import LIMIT_SQL, MSGS
-from quarry.plans.kb_queries import WS
+from quarry.plans.kb_queries import DIGEST_SQL, chunk_sql, digests
 from quarry.plans.registry import Tables, query
 from quarry.sources.files import scratch_path
 from quarry.streaming import streams as ST
@@ -55,11 +55,10 @@ def q_stream_late(spark, sf_dir):
     return late.select("event_id", "user_id")
 
 
-@query("stream_chunks", f"""SELECT doc_id, CAST(length(regexp_replace(text, '{WS}', '', 'g')) AS BIGINT) AS chars
-FROM documents WHERE length(regexp_replace(text, '{WS}', '', 'g')) > 0""")
+@query("stream_chunks", chunk_sql() + DIGEST_SQL)
 def q_stream_chunks(spark, sf_dir):
     """Articles arrive as JSON files in two slices; each run appends their chunks to the
-    knowledge base; every non-blank character of every document ends up in it."""
+    knowledge base; every document's chunks are those of the batch rule."""
     d = Tables(spark, sf_dir).documents.select(
         "doc_id", F.concat(F.lit("doc "), F.col("doc_id")).alias("title"), F.col("text").alias("content"), "source")
     inbox, out, ck = (scratch_path(spark, n) for n in ("articles-in", "kb-out", "kb-ck"))
@@ -67,8 +66,7 @@ def q_stream_chunks(spark, sf_dir):
         d.filter(cond).write.mode("append").json(inbox)
         src = ST.stream_source(spark, inbox, d.schema, "json")
         ST.run_available(ST.chunk_stream(src), out, ck)
-    kb = spark.read.parquet(out)
-    return kb.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("content", WS, ""))).cast("bigint").alias("chars"))
+    return digests(spark.read.parquet(out))
 
 
 @query("stream_titles", f"""WITH {MSGS}
