@@ -1,7 +1,7 @@
 """Knowledge-base build: text -> width-bounded chunks -> documents -> vectors.
 
 Chunking is a native expression fold (no Python per row); embedding runs the caller's batch
-model through Arrow batches, or an offline TF-IDF built from Spark ML stages.
+model through Arrow batches, or an offline TF-IDF of sparse vectors (``sparse``).
 """
 
 from __future__ import annotations
@@ -10,12 +10,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import wrap_chunks
+from quarry.operators.sparse import tfidf_embed  # noqa: F401  the offline default model
 
 CHUNK_WIDTH = 500  # fixed value: characters per chunk
 
@@ -67,16 +67,3 @@ def embed_batches(df: DataFrame, text: str, fn: Callable[[list[str]], np.ndarray
             yield pdf
 
     return df.mapInPandas(run, schema)
-
-
-def tfidf_embed(df: DataFrame, text: str = "content", num_features: int = 1 << 12,
-                out: str = "embedding") -> DataFrame:
-    """Offline default model: lower-cased word tokens -> hashed term frequencies -> IDF weights,
-    as a dense ``array<float>`` of ``num_features`` (fit on ``df`` itself)."""
-    tok = RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"(?U)\W+", toLowercase=True)  # words of any script
-    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)
-    tfd = tf.transform(tok.transform(df))
-    model = IDF(inputCol="_tf", outputCol="_tfidf").fit(tfd)
-    from pyspark.ml.functions import vector_to_array
-    return model.transform(tfd).withColumn(out, vector_to_array("_tfidf", "float32")) \
-        .drop("_tok", "_tf", "_tfidf")

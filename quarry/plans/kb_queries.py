@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarry.operators import chunk as K
 from quarry.operators import conversation as cnv
 from quarry.operators import retrieve as R
+from quarry.operators.sparse import squared_norm
 from quarry.plans.registry import Tables, query
 from quarry.session import stored
 
@@ -52,10 +53,7 @@ def _mmr_step(prev: str, name: str) -> str:
   FROM {prev}))"""
 
 
-MMR = f"""{CENT},
-c AS (SELECT k.qid, any_value(q.qv) AS qv, list(CAST(e.embedding AS DOUBLE[]) ORDER BY k.rn) AS es,
-  list(k.vec_id ORDER BY k.rn) AS vs FROM cand k JOIN cent q USING (qid) JOIN embeddings e ON e.vec_id = k.vec_id GROUP BY k.qid),
-s0 AS (SELECT qid, es, vs, list_transform(es, lambda x: list_cosine_similarity(qv, x)) AS qs FROM c),
+MMR_STEPS = f"""s0 AS (SELECT qid, es, vs, list_transform(es, lambda x: list_cosine_similarity(qv, x)) AS qs FROM c),
 s1 AS (SELECT *, [list_position(qs, list_max(qs))] AS sel FROM s0),
 {_mmr_step('s1', 's2')},
 {_mmr_step('s2', 's3')},
@@ -65,6 +63,11 @@ s1 AS (SELECT *, [list_position(qs, list_max(qs))] AS sel FROM s0),
 hits AS (SELECT qid, CAST(unnest(generate_series(1, len(sel))) AS INTEGER) AS mmr_rank,
   unnest(list_transform(sel, lambda i: vs[i])) AS vid FROM s6)"""
 
+MMR = f"""{CENT},
+c AS (SELECT k.qid, any_value(q.qv) AS qv, list(CAST(e.embedding AS DOUBLE[]) ORDER BY k.rn) AS es,
+  list(k.vec_id ORDER BY k.rn) AS vs FROM cand k JOIN cent q USING (qid) JOIN embeddings e ON e.vec_id = k.vec_id GROUP BY k.qid),
+{MMR_STEPS}"""
+
 
 @query("knn_l2", f"""WITH {CENT}
 SELECT qid, CAST(rn AS INTEGER) AS rank, vec_id AS vid, round(d, 6) AS distance FROM cand""")
@@ -255,15 +258,47 @@ def q_documents_with_metadata(spark, sf_dir):
     return d.select("page_content", "metadata.title", "metadata.chunk_id", "metadata.source")
 
 
-@query("tfidf_embed")
-def q_tfidf_embed(spark, sf_dir):
-    c = kb_chunks(Tables(spark, sf_dir))
-    e = K.tfidf_embed(c, "content", num_features=1 << 10)
-    return e.select("doc_id", "chunk_id", F.size("embedding").alias("dims"),
-                    F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).alias("sq_norm"))
+#: Terms of the offline vectors.
+TERMS = 1 << 10
 
 
-@query("rag_prompts")
+def tfidf_sql(rows: str) -> str:
+    """``weight(vec_id, kind, term, w)`` of the texts in ``both(vec_id, kind, content)``."""
+    return rf"""both_ AS ({rows}),
+word AS (SELECT vec_id, kind, unnest(regexp_extract_all(lower(coalesce(content, '')), '[\pL\pM\pN_]+')) AS w FROM both_),
+tf AS (SELECT vec_id, kind, CAST('0x' || md5(w)[1:7] AS BIGINT) % {TERMS} AS term, count(*) AS n FROM word GROUP BY 1, 2, 3),
+idf AS (SELECT term, ln(((SELECT count(*) FROM both_) + 1.0) / (count(*) + 1.0)) AS idf FROM tf GROUP BY term),
+weight AS (SELECT vec_id, kind, CAST(term AS INTEGER) AS term, n * idf AS w FROM tf JOIN idf USING (term) WHERE idf <> 0)"""
+
+
+@query("tfidf_embed", chunk_sql() + "," + tfidf_sql("SELECT doc_id * 1048576 + chunk_id AS vec_id, 'c' AS kind, content FROM chunk") + """
+SELECT doc_id, chunk_id, CAST(count(term) AS INTEGER) AS terms, coalesce(sum(w * w), 0.0) AS sq_norm, CAST(coalesce(sum(term), 0) AS BIGINT) AS term_sum
+FROM chunk LEFT JOIN weight ON vec_id = doc_id * 1048576 + chunk_id GROUP BY 1, 2""")
+def q_tfidf_embed(spark, sf_dir):
+    e = K.tfidf_embed(kb_chunks(Tables(spark, sf_dir)), "content", num_features=TERMS)
+    return e.select("doc_id", "chunk_id", F.size("embedding").alias("terms"), squared_norm(F.col("embedding")).alias("sq_norm"),
+                    F.aggregate("embedding", F.lit(0).cast("bigint"), lambda a, x: a + x["term"]).alias("term_sum"))
+
+
+RAG_SQL = chunk_sql() + "," + tfidf_sql("""SELECT doc_id * 1048576 + chunk_id AS vec_id, 'c' AS kind, content FROM chunk
+  UNION ALL SELECT item_id, 'q', text FROM benchmark""") + f""",
+norm AS (SELECT vec_id, kind, sqrt(sum(w * w)) AS l FROM weight GROUP BY 1, 2),
+unit AS (SELECT vec_id, kind, term, w / l AS w FROM weight JOIN norm USING (vec_id, kind)),
+score AS (SELECT q.vec_id AS qid, c.vec_id, round(fsum(q.w * c.w), 9) AS s FROM unit q JOIN unit c ON q.term = c.term AND q.kind = 'q' AND c.kind = 'c' GROUP BY 1, 2),
+cand AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY s DESC, vec_id) AS rn FROM score QUALIFY rn <= {R.FETCH_K}),
+dense AS (
+  SELECT vec_id, kind, list_transform(range({TERMS}), lambda t: coalesce(m[CAST(t AS INTEGER)], 0.0)) AS e
+  FROM (SELECT vec_id, kind, map_from_entries(list((term, w))) AS m FROM unit
+        WHERE (kind = 'q' AND vec_id IN (SELECT qid FROM cand)) OR (kind = 'c' AND vec_id IN (SELECT vec_id FROM cand)) GROUP BY 1, 2)),
+c AS (SELECT k.qid, any_value(q.e) AS qv, list(d.e ORDER BY k.rn) AS es, list(k.vec_id ORDER BY k.rn) AS vs
+  FROM cand k JOIN dense d ON d.vec_id = k.vec_id AND d.kind = 'c' JOIN dense q ON q.vec_id = k.qid AND q.kind = 'q' GROUP BY k.qid),
+{MMR_STEPS},
+stuffed AS (SELECT qid, string_agg(content, chr(10) || chr(10) ORDER BY mmr_rank) AS context
+  FROM hits JOIN chunk ON vid = doc_id * 1048576 + chunk_id GROUP BY qid)
+SELECT qid, {_sql_template("''", 'context', 'text')} AS prompt FROM stuffed JOIN benchmark ON item_id = qid"""
+
+
+@query("rag_prompts", RAG_SQL)
 def q_rag_prompts(spark, sf_dir):
     """End to end: benchmark questions and document chunks share one TF-IDF space; each question
     gets its 20 nearest chunks, MMR keeps 6, their texts are stuffed into the prompt."""
@@ -273,8 +308,8 @@ def q_rag_prompts(spark, sf_dir):
     qs = t.benchmark.select(F.col("item_id").alias("vec_id"), F.lit("q").alias("kind"), F.col("text").alias("content"))
     both = chunks.select("vec_id", F.lit("c").alias("kind"), "content", "title", "chunk_id", "source") \
         .unionByName(qs, allowMissingColumns=True)
-    # vectors feed the scan, the candidates and the texts: written once (shared folder)
-    emb = stored(K.tfidf_embed(both, "content", num_features=1 << 10), "vectors")
+    # vectors feed the lists, the candidates and the texts: written once (shared folder)
+    emb = stored(K.tfidf_embed(both, "content", num_features=TERMS, normalise=True), "vectors")
     questions = emb.filter(F.col("kind") == "q").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"),
                                                         F.col("content").alias("question"))
     found = R.retrieve(questions.select("qid", "qvec"), emb.filter(F.col("kind") == "c"))

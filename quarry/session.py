@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 def build_session(master: str | None = None, app: str = "quarry", shuffle_partitions: int = 8,
                   extra: dict | None = None) -> SparkSession:
@@ -60,5 +61,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes, about, up to which a side is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, counted with the size of their values, stay below
+    ``limit``; beyond, the join is left to shuffles."""
+    row = F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))) + F.lit(8 * len(df.columns)))
+    return F.broadcast(df) if (df.agg(row.alias("b")).first()["b"] or 0) <= limit else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

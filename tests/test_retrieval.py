@@ -3,6 +3,7 @@
 import numpy as np
 
 from quarry.operators import retrieve as R
+from quarry.operators import sparse as S
 
 
 def _mmr_numpy(q, emb, k, lam):
@@ -40,14 +41,13 @@ def test_knn_and_mmr_bruteforce(spark):
         assert got == exp
     cands = spark.createDataFrame([(r["qid"], r["rank"], r["vid"]) for r in hits], "qid long, rank int, vid long") \
         .join(cdf.withColumnRenamed("vec_id", "vid"), "vid")
-    for engine in ("numpy", "native"):
-        picked = R.mmr(cands, qdf, k=6, lambda_mult=0.25, engine=engine).collect()
-        for qi, q in enumerate(queries):
-            d = ((corpus - q) ** 2).sum(axis=1)
-            order = sorted(range(len(corpus)), key=lambda i: (d[i], i))[:20]
-            exp = [order[j] for j in _mmr_numpy(q, corpus[order], 6, 0.25)]
-            got = [r["vid"] for r in sorted((r for r in picked if r["qid"] == qi), key=lambda r: r["mmr_rank"])]
-            assert got == exp, engine
+    picked = R.mmr(cands, qdf, k=6, lambda_mult=0.25).collect()
+    for qi, q in enumerate(queries):
+        d = ((corpus - q) ** 2).sum(axis=1)
+        order = sorted(range(len(corpus)), key=lambda i: (d[i], i))[:20]
+        exp = [order[j] for j in _mmr_numpy(q, corpus[order], 6, 0.25)]
+        got = [r["vid"] for r in sorted((r for r in picked if r["qid"] == qi), key=lambda r: r["mmr_rank"])]
+        assert got == exp
 
 
 def test_template_slots_not_replaced_in_user_text(spark):
@@ -63,5 +63,68 @@ def test_knn_equal_vectors_stay_bounded(spark):
     got = {(r["qid"], r["rank"]): (r["vid"], r["distance"]) for r in R.knn(queries, corpus, k=3).collect()}
     assert [got[1, i][0] for i in (1, 2, 3)] == [0, 1, 2]
     assert got[2, 1][0] == 5001 and abs(got[2, 1][1] - 0.01) < 1e-9 and abs(got[2, 2][1] - 0.16) < 1e-9
-    local = R._local_topk(type("B", (), {"value": (np.array([1]), np.array([[1.0, 2.0]]))}), 3, "vec_id", "embedding")
-    assert len(next(local(iter([corpus.toPandas()])))) == 3
+    best = R._Nearest(np.array([[1.0, 2.0]]), 3)
+    best.add(np.array([0]), np.arange(3000), np.tile([1.0, 2.0], (3000, 1)))
+    assert best.v.tolist() == [[0, 1, 2]] and best.d.tolist() == [[0.0, 0.0, 0.0]]
+
+
+def test_knn_unfit_vectors_and_dimensions(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, []), (4, [float("nan"), 1.0]), (5, [1.0, None]), (6, [float("inf"), 0.0]), (7, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (8, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = df.selectExpr("vec_id qid", "embedding qvec")
+    got = sorted((r["qid"], r["rank"], r["vid"], r["distance"]) for r in R.knn(q, df, k=3).collect())
+    assert got == [(1, 1, 1, 0.0), (1, 2, 8, 1.0), (7, 1, 7, 0.0), (8, 1, 8, 0.0), (8, 2, 1, 1.0)]
+    assert R.knn(q.limit(0), df).count() == 0 and R.knn(q, df.limit(0)).count() == 0
+
+
+def test_knn_blocks_and_cells(spark, monkeypatch):
+    """Several query blocks and clustered corpus blocks, most of which the triangle inequality skips."""
+    monkeypatch.setattr(R, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(8)
+    corpus = np.concatenate([rng.normal(size=(400, 5)) + 40 * c for c in range(6)])
+    queries = corpus[rng.integers(0, len(corpus), 30)] + 0.01
+    cdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)], "vec_id long, embedding array<double>").repartition(3)
+    qdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "qid long, qvec array<double>")
+    got = {(r["qid"], r["rank"]): r["vid"] for r in R.knn(qdf, cdf, k=5).collect()}
+    for i, q in enumerate(queries):
+        d = ((corpus - q) ** 2).sum(axis=1)
+        assert [got[i, j] for j in range(1, 6)] == sorted(range(len(corpus)), key=lambda v: (d[v], v))[:5]
+
+
+def test_sparse_vectors(spark):
+    import collections
+    import hashlib
+    import math
+    import re
+    texts = ["The cat, the dog", None, "", "élan vital ÉLAN 12_3", "кот и пёс и кот", "the the the", "cat"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, content string")
+    tf = [collections.Counter(int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % 64 for w in re.findall(r"\w+", (t or "").lower())) for t in texts]
+    n = collections.Counter(t for c in tf for t in c)
+    got = {r["i"]: {x["term"]: x["weight"] for x in r["embedding"]} for r in S.tfidf_embed(df, num_features=64).collect()}
+    unit = {r["i"]: sum(x["weight"] ** 2 for x in r["embedding"]) for r in S.tfidf_embed(df, num_features=64, normalise=True).collect()}
+    for i, c in enumerate(tf):
+        want = {t: k * math.log((len(texts) + 1) / (n[t] + 1)) for t, k in c.items()}
+        assert got[i].keys() == want.keys() and all(abs(got[i][t] - want[t]) < 1e-12 for t in want) and list(got[i]) == sorted(got[i])
+        assert abs(unit[i] - bool(want)) < 1e-12
+
+
+def test_nearest_by_terms(spark):
+    """Inverted lists with bounds against all products: frequent terms, equal vectors, unfit vectors."""
+    rng = np.random.default_rng(4)
+    vector = lambda n: {int(t): float(w) for t, w in zip(np.minimum(rng.zipf(1.4, n), 200), rng.random(n) + 0.01, strict=True)}
+    corpus = {i: vector(int(rng.integers(1, 25))) for i in range(500)}
+    corpus |= {1000 + i: corpus[3] for i in range(40)}
+    questions = {i: vector(8) for i in range(25)} | {100: {199: 1.0}, 101: dict(corpus[3])}
+    as_rows = lambda d: [(i, sorted(v.items())) for i, v in d.items()]
+    schema = "id long, v " + S.VECTOR
+    cdf = spark.createDataFrame([*as_rows(corpus), (2000, None), (2001, []), (None, [(1, 9.0)])], schema).selectExpr("id vec_id", "v embedding")
+    qdf = spark.createDataFrame([*as_rows(questions), (200, None), (201, []), (202, [(5000, 1.0)])], schema).selectExpr("id qid", "v qvec")
+    got = {}
+    for r in S.nearest_by_terms(qdf, cdf, 10).collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["vid"], r["score"]))
+    for q, qv in questions.items():
+        dots = {i: sum(w * qv[t] for t, w in sorted(v.items()) if t in qv) for i, v in corpus.items() if qv.keys() & v.keys()}
+        want = sorted(dots, key=lambda i: (-round(dots[i], 12), i))[:10]
+        mine = sorted(got.get(q, []))
+        assert [v for _, v, _ in mine] == want and all(abs(s - dots[v]) < 1e-12 for _, v, s in mine)
+    assert not {200, 201, 202} & set(got)
