@@ -8,6 +8,11 @@ pre-aggregated in every map task, so no reducer ever sees more than one row per
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,51 +65,111 @@ def modes(df: DataFrame, cols: list[str]) -> DataFrame:
     return top_values(value_frequencies(df, cols), 1).select("column", F.col("value").alias("mode"))
 
 
-def quantile_map(df: DataFrame, cols: list[str], probs: list[float]) -> dict:
-    """Exact linear-interpolation quantiles (pandas / ``quantile_cont``) as ``{(column, p): q}``,
-    null for a column without values. One method for any size and cardinality:
-
-    1. count equal values per (column, value), combined on the map side;
-    2. range-partition the distinct values by (column, value): no task holds more than its range;
-    3. total each range; the driver adds these totals up (one number per range and column in it)
-       and so knows in which range each wanted rank lies;
-    4. running sums within those ranges only, and the one or two order statistics of each target."""
-    probs = [float(p) for p in probs]
-    out = {(c, p): None for c in cols for p in probs}
+#: Size of the sketches, points at which they are read, and how far (in shares of the rows) a
+#: bracket reaches beyond a wanted rank on either side: about twice the sketches' error.
+SKETCH_K, SKETCH_GRID, SKETCH_SLACK = 2000, 1000, 0.006
+
+
+def order_statistics(df: DataFrame, ranks: dict[str, Callable[[int], set[int]]]) -> tuple[dict, dict[str, int]]:
+    """``{(column, rank): value}`` and ``{column: n}``: the values of the ranks (from 0) that
+    ``ranks[column](n)`` wants among a column's n non-null values in order, NaN counting as null. Ranks
+    that a column does not have are left out.
+
+    1. One pass of KLL sketches, a row of fixed size a column, brackets each wanted rank by two values.
+    2. One pass counts the values below each bracket and those inside it, one by one; only the latter,
+       about a hundredth of a column, are shuffled, combined on the map side.
+    3. Bracketed values are range-partitioned and totalled; running sums are taken in the ranges
+       that hold a wanted rank (``_ranked``).
+
+    A rank outside its bracket (the sketches can err) is looked for again among all values, so the result
+    is exact."""
+    cols = list(ranks)
     if not cols:
-        return out
-    spark = df.sparkSession
-    freq = stored(long_values(df, cols, "double").groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt")), "freq")
-    ranged = stored(freq.repartitionByRange("column", "value").withColumn("part", F.spark_partition_id()), "ranges")
-    ranges: dict[str, list] = {}
-    for r in ranged.groupBy("part", "column").agg(F.sum("cnt").alias("n")).orderBy("part").collect():
-        ranges.setdefault(r["column"], []).append((r["part"], r["n"]))
-    wanted, target = [], {}
-    for c, parts in ranges.items():
-        n = sum(k for _, k in parts)
-        for p in probs:
-            h = p * (n - 1)
-            target[(c, p)] = h
-            for rank in {int(h // 1), min(int(h // 1) + 1, n - 1)}:
-                before = 0
-                for part, k in parts:
-                    if rank < before + k:
-                        wanted.append((part, c, rank, rank - before))
-                        break
-                    before += k
-    if not wanted:
-        return out
-    want = spark.createDataFrame(sorted(set(wanted)), "part int, column string, rank bigint, local bigint")
-    w = Window.partitionBy("part", "column").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    inside = ranged.join(F.broadcast(want.select("part", "column").distinct()), ["part", "column"])  # at most 2 per target
+        return {}, {}
+    x = {c: F.when(~F.isnan(col_of(c).cast("double")), col_of(c).cast("double")) for c in cols}
+    grid = F.from_json(F.lit(str([i / SKETCH_GRID for i in range(SKETCH_GRID + 1)])), "array<double>")
+    seen = df.agg(*[F.struct(F.count(x[c]).alias("n"), F.min(x[c]).alias("lo"), F.max(x[c]).alias("hi"),
+                             F.kll_sketch_agg_double(x[c], F.lit(SKETCH_K)).alias("s")).alias(f"c{i}") for i, c in enumerate(cols)])
+    # a sketch of no value has no quantiles
+    read = F.transform(F.array(*[F.col(f"c{i}") for i in range(len(cols))]), lambda c: F.struct(
+        c["n"].alias("n"), c["lo"].alias("lo"), c["hi"].alias("hi"), F.when(c["n"] > 0, F.kll_sketch_get_quantile_double(c["s"], grid)).alias("q")))
+    at = dict(zip(cols, seen.select(read.alias("c")).first()["c"], strict=True))
+    counts = {c: at[c]["n"] for c in cols}
+    wanted = {(c, r) for c in cols for r in ranks[c](counts[c]) if 0 <= r < counts[c]}
+
+    def bracket(c: str, r: int) -> tuple[float, float]:
+        place, k = (r + 0.5) / at[c]["n"], SKETCH_GRID
+        lo, hi = math.floor((place - SKETCH_SLACK) * k), math.ceil((place + SKETCH_SLACK) * k)
+        return (at[c]["lo"] if lo <= 0 else at[c]["q"][lo]), (at[c]["hi"] if hi >= k else at[c]["q"][hi])
+
+    found: dict = {}
+    brackets = {key: bracket(*key) for key in wanted}
+    while brackets:
+        found |= _between(df, x, brackets)
+        brackets = {(c, r): (at[c]["lo"], at[c]["hi"]) for c, r in brackets if (c, r) not in found}
+    return found, counts
+
+
+def _between(df: DataFrame, x: dict[str, Column], brackets: dict[tuple[str, int], tuple[float, float]]) -> dict:
+    """The wanted ranks whose value lies within their bracket. Brackets of a column that overlap are one."""
+    merged: dict[str, list[list]] = {}
+    for (c, r), (lo, hi) in sorted(brackets.items(), key=lambda b: (b[0][0], b[1])):
+        own = merged.setdefault(c, [])
+        if own and lo <= own[-1][1]:
+            own[-1][1] = max(hi, own[-1][1])
+            own[-1][2].append(r)
+        else:
+            own.append([lo, hi, [r]])
+    flat = [(c, lo, hi, rs) for c, own in merged.items() for lo, hi, rs in own]
+    # value null: below the bracket
+    rows = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("b"), F.when(x[c] >= lo, x[c]).alias("value"), (x[c] <= hi).alias("near"))
+                                        for i, (c, lo, hi, _) in enumerate(flat)])))
+    freq = stored(rows.where("near").groupBy("b", "value").agg(F.count(F.lit(1)).alias("cnt")), "brackets")
+    below = {r["b"]: r["cnt"] for r in freq.where("value is null").collect()}
+    got = _ranked(freq.where("value is not null"), {(i, r - below.get(i, 0)) for i, b in enumerate(flat) for r in b[3] if r >= below.get(i, 0)})
+    return {(c, r): got[i, r - below.get(i, 0)] for i, (c, _, _, rs) in enumerate(flat) for r in rs if (i, r - below.get(i, 0)) in got}
+
+
+def _ranked(freq: DataFrame, wanted: set[tuple[int, int]]) -> dict:
+    """``{(b, rank): value}`` of ``freq(b, value, cnt)``: values are range-partitioned, ranges totalled (one
+    number per range and ``b`` in it), and running sums taken in the ranges that hold a wanted rank."""
+    ranged = stored(freq.repartitionByRange("b", "value").withColumn("part", F.spark_partition_id()), "ranges")
+    places, before = [], {}
+    for r in ranged.groupBy("part", "b").agg(F.sum("cnt").alias("n")).orderBy("part").collect():
+        start = before.get(r["b"], 0)
+        before[r["b"]] = start + r["n"]
+        places += [(r["part"], b, k, k - start) for b, k in wanted if b == r["b"] and start <= k < start + r["n"]]
+    if not places:
+        return {}
+    want = F.broadcast(freq.sparkSession.createDataFrame(sorted(places), "part int, b int, rank bigint, local bigint"))  # a row a wanted rank
+    w = Window.partitionBy("part", "b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    inside = ranged.join(want.select("part", "b").distinct(), ["part", "b"], "left_semi")
     inside = inside.withColumn("end", F.sum("cnt").over(w)).withColumn("start", F.col("end") - F.col("cnt"))
-    hits = inside.join(F.broadcast(want), ["part", "column"]).filter("start <= local and local < end")
-    at = {(r["column"], r["rank"]): r["value"] for r in hits.select("column", "rank", "value").collect()}
-    for (c, p), h in target.items():
-        f = int(h // 1)
-        a, b = at[(c, f)], at.get((c, f + 1))
-        out[(c, p)] = a if b is None or h == f else a + (h - f) * (b - a)
-    return out
+    hits = inside.join(want, ["part", "b"]).filter("start <= local and local < end")
+    return {(r["b"], r["rank"]): r["value"] for r in hits.select("b", "rank", "value").collect()}
+
+
+def quantile_ranks(n: int, probs: list[float]) -> set[int]:
+    """The ranks between which linear interpolation of the quantiles of n values takes place."""
+    return {r for p in probs if n for r in (int(p * (n - 1) // 1), min(int(p * (n - 1) // 1) + 1, n - 1))}
+
+
+def interpolated(n: int, p: float, value: Callable[[int], float]) -> float | None:
+    """The quantile of n values given by rank (pandas / ``quantile_cont``)."""
+    if not n:
+        return None
+    h = p * (n - 1)
+    f = int(h // 1)
+    a = value(f)
+    return a if h == f else a + (h - f) * (value(min(f + 1, n - 1)) - a)
+
+
+def quantile_map(df: DataFrame, cols: list[str], probs: list[float]) -> dict:
+    """Exact linear-interpolation quantiles (pandas / ``quantile_cont``) as ``{(column, p): q}``, null for a
+    column without values."""
+    probs = [float(p) for p in probs]
+    at, counts = order_statistics(df, {c: lambda n: quantile_ranks(n, probs) for c in cols})
+    return {(c, p): interpolated(counts[c], p, lambda r: at[c, r]) for c in cols for p in probs}  # noqa: B023
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
@@ -125,57 +190,75 @@ def moments(df: DataFrame, cols: list[str]) -> dict:
     return {c: {**row[f"c{i}"].asDict(), "rows": row["rows"]} for i, c in enumerate(cols)}
 
 
+#: Columns of a tile of the matrices of sums.
+TILE = 64
+
+
+def _tile_sums(starts: list[int], width: int):
+    """Partial sums of one task's rows for each pair of column tiles (i <= j): over the rows that have
+    both columns, how many there are, the sums of either, of their squares and of the products. Values are
+    centred beforehand, gaps are NaN."""
+    def run(batches):
+        total: dict = {}
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in b.columns]) if b.num_rows else np.zeros((0, width))
+            has = ~np.isnan(x)
+            x = np.where(has, x, 0.0)
+            has = has.astype(np.float64)
+            cut = lambda m, a: m[:, a:a + TILE]
+            for k, i in enumerate(starts):
+                for j in starts[k:]:
+                    xi, xj, hi, hj = cut(x, i), cut(x, j), cut(has, i), cut(has, j)
+                    now = np.stack([hi.T @ hj, xi.T @ hj, hi.T @ xj, (xi * xi).T @ hj, hi.T @ (xj * xj), xi.T @ xj])
+                    total[i, j] = total[i, j] + now if (i, j) in total else now
+        if total:
+            yield pa.RecordBatch.from_pydict({"i": pa.array([i for i, _ in total], pa.int32()), "j": pa.array([j for _, j in total], pa.int32()),
+                                              "sums": pa.array([m.tobytes() for m in total.values()], pa.binary())})
+
+    return run
+
+
+def _add_tiles(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for b in batches:
+        for raw in b.column("sums"):
+            m = np.frombuffer(raw.as_buffer())
+            total = m.copy() if total is None else total + m
+    yield pa.RecordBatch.from_pydict({"i": pa.array([key[0].as_py()], pa.int32()), "j": pa.array([key[1].as_py()], pa.int32()),
+                                      "sums": pa.array([total.tobytes()], pa.binary())})
+
+
 def corr_pairs(df: DataFrame, cols: list[str]) -> dict:
-    """Pearson correlation of every pair (a <= b) over pairwise-complete rows, ``{(a, b): r}``;
-    null when either side is constant over those rows or fewer than 2 rows remain.
+    """Pearson correlation of every pair (a <= b) over pairwise-complete rows, ``{(a, b): r}``; null when
+    either side is constant over those rows or fewer than 2 rows remain.
 
-    Two passes (means; then sums of products of mean-centred values), every aggregate a plain
-    ``sum`` -- numerically the two-pass formula, and cheap to code-generate."""
+    Two passes: means, then sums of mean-centred values and products as matrices of column tiles, one
+    partial matrix a task and tile, added up in two steps (groups of tasks, then all). The plan has one
+    expression a column; the driver gets one number a pair and sum."""
     if not cols:
         return {}
     m = moments(df, cols)
-    nrows = m[cols[0]]["rows"]
-    nullable = {c for c in cols if m[c]["n"] < nrows}
-    d = {c: col_of(c).cast("double") - F.lit(m[c]["mean"] if m[c]["mean"] is not None else 0.0) for c in cols}
-    exprs, plan = [], {}
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            key = f"p{len(plan)}"
-            if a not in nullable and b not in nullable:
-                exprs.append(F.sum(d[a] * d[b]).alias(key))
-                plan[(a, b)] = ("full", key)
-            else:
-                both = col_of(a).isNotNull() & col_of(b).isNotNull()
-                da, db = F.when(both, d[a]), F.when(both, d[b])
-                exprs.append(F.struct(F.count_if(both).alias("n"), F.sum(da).alias("sa"), F.sum(db).alias("sb"),
-                                      F.sum(da * da).alias("saa"), F.sum(db * db).alias("sbb"),
-                                      F.sum(da * db).alias("sab"),
-                                      (F.min(da) < F.max(da)).alias("va"), (F.min(db) < F.max(db)).alias("vb")).alias(key))
-                plan[(a, b)] = ("pair", key)
-    row = df.agg(*exprs).first()
+    centred = df.select(*[(col_of(c).cast("double") - F.lit(float(m[c]["mean"] or 0.0))).alias(f"x{i}") for i, c in enumerate(cols)])
+    starts = list(range(0, len(cols), TILE))
+    schema = "i int, j int, sums binary"
+    parts = centred.mapInArrow(_tile_sums(starts, len(cols)), schema).withColumn("group", F.pmod(F.spark_partition_id(), F.lit(32)))
+    some = parts.groupBy("i", "j", "group").applyInArrow(_add_tiles, schema)
     out = {}
-    for (a, b), (kind, key) in plan.items():
-        if kind == "full":
-            n = nrows
-            sab = row[key]
-            saa = row[plan[(a, a)][1]] if plan[(a, a)][0] == "full" else None
-            sbb = row[plan[(b, b)][1]] if plan[(b, b)][0] == "full" else None
-            varied = m[a]["mn"] is not None and m[a]["mn"] < m[a]["mx"] and m[b]["mn"] < m[b]["mx"]
-            if n < 2 or not varied or not saa or not sbb:
-                out[(a, b)] = None
-            else:
-                out[(a, b)] = sab / ((saa * sbb) ** 0.5)
-        else:
-            s = row[key]
-            n = s["n"]
-            if n < 2 or not s["va"] or not s["vb"]:
-                out[(a, b)] = None
-                continue
-            cab = s["sab"] - s["sa"] * s["sb"] / n
-            caa = s["saa"] - s["sa"] * s["sa"] / n
-            cbb = s["sbb"] - s["sb"] * s["sb"] / n
-            out[(a, b)] = cab / ((caa * cbb) ** 0.5) if caa > 0 and cbb > 0 else None
-    return out
+    for r in some.groupBy("i", "j").applyInArrow(_add_tiles, schema).collect():
+        i, j = r["i"], r["j"]
+        a, b = cols[i:i + TILE], cols[j:j + TILE]
+        n, sx, sy, sxx, syy, sxy = np.frombuffer(r["sums"]).reshape(6, len(a), len(b))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            vx, vy, both = sxx - sx * sx / n, syy - sy * sy / n, sxy - sx * sy / n
+            # what centring leaves of a constant is rounding
+            flat = (n < 2) | (vx <= 1e-14 * sxx) | (vy <= 1e-14 * syy)
+            cor = both / np.sqrt(vx * vy)
+        for p, ca in enumerate(a):
+            for q, cb in enumerate(b):
+                if i < j or p <= q:
+                    constant = m[ca]["mn"] == m[ca]["mx"] or m[cb]["mn"] == m[cb]["mx"]
+                    out[ca, cb] = None if flat[p, q] or constant else float(cor[p, q])
+    return {(a, b): out.get((a, b)) for k, a in enumerate(cols) for b in cols[k:]}
 
 
 def sample_skew(c: Column, n: Column, vmin: Column, vmax: Column) -> Column:

@@ -11,6 +11,7 @@ pruning, duplicate removal, imputation (median / mode), IQR outlier capping, lab
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -208,6 +209,25 @@ class CleanResult:
     plan: CleanPlan
 
 
+def _ranks(gaps: int) -> Callable[[int], set[int]]:
+    """The ranks among n values that decide the median, and the quartiles once the gaps are filled."""
+    def ranks(n: int) -> set[int]:
+        quartiles = S.quantile_ranks(n + gaps, [0.25, 0.75]) if n else set()
+        return (S.quantile_ranks(n, [0.5]) if gaps else set()) | {r for q in quartiles for r in (q, q - gaps)}
+
+    return ranks
+
+
+def _filled_at(r: int, gaps: int, fill, value: Callable[[int], float | None]) -> float:
+    """The r-th of a column's values together with ``gaps`` copies of ``fill``, from the values' order."""
+    if fill is None or not gaps:
+        return value(r)
+    below, above = value(r), value(r - gaps)
+    if below is not None and below < fill:
+        return below
+    return above if above is not None and above > fill else fill
+
+
 def fit_clean(df: DataFrame, date_sample_by: list[str] | None = None) -> CleanPlan:
     """Make every cleaning decision with a handful of small aggregates (B1..B5). The table is read
     for B0-B2 and once more for the de-duplicated copy in the shared folder (``plan.rows``), which
@@ -272,13 +292,12 @@ def fit_clean(df: DataFrame, date_sample_by: list[str] | None = None) -> CleanPl
     if plan.duplicates > 0:
         plan.log.append(LOG_DUPLICATES.format(plan.duplicates))
     gaps = {c: row[c] for c in deduped.columns if row[c] > 0}
+    num_cols = [c for c in deduped.columns if is_number(types[c])]
+    at, _ = S.order_statistics(deduped, {c: _ranks(row[c]) for c in num_cols})
     plan.missing_before = int(sum(gaps.values()))
     if plan.missing_before > 0:
-        num = [c for c in gaps if is_number(types[c])]
-        med = S.quantile_map(deduped, num, [0.5])
-        for c in num:
-            if med.get((c, 0.5)) is not None:
-                plan.fills[c] = med[(c, 0.5)]
+        for c in (c for c in gaps if is_number(types[c]) and n1 > gaps[c]):
+            plan.fills[c] = S.interpolated(n1 - gaps[c], 0.5, lambda r: at[c, r])  # noqa: B023
         txt = [c for c in gaps if is_text(types[c])]
         dts = [c for c in gaps if is_datetime(types[c])]
         modes = {r["column"]: r["mode"] for r in S.modes(deduped, txt + dts).collect()} if txt + dts else {}
@@ -291,11 +310,13 @@ def fit_clean(df: DataFrame, date_sample_by: list[str] | None = None) -> CleanPl
 
     # B4: outlier fences on the filled numeric columns (a constant column has IQR 0: skipped)
     filled = plan.fill_stage(deduped)
-    num_cols = [c for c in filled.columns if is_number(types[c])]
     if num_cols:
-        q = S.quantile_map(filled, num_cols, [0.25, 0.75])
         for c in num_cols:
-            q1, q3 = q.get((c, 0.25)), q.get((c, 0.75))
+            def value(r: int, c: str = c) -> float:
+                """The r-th value once the gaps hold the fill value."""
+                return _filled_at(r, row[c], plan.fills.get(c), lambda k: at.get((c, k)))
+
+            q1, q3 = (S.interpolated(n1 if c in plan.fills else n1 - row[c], p, value) for p in (0.25, 0.75))
             if q1 is not None and q3 - q1 > 0:
                 iqr = q3 - q1
                 plan.fences[c] = (q1 - IQR_K * iqr, q3 + IQR_K * iqr)
@@ -331,16 +352,28 @@ def deep_clean(df: DataFrame, date_sample_by: list[str] | None = None) -> CleanR
     return CleanResult(plan.finish(plan.rows), plan.log_frame(df.sparkSession), plan)
 
 
+def repeated_rows(df: DataFrame) -> int:
+    """Rows that repeat an earlier one. Rows are counted by a print of 128 bits, combined on the map side:
+    a shuffle of a few numbers a row whatever its width. A second hash tells different rows of one
+    print apart; such prints, if there are any, are counted on their whole rows."""
+    maps = [c for c, t in _fields(df).items() if _has_map(t)]
+    parts = [x for c in df.columns for v in [F.to_json(F.struct(col_of(c))) if c in maps else col_of(c)] for x in (v.isNull(), v)]
+    keyed = df.select(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"), F.xxhash64(F.lit(2), *parts).alias("c"),
+                      F.struct(*[F.to_json(F.struct(col_of(c))) if c in maps else col_of(c) for c in df.columns]).alias("row"))
+    g = keyed.groupBy("a", "b").agg((F.count(F.lit(1)) - 1).alias("k"), (F.min("c") != F.max("c")).alias("mixed"))
+    total = g.agg(F.coalesce(F.sum(F.when(~F.col("mixed"), F.col("k"))), F.lit(0)).alias("k"), F.count_if("mixed").alias("mixed")).first()
+    if not total["mixed"]:
+        return total["k"]
+    again = keyed.join(g.where("mixed").select("a", "b"), ["a", "b"], "left_semi").groupBy("row").agg((F.count(F.lit(1)) - 1).alias("k"))
+    return total["k"] + again.agg(F.sum("k").alias("k")).first()["k"]
+
+
 def quality_comparison(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows, columns, missing values and duplicate rows before and after cleaning (CLN-12)."""
     def stats(d: DataFrame):
         d = S.nan_to_null(d)
-        g = d.groupBy(*[col_of(c) for c in d.columns]).agg(F.count(F.lit(1)).alias("__k"))
-        dup = g.agg(F.sum(F.col("__k") - 1).alias("dup"))
-        base = d.agg(F.count(F.lit(1)).alias("rows"),
-                     sum((F.count_if(col_of(c).isNull()) for c in d.columns), F.lit(0)).alias("missing"))
-        r, u = base.first(), dup.first()
-        return [r["rows"], len(d.columns), int(r["missing"]), int(u["dup"] or 0)]
+        base = d.agg(F.count(F.lit(1)).alias("rows"), sum((F.count_if(col_of(c).isNull()) for c in d.columns), F.lit(0)).alias("missing")).first()
+        return [base["rows"], len(d.columns), int(base["missing"]), repeated_rows(d)]
 
     b, a = stats(before), stats(after)
     names = ["Rows", "Columns", "Missing Values", "Duplicates"]
