@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.running import text_pieces
 from quarry.operators.limiter import UPLOAD_LIMIT, drop_repeats, limit_step, micros, rate_limit  # noqa: F401  part of this module's interface
 
 FILE_TYPE = T.StructType([
@@ -74,6 +75,13 @@ def render_history(store: DataFrame) -> DataFrame:
                  .alias("history")))
 
 
+def render_history_pieces(store: DataFrame, size: int = 1 << 20) -> DataFrame:
+    """``render_history`` as numbered pieces of about ``size`` characters, for sessions of any length:
+    ``(session_id, piece, content)``."""
+    line = F.concat(F.col("type"), F.lit(": "), F.col("content"))
+    return text_pieces(store.filter(F.col("type").isin("human", "ai")), "session_id", ["pos"], line, "\n", size)
+
+
 def attach_file(store: DataFrame, uploads: DataFrame) -> DataFrame:
     """Put the session's current upload on every human message (CNV-4). ``uploads`` is
     ``(session_id, file)``, one row per session."""

@@ -6,9 +6,10 @@ Everything is regex extraction on whole pages, partition-parallel, with no Pytho
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.running import running_sum
 from quarry.functions.text import unescape_entities
 
 # Page limits, error prefix, the "Showing a – b of N" pattern.
@@ -155,6 +156,6 @@ def with_status(articles: DataFrame, on_error: str = "keep", content: str = "con
 
 def number_pages(pages: DataFrame, order: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """``listing_no``: 1, 2, ... within each source in ``order`` (EXT-9). A live crawl stops at page
-    ``MAX_LISTING_PAGES``; over a stored table every page is kept and the caller may filter."""
-    w = Window.partitionBy("source").orderBy(*order)
-    return pages.withColumn("listing_no", F.row_number().over(w))
+    ``MAX_LISTING_PAGES``; over a stored table every page is kept and the caller may filter. A source
+    with a third of all pages is numbered by several tasks (``running_sum``)."""
+    return running_sum(pages, "source", list(order), F.lit(1), "listing_no").withColumn("listing_no", F.col("listing_no").cast("int"))

@@ -93,6 +93,19 @@ def q_session_titles(spark, sf_dir):
     return cnv.session_titles(messages(Tables(spark, sf_dir)), width=40)
 
 
+#: Characters of a history's pieces in the query.
+PIECE = 600
+
+
+@query("history_pieces", f"""WITH {MSGS},
+line AS (SELECT session_id, pos, type || ': ' || content AS t FROM msgs WHERE type IN ('human', 'ai')),
+slot AS (SELECT *, (sum(length(t) + 1) OVER (PARTITION BY session_id ORDER BY pos) - length(t) - 1) // {PIECE} AS slot FROM line),
+piece AS (SELECT session_id, slot, string_agg(t, chr(10) ORDER BY pos) AS content FROM slot WHERE t IS NOT NULL GROUP BY 1, 2)
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY slot) - 1 AS piece, content FROM piece""")
+def q_history_pieces(spark, sf_dir):
+    return cnv.render_history_pieces(messages(Tables(spark, sf_dir)), PIECE)
+
+
 @query("render_history", f"""WITH {MSGS}
 SELECT session_id, string_agg(type || ': ' || content, chr(10) ORDER BY pos) AS history
 FROM msgs WHERE type IN ('human', 'ai') GROUP BY session_id""")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.running import text_pieces
 from quarry.session import shared_dir
 from quarry.types import col_of
 
@@ -144,6 +145,18 @@ def pages_context(df: DataFrame, file_key: str, page_no: str, text: str) -> Data
     return df.groupBy(file_key).agg(F.expr(f"listagg({text}, '\\n') WITHIN GROUP (ORDER BY {page_no})").alias("context"))
 
 
+def table_context_pieces(df: DataFrame, file_key: str, order_by: str, cols: list[str] | None = None, size: int = 1 << 20) -> DataFrame:
+    """``table_context`` as numbered pieces of about ``size`` characters (``text_pieces``), for files of any
+    number of rows: ``(file_key, piece, content)``."""
+    cols = cols or [c for c in df.columns if c != file_key]
+    return text_pieces(df, file_key, [order_by], row_document(df, cols), "\n", size)
+
+
+def pages_context_pieces(df: DataFrame, file_key: str, page_no: str, text: str, size: int = 1 << 20) -> DataFrame:
+    """``pages_context`` as numbered pieces, for files of any number of pages."""
+    return text_pieces(df, file_key, [page_no], col_of(text), "\n", size)
+
+
 def save_vectors(df: DataFrame, path: str, mode: str = "append") -> str:
     """Persist a vector table as parquet (SRC-8); append by default, overwrite when asked."""
     df.write.mode(mode).parquet(path)
