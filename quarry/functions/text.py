@@ -193,13 +193,16 @@ def _by_tokens(text: Column, w: int) -> Column:
 
 # Code points of character references: the names that end in ``;`` (public table of the standard
 # library), and the numbers 128-159, which browsers read as Windows-1252.
-_NAMES = json.dumps({"&" + k: v for k, v in html.entities.html5.items() if k.endswith(";")})
+_NAMES: dict[str, dict[str, str]] = {}  # by the first two letters: a map is searched from its front
+for _name, _text in html.entities.html5.items():
+    if _name.endswith(";"):
+        _NAMES.setdefault("&" + _name[:2], {})["&" + _name] = _text
 _CP1252 = json.dumps({str(i): bytes([i]).decode("cp1252") for i in range(128, 160) if i not in (129, 141, 143, 144, 157)})
 
 
 def unescape_entities(c: Column) -> Column:
     """Every character reference decoded once, named or by number; unknown ones stay as they are."""
-    names = F.from_json(F.lit(_NAMES), "map<string,string>")
+    names = F.from_json(F.lit(json.dumps(_NAMES)), "map<string,map<string,string>>")
     old = F.from_json(F.lit(_CP1252), "map<string,string>")
 
     def by_number(n: Column) -> Column:
@@ -212,7 +215,7 @@ def unescape_entities(c: Column) -> Column:
         body = F.substring(ref, F.lit(3), F.length(ref) - 3)
         hexa = F.conv(F.substring(ref, F.lit(4), F.length(ref) - 4), 16, 10).cast("bigint")
         char = F.when(ref.rlike("^&#[0-9]"), by_number(body.try_cast("bigint"))) \
-            .when(ref.rlike("^&#"), by_number(hexa)).when(ref != "", F.try_element_at(names, ref))
+            .when(ref.rlike("^&#"), by_number(hexa)).when(ref != "", F.try_element_at(F.try_element_at(names, F.substring(ref, 1, 3)), ref))
         return F.coalesce(F.concat(char, F.substring(x, F.length(ref) + 1, F.length(x))), x)
 
     return F.when(F.instr(c, "&") == 0, c).otherwise(F.array_join(F.transform(F.split(c, "(?=&)"), piece), ""))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.running import running_sum
-from quarry.functions.text import unescape_entities
+from quarry.functions.text import let, unescape_entities
 
 # Page limits, error prefix, the "Showing a – b of N" pattern.
 MAX_LISTING_PAGES = 10
@@ -30,31 +30,39 @@ def container(html: Column, tag: str = "article", attribute: str | None = None)
     """Inner HTML of the first ``<tag>`` element (with ``attribute``, a regular expression, in its
     opening tag; e.g. ``class="[^"]*\\btext\\b``), up to its own closing tag however deep equal
     elements are nested; up to the end of the document if it is not closed; empty when absent."""
-    pieces = F.split(strip_noise(html), rf"(?i)(?=</?{tag}\b)")
-    opening = rf"(?is)^<{tag}\b" + (f"(?=[^>]*?{attribute})" if attribute else "")
+    opening = rf"(?is)<{tag}\b" + (f"(?=[^>]*?{attribute})" if attribute else "") + r"[^>]*>"
 
-    def step(a: Column, p: Column) -> Column:
-        i, start, depth, stop = a["i"], a["start"], a["depth"], a["stop"]
-        begins = start.isNull() & p.rlike(opening)
-        inside = start.isNotNull() & stop.isNull()
-        d = F.when(begins, 1).when(inside & p.rlike(rf"(?i)^<{tag}\b"), depth + 1).when(inside & p.rlike(rf"(?i)^</{tag}\b"), depth - 1).otherwise(depth)
-        return F.struct((i + 1).alias("i"), F.when(begins, i).otherwise(start).alias("start"), d.alias("depth"),
-                        F.when(inside & (d == 0), i).otherwise(stop).alias("stop"))
+    def inner(rest: Column) -> Column:
+        before = F.element_at(F.split(rest, rf"(?i)</{tag}\b", 2), 1)
+        nested = before.rlike(rf"(?i)<{tag}\b")  # only then equal elements are counted
+        return F.when(nested, _to_own_close(rest, tag)).otherwise(before)
 
-    none = F.lit(None).cast("int")
-    at = F.aggregate(pieces, F.struct(F.lit(0).alias("i"), none.alias("start"), F.lit(0).alias("depth"), none.alias("stop")), step)
-    inner = F.array_join(F.slice(pieces, at["start"] + 1, F.coalesce(at["stop"], F.size(pieces)) - at["start"]), "")
-    return F.when(at["start"].isNull(), "").otherwise(F.regexp_replace(inner, r"(?s)^<[^>]*>", ""))
+    return let(F.split(strip_noise(html), opening, 2), lambda parts: F.when(F.size(parts) < 2, "").otherwise(let(F.get(parts, F.lit(1)), inner)))
+
+
+def _to_own_close(rest: Column, tag: str) -> Column:
+    """``rest`` up to the closing tag that matches an element opened before it."""
+    def cut(pieces: Column) -> Column:
+        def step(a: Column, p: Column) -> Column:
+            d = a["depth"] + F.when(p.rlike(rf"(?i)^</{tag}\b"), -1).when(p.rlike(rf"(?i)^<{tag}\b"), 1).otherwise(0)
+            return F.struct((a["i"] + 1).alias("i"), d.alias("depth"), F.coalesce(a["stop"], F.when(d == 0, a["i"])).alias("stop"))
+
+        at = F.aggregate(pieces, F.struct(F.lit(0).alias("i"), F.lit(1).alias("depth"), F.lit(None).cast("int").alias("stop")), step)
+        return F.array_join(F.slice(pieces, F.lit(1), F.coalesce(at["stop"], F.size(pieces))), "")
+
+    return let(F.split(rest, rf"(?i)(?=</?{tag}\b)"), cut)
 
 
 def visible_text(fragment: Column) -> Column:
     """Rendered text of a fragment: ``<br>`` is a line break, other tags vanish, entities are
     decoded, runs of blanks collapse, lines are trimmed."""
-    t = F.regexp_replace(fragment, r"(?i)<br\s*/?>", "\n")
-    t = unescape_entities(F.regexp_replace(t, r"<[^>]*>", ""))
-    t = F.regexp_replace(t, r"[ \t\r\f\x0B ]+", " ")
-    t = F.regexp_replace(t, r" *\n *", "\n")
-    return F.regexp_replace(F.regexp_replace(t, r"^[\s]+", ""), r"[\s]+$", "")
+    def plain(t: Column) -> Column:
+        t = F.regexp_replace(t, r"[ \t\r\f\x0B\u00A0]+", " ")
+        t = F.regexp_replace(t, r" *\n *", "\n")
+        return F.regexp_replace(F.regexp_replace(t, r"^[\s]+", ""), r"[\s]+$", "")
+
+    tagged = F.regexp_replace(F.regexp_replace(fragment, r"(?i)<br\s*/?>", "\n"), r"<[^>]*>", "")
+    return plain(unescape_entities(F.when(F.instr(fragment, "<") > 0, tagged).otherwise(fragment)))
 
 
 def _items(fragment: Column, tag: str) -> Column:
@@ -109,16 +117,57 @@ def extract_paragraphs(pages: DataFrame, within: str = "article", attribute: str
 def extract_blocks(pages: DataFrame, within: str = "article", tags: tuple[str, ...] = ("p", "ol", "ul")) -> DataFrame:
     """Block texts in tag order -- every ``p``, then ``ol`` items, then ``ul`` items -- trimmed,
     blanks dropped (EXT-4); ``content`` is their space-joined text, ``blocks`` the array."""
-    frag = container(F.col("html"), within)
-    parts = []
-    for t in tags:
-        if t in ("ol", "ul"):
-            lists = F.regexp_extract_all(frag, F.lit(rf"(?is)<{t}\b[^>]*>(.*?)</{t}>"), 1)
-            parts.append(F.flatten(F.transform(lists, lambda b: _items(b, "li"))))
-        else:
-            parts.append(_items(frag, t))
-    blocks = F.filter(F.transform(F.concat(*parts), visible_text), lambda s: F.length(s) > 0)
-    return pages.select("page_id", "url", blocks.alias("blocks"), F.array_join(blocks, " ").alias("content"))
+    def blocks_of(frag: Column) -> Column:
+        opened = F.array_join(F.regexp_extract_all(frag, F.lit(r"(?i)</?(?:ul|ol)\b"), 0), "")
+        nested = opened.rlike("(?i)<[uo]l<[uo]l")  # a list begins before the one before it has ended
+        flat, deep = [], []
+        for t in tags:
+            if t in ("ol", "ul"):
+                lists = F.regexp_extract_all(frag, F.lit(rf"(?is)<{t}\b[^>]*>(.*?)</{t}>"), 1)
+                flat.append(F.flatten(F.transform(lists, lambda b: _items(b, "li"))))
+                deep.append(_nested_items(frag, t))
+            else:
+                flat.append(_items(frag, t))
+                deep.append(_items(frag, t))
+        texts = F.when(nested, F.concat(*deep)).otherwise(F.concat(*flat))
+        return F.filter(F.transform(texts, visible_text), lambda s: F.length(s) > 0)
+
+    blocks = let(container(F.col("html"), within), blocks_of)
+    return pages.select("page_id", "url", blocks.alias("blocks")).withColumn("content", F.array_join("blocks", " "))
+
+
+def _nested_items(frag: Column, tag: str) -> Column:
+    """Fragments of every ``li`` of every ``<tag>`` list, in document order; an item of a nested list comes with
+    each list that holds it, and within its outer items. An item ends at its close, at the next item of
+    its list, or with the list. Inner lists and items begin on new lines."""
+    def items(p: Column) -> Column:
+        kind = F.transform(p, lambda x: F.lower(F.regexp_extract(x, r"(?i)^<(/?(?:li|ul|ol))\b", 1)))
+
+        def listed(k: Column) -> Column:
+            step = F.transform(k, lambda x: F.when(x.isin("ul", "ol"), 1).when(x.isin("/ul", "/ol"), -1).otherwise(0))
+            depth = F.aggregate(step, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.element_at(F.concat(F.array(F.lit(0)), a), -1), F.lit(0)) + x)))
+            rows = F.transform(p, lambda x, i: F.struct(i.alias("i"), F.get(k, i).alias("k")))
+            return let(depth, lambda d: spans(rows, d))
+
+        def spans(rows: Column, d: Column) -> Column:
+            def stop(at: Column, ends) -> Column:  # the first row behind ``at`` that ends what it opens
+                return F.coalesce(F.array_min(F.transform(F.filter(rows, lambda r: (r["i"] > at) & ends(r)), lambda r: r["i"])), F.size(rows))
+
+            def own(li: Column) -> Column:
+                level = F.get(d, li["i"])
+                end = stop(li["i"], lambda r: (F.get(d, r["i"]) < level) | ((F.get(d, r["i"]) == level) & r["k"].isin("li", "/li")))
+                text = F.array_join(F.slice(p, li["i"] + 1, end - li["i"]), "")
+                return F.regexp_replace(F.regexp_replace(text, r"(?is)^<li\b[^>]*>", ""), r"(?is)(?:\s*</?(?:ul|ol|li)\b[^>]*>\s*)+", "\n")
+
+            def of_list(open_: Column) -> Column:
+                end = stop(open_["i"], lambda r: F.get(d, r["i"]) < F.get(d, open_["i"]))
+                return F.transform(F.filter(rows, lambda r: (r["k"] == "li") & (r["i"] > open_["i"]) & (r["i"] < end)), own)
+
+            return F.flatten(F.transform(F.filter(rows, lambda r: r["k"] == tag), of_list))
+
+        return let(kind, listed)
+
+    return let(F.split(frag, r"(?i)(?=</?(?:li|ul|ol)\b)"), items)
 
 
 def parse_total(text: Column) -> Column:

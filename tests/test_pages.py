@@ -43,3 +43,20 @@ def test_container_nesting(spark):
         .withColumn("source", X.host(F.col("url")))
     rep = X.crawl_report(two, X.extract_links(two).withColumn("source", X.host(F.col("url"))), spark.createDataFrame([("b.org", 1)], "source string, total int"))
     assert {r["source"]: (r["pages"], r["links"], r["complete"]) for r in rep.collect()} == {"a.org": (1, 0, False), "b.org": (1, 1, True)}
+
+
+def test_nested_lists(spark):
+    """Every item of every list, nested ones with each list that holds them."""
+    cases = {
+        "<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul>": ["a\nb", "b", "c", "b"],
+        # all paragraphs, then the items of all ol, then of all ul; items of one list in page order
+        "<p>t</p><ol><li>1<UL class=x><li>x<li>y &amp; z</ul><li>2</ol><ul><li>last</li></ul>": ["t", "1\nx\ny & z", "x", "y & z", "2", "x", "y & z", "last"],
+        "<ul><li>a<ol><li>b<ul><li>c</li></ul></li></ol></li></ul>": ["b\nc", "c", "a\nb\nc", "b\nc", "c", "c"],
+        "<ul><li>a<ul><li>open": ["a\nopen", "open", "open"],
+        "<ul><li>plain</li></ul><ul><li>two</li></ul>": ["plain", "two"],
+    }
+    df = spark.createDataFrame([(i, "u", f"<article>{h}</article>") for i, h in enumerate(cases)], "page_id long, url string, html string")
+    got = {r["page_id"]: list(r["blocks"]) for r in X.extract_blocks(df).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    long = spark.createDataFrame([(1, "u", "<article><ul><li>" + "x " * 60000 + "</li></ul></article>")], "page_id long, url string, html string")
+    assert len(X.extract_blocks(long).first()["blocks"][0]) == 119999
