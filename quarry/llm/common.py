@@ -61,6 +61,17 @@ def arrow_slices(batches: Iterator[pa.RecordBatch], sized: int, max_bytes: int =
             i = j
 
 
+def give_back() -> None:
+    """Hand a Python worker's freed memory back to the system: workers outlive their tasks, and those
+    of earlier stages would hold on to their largest step's."""
+    import ctypes
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def _offsets(arr: pa.Array):
     import numpy as np
     return np.frombuffer(arr.buffers()[1], dtype=np.int64)[arr.offset:arr.offset + len(arr) + 1]
@@ -80,10 +91,24 @@ def binary_parts(arr: pa.Array):
     return data[o[0]:o[-1]], o - o[0]
 
 
+#: Bytes of an Arrow batch between Spark and Python (Spark's own limit is 64 MB for each task and side).
+ARROW_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound this session's Arrow batches by ``ARROW_BYTES``, unless it has a smaller limit: batches of
+    long texts then arrive in pieces instead of being cut once they are there."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").rstrip("b")
+    if not now.isdigit() or int(now) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def map_batches(df: DataFrame, schema: T.StructType, fn: Callable, sized: str | None = None) -> DataFrame:
     """``mapInArrow`` where ``fn(slice) -> RecordBatch | None`` sees bounded slices by column
-    ``sized``."""
+    ``sized`` (text or binary)."""
     at = df.columns.index(sized) if sized else None
+    small_batches(df.sparkSession)
 
     def run(batches):
         for b in (arrow_slices(batches, at) if at is not None else batches):
@@ -91,22 +116,22 @@ def map_batches(df: DataFrame, schema: T.StructType, fn: Callable, sized: str |
                 out = fn(b)
                 if out is not None:
                     yield out
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
 def append_by_batch(df: DataFrame, text_col: str, fields: list[T.StructField],
                     fn: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
-    """``df`` with further columns that ``fn`` makes from the text column (given as a binary array,
-    null kept). The caller picks names that are free."""
-    tmp = fresh("__text", df.columns)
-    src = df.withColumn(tmp, col(text_col).cast("binary"))
+    """``df`` with further columns that ``fn`` makes from the text column (given as a binary array that
+    shares the text's bytes, null kept). The caller picks names that are free."""
     names = df.columns + [f.name for f in fields]
+    at = df.columns.index(text_col)
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(list(b.columns[:-1]) + fn(b.column(b.num_columns - 1)), names=names)
+        return pa.RecordBatch.from_arrays([*b.columns, *fn(b.column(at).cast(pa.binary()))], names=names)
 
-    return map_batches(src, T.StructType(list(df.schema.fields) + fields), one, tmp)
+    return map_batches(df, T.StructType(list(df.schema.fields) + fields), one, text_col)
 
 
 #: Rows up to which a side of two or three numbers or hashes a row (64 MB at most) is broadcast.

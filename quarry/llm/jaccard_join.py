@@ -43,8 +43,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import (arrow_slices, binary_parts, bucket_of, col, components, fresh, map_batches, near, pack_sorted, planes, stored,
-                               unpack_sorted, unplanes)
+from quarry.llm.common import (arrow_slices, binary_parts, bucket_of, col, components, fresh, give_back, map_batches, near, pack_sorted, planes, small_batches,
+                               stored, unpack_sorted, unplanes)
 from quarry.llm.hashing import PLAIN, counts_by_text, text_windows, windows
 
 #: A shingle in more rows than this is ordered behind the others, if it is among the MAX_FREQUENT.
@@ -52,6 +52,8 @@ FREQUENT = 16
 MAX_FREQUENT = 1 << 20
 #: Shingles of one hash bucket, about; sets the number of buckets.
 BUCKET = 1 << 18
+#: Hashes that a task holds before it sends them to their buckets.
+GROUP = 500_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -115,8 +117,10 @@ def _new_sets(batches: Iterator[pa.RecordBatch], width: int, limit: int, used):
         if size > limit:
             yield group
             group, size = {}, 0
+            give_back()
     if group:
         yield group
+    give_back()
 
 
 def _by_bucket(bucket: np.ndarray, low: np.ndarray):
@@ -130,7 +134,7 @@ def _by_bucket(bucket: np.ndarray, low: np.ndarray):
 def _frequent(docs: DataFrame, width: int, buckets: int) -> np.ndarray:
     """Keys (bucket, 32 bits) of frequent shingles, the most frequent ``MAX_FREQUENT`` at most, sorted."""
     def emit(batches: Iterator[pa.RecordBatch]):
-        for group in _new_sets(batches, width, 3_000_000, lambda s: s):
+        for group in _new_sets(batches, width, GROUP, lambda s: s):
             bucket, low = bucket_of(np.concatenate(list(group.values())), buckets)
             key, n = np.unique(bucket.astype(np.uint64) << np.uint64(32) | low, return_counts=True)
             n = np.minimum(n, 255).astype(np.uint8)
@@ -174,7 +178,7 @@ def _index(docs: DataFrame, width: int, frequent, num: int, den: int, buckets: i
     """Lists of two classes or more: (list, class, size, position, length of the list, pivot)."""
     def emit(batches: Iterator[pa.RecordBatch]):
         hot = frequent.value
-        for group in _new_sets(batches, width, 1_500_000, lambda s: (ordered(s, hot, buckets)[:prefix_length(len(s), num, den)].copy(), len(s))):
+        for group in _new_sets(batches, width, GROUP, lambda s: (ordered(s, hot, buckets)[:prefix_length(len(s), num, den)].copy(), len(s))):
             part = [p for p, _ in group.values()]
             size = np.array([len(p) for p in part])
             n = np.repeat(np.array([k for _, k in group.values()], np.uint32), size)
@@ -230,6 +234,7 @@ def _sets(docs: DataFrame, sig: DataFrame, classes: DataFrame, width: int) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(x[:8] for x, _ in rows), np.int64), pa.int64()),
                                               pa.array([x for x, _ in rows], pa.binary()), pa.array([s.tobytes() for _, s in rows], pa.binary())],
                                              names=_SETS.names)
+        give_back()
 
     return texts.mapInArrow(run, _SETS)
 
@@ -435,17 +440,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs``, all columns, of which one of each component stays: that of the smallest
     id (null before others; then the smallest text hash), once. Rows with an empty set all stay."""
     out = _labelled(docs, id_col, text_col, width, num, den)
-    key, h = fresh("__id", docs.columns), fresh("__h", docs.columns)
+    key, h, rid, rh = (fresh(x, docs.columns) for x in ("__id", "__h", "__rid", "__rh"))
     rows = docs.withColumn(key, col(id_col).cast("long")).withColumn(h, F.xxhash64(col(text_col).cast("binary")))
     stay = out.where("`group` is not null").groupBy("group").agg(F.min(F.struct("id", "h")).alias("r")).select("group", "r")
     each = out.where("`group` is not null").groupBy("group", "id", "h").agg(F.count("*").alias("n")).join(stay, "group")
-    gone = stored(each.where(~(F.struct("id", "h").eqNullSafe(F.col("r")))).select(F.col("id").alias("rid"), F.col("h").alias("rh")), "gone")
-    again = stored(each.where(F.struct("id", "h").eqNullSafe(F.col("r")) & (F.col("n") > 1)).select(F.col("id").alias("rid"), F.col("h").alias("rh")), "again")
-    same = rows[key].eqNullSafe(F.col("rid")) & (rows[h] == F.col("rh"))
+    gone = stored(each.where(~(F.struct("id", "h").eqNullSafe(F.col("r")))).select(F.col("id").alias(rid), F.col("h").alias(rh)), "gone")
+    again = stored(each.where(F.struct("id", "h").eqNullSafe(F.col("r")) & (F.col("n") > 1)).select(F.col("id").alias(rid), F.col("h").alias(rh)), "again")
+    same = F.col(key).eqNullSafe(F.col(rid)) & (F.col(h) == F.col(rh))
     kept = rows.join(near(gone), same, "left_anti")
     if again.limit(1).count():  # rows that repeat, in id and text
-        twice = kept.join(near(again), kept[key].eqNullSafe(F.col("rid")) & (kept[h] == F.col("rh")), "left_semi").dropDuplicates([key, h])
-        kept = kept.join(near(again), kept[key].eqNullSafe(F.col("rid")) & (kept[h] == F.col("rh")), "left_anti").unionByName(twice)
+        twice = kept.join(near(again), same, "left_semi").dropDuplicates([key, h])
+        kept = kept.join(near(again), same, "left_anti").unionByName(twice)
     return kept.select(*[col(c) for c in docs.columns])
 
 
@@ -455,6 +460,7 @@ PIVOT_ROUNDS = 1
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
     spark = docs.sparkSession
+    small_batches(spark)
     src = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("binary").alias("text"))
     src = src.withColumn("h", F.xxhash64("text"))
     sig = stored(_signatures(src, width), "signatures")
