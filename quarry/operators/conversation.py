@@ -7,24 +7,25 @@ kept but never rendered).
 
 from __future__ import annotations
 
-from typing import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.running import text_pieces
+from quarry.functions.text import WHITESPACE, let
 from quarry.operators.limiter import UPLOAD_LIMIT, drop_repeats, limit_step, micros, rate_limit  # noqa: F401  part of this module's interface
+from quarry.session import stored
 
 FILE_TYPE = T.StructType([
     T.StructField("type", T.StringType()), T.StructField("name", T.StringType()),
     T.StructField("format", T.StringType()), T.StructField("base64", T.StringType())])
 
-# Default session, fallback answer, error prefix.
+# Default session, fallback answers, error prefixes.
 DEFAULT_SESSION = "default"
 NO_RESPONSE = "No response"
 API_ERROR_PREFIX = "❌ API Error: "
+UNEXPECTED_ERROR_PREFIX = "❌ Unexpected Error: "
+NO_ANSWER = "⚠️ No answer returned."
 
 
 def messages_from_log(df: DataFrame, session: str = "conv_id", pos: str = "turn", role: str = "role",
@@ -164,25 +165,49 @@ def cache_merge(cache: DataFrame, computed: DataFrame, order: str | None = None)
         new.groupBy("content_key").agg(first.alias("context")))
 
 
+# A CSV record up to its line break: quoted fields may hold breaks. Possessive, so that no step is kept.
+_RECORD = r"""(?s)\G((?:[^"\r\n]++|"(?:[^"]++|"")*+"?)++)(?:\r\n|\n|\r|\z)|\G(?:\r\n|\n|\r)"""
+NOT_BASE64 = "not base64 text"
+
+
 def csv_context(requests: DataFrame, payload: str = "csv_base64", key: str = "content_key") -> DataFrame:
-    """``(content_key, context)`` of uploaded CSV payloads (CNV-12, compute step): base64 text of a
-    header CSV -> its rows as documents, ``column: value`` lines, newline-joined. One payload is one
-    value of its row; equal keys are computed once."""
+    """``(content_key, context, error)`` of uploaded CSV payloads (CNV-12, compute step): base64 text of a
+    header CSV -> its rows as documents, ``column: value`` lines, newline-joined. Bytes that are not UTF-8
+    are read as latin-1, as files are. A payload that is not base64 has an empty context and an
+    ``error``; it fails its row, not the job. Equal keys are computed once.
+
+    Records are cut by one pattern and parsed by Spark's own CSV function; a payload is one value of its
+    row."""
     once = requests.filter(F.col(key).isNotNull() & F.col(payload).isNotNull()).groupBy(key).agg(F.min(payload).alias("p"))
+    raw = F.try_to_binary("p", F.lit("base64"))
+    text = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(F.decode(raw, "ISO-8859-1"))
+    records = F.filter(F.regexp_extract_all(F.col("text"), F.lit(_RECORD), 1), lambda r: r != "")
+    cut = once.select(key, text.alias("text")).select(key, F.col("text").isNull().alias("bad"), records.alias("records"))
+    cut = stored(cut, "payloads")
+    width = cut.agg(F.max(_fields_of(F.get("records", F.lit(0))))).first()[0] or 1  # of the widest header
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    options = {"quote": '"', "escape": '"', "maxColumns": str(width + 1), "mode": "PERMISSIVE", "multiLine": "true",
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+    def fields(record: Column) -> Column:
+        """A record's fields, as many as it has (up to the widest header); empty ones are ''."""
+        return let(F.from_csv(record, schema, options), lambda r: F.slice(
+            F.array(*[F.coalesce(F.btrim(r[f"c{i}"], F.lit(WHITESPACE)), F.lit("")) for i in range(width)]), F.lit(1), F.least(F.lit(width), _fields_of(record))))
+
+    def lines(head: Column) -> Column:
+        def of(record: Column) -> Column:
+            pairs = F.zip_with(head, fields(record), lambda c, v: F.concat(c, F.lit(": "), v))  # the shorter one ends both
+            return F.array_join(F.filter(pairs, lambda x: x.isNotNull()), "\n")
+
+        return F.array_join(F.transform(F.slice("records", 2, 1 << 30), of), "\n")
+
+    context = F.when(F.size("records") > 0, let(fields(F.get("records", F.lit(0))), lines)).otherwise(F.lit(""))
+    return cut.select(key, context.alias("context"), F.when(F.col("bad"), F.lit(NOT_BASE64)).alias("error"))
 
-    def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import csv
-        import io
-        for pdf in batches:
-            out = []
-            for raw in pdf["p"]:
-                rows = list(csv.reader(io.StringIO(raw)))
-                head = rows[0] if rows else []
-                out.append("\n".join(f"{c.strip()}: {v.strip()}" for r in rows[1:] for c, v in zip(head, r)))
-            yield pd.DataFrame({key: pdf[key], "context": out})
 
-    text = once.select(key, F.unbase64("p").cast("string").alias("p"))
-    return text.mapInPandas(render, f"{key} string, context string")
+def _fields_of(record: Column) -> Column:
+    """How many fields a CSV record has: commas outside quotes, and one."""
+    return F.regexp_count(F.regexp_replace(record, r'(?s)"(?:[^"]++|"")*+"?', ""), F.lit(",")) + 1
 
 
 def first_payloads(store: DataFrame) -> DataFrame:
@@ -195,7 +220,12 @@ def first_payloads(store: DataFrame) -> DataFrame:
         .select("session_id", "pos", "payload_md5")
 
 
-def error_to_message(df: DataFrame, error: str = "error", answer: str = "answer") -> Column:
-    """A failed call becomes an ai message holding the error text (CNV-17)."""
-    return F.when(F.col(error).isNotNull(), F.concat(F.lit(API_ERROR_PREFIX), F.col(error))) \
-        .otherwise(F.coalesce(F.col(answer), F.lit(NO_RESPONSE)))
+def error_to_message(df: DataFrame, error: str = "error", answer: str = "answer", unexpected: str | None = None,
+                     no_answer: str = NO_RESPONSE) -> Column:
+    """What a call leaves in the history as the ai message (CNV-17): a failed request its error, any other
+    failure (column ``unexpected``) that, a missing answer ``no_answer`` (the service says
+    ``No response``, the app ``NO_ANSWER``), else the answer."""
+    shown = F.when(F.col(error).isNotNull(), F.concat(F.lit(API_ERROR_PREFIX), F.col(error)))
+    if unexpected:
+        shown = shown.when(F.col(unexpected).isNotNull(), F.concat(F.lit(UNEXPECTED_ERROR_PREFIX), F.col(unexpected)))
+    return shown.otherwise(F.coalesce(F.col(answer), F.lit(no_answer)))

@@ -147,7 +147,29 @@ def q_csv_payload_context(spark, sf_dir):
     csv = F.concat(F.lit("event, kind\n"), "event_id", F.lit(","), "event_type", F.lit('\n7,"a, b"'))
     r = e.select(encode_payload(csv).alias("csv_base64"), F.col("props").alias("question"), F.lit("csv-upload").alias("route"),
                  F.lit(None).cast("string").alias("image_base64"), F.lit(None).cast("string").alias("pdf_base64"))
-    return cnv.csv_context(cnv.content_key(r))
+    return cnv.csv_context(cnv.content_key(r)).select("content_key", "context")
+
+
+@query("csv_payload_errors", """SELECT sha256(CASE event_id % 3 WHEN 0 THEN '*' || event_id || '*' WHEN 1 THEN base64(encode('kind' || chr(10) || event_id))
+                ELSE 'a2luZApjYWbp' END) AS content_key,
+       any_value(CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'kind: ' || event_id ELSE 'kind: café' END) AS context,
+       any_value(CASE event_id % 3 WHEN 0 THEN 'not base64 text' END) AS error
+FROM events GROUP BY 1""")
+def q_csv_payload_errors(spark, sf_dir):
+    """Uploads of all events: a third is not base64, a third is latin-1, a third is sound."""
+    e, k = Tables(spark, sf_dir).events, F.col("event_id") % 3
+    sound = encode_payload(F.concat(F.lit("kind\n"), F.col("event_id")))
+    p = F.when(k == 0, F.concat(F.lit("*"), F.col("event_id"), F.lit("*"))).when(k == 1, sound).otherwise(F.lit("a2luZApjYWbp"))
+    return cnv.csv_context(e.select(p.alias("csv_base64"), F.sha2(p, 256).alias("content_key")))
+
+
+@query("answer_messages", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN '❌ API Error: timeout' WHEN 1 THEN '❌ Unexpected Error: ' || event_type
+  WHEN 2 THEN '⚠️ No answer returned.' ELSE props END AS message FROM events""")
+def q_answer_messages(spark, sf_dir):
+    """What the app shows for each kind of outcome: failed request, other failure, no answer, answer."""
+    e, k = Tables(spark, sf_dir).events, F.col("event_id") % 4
+    r = e.select("event_id", F.when(k == 0, "timeout").alias("error"), F.when(k == 1, F.col("event_type")).alias("failure"), F.when(k == 3, F.col("props")).alias("answer"))
+    return r.select("event_id", cnv.error_to_message(r, unexpected="failure", no_answer=cnv.NO_ANSWER).alias("message"))
 
 
 @query("attach_file", f"""WITH {MSGS}, {UPLOADS}

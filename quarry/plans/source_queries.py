@@ -111,3 +111,14 @@ def q_csv_dirty_roundtrip(spark, sf_dir):
     d.where("p_partkey % 2 = 1").coalesce(1).write.mode("append").option("header", True).option("quote", '"').option("escape", '"') \
         .option("encoding", "ISO-8859-1").csv(path)
     return SRC.read_table(spark, path)
+
+
+@query("csv_swapped_columns", """SELECT c_custkey, c_name, c_acctbal, 9223372036854775807 - c_custkey AS large,
+  CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment END AS c_mktsegment FROM customer""")
+def q_csv_swapped_columns(spark, sf_dir):
+    """Two files of one encoding, with other column orders, one column more in the second, and
+    19-digit integers."""
+    c = Tables(spark, sf_dir).customer.withColumn("large", F.lit((1 << 63) - 1) - F.col("c_custkey"))
+    path = SRC.write_csv(c.where("c_custkey % 2 = 0").select("c_name", "large", "c_custkey", "c_acctbal").coalesce(1), SRC.scratch_path(spark, "csv"))
+    SRC.write_csv(c.where("c_custkey % 2 = 1").select("c_custkey", "c_mktsegment", "c_acctbal", "large", "c_name").coalesce(1), path, "append")
+    return SRC.read_table(spark, path).select("c_custkey", "c_name", "c_acctbal", "large", "c_mktsegment")

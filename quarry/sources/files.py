@@ -3,6 +3,7 @@ pages as documents, vector tables, knowledge-base union."""
 
 from __future__ import annotations
 
+import csv
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,21 +26,42 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark, name)}/{uuid.uuid4().hex}"
 
 
-def file_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, encoding)``: UTF-8 when every line of the file is valid UTF-8, else latin-1 (Spark's
-    charset name ``ISO-8859-1``). Lines are checked where they are read; no file is one value."""
-    lines = spark.read.text(path)
-    return lines.select(F.col("_metadata.file_path").alias("path"), F.is_valid_utf8("value").alias("ok")) \
-        .groupBy("path").agg(F.when(F.bool_and("ok"), F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1")).alias("encoding"))
+def file_kinds(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, encoding, header)``: UTF-8 when every line of the file is valid UTF-8, else latin-1 (Spark's
+    charset name ``ISO-8859-1``), and the bytes of the first line. Lines are checked where they are
+    read; no file is one value."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                                         "value", F.monotonically_increasing_id().alias("i"))
+    first = F.min_by(F.when(F.col("block") == 0, F.col("value").cast("binary")), F.when(F.col("block") == 0, F.col("i")))
+    return lines.groupBy("path").agg(
+        F.when(F.bool_and(F.is_valid_utf8("value")), F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1")).alias("encoding"), first.alias("header"))
+
+
+def header_names(line: str) -> list[str] | None:
+    """Column names of a header line as a data-frame reader gives them: equal ones get ``.1``, ``.2``, empty
+    ones ``Unnamed: <place>``; None where a quoted name goes on in the next line."""
+    if line.count('"') % 2:
+        return None
+    fields = next(csv.reader([line.removeprefix("\ufeff")]), [])
+    names: list[str] = []
+    for i, f in enumerate(fields):
+        name, k = f or f"Unnamed: {i}", 0
+        while name in names:
+            k += 1
+            name = f"{f or f'Unnamed: {i}'}.{k}"
+        names.append(name)
+    return names
 
 
 def infer_types(df: DataFrame) -> DataFrame:
     """Text columns read as a data-frame reader does: missing-value tokens are null; a column of
-    integers is ``bigint`` (``double`` if it has gaps), of numbers ``double``, of true/false
-    ``boolean``, anything else (dates too) stays text. One aggregate decides for all columns."""
+    integers is ``bigint``, or ``decimal(38,0)`` where some are larger (``double`` if it has gaps), of
+    numbers ``double``, of true/false ``boolean``, anything else (dates too) stays text. One aggregate
+    decides for all columns."""
     df = df.select(*[F.when(~col_of(c).isin(*CSV_NA_TOKENS), col_of(c)).alias(c) for c in df.columns])
     number = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(inf|infinity|Infinity|Inf)\s*$"
-    parts = [F.struct(F.count(x).alias("n"), F.count_if(x.rlike(r"^\s*[+-]?\d{1,18}\s*$")).alias("i"), F.count_if(x.rlike(number)).alias("d"),
+    parts = [F.struct(F.count(x).alias("n"), F.count_if(x.rlike(r"^\s*[+-]?\d{1,38}\s*$")).alias("i"),
+                      F.count_if(x.rlike(r"^\s*[+-]?\d{1,19}\s*$") & F.trim(x).try_cast("bigint").isNotNull()).alias("l"), F.count_if(x.rlike(number)).alias("d"),
                       F.count_if(x.isin("True", "TRUE", "true", "False", "FALSE", "false")).alias("b")).alias(f"c{k}")
              for k, x in enumerate(col_of(c) for c in df.columns)]
     if not parts:
@@ -48,7 +70,8 @@ def infer_types(df: DataFrame) -> DataFrame:
     out = []
     for k, c in enumerate(df.columns):
         s, x = seen[f"c{k}"], col_of(c)
-        kind = ("string" if not s["n"] else "bigint" if s["i"] == s["n"] == seen["rows"] else "double" if s["d"] == s["n"]
+        kind = ("string" if not s["n"] else "bigint" if s["l"] == s["n"] == seen["rows"]
+                else "decimal(38,0)" if s["i"] == s["n"] == seen["rows"] else "double" if s["d"] == s["n"]
                 else "boolean" if s["b"] == s["n"] else "string")
         out.append((x if kind == "string" else F.trim(x).try_cast(kind)).alias(c))
     return df.select(*out)
@@ -57,24 +80,28 @@ def infer_types(df: DataFrame) -> DataFrame:
 def read_table(spark: SparkSession, path: str, encoding: str | None = None, schema=None) -> DataFrame:
     """Header CSV with inferred types (SRC-1): quoted fields may hold commas, doubled quotes and line
     breaks. Without ``encoding`` each file is checked: valid UTF-8 is read as UTF-8, anything else as
-    latin-1. Missing-value tokens become null; ``schema`` replaces the inference."""
+    latin-1. Files of a folder are matched by column name, whatever their order; a column that a file does
+    not have is null there. Names follow ``header_names``. Missing-value tokens become null; ``schema``
+    (columns in the files' order) replaces the inference."""
     reader = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", True).option("quote", '"')
               .option("escape", '"').option("inferSchema", False).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
-    if schema is not None:
-        reader = reader.schema(schema)
-    if encoding:
-        names = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1", "latin1": "ISO-8859-1"}
-        out = reader.option("encoding", names.get(encoding.lower(), encoding)).csv(path)
-    else:
-        groups = {}
-        for r in file_encodings(spark, path).collect():  # one row per file
-            groups.setdefault(r["encoding"], []).append(r["path"])
-        frames = [reader.option("encoding", enc).csv(sorted(paths)) for enc, paths in sorted(groups.items())]
-        if not frames:
-            return reader.csv(path)
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f, allowMissingColumns=True)
+    charsets = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1", "latin1": "ISO-8859-1"}
+    groups: dict[tuple, list[str]] = {}
+    for r in file_kinds(spark, path).collect():  # one row per file
+        charset = r["encoding"] if encoding is None else charsets.get(encoding.lower(), encoding)
+        groups.setdefault((charset, bytes(r["header"] or b"")), []).append(r["path"])
+    frames = []
+    for (charset, header), paths in sorted(groups.items()):
+        names = header_names(header.decode(charset, "replace"))
+        one = reader.option("encoding", charset)
+        if schema is not None or names:
+            one = one.schema(schema if schema is not None else T.StructType([T.StructField(c, T.StringType()) for c in names]))
+        frames.append(one.csv(sorted(paths)))
+    if not frames:
+        return (reader if schema is None else reader.schema(schema)).csv(path)
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
     return infer_types(out) if schema is None else out
 
 

@@ -45,3 +45,28 @@ def test_csv_context_and_repeats(spark):
 def test_display_older_image_fields(spark):
     old = spark.createDataFrame([("s", 0, "human", "hi", None, "QQ==", "png"), ("s", 1, "ai", "yo", None, "QQ==", "png")], STORE + ", image string, image_type string")
     assert [(r["image"], r["image_type"]) for r in cnv.display_history(old).orderBy("pos").collect()] == [("QQ==", "png"), (None, None)]
+
+
+def test_payloads_as_the_csv_reader_reads_them(spark):
+    """Quotes, breaks, short and long rows, blank lines, other encodings, bad payloads, very long records."""
+    import base64
+    import csv
+    import io
+    import random
+    r = random.Random(4)
+    csv.field_size_limit(1 << 30)
+    cell = lambda: r.choice(["", "x", "two words", '"q, ""u"""', '"line\nbreak"', "é", " pad ", "1.5"])
+    texts = ["", "\n\n", "only,header", "a,b\n\n1,2\r\n3\n4,5,6", 'a\n"' + 'long ""q"" ' * 20000 + '"\n' + "x" * 200000]
+    texts += [r.choice(["\n", "\r\n"]).join(",".join(cell() for _ in range(r.randint(1, 5))) for _ in range(r.randint(1, 8))) for _ in range(60)]
+    rows = [(str(i), base64.b64encode(t.encode()).decode()) for i, t in enumerate(texts)]
+    rows += [("latin", base64.b64encode("k\ncafé".encode("latin-1")).decode()), ("bad", "*no*"), ("bad2", "QQ=x")]
+    got = {x["content_key"]: (x["context"], x["error"]) for x in cnv.csv_context(spark.createDataFrame(rows, "content_key string, csv_base64 string")).collect()}
+
+    def want(text):
+        lines = [x for x in csv.reader(io.StringIO(text, newline="")) if x]
+        head = lines[0] if lines else []
+        return "\n".join(f"{c.strip()}: {v.strip()}" for x in lines[1:] for c, v in zip(head, x))
+
+    for i, t in enumerate(texts):
+        assert got[str(i)] == (want(t), None), (i, t[:200])
+    assert got["latin"] == ("k: café", None) and got["bad"] == ("", cnv.NOT_BASE64) == got["bad2"]

@@ -36,3 +36,21 @@ def test_csv_quotes_breaks_gaps_and_dates(spark):
     v = [12345678.9, 0.1, 1.0, -2.5, 1e15, 1e20, 1e-7, None]
     got = [r["t"] for r in spark.createDataFrame([(x,) for x in v], "x double").select(plain_text(F.col("x"), T.DoubleType()).alias("t")).collect()]
     assert got[:5] == ["12345678.9", "0.1", "1.0", "-2.5", "1000000000000000.0"] and got[7] is None
+
+
+def test_columns_by_name_and_large_integers(spark):
+    from quarry.sources.files import header_names
+    assert header_names('a,a,,"x, y",a.1,a') == ["a", "a.1", "Unnamed: 2", "x, y", "a.1.1", "a.2"] and header_names('a,"b') is None
+    d = tempfile.mkdtemp(prefix="quarry-csv-test-")
+    for name, text in (("a.csv", "id,name,big\n3,z,9223372036854775807\n"), ("b.csv", "name,id,big\ny,4,9223372036854775806\n"), ("c.csv", "﻿id,extra\n5,q\n")):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    df = read_table(spark, d)
+    assert {r["id"]: (r["name"], r["extra"]) for r in df.collect()} == {3: ("z", None), 4: ("y", None), 5: (None, "q")}
+    d = tempfile.mkdtemp(prefix="quarry-csv-test-")
+    with open(os.path.join(d, "a.csv"), "w") as f:
+        f.write("a,a,big,huge\n1,2,9223372036854775807,92233720368547758070\n3,4,-9223372036854775808,5\n")
+    df = read_table(spark, d)
+    assert df.columns == ["a", "a.1", "big", "huge"] and dict(df.dtypes)["big"] == "bigint" and dict(df.dtypes)["huge"] == "decimal(38,0)"
+    assert sorted((r["a"], r["a.1"], r["big"], int(r["huge"])) for r in df.collect()) == [
+        (1, 2, 2**63 - 1, 92233720368547758070), (3, 4, -2**63, 5)]
