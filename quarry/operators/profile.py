@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import stats as S
+from quarry.functions.running import running_sum
 from quarry.types import col_of, numeric_cols, simple_cols, text_cols, type_class
 
 # Answer clean-up texts and the fallback insight labels.
@@ -190,6 +191,40 @@ def dataset_summary(df: DataFrame, log: DataFrame | None = None, order_by: list[
     return out if log is None else out.unionByName(part("log", log, F.col("step"), F.col("message")))
 
 
+# Fixed value: what the insight prompt asks for.
+INSIGHT_REQUEST = """Analyze this dataset and provide deep, actionable insights. Do not use markdown or asterisks. Format your response in clear sections with numbered or bulleted lists. Include:
+1. Key findings and patterns
+2. Data quality assessment
+3. Potential business or research insights
+4. Recommendations for further analysis
+5. Notable correlations or trends
+6. Statistical anomalies or outliers
+7. Any detected data issues or suggestions
+8. If possible, suggest predictive features or targets"""
+# Titles of the summary's parts, in their order.
+SUMMARY_TITLES = {"shape": "Shape", "types": "Data types", "missing": "Missing values", "statistics": "Numeric summary",
+                  "values": "Categorical summary", "log": "Cleaning Operations Performed", "rows": "Sample data"}
+
+
+def insight_prompt(df: DataFrame, log: DataFrame | None = None, order_by: list[str] | None = None) -> DataFrame:
+    """The model's prompt about a table (PRF-12): ``(position, line)``. The request, then the parts of
+    ``dataset_summary`` under their titles, a line for each row: statistics and frequencies by name, log
+    steps and sample rows in their order. Lines, since the frequencies have no bound; joined by newlines
+    they are the prompt."""
+    titles = list(SUMMARY_TITLES)
+    summary = dataset_summary(df, log, order_by)
+    part = F.array_position(F.array(*map(F.lit, titles)), F.col("section")).cast("int")
+    shown = F.when(F.col("section") == "shape", F.replace("value", F.lit(" x "), F.lit(", "))) \
+        .when(F.col("section").isin("log", "rows"), F.col("value")).otherwise(F.concat_ws(": ", "name", F.coalesce("value", F.lit("null"))))
+    lines = summary.select(part.alias("part"), F.lit(1).alias("kind"),
+                           F.when(F.col("section") == "log", F.lpad("name", 9, "0")).otherwise(F.col("name")).alias("name"), shown.alias("line"))
+    present = [t for t in titles if t != "log" or log is not None]
+    heads = [(0, 0, "", x) for x in [*INSIGHT_REQUEST.split("\n"), "Dataset Overview:"]] + [(titles.index(t) + 1, 0, "", f"- {SUMMARY_TITLES[t]}:") for t in present]
+    fixed = df.sparkSession.createDataFrame([(p, k, f"{i:09d}", x) for i, (p, k, _, x) in enumerate(heads)], lines.schema)
+    numbered = running_sum(fixed.unionByName(lines).withColumn("prompt", F.lit(0)), "prompt", ["part", "kind", "name", "line"], F.lit(1), "position")
+    return numbered.select("position", "line")
+
+
 def preview(df: DataFrame, n: int = 10, order_by: list[str] | None = None) -> DataFrame:
     """First ``n`` rows (5..50 in the app) in a stated order (PRF-14)."""
     n = max(1, int(n))

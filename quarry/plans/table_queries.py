@@ -463,6 +463,14 @@ def q_dataset_summary(spark, sf_dir):
     return shape.unionByName(miss).unionByName(sig_doubles(desc)).unionByName(vc)
 
 
+@query("insight_prompt")
+def q_insight_prompt(spark, sf_dir):
+    """The prompt about the customers, line by line."""
+    c = Tables(spark, sf_dir).customer
+    log = spark.createDataFrame([(1, "Parsed nothing"), (2, "Dropped nothing")], "step int, message string")
+    return P.insight_prompt(c, log, ["c_custkey"])
+
+
 # ------------------------------------------------------------------------------------------
 # Chart data
 

@@ -117,3 +117,18 @@ def test_limiter_edges(spark):
     assert got[4] == ("accepted", 0) and got[5] == ("refused", 0)
     assert got[6] == ("accepted", 0)  # t0 dropped at exactly 6 h, so 2 remain -> accept
     assert got[7] == ("refused", 0)
+
+
+def test_insight_prompt(spark):
+    from quarry.operators import profile as P
+    df = spark.createDataFrame([(i, "ab"[i % 2], None if i == 3 else float(i)) for i in range(6)], "k long, t string, v double")
+    log = spark.createDataFrame([(i, f"step {i}") for i in range(1, 12)], "step int, message string")
+    rows = P.insight_prompt(df, log, ["k"]).orderBy("position").collect()
+    lines = [r["line"] for r in rows]
+    assert [r["position"] for r in rows] == list(range(1, len(rows) + 1))
+    assert "\n".join(lines).startswith(P.INSIGHT_REQUEST + "\nDataset Overview:\n- Shape:\n6, 3\n- Data types:\nk: bigint\nt: string\nv: double\n- Missing values:\nk: 0\nt: 0\nv: 1\n- Numeric summary:\n")
+    at = lines.index("- Categorical summary:")
+    assert "v.mean: 2.4" in lines[:at] and lines[at + 1:at + 3] == ["t=a: 3", "t=b: 3"]
+    assert lines[at + 3:at + 15] == ["- Cleaning Operations Performed:", *[f"step {i}" for i in range(1, 12)]]
+    assert lines[at + 15:] == ["- Sample data:", *['{"k":%d,"t":"%s"%s}' % (i, "ab"[i % 2], "" if i == 3 else f',"v":{float(i)}') for i in range(5)]]
+    assert P.insight_prompt(df).count() == len(rows) - 12
