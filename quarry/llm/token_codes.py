@@ -68,13 +68,24 @@ class WordEncoder:
         two pre-tokens at least, so its ids are those of both parts (where ``lowercase`` holds)."""
         tails = {w: m.end(1) for w in words if self.lowercase and b"<|" not in w and (m := TAIL.fullmatch(w))}
         parts = {x for w, n in tails.items() for x in (w[:n], w[n:])}
-        need = (words - tails.keys()) | parts
-        for w in (need - self.known.keys()) & self.old.keys():
-            self.known[w] = self.old[w]
-        self._encode_new(sorted(need - self.known.keys()))
+        self._encode_new(sorted(self._unknown(parts.union(w for w in words if w not in tails))))
         for w, n in tails.items():
             self.known[w] = self.known[w[:n]] + self.known[w[n:]]
 
+    def _unknown(self, words: set[bytes]) -> list[bytes]:
+        """Words not remembered; those in the old memory move to the young one. Looks words up one by one:
+        a difference with the memory's keys would walk through all of the memory."""
+        known, old = self.known, self.old
+        out = []
+        for w in words:
+            if w not in known:
+                ids = old.get(w)
+                if ids is None:
+                    out.append(w)
+                else:
+                    known[w] = ids
+        return out
+
     def _encode_new(self, words: list[bytes]) -> None:
         plain = [w for w in words if b"<|" not in w and not any(s in w for s in self.specials)]
         for i in range(0, len(plain), CALL_WORDS):
@@ -103,11 +114,9 @@ class WordEncoder:
         new: set[bytes] = set()
         for words in cut:
             new.update(words)
-        new -= self.known.keys()
-        if new:
-            for w in new & self.old.keys():
-                self.known[w] = self.old[w]
-            self.learn(new - self.known.keys())
+        unknown = self._unknown(new)
+        if unknown:
+            self.learn(set(unknown))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
