@@ -1,8 +1,9 @@
 """URL filter: exact host/path rules first, else an empirical-Bayes reputation of the host.
 
 Labelled page outcomes (good or not) are counted by host. Good rates are shrunk from the whole
-table to the suffix (last label), from there to the registered domain (suffix and one label more),
-and from there to the host: at each level the prior is a beta distribution around the parent's
+table to the suffix (last label, or two that ``SUFFIXES`` lists), from there to the registered domain
+(suffix and one label more), and from there to the host; a user part and a port belong to none of the
+three, and an address of numbers is its own domain and suffix: at each level the prior is a beta distribution around the parent's
 posterior mean, its strength fitted by moments (the intra-class correlation ``rho`` of a
 beta-binomial; strength = 1/rho - 1). A host without labelled pages has its domain's mean, else its
 suffix's, else that of the whole table, under the strength of the host level. A host is blocked if the
@@ -25,6 +26,10 @@ from quarry.llm.common import col, stored
 #: Bounds of the fitted correlation, so that strengths lie between 1 and 9999.
 RHO = (1e-4, 0.5)
 
+# Public suffixes of two labels under which domains are registered. A caller may give more.
+SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "co.kr", "co.in", "co.za",
+            "com.ar", "com.br", "com.cn", "com.hk", "com.mx", "com.sg", "com.tr", "com.tw")
+
 
 def host_of(url):
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
@@ -43,6 +48,16 @@ def suffixes(host):
                        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
+def registered(host, listed=SUFFIXES):
+    """(suffix, registered domain) of a host."""
+    site = F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*$", "")
+    labels = F.split(site, r"\.", -1)
+    last = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
+    two = last(2).isin(*listed) if listed else F.lit(False)
+    number = site.rlike(r"^[0-9.]+$|^\[")
+    return (F.when(number, site).when(two, last(2)).otherwise(last(1)), F.when(number, site).when(two, last(3)).otherwise(last(2)))
+
+
 def rule_match(host, path, rules: list[tuple[str, str]]):
     """(rule, verdict) of the longest rule that fits; null without one. ``rules`` is a short list
     of (``host/path``, ``allow`` or ``block``) held in the plan; equal lengths: longer host first."""
@@ -56,16 +71,15 @@ def rule_match(host, path, rules: list[tuple[str, str]]):
     return F.when(F.size(fits) > 0, F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict")))
 
 
-def reputation(outcomes: DataFrame, z: float = 1.645, hosts: DataFrame | None = None) -> DataFrame:
+def reputation(outcomes: DataFrame, z: float = 1.645, hosts: DataFrame | None = None, listed=SUFFIXES) -> DataFrame:
     """Hosts of ``outcomes(host, good 0/1)``, and of ``hosts(host)`` if given (repeats count once), with n,
     good, posterior mean, lower and upper bound. The driver sees one row of totals for each level."""
-    labels = F.split("host", r"\.", -1)
+    suffix_of, domain_of = registered(F.col("host"), listed)
     rows = outcomes.where("good is not null").select("host", F.lit(1).alias("n"), F.col("good").cast("long").alias("g"))
     if hosts is not None:
         rows = rows.union(hosts.select("host", F.lit(0), F.lit(0).cast("long")))
     units = stored(rows.groupBy("host").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
-                   .withColumn("suffix", F.element_at(labels, -1))
-                   .withColumn("domain", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")), "hosts")
+                   .withColumn("suffix", suffix_of).withColumn("domain", domain_of), "hosts")
     known = units.where("n > 0")
     total = known.agg(F.sum("g").alias("g"), F.sum("n").alias("n")).first()
     root = F.lit(((total["g"] or 0) + 0.5) / ((total["n"] or 0) + 1))

@@ -268,6 +268,20 @@ def test_hosts_without_outcomes(spark):
     assert all(rep[h]["mean"] == pytest.approx(r["mean"]) and rep[h]["upper"] == pytest.approx(r["upper"]) for h, r in before.items())
 
 
+def test_registered_domains(spark):
+    hosts = {"a.b.example.com": ("com", "example.com"), "example.com:8080": ("com", "example.com"), "u:p@www.example.com:1": ("com", "example.com"),
+             "www.shop.co.uk": ("co.uk", "shop.co.uk"), "other.co.uk:80": ("co.uk", "other.co.uk"), "co.uk": ("co.uk", "co.uk"), "localhost": ("localhost", "localhost"),
+             "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "[::1]:80": ("[::1]", "[::1]"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r["host"]: (r["s"], r["d"]) for r in df.select("host", url_filter.registered(df.host)[0].alias("s"), url_filter.registered(df.host)[1].alias("d")).collect()}
+    assert got == hosts
+    # one bad shop under co.uk does not pull down the others' domain; a port does not make a new one
+    rows = [("bad.co.uk", 0)] * 60 + [("www.good.co.uk:8080", 1)] * 60 + [("fine.org", 1)] * 60
+    rep = {r["host"]: r for r in url_filter.reputation(spark.createDataFrame(rows, "host string, good int"),
+                                                       hosts=spark.createDataFrame([("good.co.uk",), ("bad.co.uk:443",)], "host string")).collect()}
+    assert rep["good.co.uk"]["domain"] == "good.co.uk" and rep["good.co.uk"]["mean"] > 0.9 > 0.1 > rep["bad.co.uk:443"]["mean"]
+
+
 def test_nearest(spark):
     r = np.random.default_rng(4)
     rows = [(i, [float(x) for x in r.standard_normal(8)], 1) for i in range(400)]
