@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import col, stored
+from quarry.llm.common import col, give_back, stored
 
 RUN = "[A-Za-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words (and bytes of words) of a cell, of a leaf; words that shape the cells; pairs of a step.
-CELL, CELL_BYTES, LEAF, SAMPLE, STEP = 1 << 14, 1 << 25, 32, 1 << 16, 1 << 20
+CELL, CELL_BYTES, LEAF, SAMPLE, STEP = 1 << 14, 1 << 25, 32, 1 << 16, 1 << 18
 #: A-Z never occur; a-z have two thresholds, the 64 letters above share 12 places of one threshold.
 _PLACE = np.full(256, 255, np.uint8)
 _PLACE[97:123] = np.arange(26)
@@ -163,7 +163,7 @@ class Cell:
 
         grow(0, len(words))
         self.all, self.any = (np.array([x[k] for x in nodes], np.uint64) for k in (0, 1))
-        self.lo, self.hi, self.zero, self.one = (np.array([x[k] for x in nodes], np.int64) for k in (2, 3, 4, 5))
+        self.lo, self.hi, self.zero, self.one = (np.array([x[k] for x in nodes], np.int32) for k in (2, 3, 4, 5))
         self.words, self.n, self.letters, self.mask = self.words[order], self.n[order], self.letters[order], mask[order]
         self.rank = np.argsort(np.argsort(self.words))
 
@@ -171,7 +171,7 @@ class Cell:
         """(query numbers, word numbers) one edit apart, in blocks; queries of length m or m - 1."""
         q = masks(letters, self.m)
         same = letters.shape[1] == self.m
-        i, node = np.arange(len(q)), np.zeros(len(q), np.int64)
+        i, node = np.arange(len(q), dtype=np.int32), np.zeros(len(q), np.int32)
         while len(i):
             x = q[i]
             near = (np.bitwise_count(self.all[node] & ~x) <= 1) & (np.bitwise_count(x & ~self.any[node]) <= int(same))
@@ -238,7 +238,7 @@ def _search(cell: Cell, words: list[str], n: np.ndarray):
 
 
 def _blocks(words: list[str]) -> int:
-    return max(1, min(4096, CELL_BYTES // (8 * len(words[0]))))
+    return max(1, min(1024, CELL_BYTES // (8 * len(words[0]))))
 
 
 def _cells(batches):
@@ -278,6 +278,7 @@ def _cells(batches):
                 yield from _search(cell, words[k:min(k + step, hi)], n[k:min(k + step, hi)])
     if home and cell is None:
         yield from built()
+    give_back()
 
 
 def _dealt(tops: dict[int, list[tuple]]):
@@ -310,6 +311,7 @@ def _dealt(tops: dict[int, list[tuple]]):
                 i, cell, m, role = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(m.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(role.astype(np.int32)),
                                                   pa.array(words[at[i]], pa.string()), pa.array(n[at[i]])], names=["m", "cell", "role", "word", "n"])
+        give_back()
 
     return run
 
