@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 
 from quarry.llm.common import (arrow_slices, binary_parts, bucket_of, col, components, fresh, give_back, map_batches, near, pack_sorted, planes, small_batches,
                                stored, unpack_sorted, unplanes)
-from quarry.llm.hashing import PLAIN, counts_by_text, text_windows, windows
+from quarry.llm.hashing import PLAIN, counts_by_text, mix, text_windows, windows
 
 #: A shingle in more rows than this is ordered behind the others, if it is among the MAX_FREQUENT.
 FREQUENT = 16
@@ -54,6 +54,8 @@ MAX_FREQUENT = 1 << 20
 BUCKET = 1 << 18
 #: Hashes that a task holds before it sends them to their buckets.
 GROUP = 500_000
+#: Bits of a parity sketch.
+SKETCH = 512
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -90,16 +92,23 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 _SIG = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("n", T.LongType()),
-                     T.StructField("cls", T.BinaryType()), T.StructField("c", T.LongType())])
+                     T.StructField("cls", T.BinaryType()), T.StructField("c", T.LongType()), T.StructField("sketch", T.BinaryType())])
 _PACK = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("packed", T.BinaryType())])
 
 
+def parity_sketch(s: np.ndarray) -> bytes:
+    """``SKETCH`` bits, each the parity of the shingles that fall on it: bits in which two sets' sketches
+    differ never outnumber the shingles in which the sets do."""
+    return np.packbits(np.bincount((mix(s) >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).tobytes()
+
+
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(*binary_parts(b.column(1)), width)
         cls = [class_of(s) if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()),
-                                           pa.array([None if x is None else int.from_bytes(x[:8], "little", signed=True) for x in cls], pa.int64())],
+                                           pa.array([None if x is None else int.from_bytes(x[:8], "little", signed=True) for x in cls], pa.int64()),
+                                           pa.array([parity_sketch(s) if len(s) else None for s in sets], pa.binary())],
                                           names=_SIG.names)
     return map_batches(docs, _SIG, run, "text")
 
@@ -338,9 +347,14 @@ def _open_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     list (more than ``FREQUENT`` entries) gives only the pairs for which that holds; a short one gives
     what sizes and positions allow with all before it in common. Then the common prefix shingles
     of a pair (``k``) are added up: the overlap is at most k, the long lists that both are in, and what
-    stands behind the prefix that ends first, or behind the last common entry."""
+    stands behind the prefix that ends first, or behind the last common entry. Pairs whose sketches
+    (``sketch``; null: unknown) differ in more bits than linked sets can differ in shingles are left out
+    where they are found."""
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("list", "ascending"), ("n", "ascending"), ("c", "ascending")])
+        sketch = t.column("sketch").to_pylist()
+        known = np.array([x is not None for x in sketch], bool)
+        sketch = np.frombuffer(b"".join(x or bytes(SKETCH // 8) for x in sketch), np.uint64).reshape(len(sketch), SKETCH // 64)
         name, c, comp = (t.column(k).to_numpy() for k in ("list", "c", "comp"))
         n, pos = t.column("n").to_numpy().astype(np.int64), t.column("pos").to_numpy().astype(np.int64)
         before = np.where(t.column("len").to_numpy() > FREQUENT, 0, pos)  # what can be common before
@@ -364,7 +378,11 @@ def _open_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
             j = i + 1 + int(np.searchsorted(n[i + 1:last], n[i] * den // num, side="right"))
             if j > i + 1:
                 rest = np.minimum(n[i] - pos[i] - 1, n[i + 1:j] - pos[i + 1:j] - 1)
-                x = np.flatnonzero((comp[i + 1:j] != comp[i]) & (1 + before[i] + rest >= need(n[i], n[i + 1:j], num, den)))
+                least = need(n[i], n[i + 1:j], num, den)
+                x = np.flatnonzero((comp[i + 1:j] != comp[i]) & (1 + before[i] + rest >= least))
+                if len(x) and known[i]:
+                    differ = np.bitwise_count(sketch[i] ^ sketch[i + 1 + x]).sum(axis=1, dtype=np.int64)
+                    x = x[(differ <= n[i] + n[i + 1 + x] - 2 * least[x]) | ~known[i + 1 + x]]
                 if len(x):
                     held.append((at[i] * len(who) + at[i + 1 + x], np.ones(len(x), np.int64), rest[x]))
                     size += len(x)
@@ -495,13 +513,17 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, num: int,
         comp, short = merged_classes(stars.where("linked"))
         rows = stored(_mixed(rows.drop("comp"), short), "open-lists")
     tried = near(stored(stars.select("a", "b").union(stars.select("b", "a")), "tried"))
-    pairs = stored(_open_pairs(rows, num, den).join(tried, ["a", "b"], "left_anti"), "open-pairs")
+    entries = stored(rows.select("c").distinct(), "open-entries")
+    sketches = sig.where("cls is not null").join(near(entries), "c", "left_semi").groupBy("c").agg(F.min("sketch").alias("x"), F.max("sketch").alias("y"))
+    # classes of equal 64 bits can't be told apart here: no sketch
+    sketches = stored(sketches.select("c", F.when(F.col("x") == F.col("y"), F.col("x")).alias("sketch")), "sketches")
+    pairs = stored(_open_pairs(rows.join(near(sketches), "c"), num, den).join(tried, ["a", "b"], "left_anti"), "open-pairs")
     ids = sig.where("cls is not null").join(near(stored(pairs.select(F.col("a").alias("c")).distinct(), "open-classes")), "c", "left_semi")
     more = stored(_derived(pairs, stored(ids.select("c", "cls").distinct(), "ids"), stars, sets_of, num, den), "links")
     if more.limit(1).count():
         comp = stored(components(stars.where("linked").select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).union(more)), "components")
 
-    labelled = sig.join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("group", F.coalesce("component", "cls"))
+    labelled = sig.drop("sketch").join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("group", F.coalesce("component", "cls"))
     smallest = labelled.where("group is not null").groupBy("group").agg(F.min("id").alias("smallest"))
     return stored(labelled.join(smallest, "group", "left").withColumn(
         "component_id", F.when(F.col("group").isNull(), F.col("id")).otherwise(F.col("smallest"))), "labelled")
