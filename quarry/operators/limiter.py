@@ -20,6 +20,7 @@ than the order itself decides there.
 
 from __future__ import annotations
 
+import json
 import pickle
 
 import pyarrow as pa
@@ -233,7 +234,8 @@ def rate_limit(uploads: DataFrame, key: str = "session_id", ts: str = "ts", name
     edges = sorted(_told(walked, edge), key=lambda e: e["part"])
     run_of, starts, decided_by = _runs(edges)
 
-    run_col = F.get(F.array(*[F.lit(run_of.get(p, p)) for p in range(max(run_of, default=-1) + 1)]), F.col(part)) if run_of else F.col(part)
+    by_part = F.from_json(F.lit(json.dumps([run_of.get(p, p) for p in range(max(run_of, default=0) + 1)])), "array<int>")
+    run_col = F.get(by_part, F.col(part))
     opened = walked.where(F.col(kind) == HEAD).withColumn(run, run_col).select(*rows.columns, run)
     opened = opened.repartition(max(1, min(n, len(starts))), run).sortWithinPartitions(run, us, event_id)
     schema = T.StructType([*own, T.StructField(run, T.IntegerType()), *cases])
