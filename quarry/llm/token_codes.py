@@ -58,7 +58,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.sep = self.tok.token_to_id(SEPARATOR)
-        self.specials = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        specials = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.specials = [s for s in specials if b"<|" not in s]  # all words with <| are encoded apart anyway
         self.lowercase = lowercase
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -87,7 +88,9 @@ class WordEncoder:
         return out
 
     def _encode_new(self, words: list[bytes]) -> None:
-        plain = [w for w in words if b"<|" not in w and not any(s in w for s in self.specials)]
+        plain = [w for w in words if b"<|" not in w]
+        if self.specials:
+            plain = [w for w in plain if not any(s in w for s in self.specials)]
         for i in range(0, len(plain), CALL_WORDS):
             part = plain[i:i + CALL_WORDS]
             ids = np.array(self.tok.encode_batch_fast([SEPARATOR.join(w.decode() for w in part)],
