@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -76,8 +78,9 @@ def order_statistics(df: DataFrame, ranks: dict[str, Callable[[int], set[int]]])
     that a column does not have are left out.
 
     1. One pass of KLL sketches, a row of fixed size a column, brackets each wanted rank by two values.
-    2. One pass counts the values below each bracket and those inside it, one by one; only the latter,
-       about a hundredth of a column, are shuffled, combined on the map side.
+    2. One pass counts the values below and at the ends of each bracket. Where a wanted rank falls between
+       the ends, a second pass takes the values there, about a hundredth of a column; only they become rows
+       and are shuffled, combined on the map side.
     3. Bracketed values are range-partitioned and totalled; running sums are taken in the ranges
        that hold a wanted rank (``_ranked``).
 
@@ -111,23 +114,43 @@ def order_statistics(df: DataFrame, ranks: dict[str, Callable[[int], set[int]]])
 
 
 def _between(df: DataFrame, x: dict[str, Column], brackets: dict[tuple[str, int], tuple[float, float]]) -> dict:
-    """The wanted ranks whose value lies within their bracket. Brackets of a column that overlap are one."""
+    """The wanted ranks whose value lies within their bracket. Brackets of a column that overlap are one. The
+    ends of a bracket are values that the counts alone settle; values between them become rows only where a
+    wanted rank falls there, one row a column at most, since a column's brackets share no more than ends."""
     merged: dict[str, list[list]] = {}
     for (c, r), (lo, hi) in sorted(brackets.items(), key=lambda b: (b[0][0], b[1])):
         own = merged.setdefault(c, [])
-        if own and lo <= own[-1][1]:
+        if own and (lo < own[-1][1] or [lo, hi] == own[-1][:2]):
             own[-1][1] = max(hi, own[-1][1])
             own[-1][2].append(r)
         else:
             own.append([lo, hi, [r]])
     flat = [(c, lo, hi, rs) for c, own in merged.items() for lo, hi, rs in own]
-    # value null: below the bracket
-    rows = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("b"), F.when(x[c] >= lo, x[c]).alias("value"), (x[c] <= hi).alias("near"))
-                                        for i, (c, lo, hi, _) in enumerate(flat)])))
-    freq = stored(rows.where("near").groupBy("b", "value").agg(F.count(F.lit(1)).alias("cnt")), "brackets")
-    below = {r["b"]: r["cnt"] for r in freq.where("value is null").collect()}
-    got = _ranked(freq.where("value is not null"), {(i, r - below.get(i, 0)) for i, b in enumerate(flat) for r in b[3] if r >= below.get(i, 0)})
-    return {(c, r): got[i, r - below.get(i, 0)] for i, (c, _, _, rs) in enumerate(flat) for r in rs if (i, r - below.get(i, 0)) in got}
+    at = {c: F.col(f"x{i}") for i, c in enumerate(merged)}
+    values = df.select(*[x[c].alias(f"x{i}") for i, c in enumerate(merged)])
+    counts = values.agg(*[F.count_if(t).alias(f"{name}{i}") for i, (c, lo, hi, _) in enumerate(flat)
+                          for name, t in (("lt_lo", at[c] < lo), ("le_lo", at[c] <= lo), ("lt_hi", at[c] < hi), ("le_hi", at[c] <= hi))]).first()
+    found, inside = {}, set()
+    for i, (c, lo, hi, rs) in enumerate(flat):
+        for r in rs:
+            if counts[f"lt_lo{i}"] <= r < counts[f"le_lo{i}"]:
+                found[c, r] = lo + 0.0  # no negative zero
+            elif counts[f"lt_hi{i}"] <= r < counts[f"le_hi{i}"]:
+                found[c, r] = hi + 0.0
+            elif counts[f"le_lo{i}"] <= r < counts[f"lt_hi{i}"]:
+                inside.add((i, r - counts[f"le_lo{i}"]))
+    if inside:
+        need: dict[str, list[tuple[int, Column]]] = {}
+        for i in sorted({i for i, _ in inside}):
+            c, lo, hi, _ = flat[i]
+            need.setdefault(c, []).append((i, (at[c] > lo) & (at[c] < hi)))
+        which = {c: F.coalesce(*[F.when(t, F.lit(i)) for i, t in tests]) for c, tests in need.items()}
+        rows = values.where(reduce(or_, [t for tests in need.values() for _, t in tests])).select(
+            F.inline(F.array(*[F.struct(b.alias("b"), at[c].alias("value")) for c, b in which.items()])))
+        freq = stored(rows.where("b is not null").groupBy("b", "value").agg(F.count(F.lit(1)).alias("cnt")), "brackets")
+        for (i, k), v in _ranked(freq, inside).items():
+            found[flat[i][0], k + counts[f"le_lo{i}"]] = v
+    return found
 
 
 def _ranked(freq: DataFrame, wanted: set[tuple[int, int]]) -> dict:

@@ -28,6 +28,32 @@ def test_quantiles_exact(spark):
     assert all(got[("e", p)] is None for p in probs) and S.quantile_map(df, [], probs) == {}
 
 
+def test_quantiles_of_few_values_make_no_rows(spark, monkeypatch):
+    # each bracket's ends are values of the column: counting settles every rank, no value becomes a row
+    stored, names = S.stored, []
+    monkeypatch.setattr(S, "stored", lambda df, name: names.append(name) or stored(df, name))
+    rows = [(float(i % 10), i % 4, -0.0) for i in range(4000)] + [(None, None, None), (math.nan, 3, 0.0)]
+    df = spark.createDataFrame(rows, "a double, b int, z double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    got = S.quantile_map(df, ["a", "b", "z"], probs)
+    assert names == []
+    for i, c in enumerate("abz"):
+        own = pd.Series([float(r[i]) for r in rows if r[i] is not None and not math.isnan(r[i])])
+        assert all(close(got[(c, p)], float(own.quantile(p))) for p in probs)
+    assert all(math.copysign(1, got[("z", p)]) == 1 for p in probs)
+    # values strictly between the ends become rows, once each, not those below
+    wide = spark.range(200000).selectExpr("cast(id as double) as v", "cast(199999 - id as double) as w")
+    sizes = []
+    monkeypatch.setattr(S, "stored", lambda df, name: (out := stored(df, name), sizes.append(out.agg({"cnt": "sum"}).first()[0]))[0])
+    got = S.quantile_map(wide, ["v", "w"], [0.25, 0.5, 0.75])
+    assert [got[c, p] for c in "vw" for p in (0.25, 0.5, 0.75)] == [49999.75, 99999.5, 149999.25] * 2
+    assert sizes and max(sizes) < 0.1 * 400000
+    # ranks outside their brackets are not found there, those at the ends and between are
+    x = {c: wide[c] for c in "vw"}
+    assert S._between(wide, x, {("v", 5): (5.0, 7.0), ("v", 6): (5.0, 7.0), ("v", 7): (6.0, 7.0), ("v", 8): (5.0, 7.0), ("w", 1): (4.0, 9.0)}) == {
+        ("v", 5): 5.0, ("v", 6): 6.0, ("v", 7): 7.0}
+
+
 def test_no_number_columns_and_small_values(spark):
     text = spark.createDataFrame([("a",), ("b",)], "t string")
     assert P.describe(text).count() == P.skew_kurtosis(text).count() == P.corr_matrix(text).count() == 0
