@@ -48,12 +48,15 @@ SMALL = 6
 BUCKET = 1 << 17
 #: Classes and bytes of text of one block of an open list, about.
 BLOCK, BLOCK_BYTES = 2048, 4 << 20
+#: Code points and shingles that one step hashes: its arrays stay in a core's cache.
+BLOCK_CODES = 1 << 13
 #: Bits of a parity sketch, as a power of 2.
 SKETCH = 10
 
 _r = np.random.default_rng(11)
-_FACTORS = _r.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACE = _r.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = _r.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_PLACE = _r.integers(0, 1 << 63, SHINGLE.bit_length() - 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHORT = _r.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = _r.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -61,28 +64,43 @@ def plain(line: bytes) -> bytes:
     return b" ".join(line.lower().split())
 
 
+def plain_lines(text: bytes) -> list[bytes]:
+    """The plain forms of a text's lines. Where single spaces are its only white space, lines are trimmed only."""
+    lines = text.lower().split(b"\n")
+    if any(x in text for x in (b"  ", b"\t", b"\r", b"\x0b", b"\x0c")):
+        return [b" ".join(x.split()) for x in lines]
+    return [x.strip(b" ") for x in lines]
+
+
 def shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the shingles of all lines, first place of each line): by code points; every line,
-    which is not empty, has one at least."""
-    codes = [np.frombuffer(x.decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for x in lines]
-    n = np.array([len(c) for c in codes])
-    flat = np.concatenate([*codes, np.zeros(SHINGLE, np.uint32)]).astype(np.uint64)
-    first = np.concatenate([[0], np.cumsum(n)])
-    total = int(first[-1])
-    h = np.zeros(total, np.uint64)
-    for k in range(SHINGLE):
-        h += flat[k:k + total] * _PLACE[k]
-    h = mix(h)
-    keep = np.ones(total, bool)
-    for i in np.flatnonzero(n < SHINGLE):  # the whole line is its one shingle
-        a, b = first[i], first[i + 1]
-        h[a] = mix((flat[a:b] * _PLACE[:b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a))[0]
+    which is not empty, has one at least. Sums of code points by place, taken for 2, 4 and 8 places."""
+    joined = b"\n".join(lines) + b"\n" + bytes(SHINGLE)  # plain lines hold no line breaks
+    if joined.isascii():
+        flat = np.frombuffer(joined, np.uint8)
+    else:
+        flat = np.frombuffer(joined.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    ends = np.flatnonzero(flat == 10)
+    first = np.concatenate([[0], ends[:-1] + 1])
+    n = ends - first
+    total = int(ends[-1])
+    h = np.empty(total, np.uint64)
+    for at in range(0, total, BLOCK_CODES):
+        x = flat[at:min(at + BLOCK_CODES, total) + SHINGLE - 1].astype(np.uint64)
+        for k, f in enumerate(_PLACE):
+            x = x[:-1 << k] + x[1 << k:] * f
+        h[at:at + BLOCK_CODES] = mix(x)
+    keep = np.ones(total + 1, bool)
+    keep[ends] = False
+    short = n < SHINGLE
+    for i in np.flatnonzero(short):  # the whole line is its one shingle
+        a, b = first[i], ends[i]
+        h[a] = mix((flat[a:b] * _SHORT[:b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a))[0]
         keep[a + 1:b] = False
     for k in range(1, SHINGLE):
-        at = first[1:][n >= SHINGLE] - k
-        keep[at] = False
-    count = np.where(n < SHINGLE, 1, n - SHINGLE + 1)
-    return h[keep], np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)
+        keep[ends[~short] - k] = False
+    count = np.where(short, 1, n - SHINGLE + 1)
+    return h[keep[:total]], np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)
 
 
 def _band_hashes(sig: np.ndarray, kind: int) -> np.ndarray:
@@ -92,27 +110,42 @@ def _band_hashes(sig: np.ndarray, kind: int) -> np.ndarray:
 
 
 def _by_functions(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    sig = np.empty((len(first), BANDS * ROWS), np.uint64)
-    for p, f in enumerate(_FACTORS):
-        x = h * f
-        x ^= x >> np.uint64(32)
-        sig[:, p] = np.minimum.reduceat(x, first)
+    """The smallest values of the upper halves of hashes, times odd factors, for each line. Lines of about
+    one length stand side by side, shorter ones with their last hash repeated."""
+    sig = np.empty((len(first), BANDS * ROWS), np.uint32)
+    top = (h >> np.uint64(32)).astype(np.uint32)
+    n = np.diff(np.append(first, len(h)))
+    order = np.argsort(n, kind="stable")
+    i = 0
+    while i < len(order):
+        longest = n[order[min(i + BLOCK_CODES * 8 // n[order[i]], len(order) - 1)]]
+        own = order[i:i + max(1, BLOCK_CODES * 8 // int(longest))]
+        x = top[first[own] + np.minimum(np.arange(n[own[-1]])[:, None], n[own] - 1)]
+        y = np.empty_like(x)
+        for p, f in enumerate(_FACTORS):
+            np.multiply(x, f, out=y)
+            rows = len(y)
+            while rows > 1:  # halves onto each other
+                half = rows // 2
+                np.minimum(y[:half], y[rows - half:rows], out=y[:half])
+                rows -= half
+            sig[own, p] = y[0]
+        i += len(own)
     return sig
 
 
-def _by_parts(sets: list[np.ndarray]) -> np.ndarray:
-    """One-permutation values of sorted sets."""
-    parts = BANDS * ROWS
-    width = np.uint64((1 << 64) // parts + 1)
-    out = np.zeros((len(sets), parts), np.uint64)
-    for i, s in enumerate(sets):
-        at = s // width
-        start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        full = at[start].astype(np.int64)
-        nxt = np.searchsorted(full, np.arange(parts))
-        wrapped = nxt % len(full)  # an empty part takes the next full one, around the end
-        out[i] = s[start][wrapped] + (full[wrapped] - np.arange(parts)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) * (full[wrapped] != np.arange(parts))
-    return out
+def _by_parts(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One-permutation values of lines of ``n`` hashes each."""
+    parts, none = BANDS * ROWS, np.uint64((1 << 64) - 1)
+    cell = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    cell += np.repeat(np.arange(0, len(n) * parts, parts), n)
+    low = np.full(len(n) * parts, none, np.uint64)
+    np.minimum.at(low, cell, h)
+    low = low.reshape(-1, parts)
+    full = np.where(low != none, np.arange(parts), 2 * parts)
+    # an empty part takes the next full one, around the end
+    nxt = np.minimum.accumulate(np.concatenate([full, full + parts], axis=1)[:, ::-1], axis=1)[:, ::-1][:, :parts] % parts
+    return np.take_along_axis(low, nxt, axis=1) + (nxt - np.arange(parts)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
 
 def bands(lines: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -122,12 +155,38 @@ def bands(lines: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     short = np.flatnonzero(n <= SHORT * 5 // 4)
     if len(short):
-        rows = np.concatenate([np.arange(first[i], first[i] + n[i]) for i in short])
         starts = np.concatenate([[0], np.cumsum(n[short])[:-1]])
-        out.append((short, _band_hashes(_by_functions(h[rows], starts), 0)))
+        out.append((short, _band_hashes(_by_functions(h[np.repeat(n <= SHORT * 5 // 4, n)], starts), 0)))
     long_ = np.flatnonzero(n > SHORT * 4 // 5)
     if len(long_):
-        out.append((long_, _band_hashes(_by_parts([np.sort(h[first[i]:first[i] + n[i]]) for i in long_]), 1)))
+        out.append((long_, _band_hashes(_by_parts(h[np.repeat(n > SHORT * 4 // 5, n)], n[long_]), 1)))
+    return out
+
+
+def similarities(xs: list[bytes], ys: list[bytes]) -> np.ndarray:
+    """The Jaccard similarity of each pair of lines, by one sort for all pairs: the pair's number stands above
+    44 bits of its hashes. Pairs of long lines, whose hashes might meet in these, are taken one by one."""
+    h, first = shingles(xs + ys)
+    count = np.diff(np.append(first, len(h)))
+    n = len(xs)
+    out = np.zeros(n)
+    long_ = np.maximum(count[:n], count[n:]) > 10 * SHORT
+    for i in np.flatnonzero(long_):
+        out[i] = similarity(h[first[i]:first[i] + count[i]], h[first[n + i]:first[n + i] + count[n + i]])
+    for at in range(0, n, 1 << 20):  # numbers have 20 bits
+        end = min(at + (1 << 20), n)
+
+        def sets(of: int) -> np.ndarray:
+            size = count[of + at:of + end]
+            z = first[of + at]
+            keys = np.repeat(np.arange(end - at, dtype=np.uint64) << np.uint64(44), size) | (h[z:z + size.sum()] >> np.uint64(20))
+            keys = np.sort(keys[np.repeat(~long_[at:end], size)])
+            return keys[np.diff(keys, prepend=keys[:1] + np.uint64(1)) != 0]
+
+        merged = np.sort(np.concatenate([sets(0), sets(n)]))
+        both, each = (np.bincount((k >> np.uint64(44)).astype(np.int64), minlength=end - at) for k in (merged[1:][merged[1:] == merged[:-1]], merged))
+        fine = ~long_[at:end]
+        out[at:end][fine] = both[fine] / (each - both)[fine]
     return out
 
 
@@ -156,11 +215,11 @@ def occurrences(src: DataFrame) -> DataFrame:
             ids, hs, nos, cls = [], [], [], []
             for i, h, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 if text is not None:
-                    lines = text.split(b"\n")
+                    lines = plain_lines(text)
                     ids += [i] * len(lines)
                     hs += [h] * len(lines)
                     nos += range(len(lines))
-                    cls += [_class(p) if (p := plain(x)) else None for x in lines]
+                    cls += [_class(p) if p else None for p in lines]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(nos, pa.int32()), pa.array(cls, pa.binary())],
                                              names=_LINE.names)
     return src.mapInArrow(run, _LINE)
@@ -186,8 +245,8 @@ def candidates(src: DataFrame, buckets: int) -> DataFrame:
             new: dict[bytes, bytes] = {}
             for text in piece.column(2).to_pylist():
                 if text is not None:
-                    for x in text.split(b"\n"):
-                        if p := plain(x):
+                    for p in plain_lines(text):
+                        if p:
                             c = _class(p)
                             if c not in seen:
                                 seen.add(c)
@@ -248,8 +307,8 @@ def class_texts(src: DataFrame, classes: DataFrame) -> DataFrame:
             found: dict[bytes, bytes] = {}
             for text in b.column(2).to_pylist():
                 if text is not None:
-                    for x in text.split(b"\n"):
-                        if (p := plain(x)) and (c := _class(p)) not in seen:
+                    for p in plain_lines(text):
+                        if p and (c := _class(p)) not in seen:
                             seen.add(c)
                             found[c] = p
             if len(seen) > 1_000_000:
@@ -269,11 +328,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in arrow_slices(batches, 2):
-            xs, ys = b.column(2).to_pylist(), b.column(3).to_pylist()
-            h, first = shingles(xs + ys)
-            ends = np.append(first[1:], len(h))
-            n = len(xs)
-            ok = [similarity(h[first[i]:ends[i]], h[first[n + i]:ends[n + i]]) >= threshold for i in range(n)]
+            ok = similarities(b.column(2).to_pylist(), b.column(3).to_pylist()) >= threshold
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=_LINK.names).filter(pa.array(ok, pa.bool_()))
 
     return rows.mapInArrow(run, _LINK)

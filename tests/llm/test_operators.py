@@ -103,6 +103,33 @@ def test_fuzzy_lines(spark, docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_hashing_of_whole_batches():
+    r = random.Random(5)
+    odd = [b"\t a  b\x0b \xc3\xa9 \xc3\x9cn\xc3\xafx ", b"", b"\n\n X \n", b"A\rb\x0cc", b"a\x00b  c", b" one space \nB C", b"x"]
+    for t in odd:
+        assert line_dedup.plain_lines(t) == [line_dedup.plain(x) for x in t.split(b"\n")]
+    words = ["straße", "word", "ñandú", "a", "tokens"]
+    xs = [" ".join(r.choice(words) + str(r.randrange(50)) for _ in range(n)).encode() for n in (1, 1, 2, 9, 30, 100, 900) * 6] + [b"abc", "äöü".encode()]
+    ys = [x[:len(x) // 2].decode("utf-8", "ignore").encode() + b"q" + x[len(x) // 2 + r.randrange(3):].decode("utf-8", "ignore").encode() for x in xs[:-2]] + [b"abc", b"abd"]
+    sets = lambda x: (lambda u: {u[k:k + 8] for k in range(max(1, len(u) - 7))})(x.decode())
+    assert any(len(x) > 10 * line_dedup.SHORT + 8 for x in xs)
+    for x, y, got in zip(xs, ys, line_dedup.similarities(xs, ys), strict=True):
+        assert got == len(sets(x) & sets(y)) / len(sets(x) | sets(y))
+    h, first = line_dedup.shingles(xs)
+    n = np.diff(np.append(first, len(h)))
+    assert n.tolist() == [max(1, len(x.decode()) - 7) for x in xs]
+    smallest, parts = line_dedup._by_functions(h, first), line_dedup._by_parts(h, n)
+    for i in range(len(xs)):
+        own = h[first[i]:first[i] + n[i]]
+        assert smallest[i].tolist() == [int(((own >> np.uint64(32)).astype(np.uint32) * f).min()) for f in line_dedup._FACTORS]
+        low: dict[int, int] = {}
+        for v in map(int, own):
+            low[(v >> 32) * 80 >> 32] = min(v, low.get((v >> 32) * 80 >> 32, v))
+        for q in range(80):
+            k = next(k for k in range(q, q + 80) if k % 80 in low) % 80
+            assert int(parts[i, q]) == (low[k] + (k - q) * 0xD6E8FEB86659FD93) % 2**64
+
+
 def test_similar_lines_in_long_mixed_lists(spark, monkeypatch):
     """Pairs of similar lines on one template, whose lists hold hundreds of lines that are not similar
     enough: each pair is found, whatever stands between in the list, also across blocks."""
@@ -162,6 +189,19 @@ def test_benchmark_in_blocks(docs, spark, monkeypatch):
     assert sorted(map(repr, decontam.scan(docs, bench).collect())) == one
 
 
+def test_readers_of_token_codes_hold_no_words(monkeypatch):
+    """A Python worker that wrote codes gives its remembered words back before it reads."""
+    class Segments:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    monkeypatch.setattr(token_codes, "_segments", lambda *_: Segments())
+    token_codes.encoder(queries.tokenizer_path(), True).encode([b"some words"])
+    assert token_codes.encoder.cache_info().currsize
+    assert list(token_codes.read_documents(None, "")(iter([]))) == []
+    assert token_codes.encoder.cache_info().currsize == 0
+
+
 def test_token_codes(spark, docs, empty):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(queries.tokenizer_path())
