@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import arrow_slices, col, scratch
+from quarry.llm.common import arrow_slices, col, give_back, scratch, small_batches
 
 BITS = 8
 MAGIC = b"DACSEG01"
@@ -249,7 +249,9 @@ def write_codes(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: s
                     yield close()
         if ids:
             yield close()
+        give_back()
 
+    small_batches(spark)
     src.mapInArrow(run, _SEGMENT).write.parquet(path)
     return path
 
@@ -273,6 +275,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                            T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
     def run(batches):
+        encoder.cache_clear()  # reading needs no words: workers that have written give their memory back
+        give_back()
         for b in batches:
             for start, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 seg = Segment(raw.as_buffer().to_pybytes())
