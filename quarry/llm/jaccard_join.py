@@ -159,6 +159,7 @@ def _frequent(docs: DataFrame, width: int, buckets: int) -> np.ndarray:
         u, at = np.unique(low, return_inverse=True)
         n = np.bincount(at, weights=n).astype(np.int64)
         hot = n > FREQUENT
+        give_back()
         key = np.int64(t.column("bucket")[0].as_py() << 32) | u[hot].astype(np.int64)
         return pa.table({"key": pa.array(key, pa.int64()), "n": pa.array(n[hot], pa.int64())})
 
@@ -220,6 +221,7 @@ def _index(docs: DataFrame, width: int, frequent, num: int, den: int, buckets: i
         size = np.repeat(size, size).astype(np.int32)
         more = size > 1
         name = np.int64(t.column("bucket")[0].as_py() << 32) | h[more].astype(np.int64)
+        give_back()
         return pa.table({"list": pa.array(name, pa.int64()), "c": pa.array(c[more].view(np.int64)), "n": pa.array(n[more].astype(np.int32)),
                          "pos": pa.array(pos[more].astype(np.int32)), "len": pa.array(size[more]), "pivot": pa.array(pivot[more].view(np.int64))})
 
@@ -286,6 +288,7 @@ def _stars(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 added.append(np.setdiff1d(x, y, assume_unique=True).tobytes() if ok else None)
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(linked, pa.bool_()), pa.array(lost, pa.binary()),
                                               pa.array(added, pa.binary())], names=_STAR.names)
+        give_back()
 
     return both.mapInArrow(run, _STAR)
 
@@ -301,6 +304,7 @@ def _mixed(lists: DataFrame, comp: DataFrame) -> DataFrame:
         cut = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
         size = np.diff([*cut, len(name)])
         mixed = np.minimum.reduceat(comp, cut) != np.maximum.reduceat(comp, cut)
+        give_back()
         return t.filter(pa.array(np.repeat(mixed, size)))
 
     cols = ["list", "c", "n", "pos", "len", "comp"]
@@ -390,6 +394,7 @@ def _open_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
                         held, size = [merged()], 0
         key, k, rest = merged()
         a, b = who[key // max(1, len(who))], who[key % max(1, len(who))]
+        give_back()
         cols = (a[:, 0], b[:, 0], a[:, 1], b[:, 1], k, rest)
         return pa.table({f.name: pa.array(x, pa.int64()) for f, x in zip(_PAIR.fields, cols, strict=True)})
 
@@ -444,6 +449,7 @@ def _derived(pairs: DataFrame, ids: DataFrame, stars: DataFrame, sets_of, num: i
                 if base - len(minus) >= least or base - overlap(minus, y) + overlap(plus, y) >= least:
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], names=_LINK.names)
+        give_back()
 
     return rows.mapInArrow(run, _LINK)
 

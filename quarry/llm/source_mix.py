@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import col
+from quarry.llm.common import col, stored
 
 #: Documents of a hash bin, on average, up to a million documents; beyond, bins and the documents
 #: of one bin both grow with the square root.
@@ -143,7 +143,8 @@ def _chosen(docs, weights, share, max_repeats, seed, id_col, text_col, members,
                        F.array_join(F.transform(ordered, lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("-"))), "\0").alias("pattern"),
                        word_count(col(text_col)).alias("size"), F.xxhash64(F.lit(seed), col(id_col), col(text_col)).alias("h"))
 
-    groups = (base.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size"), F.count("*").alias("n"))
+    sizes_of = stored(base.select("members", "pattern", "size", "h"), "sizes")  # words are counted once for all totals
+    groups = (sizes_of.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size"), F.count("*").alias("n"))
               .orderBy("pattern").collect())
     names = sorted({s for g in groups for s in g["members"]}, key=lambda s: (s is None, (s or "").encode()))
     at = {s: i for i, s in enumerate(names)}
@@ -165,13 +166,17 @@ def _chosen(docs, weights, share, max_repeats, seed, id_col, text_col, members,
     plan = spark.createDataFrame(plan, "pattern string, source_size long, target double, full int, rest long, bins int")
 
     place = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
-    rows = (base.drop("members").join(plan, "pattern").withColumn("place", place)
-            .withColumn("bin", F.floor(F.col("place") * F.col("bins")).cast("int")))
-    by_bin = rows.groupBy("pattern", "bin", "rest").agg(F.sum("size").alias("size"))
+
+    def placed(df: DataFrame) -> DataFrame:  # the plan has a row for each pattern: texts stay where they are
+        return (df.drop("members").join(F.broadcast(plan), "pattern").withColumn("place", place)
+                .withColumn("bin", F.floor(F.col("place") * F.col("bins")).cast("int")))
+
+    rows = placed(base)
+    by_bin = placed(sizes_of).groupBy("pattern", "bin", "rest").agg(F.sum("size").alias("size"))
     before = F.sum("size").over(Window.partitionBy("pattern").orderBy("bin")) - F.col("size")
     ends = by_bin.withColumn("before", before).where("before <= rest and before + size > rest").collect()  # one row for each pattern
     ends = spark.createDataFrame([(r["pattern"], r["bin"], r["rest"] - r["before"]) for r in ends], "pattern string, end_bin int, open long")
-    rows = rows.join(ends, "pattern", "left")
+    rows = rows.join(F.broadcast(ends), "pattern", "left")
 
     sized = ["size", "source_size", "target"]
     out_schema = T.StructType([T.StructField(f, docs.schema[c].dataType) for c, f in zip(keep, flat, strict=True)]

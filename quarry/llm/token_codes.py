@@ -39,7 +39,7 @@ MAGIC = b"DACSEG01"
 SEGMENT_IDS = 1 << 18
 #: Words whose ids a worker remembers in its young memory; when that is full it becomes the old one,
 #: from which words in use move back.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: Words that one call to the library encodes.
 CALL_WORDS = 100
 SEPARATOR = "<|endoftext|>"

@@ -534,3 +534,20 @@ def test_mix(docs, empty):
     copies = source_mix.mixed(docs, lambda i: queries.SOURCE_WEIGHTS[i % 3])
     assert copies.columns == docs.columns and copies.count() == sum(r["copies"] for r in out)
     assert source_mix.mix(empty, lambda i: 1).count() == 0
+
+
+def test_mix_leaves_texts_where_they_are(docs):
+    """The mix's plan and bin ends are a row for each pattern: no join sorts or shuffles the texts for them."""
+    plan = source_mix.mixed(docs, lambda i: queries.SOURCE_WEIGHTS[i % 3])._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_words_that_a_worker_remembers(monkeypatch):
+    """Both memories together hold two limits and one slice's words at most, and the ids stay the same."""
+    assert token_codes.CACHE_WORDS <= 250_000
+    texts = [" ".join(f"w{i}q{j}" for j in range(40)).encode() for i in range(30)]
+    whole = token_codes.WordEncoder(queries.tokenizer_path(), True).encode(texts)
+    monkeypatch.setattr(token_codes, "CACHE_WORDS", 100)
+    small = token_codes.WordEncoder(queries.tokenizer_path(), True)
+    assert [small.encode([t])[0] for t in texts] == whole
+    assert len(small.known) + len(small.old) <= 2 * (100 + 40)
