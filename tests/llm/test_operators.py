@@ -223,6 +223,37 @@ def test_token_codes(spark, docs, empty):
     assert token_codes.read_documents(spark, token_codes.write_codes(empty, queries.tokenizer_path())).count() == 0
 
 
+def test_word_encoder_asks_for_letters_in_plain_calls():
+    """Words of letters go to the library without special tokens between them, and a comma or full stop
+    behind a word makes no further word; ids are those of whole texts in every context."""
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+
+    class Calls:
+        def __init__(self, tok):
+            self.tok, self.texts = tok, []
+
+        def __getattr__(self, name):
+            return getattr(self.tok, name)
+
+        def encode_batch_fast(self, texts, **kw):
+            self.texts += texts
+            return self.tok.encode_batch_fast(texts, **kw)
+
+    enc = token_codes.WordEncoder(queries.tokenizer_path(), True)
+    enc.letters, enc.tok = Calls(enc.letters), Calls(enc.tok)
+    text = "Alpha beta, gamma. Alpha, straße,\ngamma, beta. é. alpha"
+    assert enc.encode([text.encode()])[0] == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert not any(w.endswith((b",", b".")) for w in enc.known if len(w) > 1)
+    assert [sorted(t.split()) for t in enc.letters.texts] == [sorted(["alpha", "beta", "gamma", "straße", "é"])]
+    assert not any("alpha" in t for t in enc.tok.texts)
+    r = random.Random(7)
+    bits = [*"aZé9ßÄ×÷.,;!?'$-_<|> \n\t\x0b\x85\u0301\u00a0\u2028”İΣ五\x00", "'s", "'LL", " the ", ", ", ". ", "<|endoftext|>", "<|startoftext|>", "e\u0301, "]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(1, 60))) for _ in range(1500)]
+    for t, ids in zip(texts, enc.encode([t.encode() for t in texts]), strict=True):
+        assert ids == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
 def test_segment_round_trip():
     r = np.random.default_rng(1)
     for ids in (np.zeros(0, np.uint32), np.array([0], np.uint32), r.integers(0, 2**32, 3000, dtype=np.uint32), r.integers(0, 300, 5000, dtype=np.uint32)):
