@@ -95,13 +95,13 @@ def binary_parts(arr: pa.Array):
 ARROW_BYTES = 4 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound this session's Arrow batches by ``ARROW_BYTES``, unless it has a smaller limit: batches of
+def small_batches(spark: SparkSession, most: int = ARROW_BYTES) -> None:
+    """Bound this session's Arrow batches by ``most`` bytes, unless it has a smaller limit: batches of
     long texts then arrive in pieces instead of being cut once they are there."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key, "64m").rstrip("b")
-    if not now.isdigit() or int(now) > ARROW_BYTES:
-        spark.conf.set(key, str(ARROW_BYTES))
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(key, str(most))
 
 
 def map_batches(df: DataFrame, schema: T.StructType, fn: Callable, sized: str | None = None) -> DataFrame:

@@ -39,9 +39,12 @@ MAGIC = b"DACSEG01"
 #: A segment is closed once it holds this many ids; documents are not split, so a segment is at
 #: most this plus one document.
 SEGMENT_IDS = 1 << 18
-#: Words whose ids a worker remembers in its young memory; when that is full it becomes the old one,
-#: from which words in use move back.
-CACHE_WORDS = 250_000
+#: Words whose ids a worker remembers in its young memory, and the bytes of these words with their ids;
+#: when it is full by either it becomes the old one, from which words in use move back.
+CACHE_WORDS = 125_000
+CACHE_BYTES = 4 << 20
+#: Bytes of an Arrow batch here: workers and the JVM's buffers hold several at a time.
+BATCH_BYTES = 1 << 20
 #: Words that one call to the library encodes.
 CALL_WORDS = 100
 SEPARATOR = "<|endoftext|>"
@@ -62,7 +65,11 @@ class _Memory(dict):
 
     def __init__(self, old: dict[bytes, bytes]):
         super().__init__()
-        self.old, self.new = old, set()
+        self.old, self.new, self.size = old, set(), 0
+
+    def __setitem__(self, word: bytes, ids: bytes) -> None:
+        super().__setitem__(word, ids)
+        self.size += len(word) + len(ids)
 
     def __missing__(self, word: bytes) -> bytes | None:
         ids = self.old.get(word)
@@ -166,7 +173,7 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS or self.known.size > CACHE_BYTES:
             self.old, self.known.old = self.known, {}
             self.known = _Memory(self.old)
         cut = pc.ascii_split_whitespace(pa.array([self._plain(t) for t in texts], pa.string()))
@@ -207,7 +214,9 @@ class WordEncoder:
 @cache
 def encoder(path: str, lowercase: bool) -> WordEncoder:
     """One for each Python worker, so that its memory serves all tasks of the worker."""
-    return WordEncoder(path, lowercase)
+    made = WordEncoder(path, lowercase)
+    give_back()  # what reading the file took
+    return made
 
 
 def _pad(b: bytes) -> bytes:
@@ -331,7 +340,7 @@ def write_codes(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: s
             yield close()
         give_back()
 
-    small_batches(spark)
+    small_batches(spark, BATCH_BYTES)
     src.mapInArrow(run, _SEGMENT).write.parquet(path)
     return path
 
@@ -339,6 +348,7 @@ def write_codes(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: s
 def _segments(spark: SparkSession, path: str) -> DataFrame:
     """Segments with their global start. Only one row for each written part is totalled on the way
     to the offsets."""
+    small_batches(spark, BATCH_BYTES)
     seg = spark.read.schema(_SEGMENT).parquet(path)
     totals = {r["part"]: r["n"] for r in seg.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
     run, rows = 0, []

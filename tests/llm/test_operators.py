@@ -582,3 +582,27 @@ def test_words_that_a_worker_remembers(monkeypatch):
     small = token_codes.WordEncoder(queries.tokenizer_path(), True)
     assert [small.encode([t])[0] for t in texts] == whole
     assert len(small.known) + len(small.old) <= 2 * (100 + 40)
+
+
+def test_long_words_that_a_worker_remembers(monkeypatch):
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=400)) for _ in range(5)).encode() for _ in range(40)]
+    whole = token_codes.WordEncoder(queries.tokenizer_path(), True).encode(texts)
+    monkeypatch.setattr(token_codes, "CACHE_BYTES", 10_000, raising=False)
+    small = token_codes.WordEncoder(queries.tokenizer_path(), True)
+    assert [small.encode([t])[0] for t in texts] == whole
+    held = [sum(len(w) + len(ids) for w, ids in m.items()) for m in (small.known, small.old)]
+    assert max(held) <= 10_000 + 2 * max(len(t) + len(w) for t, w in zip(texts, whole, strict=True)), held
+
+
+def test_token_codes_arrow_batches(spark, tmp_path):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(4 << 20))
+    try:
+        docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+        path = token_codes.write_codes(docs, queries.tokenizer_path(), path=str(tmp_path / "codes"))
+        assert int(spark.conf.get(key)) <= 1 << 20
+        assert [r["n_tokens"] for r in token_codes.read_documents(spark, path).orderBy("doc_id").collect()] == [3, 1]
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
