@@ -16,7 +16,6 @@ from quarry.operators import conversation as cnv
 from quarry.operators import retrieve as R
 from quarry.operators.sparse import squared_norm
 from quarry.plans.registry import Tables, query
-from quarry.session import stored
 
 WS = "[\\t\\n\\x0B\\f\\r ]"
 
@@ -308,8 +307,7 @@ def q_rag_prompts(spark, sf_dir):
     qs = t.benchmark.select(F.col("item_id").alias("vec_id"), F.lit("q").alias("kind"), F.col("text").alias("content"))
     both = chunks.select("vec_id", F.lit("c").alias("kind"), "content", "title", "chunk_id", "source") \
         .unionByName(qs, allowMissingColumns=True)
-    # vectors feed the lists, the candidates and the texts: written once (shared folder)
-    emb = stored(K.tfidf_embed(both, "content", num_features=TERMS, normalise=True), "vectors")
+    emb = K.tfidf_embed(both, "content", num_features=TERMS, normalise=True)  # counts and texts are written once there
     questions = emb.filter(F.col("kind") == "q").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"),
                                                         F.col("content").alias("question"))
     found = R.retrieve(questions.select("qid", "qvec"), emb.filter(F.col("kind") == "c"))

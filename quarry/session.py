@@ -72,5 +72,29 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if (df.agg(row.alias("b")).first()["b"] or 0) <= limit else df
 
 
+#: Bytes of an Arrow batch between Spark and Python (Spark's own limit is 64 MB for each task and side).
+ARROW_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession, most: int = ARROW_BYTES) -> None:
+    """Bound this session's Arrow batches by ``most`` bytes from now on, unless it has a smaller limit."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").rstrip("b")
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(key, str(most))
+
+
+def give_back() -> None:
+    """Hand a Python worker's freed memory back to the system: workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -128,3 +128,74 @@ def test_nearest_by_terms(spark):
         mine = sorted(got.get(q, []))
         assert [v for _, v, _ in mine] == want and all(abs(s - dots[v]) < 1e-12 for _, v, s in mine)
     assert not {200, 201, 202} & set(got)
+
+
+def _found(rows):
+    got = {}
+    for r in rows:
+        got.setdefault(r["qid"], []).append((r["rank"], r["vid"], round(r["score"], 12)))
+    return {q: sorted(v) for q, v in got.items()}
+
+
+def test_nearest_by_terms_many_blocks(spark, monkeypatch):
+    """Many blocks of rows and questions, held in the tasks or joined: the same rows; ids that come twice
+    count twice, in each other's question too."""
+    rng = np.random.default_rng(6)
+    vector = lambda n: sorted({int(t): float(w) for t, w in zip(np.minimum(rng.zipf(1.3, n), 300), rng.random(n) + 0.01, strict=True)}.items())
+    corpus = [(i, vector(int(rng.integers(1, 30)))) for i in range(900)]
+    corpus += [corpus[7], (7, vector(9)), *((2000 + i, corpus[11][1]) for i in range(30))]
+    asked = [(i, vector(6)) for i in range(30)]
+    asked += [asked[3], (4, vector(6)), (50, corpus[11][1]), (51, [(9999, 1.0)])]
+    cdf = spark.createDataFrame(corpus, "id long, v " + S.VECTOR).selectExpr("id vec_id", "v embedding").repartition(3)
+    qdf = spark.createDataFrame(asked, "id long, v " + S.VECTOR).selectExpr("id qid", "v qvec")
+    want = {}
+    for q, qv in asked:
+        weight = dict(qv)
+        want.setdefault(q, []).extend((-round(sum(w * weight.get(t, 0.0) for t, w in v), 12), i) for i, v in corpus if weight.keys() & dict(v).keys())
+    want = {q: [(i + 1, v, -s) for i, (s, v) in enumerate(sorted(x)[:10])] for q, x in want.items() if x}
+    monkeypatch.setattr(S, "QUERY_BLOCK", 7)
+    assert _found(S.nearest_by_terms(qdf, cdf, 10).collect()) == want
+    assert _found(S.nearest_by_terms(qdf, cdf, 10, held_bytes=0).collect()) == want
+
+
+def test_best_of_small_blocks():
+    """Blocks of a few rows, so that thresholds, weak lists and lists without rows all occur."""
+    rng = np.random.default_rng(2)
+    dense = np.where(rng.random((400, 40)) < 0.2, rng.random((400, 40)) * np.arange(1, 41), 0.0)
+    dense[100:140] = dense[5]
+
+    def block(ids, x):
+        return S._Block(np.asarray(ids), (x > 0).sum(axis=1), np.nonzero(x)[1].astype(np.int32), x[x > 0])
+
+    questions = block(range(8), dense[[0, 5, 30, 31, 32, 33, 34, 35]])
+    best = S._Best(questions, 6)
+    for i in range(0, 400, 13):
+        best.add(questions, block(range(i, min(400, i + 13)), dense[i:i + 13]))
+    for q, qv in enumerate(dense[[0, 5, 30, 31, 32, 33, 34, 35]]):
+        score = [sum(a * b for a, b in zip(x[x > 0], qv[x > 0], strict=True)) for x in dense]
+        want = sorted((i for i in range(400) if score[i]), key=lambda i: (-score[i], i))[:6]
+        assert best.vid[q].tolist() == want and best.score[q].tolist() == [score[i] for i in want]
+
+
+def test_sparse_retrieval_writes_little(spark):
+    """Texts and counts are written once: no vectors, no postings, neither as tables nor by a shuffle."""
+    import pathlib
+    rng = np.random.default_rng(1)
+    words = np.array([f"w{i}" for i in range(3000)])
+    rows = [(i, " ".join(words[np.minimum(rng.zipf(1.2, 80), 3000) - 1])) for i in range(4000)]
+    texts = spark.createDataFrame(rows, "vec_id long, content string").selectExpr("*", "'t' title", "1 chunk_id", "'s' source")
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shared = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).parent
+
+    def written():
+        own = files.getAllFiles()
+        return sum(f.stat().st_size for f in shared.rglob("*.parquet")) + sum(own.apply(i).length() for i in range(own.size()))
+
+    start = written()
+    R.stored(texts, "plain").count()
+    plain = written() - start
+    start = written()
+    emb = S.tfidf_embed(texts, num_features=1 << 10, normalise=True)
+    found = R.retrieve(emb.where("vec_id < 5").selectExpr("vec_id qid", "embedding qvec"), emb).collect()
+    assert written() - start < 2.5 * plain
+    assert {r["qid"] for r in found} == set(range(5)) and all(r["content"] == rows[r["qid"]][1] for r in found if r["mmr_rank"] == 1)
